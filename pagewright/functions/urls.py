@@ -219,3 +219,8 @@ def meta_refresh_target(content) -> Column:
     raw = F.regexp_extract(as_col(content), r"(?is)url=(.*)", 1)
     bare = F.regexp_replace(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""), r"\A['\"]+|['\"]+\z", "")
     return F.nullif(bare, F.lit(""))
+
+
+def parse_path(url) -> Column:
+    """The path of a web address, without query and fragment."""
+    return let(let(_split(_trimmed(as_col(url))), _normalized), lambda parts: parts["path"])

@@ -324,7 +324,7 @@ def _batch(rows):
 
 
 def html_markdown(pages: DataFrame, selector: str | None = None, strip_nav: bool = False,
-                  include_links: bool = True, include_images: bool = True, compact_links: bool = False,
+                  include_links: bool = True, include_images: bool = False, compact_links: bool = False,
                   offset: int = 0, max_tokens: int | None = None) -> DataFrame:
     """(page_id, url, markdown, tokens_est, truncated, next_offset, refs).
 
