@@ -7,13 +7,15 @@ the text size of any element is a subtraction, and its text one slice of the doc
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pagewright.functions import as_col
-from pagewright.operators.htmltree import parse_html
+from pagewright.operators.htmltree import HEADINGS, parse_html
+from pagewright.operators.mdtree import render_tree
 from pagewright.session import spread
 
 NODE_SCHEMA = T.StructType([
@@ -32,6 +34,10 @@ NODE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("text_from", T.LongType()),
     T.StructField("text_to", T.LongType()),
+    T.StructField("parent_tag", T.StringType()),
+    T.StructField("parent_end", T.IntegerType()),
+    T.StructField("parent_to", T.LongType()),      # text_to of the parent
+    T.StructField("heading", T.IntegerType()),     # highest heading level of the element or its children
 ])
 _ARROW = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
@@ -39,14 +45,15 @@ _ARROW = pa.schema([
     ("last_elem", pa.bool_()), ("kind", pa.string()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
     ("text_from", pa.int64()), ("text_to", pa.int64()),
+    ("parent_tag", pa.string()), ("parent_end", pa.int32()), ("parent_to", pa.int64()), ("heading", pa.int32()),
 ])
 FLUSH_ROWS = 16384
 FLUSH_BYTES = 8 << 20
 
 
-def page_rows(page_id, url, root, wanted, texts, page_text):
+def page_rows(page_id, url, root, size_of_source, wanted, texts, page_text):
     """Rows of one parsed page. `wanted(kind, tag)` selects; numbering always covers all nodes."""
-    entries = []  # [node, parent_id, depth, sib, elem, last_elem, node_id, end_id, from, to]
+    entries = []  # [node, parent entry, depth, sib, elem, last_elem, node_id, end_id, from, to]
     pieces, size, count = [], 0, 0
     todo = [(root, None, 0, 0, None, None)]
     while todo:
@@ -66,7 +73,7 @@ def page_rows(page_id, url, root, wanted, texts, page_text):
             todo.append((entry,))
             elems = sum(kid.kind == "element" for kid in node.kids)
             seen = elems
-            here, depth = entry[6], entry[2] + 1
+            here, depth = entry, entry[2] + 1
             for sib in range(len(node.kids) - 1, -1, -1):
                 kid = node.kids[sib]
                 if kid.kind == "element":
@@ -75,7 +82,7 @@ def page_rows(page_id, url, root, wanted, texts, page_text):
                 else:
                     todo.append((kid, here, depth, sib, None, None))
     whole = None
-    for node, parent, depth, sib, elem, last, node_id, end_id, start, stop in entries:
+    for node, up, depth, sib, elem, last, node_id, end_id, start, stop in entries:
         kind, tag = node.kind, node.tag
         if not wanted(kind, tag):
             continue
@@ -85,7 +92,16 @@ def page_rows(page_id, url, root, wanted, texts, page_text):
         elif kind == "document" and page_text:
             text = whole if whole is not None else "".join(pieces)
         attrs = list(node.attrs.items()) if kind == "element" else None
-        yield (page_id, url, node_id, parent, end_id, depth, sib, elem, last, kind, tag, attrs, text, start, stop)
+        if kind == "document":
+            attrs = [("content_bytes", str(size_of_source))]
+        parent, above = (None, (None, None, None)) if up is None else (up[6], (up[0].tag, up[7], up[9]))
+        levels = [int(n.tag[1]) for n in (node, *node.kids) if n.tag in HEADINGS]
+        yield (page_id, url, node_id, parent, end_id, depth, sib, elem, last, kind, tag, attrs, text, start, stop,
+               *above, min(levels, default=None))
+
+
+def _extra_row(page_id, url, number, kind, attrs, text):
+    return (page_id, url, number, None, None, None, None, None, None, kind, None, attrs, text, *[None] * 6)
 
 
 def _batch(rows):
@@ -107,13 +123,14 @@ def in_batches(rows: Iterator[tuple], text_at: int, build) -> Iterator[pa.Record
 
 
 def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Iterable[str] | None = None,
-               texts: Iterable[str] = (), page_text: bool | None = None) -> DataFrame:
+               texts: Iterable[str] = (), page_text: bool | None = None, markdown: dict | None = None) -> DataFrame:
     """Parse `pages(page_id, url, html)` into node rows.
 
     The optimizer cannot see into the kernel, so what a query needs is said here: `tags` and
     `kinds` keep only those rows (the document row always stays, one per page), `texts` names tags
     whose rows carry their full text, and `page_text` puts the whole text on the document row
-    (default: only when nothing is filtered out).
+    (default: only when nothing is filtered out). `markdown` (renderer options) adds one row of
+    kind `markdown` per page and a row of kind `ref` per compact link, from the same parse.
     """
     tag_set = None if tags is None else frozenset(tags)
     kind_set = None if kinds is None else frozenset(kinds) | {"document"}
@@ -126,16 +143,32 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
         return tag_set is None or kind == "document" or tag in tag_set
 
     def kernel(batches):
+        sys.setrecursionlimit(10000)  # page trees are at most a few hundred levels deep
+
         def rows():
             for batch in batches:
                 for page_id, url, source in zip(*(column.to_pylist() for column in batch.columns)):
-                    yield from page_rows(page_id, url, parse_html(source or ""), wanted, text_set, whole)
+                    source = source or ""
+                    root = parse_html(source)
+                    size = len(source.encode("utf-8", "replace"))
+                    yield from page_rows(page_id, url, root, size, wanted, text_set, whole)
+                    if markdown is not None:
+                        raw, refs = render_tree(url or "", root, None, markdown)
+                        yield _extra_row(page_id, url, -1, "markdown", None, raw)
+                        for n, ref in enumerate(refs):
+                            yield _extra_row(page_id, url, n, "ref", [("href", ref["href"])], ref["text"])
 
         return in_batches(rows(), 12, _batch)
 
     return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(kernel, NODE_SCHEMA)
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows hashed on `page_id` alone. Windows on (page, parent) and the like accept that too, while
+    without it each of them would ask for a shuffle of its own."""
+    return rows.repartition("page_id")
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "element")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewright.functions.urls import absolute_href, display_href, meta_refresh_target
-from pagewright.operators.dom import html_nodes, node_tokens, text_bytes, with_text
+from pagewright.operators.dom import clustered, html_nodes, node_tokens, text_bytes, with_text
 from pagewright.operators.selectors import (
     before, by_page, css_flag, from_parent, inside, nearest, parse_selector, siblings, up_to_here)
 
@@ -31,46 +31,56 @@ def trim_ws(s: Column) -> Column:
     return F.regexp_replace(s, TRIM, "")
 
 
-def page_info(nodes: DataFrame) -> DataFrame:
-    """(page_id, url, title, lang, description, content_type, page_tokens) in one aggregation.
-
-    Needs rows of `title` (with text), `html`, `meta`, `body` and the document row. Pages arrive
-    whole in one partition, so the map-side combine leaves one row per page to shuffle.
-    """
+def info_aggregates() -> list[Column]:
+    """Aggregates over the node rows of a page; `info_columns` turns them into page fields."""
     def attr(name: str) -> Column:
         return F.col("attrs")[name]
 
     def of(tag: str, value: Column) -> Column:
         return F.when(F.col("tag") == tag, value)
 
-    first_title = F.min_by(of("title", F.struct(F.col("text"))), of("title", F.col("node_id")))["text"]
+    def first(value: Column, flag: Column) -> Column:
+        return F.min_by(F.when(flag, F.struct(value.alias("v"))), F.when(flag, F.col("node_id")))["v"]
+
+    def last(value: Column, flag: Column) -> Column:
+        return F.max_by(F.when(flag, F.struct(value.alias("v"))), F.when(flag, F.col("node_id")))["v"]
+
     meta = F.col("tag") == "meta"
-    is_description = meta & (F.lower(attr("name")) == "description")
     is_type = meta & (F.lower(attr("http-equiv")) == "content-type")
-    # A charset counts only while no content type is set, so it holds until the last http-equiv.
-    last_type = F.max_by(F.when(is_type, F.struct(attr("content").alias("v"))), F.when(is_type, F.col("node_id")))["v"]
     has_charset = meta & attr("charset").isNotNull()
-    first_charset = F.min_by(F.when(has_charset, attr("charset")), F.when(has_charset, F.col("node_id")))
-    last_charset_at = F.max(F.when(has_charset, F.col("node_id")))
-    last_charset = F.max_by(F.when(has_charset, attr("charset")), F.when(has_charset, F.col("node_id")))
-    last_type_at = F.max(F.when(is_type, F.col("node_id")))
-    body_at = of("body", F.col("node_id"))
-    return (nodes.groupBy("page_id").agg(
-        F.first("url").alias("url"),
-        F.nullif(trim_ws(first_title), F.lit("")).alias("title"),
-        F.min_by(of("html", attr("lang")), of("html", F.col("node_id"))).alias("lang"),
-        F.max_by(F.when(is_description, F.struct(attr("content").alias("v"))),
-                 F.when(is_description, F.col("node_id")))["v"].alias("description"),
-        last_type.alias("_type"), last_type_at.alias("_type_at"), first_charset.alias("_charset"),
-        last_charset_at.alias("_charset_at"), last_charset.alias("_late_charset"),
-        F.coalesce(F.min_by(of("body", text_bytes()), body_at), F.lit(0)).alias("_bytes"))
-        .withColumn("content_type", F.coalesce(F.col("_type"), F.concat(
-            F.lit("text/html; charset="),
-            # an http-equiv without content clears the type: only a later charset can set it again
-            F.when(F.col("_type_at").isNull(), F.col("_charset")).when(
-                F.col("_charset_at") >= F.col("_type_at"), F.col("_late_charset")))))
-        .withColumn("page_tokens", F.floor(F.col("_bytes") / 4).cast("bigint"))
-        .drop("_type", "_type_at", "_charset", "_charset_at", "_late_charset", "_bytes"))
+    return [
+        F.first("url", ignorenulls=True).alias("url"),
+        F.nullif(trim_ws(first(F.col("text"), F.col("tag") == "title")), F.lit("")).alias("title"),
+        first(attr("lang"), F.col("tag") == "html").alias("lang"),
+        last(attr("content"), meta & (F.lower(attr("name")) == "description")).alias("description"),
+        last(attr("content"), is_type).alias("_type"), F.max(F.when(is_type, F.col("node_id"))).alias("_type_at"),
+        first(attr("charset"), has_charset).alias("_charset"),
+        last(attr("charset"), has_charset).alias("_late_charset"),
+        F.max(F.when(has_charset, F.col("node_id"))).alias("_charset_at"),
+        F.max(F.when(F.col("kind") == "document", attr("content_bytes"))).cast("bigint").alias("content_bytes"),
+        F.coalesce(F.min_by(of("body", text_bytes()), of("body", F.col("node_id"))), F.lit(0)).alias("_bytes"),
+    ]
+
+
+def info_columns() -> dict[str, Column]:
+    # A charset counts only while no content type is set. An http-equiv without content clears the
+    # type again, and then only a charset from there on can set it.
+    charset = F.when(F.col("_type_at").isNull(), F.col("_charset")).when(
+        F.col("_charset_at") >= F.col("_type_at"), F.col("_late_charset"))
+    return {
+        "content_type": F.coalesce(F.col("_type"), F.concat(F.lit("text/html; charset="), charset)),
+        "page_tokens": F.floor(F.col("_bytes") / 4).cast("bigint"),
+    }
+
+
+def page_info(nodes: DataFrame) -> DataFrame:
+    """(page_id, url, title, lang, description, content_type, content_bytes, page_tokens).
+
+    Needs rows of `title` (with text), `html`, `meta`, `body` and the document row. Pages arrive
+    whole in one partition, so the map-side combine leaves one row per page to shuffle.
+    """
+    return nodes.groupBy("page_id").agg(*info_aggregates()).withColumns(info_columns()).drop(
+        "_type", "_type_at", "_charset", "_late_charset", "_charset_at", "_bytes")
 
 
 INFO_TAGS = ("title", "html", "meta", "body")
@@ -96,37 +106,39 @@ def link_nodes(pages: DataFrame) -> DataFrame:
     return html_nodes(pages, ("a", "img"), kinds=("element",), texts=("a",))
 
 
-def labelled_links(nodes: DataFrame) -> DataFrame:
-    """(page_id, url, node_id, i, text, href): every `a[href]` with its label, before any drop.
+def with_links(nodes: DataFrame) -> DataFrame:
+    """Node rows with `_link` on every anchor that counts as a link: struct(i, text, href, raw_href).
 
-    `nodes` holds `a` rows with their text, and `img` rows.
+    `i` counts all `a[href]` of the page and so has gaps: anchors without a label are dropped, and
+    of several with the same address the first stays. `a` rows carry their text; `img` rows must
+    be present for the label fallback.
     """
     attrs = F.col("attrs")
     image = F.struct("node_id", attrs["alt"].alias("alt"))
     next_image = F.last(F.when(F.col("tag") == "img", image), ignorenulls=True).over(
         before(by_page(F.desc("node_id"))))
+    anchor = F.coalesce((F.col("tag") == "a") & F.map_contains_key(attrs, "href"), F.lit(False))
     # aria-label counts only where title is absent
     label = F.nullif(trim_ws(F.coalesce(attrs["title"], attrs["aria-label"])), F.lit(""))
     has_image = F.col("_img.node_id") <= F.col("end_id")
     alt = F.when(has_image, F.coalesce(F.nullif(trim_ws(F.col("_img.alt")), F.lit("")), F.lit("img")))
-    text = F.coalesce(F.nullif(trim_ws(F.col("text")), F.lit("")), label, alt)
-    return (nodes.filter(F.col("kind") == "element").withColumn("_img", next_image)
-            .filter((F.col("tag") == "a") & F.map_contains_key(attrs, "href"))
-            .withColumn("i", (F.row_number().over(by_page()) - 1).cast("int"))
-            .select("page_id", "url", "node_id", "i", text.alias("text"), attrs["href"].alias("raw_href")))
+    text = F.when(F.col("_a"), F.coalesce(F.nullif(trim_ws(F.col("text")), F.lit("")), label, alt))
+    number = F.row_number().over(Window.partitionBy("page_id", "_a").orderBy("node_id")) - 1
+    nth = F.row_number().over(Window.partitionBy("page_id", "_href").orderBy("node_id"))
+    rows = nodes.withColumn("_img", next_image).withColumn("_a", anchor).withColumn("_i", number).withColumn("_text", text)
+    rows = rows.withColumn("_href", F.when(F.col("_text").isNotNull(), display_href("url", attrs["href"])))
+    kept = F.col("_text").isNotNull() & ((F.col("_nth") == 1) | (F.col("_href") == ""))
+    return rows.withColumn("_nth", nth).withColumn("_link", F.when(kept, F.struct(
+        F.col("_i").cast("int").alias("i"), F.col("_text").alias("text"), F.col("_href").alias("href"),
+        attrs["href"].alias("raw_href")))).drop("_img", "_a", "_i", "_text", "_href", "_nth")
 
 
 def extract_links(nodes: DataFrame) -> DataFrame:
-    """(page_id, url, i, pos, text, href, raw_href): unlabelled and repeated links dropped.
-
-    `i` counts all anchors and so has gaps; `pos` is dense and is what following by index uses.
-    """
-    labelled = labelled_links(nodes).filter(F.col("text").isNotNull()).withColumn(
-        "href", display_href("url", "raw_href"))
-    same = Window.partitionBy("page_id", "href").orderBy("node_id")
-    return (labelled.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1 OR href = ''")
-            .withColumn("pos", (F.row_number().over(by_page()) - 1).cast("int"))
-            .select("page_id", "url", "i", "pos", "text", "href", "raw_href"))
+    """(page_id, url, i, pos, text, href, raw_href): `pos` is dense and is what following by index
+    uses."""
+    links = with_links(nodes.filter(F.col("kind") == "element")).filter(F.col("_link").isNotNull())
+    return links.withColumn("pos", (F.row_number().over(by_page()) - 1).cast("int")).select(
+        "page_id", "url", "_link.i", "pos", "_link.text", "_link.href", "_link.raw_href")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -140,50 +152,39 @@ def heading_level(tag="tag") -> Column:
     return F.when(F.col(tag).rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int"))
 
 
-def _with_sections(nodes: DataFrame) -> DataFrame:
-    """All rows, with `_level`, `_parent` and, for headings, where their section starts and stops.
+def with_sections(rows: DataFrame) -> DataFrame:
+    """Add `_stop_id`, `section_to` and `section_bytes` to heading rows (null on others).
 
     A section runs over the siblings after its start (the heading, or the `div` that wraps it) up
-    to the first one that is, or directly holds, a heading of the same or a higher level. For each
-    of the six levels one backward window finds the next boundary sibling, so no heading is ever
-    paired with all its siblings.
+    to the first one that is, or directly holds, a heading of the same or a higher level, else to
+    the end of the parent. Only rows with a `heading` level take part, and no heading is paired
+    with its siblings: one backward window finds the next boundary for each of the six levels.
     """
-    wrapper = (F.col("tag") == "div") & F.exists(
+    wraps = (F.col("tag") == "div") & F.exists(
         F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), lambda c: c.startswith("mw-heading"))
-    parent = F.struct(F.coalesce(wrapper, F.lit(False)).alias("wraps"), F.col("tag"), F.col("node_id"),
-                      F.col("end_id"), F.col("text_to"))
-    rows = from_parent(nodes, parent, "_parent").withColumn("_level", heading_level())
-    # own level, or the highest level among the direct children
-    family = Window.partitionBy("page_id", "_key")
-    roles = F.array(F.struct(F.lit(True).alias("me"), F.col("node_id").alias("key")),
-                    F.struct(F.lit(False).alias("me"), F.coalesce(F.col("parent_id"), F.lit(-1)).alias("key")))
-    rows = (rows.withColumn("_r", F.explode(roles)).withColumn("_key", F.col("_r.key"))
-            .withColumn("_bound", F.min("_level").over(family)).filter("_r.me").drop("_r", "_key"))
-    backward = before(siblings(F.desc("sib")))
-    stops = [F.min(F.when(F.col("_bound") <= n, F.struct("sib", "node_id", "text_from"))).over(backward)
-             for n in range(1, 7)]
-    rows = rows.withColumn("_stops", F.array(*stops))
-    # a wrapped heading takes the boundary found for its wrapper
-    rows = from_parent(rows, F.struct("_stops", F.col("_parent").alias("up"), "text_to"), "_wrapper")
-    wrapped = F.coalesce(F.col("_parent.wraps"), F.lit(False))
-    start = F.when(wrapped, F.struct(
-        F.col("_parent.node_id"), F.col("_wrapper._stops").alias("stops"), F.col("_wrapper.text_to"),
-        F.col("_wrapper.up.end_id"), F.col("_wrapper.up.text_to").alias("limit"))).otherwise(F.struct(
-            F.col("node_id"), F.col("_stops").alias("stops"), F.col("text_to"),
-            F.col("_parent.end_id"), F.col("_parent.text_to").alias("limit")))
-    rows = rows.withColumn("_start", F.when(F.col("_level").isNotNull(), start))
-    rows = rows.withColumn("_stop", F.col("_start.stops")[F.col("_level") - 1])
-    return rows.withColumn("section_to", F.coalesce(F.col("_stop.text_from"), F.col("_start.limit"))).withColumn(
-        "section_bytes", F.col("section_to") - F.col("_start.text_to")).drop("_stops", "_wrapper")
+    boundary = F.struct("sib", "node_id", "text_from")
+    stops = F.array(*[F.min(F.when(F.col("heading") <= n, boundary)).over(before(siblings(F.desc("sib"))))
+                      for n in range(1, 7)])
+    start = F.struct("node_id", "text_to", "parent_end", "parent_to", F.col("_stops").alias("stops"))
+    rows = rows.withColumn("_stops", stops).withColumn("_own", start)
+    rows = from_parent(rows, F.when(wraps, F.col("_own")), "_wrapper")
+    rows = rows.withColumn("_start", F.when(heading_level().isNotNull(), F.coalesce("_wrapper", "_own")))
+    rows = rows.withColumn("_stop", F.col("_start.stops")[heading_level() - 1])
+    return rows.withColumns({
+        "_stop_id": F.coalesce(F.col("_stop.node_id") - 1, F.col("_start.parent_end")),
+        "section_to": F.coalesce(F.col("_stop.text_from"), F.col("_start.parent_to")),
+    }).withColumn("section_bytes", F.col("section_to") - F.col("_start.text_to")).drop(
+        "_stops", "_own", "_wrapper", "_stop")
 
 
 def section_extent(nodes: DataFrame) -> DataFrame:
-    """(page_id, heading_id, start_id, level, stop_id, section_to, section_bytes) for every heading:
-    `stop_id` is the last node of the section, `section_bytes` the text size after the heading."""
-    return _with_sections(nodes).filter(F.col("_level").isNotNull()).select(
+    """(page_id, heading_id, start_id, level, tag, attrs, text, stop_id, section_to, section_bytes)
+    for every heading: `stop_id` is the last node of its section, `section_bytes` the text size
+    after the heading."""
+    rows = clustered(nodes.filter(F.col("heading").isNotNull()))
+    return with_sections(rows).filter(F.col("_start").isNotNull()).select(
         "page_id", F.col("node_id").alias("heading_id"), F.col("_start.node_id").alias("start_id"),
-        F.col("_level").alias("level"), "tag", "attrs", "text",
-        F.coalesce(F.col("_stop.node_id") - 1, F.col("_start.end_id")).alias("stop_id"),
+        heading_level().alias("level"), "tag", "attrs", "text", F.col("_stop_id").alias("stop_id"),
         "section_to", "section_bytes")
 
 
@@ -201,13 +202,25 @@ def outline(nodes: DataFrame, min_tokens: int = MIN_SECTION_TOKENS) -> DataFrame
                     label.alias("label")))
 
 
-def content_selectors(nodes: DataFrame, min_tokens: int = MIN_SECTION_TOKENS) -> DataFrame:
-    """(page_id, rank, selector, tokens_est, label): content areas by size, then sections in order.
+def _static_tests() -> list[Column]:
+    return [parse_selector(selector)[0][0].test for selector in CONTENT_SELECTORS]
 
-    Areas are the first match of each static candidate and the direct children of `body` with an
-    id, each element listed once under its first name. All candidates come from one pass over the
-    node rows, so pages are parsed and shuffled once.
-    """
+
+def _is_body_part() -> Column:
+    return F.coalesce((F.col("parent_tag") == "body") & F.map_contains_key("attrs", "id"), F.lit(False))
+
+
+def is_candidate() -> Column:
+    """Rows that `candidate_entries` can use; everything else need not be shuffled."""
+    flag = _is_body_part() | F.col("heading").isNotNull()
+    for test in _static_tests():
+        flag = flag | test
+    return flag
+
+
+def candidate_entries(min_tokens: int = MIN_SECTION_TOKENS) -> Column:
+    """array<struct(part, ord, selector, tokens_est, label)>: what a row of `with_sections` may
+    contribute. Part 0 are content areas (static candidates, then ids), part 1 are sections."""
     null_label = F.lit(None).cast("string")
 
     def entry(part: int, order: Column, selector: Column, tokens: Column, label: Column) -> Column:
@@ -215,26 +228,44 @@ def content_selectors(nodes: DataFrame, min_tokens: int = MIN_SECTION_TOKENS) ->
                         tokens.alias("tokens_est"), label.alias("label"))
 
     id_selector = F.concat(F.lit("#"), F.col("attrs")["id"])
-    entries = [F.when(parse_selector(s)[0][0].test, entry(0, F.lit(n), F.lit(s), node_tokens(), null_label))
-               for n, s in enumerate(CONTENT_SELECTORS)]
-    has_id = F.coalesce(F.map_contains_key("attrs", "id"), F.lit(False))
-    entries.append(F.when((F.col("_parent.tag") == "body") & has_id & (node_tokens() >= min_tokens), entry(
+    entries = [F.when(test, entry(0, F.lit(n), F.lit(selector), node_tokens(), null_label))
+               for n, (selector, test) in enumerate(zip(CONTENT_SELECTORS, _static_tests()))]
+    entries.append(F.when(_is_body_part() & (node_tokens() >= min_tokens), entry(
         0, F.col("node_id") + len(CONTENT_SELECTORS), id_selector, node_tokens(), null_label)))
     section_tokens = F.floor(F.col("section_bytes") / 4).cast("bigint")
     heading = trim_ws(F.col("text"))
     entries.append(F.when(
-        F.col("tag").isin("h2", "h3") & has_id & (heading != "") & (section_tokens >= min_tokens),
+        F.col("tag").isin("h2", "h3") & id_selector.isNotNull() & (heading != "") & (section_tokens >= min_tokens),
         entry(1, F.col("node_id"), id_selector, section_tokens, heading)))
-    rows = _with_sections(nodes).filter(F.col("kind") == "element")
-    found = rows.select("page_id", "node_id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select(
-        "page_id", "node_id", "e.*")
-    first = Window.partitionBy("page_id", "part", "ord").orderBy("node_id")
-    once = Window.partitionBy("page_id", "part", "node_id").orderBy("ord")
-    order = by_page("part", F.when(F.col("part") == 0, -F.col("tokens_est")).otherwise(0), "ord")
-    return (found.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-            .filter(F.col("tokens_est") >= min_tokens)
-            .withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-            .withColumn("rank", F.row_number().over(order)).select("page_id", "rank", "selector", "tokens_est", "label"))
+    return F.array_compact(F.array(*entries))
+
+
+def chosen_entries(rows: DataFrame, entry: str, min_tokens: int) -> DataFrame:
+    """Add `_chosen`: the entry is the first match of its candidate, large enough, and the first
+    name under which its element is listed."""
+    first = Window.partitionBy("page_id", f"{entry}.part", f"{entry}.ord").orderBy("node_id")
+    large = (F.col("_first") == 1) & (F.col(f"{entry}.tokens_est") >= min_tokens)
+    once = Window.partitionBy("page_id", f"{entry}.part", "node_id", "_large").orderBy(f"{entry}.ord")
+    return (rows.withColumn("_first", F.row_number().over(first)).withColumn("_large", large)
+            .withColumn("_chosen", F.col("_large") & (F.row_number().over(once) == 1)).drop("_first", "_large"))
+
+
+def entry_order(entry: str) -> list[Column]:
+    """Areas by size (then as found), after them sections in document order."""
+    e = F.col(entry)
+    return [e["part"], F.when(e["part"] == 0, -e["tokens_est"]).otherwise(0), e["ord"]]
+
+
+def content_selectors(nodes: DataFrame, min_tokens: int = MIN_SECTION_TOKENS) -> DataFrame:
+    """(page_id, rank, selector, tokens_est, label) of each page's content areas and sections.
+
+    Only rows that can become an entry leave the parse, and they are shuffled once.
+    """
+    rows = with_sections(clustered(nodes.filter((F.col("kind") == "element") & is_candidate())))
+    found = rows.select("page_id", "node_id", F.explode(candidate_entries(min_tokens)).alias("e"))
+    return (chosen_entries(found, "e", min_tokens).filter("_chosen")
+            .withColumn("rank", F.row_number().over(by_page(*entry_order("e"))))
+            .select("page_id", "rank", "e.selector", "e.tokens_est", "e.label"))
 
 
 def content_nodes(pages: DataFrame) -> DataFrame:

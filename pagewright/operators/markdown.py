@@ -3,26 +3,18 @@ truncation and chunking stay column expressions outside it."""
 
 from __future__ import annotations
 
-import re
 import sys
-from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewright.functions.text import chunk_tokens, decode_entities, normalize_ws, truncate_tokens
-from pagewright.functions.urls import DEFAULT_PORTS
 from pagewright.operators.dom import html_nodes, in_batches
-from pagewright.operators.htmltree import HEADINGS, parse_html
+from pagewright.operators.htmltree import parse_html
+from pagewright.operators.mdtree import render_tree
 from pagewright.operators.selectors import needed_tags, select_or_nothing
 from pagewright.session import spread
 
-BLOCKS = frozenset("p div section article main header footer nav".split())
-CHROME = frozenset("header footer nav".split())
-SILENT = frozenset("script style noscript".split())
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_DOTS = re.compile(r"(?<=/)(?:\.|%2e){1,2}(?=/|$)", re.I)
-_MARKS = re.compile(r"[*_`]")
 MARKDOWN_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
     T.StructField("raw", T.StringType()),
@@ -35,289 +27,6 @@ _ARROW = pa.schema([
 ])
 
 
-def _clean_address(address):
-    """(site, local part) of a web address in standard spelling, or None."""
-    try:
-        parts = urlsplit(address)
-    except ValueError:
-        return None
-    if parts.scheme not in DEFAULT_PORTS or not parts.netloc:
-        return None
-    user, at, host = parts.netloc.rpartition("@")
-    host = host.lower().removesuffix(":" + DEFAULT_PORTS[parts.scheme]).removesuffix(":")
-    path = _DOTS.sub(lambda m: m[0].lower().replace("%2e", "."), parts.path)
-    path = quote(urljoin("http://h/", path)[8:] if "/." in path else path, safe="!$%&'()*+,-./:;=@[]|~") or "/"
-    hash_at = address.find("#")
-    query = quote(parts.query, safe="!$%&()*+,-./:;=?@[]^`{|}~\\")
-    mark = "?" if "?" in (address if hash_at < 0 else address[:hash_at]) else ""
-    fragment = quote(parts.fragment, safe="!#$%&'()*+,-./:;=?@[]^{|}~\\")
-    return parts.scheme, user + at, host, path + mark + query + ("#" if hash_at >= 0 else "") + fragment
-
-
-def shown_address(base: str, href: str) -> str:
-    """In-kernel twin of `display_href` (links are deduplicated while the page is rendered)."""
-    text = href.strip("".join(map(chr, range(33)))).translate({9: None, 10: None, 13: None})
-    home = _clean_address(base)
-    if home is None:
-        return href
-    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.\-]*):", text)
-    if scheme and scheme[1].lower() not in DEFAULT_PORTS:
-        return scheme[1].lower() + text[scheme.end() - 1:]
-    cut = re.search(r"[?#]", text)
-    path_end = cut.start() if cut else len(text)
-    text = text[:path_end].replace("\\", "/") + text[path_end:]
-    if not text:
-        joined = base.split("#")[0]
-    elif text[0] in "?#":
-        joined = re.split("[?#]" if text[0] == "?" else "#", base)[0] + text
-    else:
-        joined = urljoin(base, text)
-    found = _clean_address(joined)
-    if found is None:
-        return href
-    same = found[0] == home[0] and found[2] == home[2]
-    return found[3] if same else f"{found[0]}://{found[1]}{found[2]}{found[3]}"
-
-
-class _Sheet:
-    """Output of one page (or one quotation): text with the few look-backs the format needs."""
-
-    def __init__(self, options, base):
-        self.options, self.base = options, base
-        self.parts, self.size = [], 0
-        self.lists, self.in_pre, self.in_link = [], False, False
-        self.seen, self.refs = set(), []
-
-    def put(self, text):
-        if text:
-            self.parts.append(text)
-            self.size += len(text)
-
-    def cut(self, mark):
-        """Drop and return everything written after `mark` (a part count)."""
-        tail = "".join(self.parts[mark:])
-        del self.parts[mark:]
-        self.size -= len(tail)
-        return tail
-
-    def ends(self, suffix):
-        tail = ""
-        for part in reversed(self.parts):
-            tail = part + tail
-            if len(tail) >= len(suffix):
-                break
-        return tail.endswith(suffix)
-
-    def line(self):
-        if self.size and not self.ends("\n"):
-            self.put("\n")
-
-    def paragraph(self):
-        self.line()
-        if not self.ends("\n\n"):
-            self.put("\n")
-
-    def children(self, node):
-        for kid in node.kids:
-            self.node(kid)
-
-    def node(self, node):
-        if node.kind == "text":
-            self.put(node.text if self.in_pre else _SPACE.sub(" ", node.text).lstrip(" "))
-        elif node.kind == "element" and node.tag not in SILENT:
-            if node.tag in CHROME and self.options["strip_nav"]:
-                return
-            getattr(self, "on_" + _RULES.get(node.tag, "other"))(node)
-        elif node.kind == "document":
-            self.children(node)
-
-    on_other = children
-
-    def on_heading(self, node):
-        if self.in_link:
-            self.children(node)
-            return
-        self.line()
-        self.put("#" * int(node.tag[1]) + " ")
-        self.children(node)
-        self.put("\n")
-
-    def on_block(self, node):
-        self.line()
-        self.children(node)
-        self.paragraph()
-
-    def on_br(self, node):
-        self.put("\n")
-
-    def on_rule(self, node):
-        self.line()
-        self.put("---\n")
-
-    def on_link(self, node):
-        if not self.options["include_links"]:
-            self.children(node)
-            return
-        href = shown_address(self.base, node.attrs.get("href", ""))
-        if href and href in self.seen:
-            return
-        outer, self.in_link = self.in_link, True
-        mark = len(self.parts)
-        self.put("[")
-        self.children(node)
-        text = self.cut(mark)[1:]
-        if not _MARKS.sub("", text).strip():
-            text = self.fallback_label(node)
-        if text is not None:
-            text = _SPACE.sub(" ", text).strip(" ")
-            if self.options["compact_links"]:
-                self.put(f"[{text}][{len(self.refs)}]")
-                self.refs.append({"text": text, "href": href})
-            else:
-                self.put(f"[{text}]({href})")
-            if href:
-                self.seen.add(href)
-        self.in_link = outer
-
-    @staticmethod
-    def fallback_label(node):
-        label = node.attrs.get("title", node.attrs.get("aria-label"))
-        if label is not None and label.strip():
-            return label
-        for below in node.walk():
-            if below.tag == "img":
-                alt = below.attrs.get("alt", "")
-                return alt if alt.strip() else "img"
-        return None
-
-    def _wrapped(self, node, sign):
-        mark = len(self.parts)
-        self.put(sign)
-        self.children(node)
-        text = self.cut(mark)
-        if text[len(sign):].strip():
-            self.put(text + sign)
-
-    def on_bold(self, node):
-        self._wrapped(node, "**")
-
-    def on_italic(self, node):
-        self._wrapped(node, "*")
-
-    def on_code(self, node):
-        sign = "" if self.in_pre else "`"
-        self.put(sign)
-        self.children(node)
-        self.put(sign)
-
-    def on_pre(self, node):
-        self.in_pre = True
-        self.line()
-        self.put("```\n")
-        self.children(node)
-        self.line()
-        self.put("```\n")
-        self.in_pre = False
-
-    def on_quote(self, node):
-        self.line()
-        inner = _Sheet({**self.options, "compact_links": False}, self.base)
-        inner.in_pre, inner.in_link = self.in_pre, self.in_link
-        inner.children(node)
-        text = "".join(inner.parts)
-        lines = text.removesuffix("\n").split("\n") if text else []
-        self.put("".join(f"> {line.removesuffix(chr(13))}\n" for line in lines))
-        if text and not text.endswith("\n"):
-            self.put("\n")
-
-    def on_list(self, node):
-        self.lists.append(0 if node.tag == "ol" else None)
-        self.line()
-        self.children(node)
-        self.lists.pop()
-        self.line()
-
-    def on_item(self, node):
-        mark = len(self.parts)
-        self.line()
-        self.put("  " * max(len(self.lists) - 1, 0))
-        if self.lists and self.lists[-1] is not None:
-            self.lists[-1] += 1
-            self.put(f"{self.lists[-1]}. ")
-        else:
-            self.put("- ")
-        content = len(self.parts)
-        self.children(node)
-        if not any(part.strip() for part in self.parts[content:]):
-            self.cut(mark)
-
-    def on_image(self, node):
-        source = node.attrs.get("src", "")
-        if self.options["include_images"] and source:
-            self.put(f"![{node.attrs.get('alt', '')}]({shown_address(self.base, source)})")
-
-    def on_table(self, node):
-        self.line()
-        rows = []
-        self._rows(node, rows, False)
-        width = max((len(cells) for cells, _ in rows), default=0)
-        if width:
-            heads = sum(header for _, header in rows) or 1
-            for number, (cells, _) in enumerate(rows, 1):
-                self.put("|" + "".join(f" {cell} |" for cell in cells + [""] * (width - len(cells))) + "\n")
-                if number == heads:
-                    self.put("|" + "---|" * width + "\n")
-        self.put("\n")
-
-    def _rows(self, node, rows, in_head):
-        for kid in node.kids:
-            if kid.kind != "element":
-                continue
-            if kid.tag == "tr":
-                cells = [c for c in kid.kids if c.tag in ("td", "th")]
-                rows.append(([_SPACE.sub(" ", c.text_content()).strip(" ") for c in cells],
-                             in_head or any(c.tag == "th" for c in cells)))
-            else:
-                self._rows(kid, rows, {"thead": True, "tbody": False, "tfoot": False}.get(kid.tag, in_head))
-
-
-_RULES = {
-    **dict.fromkeys(HEADINGS, "heading"), **dict.fromkeys(BLOCKS, "block"), "br": "br", "hr": "rule",
-    "a": "link", "strong": "bold", "b": "bold", "em": "italic", "i": "italic", "code": "code", "pre": "pre",
-    "blockquote": "quote", "ul": "list", "ol": "list", "li": "item", "img": "image", "table": "table",
-}
-
-
-def _section(heading):
-    """The heading (or the `div` that wraps it) and the siblings that belong to its section."""
-    start, level = heading, heading.tag
-    wrapper = heading.parent
-    if wrapper.tag == "div" and any(c.startswith("mw-heading") for c in wrapper.attrs.get("class", "").split()):
-        start = wrapper
-    yield start
-    kids = start.parent.kids
-    for kid in kids[kids.index(start) + 1:]:
-        if any(n.tag in HEADINGS and n.tag <= level for n in (kid, *kid.kids) if n.kind == "element"):
-            return
-        yield kid
-
-
-def render_page(base: str, source: str, wanted: set | None, options: dict):
-    """Raw Markdown and collected links of one page; `wanted` holds the node ids to render."""
-    root = parse_html(source)
-    sheet = _Sheet(options, base)
-    if wanted is None:
-        sheet.children(root)
-        return "".join(sheet.parts), sheet.refs
-    chosen = [node for number, node in enumerate(root.walk()) if number in wanted]
-    for number, node in enumerate(chosen):
-        if number:
-            sheet.paragraph()
-        for part in _section(node) if node.tag in HEADINGS else (node,):
-            sheet.node(part)
-    return "".join(sheet.parts), sheet.refs
-
-
 def _batch(rows):
     columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), _ARROW)]
     return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
@@ -342,7 +51,7 @@ def html_markdown(pages: DataFrame, selector: str | None = None, strip_nav: bool
                 columns = [column.to_pylist() for column in batch.columns]
                 wanted = columns[3] if len(columns) > 3 else [None] * len(columns[0])
                 for page_id, url, source, ids in zip(*columns[:3], wanted):
-                    raw, refs = render_page(url or "", source or "", None if ids is None else set(ids), options)
+                    raw, refs = render_tree(url or "", parse_html(source or ""), None if ids is None else set(ids), options)
                     yield page_id, url, raw, refs
 
         return in_batches(rows(), 2, _batch)

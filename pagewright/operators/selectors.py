@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagewright.operators.dom import elements, with_text
+from pagewright.operators.dom import clustered, elements, with_text
 from pagewright.operators.htmltree import RAW_TEXT, VOID
 
 _IDENT = r"(?:[A-Za-z_\-\u0080-\U0010ffff]|\\.)(?:[\w\-\u0080-\U0010ffff]|\\.)*"
@@ -192,7 +192,10 @@ def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame
     rows = elements(nodes)
     columns = [c for c in rows.columns if c != out]
     flags = []
-    for number, chain in enumerate(parse_selector(selector)):
+    alternatives = parse_selector(selector)
+    if any(compound.combinator in (">", "+", "~") for chain in alternatives for compound in chain):
+        rows = clustered(rows)
+    for number, chain in enumerate(alternatives):
         name = f"_m{number}"
         rows = rows.withColumn(name, chain[0].test)
         for compound in chain[1:]:
@@ -320,8 +323,10 @@ def contains(a_id: Column, a_end: Column, b_id: Column) -> Column:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """Node rows with the tag of their parent."""
-    return from_parent(nodes, F.col("tag"), "parent_tag")
+    """(page_id, node_id, parent_id, parent_tag, parent_attrs) of every node that has a parent row."""
+    rows = from_parent(nodes, F.struct("tag", "attrs"), "_up").filter(F.col("_up").isNotNull())
+    return rows.select("page_id", "node_id", "parent_id", F.col("_up.tag").alias("parent_tag"),
+                       F.col("_up.attrs").alias("parent_attrs"))
 
 
 def children(nodes: DataFrame, selector: str) -> DataFrame:
@@ -419,7 +424,8 @@ def set_text(nodes: DataFrame, selector: str, text: str) -> DataFrame:
         F.lit(None).cast("int").alias("elem"), F.lit(None).cast("boolean").alias("last_elem"),
         F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tag"),
         F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(text).alias("text"),
-        "text_from", "text_to")
+        "text_from", "text_to", F.col("tag").alias("parent_tag"), F.col("end_id").alias("parent_end"),
+        F.col("text_to").alias("parent_to"), F.lit(None).cast("int").alias("heading"))
     return wide.drop("_hit").unionByName(new)
 
 
@@ -447,13 +453,13 @@ def markup(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     Every page is written once, as ordered open and close pieces; a running byte count gives each
     element its range, and each target takes slices of its page's markup.
     """
-    rows = from_parent(nodes.filter(F.col("kind").isin("element", "text", "comment")), F.col("tag"), "_ptag")
+    rows = nodes.filter(F.col("kind").isin("element", "text", "comment"))
     pairs = F.transform(F.map_entries("attrs"), lambda a: F.concat(
         F.lit(" "), a["key"], F.lit('="'), _escape(a["value"], True), F.lit('"')))
     opening = (
         F.when(F.col("kind") == "element", F.concat(F.lit("<"), F.col("tag"), F.array_join(pairs, ""), F.lit(">")))
         .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), F.col("text"), F.lit("-->")))
-        .when(F.coalesce(F.col("_ptag").isin(list(RAW_TEXT)), F.lit(False)), F.col("text"))
+        .when(F.coalesce(F.col("parent_tag").isin(list(RAW_TEXT)), F.lit(False)), F.col("text"))
         .otherwise(_escape(F.col("text"), False)))
     closing = F.when((F.col("kind") == "element") & ~F.col("tag").isin(list(VOID)),
                      F.concat(F.lit("</"), F.col("tag"), F.lit(">"))).otherwise("")
