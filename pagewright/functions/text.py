@@ -75,7 +75,8 @@ def clean_description(s) -> Column:
 
 
 def b64_encode(s) -> Column:
-    return F.base64(as_col(s).cast("binary"))
+    """One line of base64, whatever line length the session is set to."""
+    return F.regexp_replace(F.base64(as_col(s).cast("binary")), r"\s", "")
 
 
 def b64_decode(s) -> Column:

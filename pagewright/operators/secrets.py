@@ -57,10 +57,13 @@ def _segments(text: Column, patterns: list[tuple[str, str]]) -> Column:
         parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_EDGE}$1{_EDGE}"), _EDGE)
         return F.transform(parts, lambda s, i: F.struct((i % 2 == 1).alias("secret"), s.alias("s")))
 
+    def apply(segments: Column, pattern: str) -> Column:
+        return F.flatten(F.transform(segments, lambda seg: F.when(
+            seg["secret"] | ~seg["s"].rlike(pattern), F.array(seg)).otherwise(cut(seg["s"], pattern))))
+
     segments = F.array(F.struct(F.lit(False).alias("secret"), text.alias("s")))
     for _, pattern in patterns:
-        segments = F.flatten(F.transform(segments, lambda seg, pattern=pattern: F.when(
-            seg["secret"] | ~seg["s"].rlike(pattern), F.array(seg)).otherwise(cut(seg["s"], pattern))))
+        segments = apply(segments, pattern)
     return segments
 
 
