@@ -15,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.operators.running import SEGMENT_ROWS, running, segment_of
 
 # Long runs between two bounds are replayed in segments of this many events.
 FOLD_ROWS = 16384
-_CODES = {"visit": 0, "back": 1, "forward": 2}
 
 
 def _code() -> Column:
@@ -40,20 +40,20 @@ def move(depth, ahead, code):
     return depth, ahead
 
 
-def _summary(codes):
+def _summary(codes: list[int]):
     """Moves before the first visit, then end (depth, ahead) by depth at that visit.
 
     Far from the bottom a segment only shifts the depth, so the table ends at the deepest drop.
     """
-    visits = np.flatnonzero(codes == 0)
-    first = int(visits[0]) if len(visits) else len(codes)
-    lead = [1 if c == 2 else -1 for c in codes[:first] if c in (1, 2)]
+    first = codes.index(0) if 0 in codes else len(codes)
     runs = []
-    for step in lead:
-        if runs and (runs[-1] > 0) == (step > 0):
-            runs[-1] += step
-        else:
-            runs.append(step)
+    for code in codes[:first]:
+        if code in (1, 2):
+            step = 1 if code == 2 else -1
+            if runs and (runs[-1] > 0) == (step > 0):
+                runs[-1] += step
+            else:
+                runs.append(step)
     if first == len(codes):
         return runs, [], []
     far = 1 << 40
@@ -61,8 +61,8 @@ def _summary(codes):
     for code in codes[first:]:
         depth, ahead = move(depth, ahead, code)
         lowest = min(lowest, depth)
-    starts = np.arange(max(far - lowest, 0) + 2, dtype=np.int64)
-    depths, aheads = starts.copy(), np.zeros_like(starts)
+    depths = np.arange(far - lowest + 2, dtype=np.int64)
+    aheads = np.zeros_like(depths)
     for code in codes[first:]:
         if code == 0:
             depths += 1
@@ -78,60 +78,100 @@ def _summary(codes):
     return runs, depths.tolist(), aheads.tolist()
 
 
-def _summarize(group: pd.DataFrame) -> pd.DataFrame:
-    ordered = group.sort_values("seq")
-    runs, depths, aheads = _summary(ordered["code"].to_numpy())
-    return pd.DataFrame({"session": [ordered["session"].iloc[0]], "_seg": [ordered["_seg"].iloc[0]],
-                         "runs": [runs], "depths": [depths], "aheads": [aheads]})
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Start state of every segment. Rows arrive sorted by (session, segment); only the state of
-    the current session is held, never a session's rows."""
-    session, depth, ahead = None, 0, 0
+def _per_batch(batches: Iterator[pa.RecordBatch], step, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Feed rows in order to `step(row) -> output row or None`, one output batch per input batch."""
     for batch in batches:
-        starts = []
-        for row in batch.itertuples(index=False):
-            if row.session != session:
-                session, depth, ahead = row.session, 0, 0
-            starts.append((depth, ahead))
-            for run in row.runs:
-                room = min(-run, depth - 1) if run < 0 else -min(run, ahead)
-                if run > 0 or depth > 1:
-                    depth, ahead = depth - room, ahead + room
-            if len(row.depths):
-                last = len(row.depths) - 1
-                at = min(depth, last)
-                depth, ahead = int(row.depths[at]) + depth - at, int(row.aheads[at])
-        yield pd.DataFrame({"session": batch["session"], "_seg": batch["_seg"],
-                            "depth": [s[0] for s in starts], "ahead": [s[1] for s in starts]})
-
-
-def _replay(events: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    ordered = events.sort_values("seq")
-    depth, ahead = int(starts["depth"].iloc[0]), int(starts["ahead"].iloc[0])
-    cursors, sizes, moved = [], [], []
-    for code in ordered["code"].to_numpy():
-        before = depth
-        depth, ahead = move(depth, ahead, code)
-        cursors.append(depth - 1)
-        sizes.append(depth + ahead)
-        moved.append(depth != before)
-    return pd.DataFrame({"session": ordered["session"], "seq": ordered["seq"], "cursor": cursors,
-                         "length": sizes, "moved": moved})
+        rows = [out for row in zip(*(c.to_pylist() for c in batch.columns)) if (out := step(row)) is not None]
+        columns = list(zip(*rows)) if rows else [[] for _ in schema]
+        yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, schema)], schema=schema)
+
+
+def _summarize(batches, schema):
+    """One row per segment. Rows come sorted by (session, segment, seq); a segment is bounded."""
+    held: list = [None, None, []]  # session, segment, codes
+
+    def flush():
+        return None if held[1] is None else (held[0], held[1], *_summary(held[2]))
+
+    def step(row):
+        session, seg, code = row
+        done = None
+        if (session, seg) != (held[0], held[1]):
+            done = flush()
+            held[:] = [session, seg, []]
+        held[2].append(code)
+        return done
+
+    yield from _per_batch(batches, step, schema)
+    last = flush()
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(last, schema)], schema=schema)
+
+
+def _chain(batches, schema):
+    """Start state of every segment. Rows come sorted by (session, segment); only the state of the
+    current session is held, never a session's rows."""
+    state: list = [None, 0, 0]  # session, depth, ahead
+
+    def step(row):
+        session, seg, runs, depths, aheads = row
+        if session != state[0]:
+            state[:] = [session, 0, 0]
+        _, depth, ahead = state
+        start = (session, seg, depth, ahead)
+        for run in runs:
+            if run > 0:
+                room = min(run, ahead)
+                depth, ahead = depth + room, ahead - room
+            elif depth > 1:
+                room = min(-run, depth - 1)
+                depth, ahead = depth - room, ahead + room
+        if depths:
+            at = min(depth, len(depths) - 1)
+            depth, ahead = depths[at] + depth - at, aheads[at]
+        state[1:] = [depth, ahead]
+        return start
+
+    yield from _per_batch(batches, step, schema)
+
+
+def _replay(batches, schema):
+    """Cursor after every event. Rows come sorted by (session, segment, seq) with the start state."""
+    state: list = [None, None, 0, 0]  # session, segment, depth, ahead
+
+    def step(row):
+        session, seg, seq, code, depth, ahead = row
+        if (session, seg) != (state[0], state[1]):
+            state[:] = [session, seg, depth, ahead]
+        before = state[2]
+        state[2:] = move(state[2], state[3], code)
+        return session, seq, state[2] - 1, state[2] + state[3], state[2] != before
+
+    yield from _per_batch(batches, step, schema)
+
+
+def _ordered_map(rows: DataFrame, keys: list[str], order: list[str], kernel, columns: str, select: list[str]) -> DataFrame:
+    """Run a kernel over rows hashed by `keys` and sorted by `order` within each partition."""
+    spec = T._parse_datatype_string(columns)
+    schema = to_arrow_schema(spec)
+    ready = rows.repartition(*keys).sortWithinPartitions(*order).select(*select)
+    return ready.mapInArrow(lambda batches: kernel(batches, schema), spec)
 
 
 def history_positions(events: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """`events` with `cursor` and `length` after each event (-1 and 0 while empty) and `code`,
     NO_HISTORY where back or forward had nowhere to go."""
-    session_type = events.schema["session"].dataType.simpleString()
+    kind = events.schema["session"].dataType.simpleString()
+    segment = ["session", "_seg"]
     narrow = events.select("session", "seq", _code().alias("code"), segment_of("seq", fold_rows).alias("_seg"))
-    parts = narrow.groupBy("session", "_seg").applyInPandas(
-        _summarize, f"session {session_type}, _seg bigint, runs array<bigint>, depths array<bigint>, aheads array<bigint>")
-    starts = parts.repartition("session").sortWithinPartitions("session", "_seg").mapInPandas(
-        _chain, f"session {session_type}, _seg bigint, depth bigint, ahead bigint")
-    positions = narrow.groupBy("session", "_seg").cogroup(starts.groupBy("session", "_seg")).applyInPandas(
-        _replay, f"session {session_type}, seq bigint, cursor bigint, length bigint, moved boolean")
+    parts = _ordered_map(narrow, segment, [*segment, "seq"], _summarize,
+                         f"session {kind}, _seg bigint, runs array<bigint>, depths array<bigint>, aheads array<bigint>",
+                         [*segment, "code"])
+    starts = _ordered_map(parts, ["session"], segment, _chain, f"session {kind}, _seg bigint, depth bigint, ahead bigint",
+                          [*segment, "runs", "depths", "aheads"])
+    positions = _ordered_map(narrow.join(starts, segment), segment, [*segment, "seq"], _replay,
+                             f"session {kind}, seq bigint, cursor bigint, length bigint, moved boolean",
+                             [*segment, "seq", "code", "depth", "ahead"])
     stuck = F.col("op").isin("back", "forward") & ~F.col("moved")
     return events.join(positions, ["session", "seq"]).withColumn(
         "code", F.when(stuck, "NO_HISTORY")).drop("moved")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pagewright.functions.mime import is_retryable
 from pagewright.functions.urls import absolute_href, normalize_url, resolve_url
@@ -112,3 +112,18 @@ def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_H
     ends = chains.select("key", F.col("final_url").alias("_final"), F.col("hops").alias("_hops"))
     return starts.withColumn("key", url_key("url")).join(ends, "key", "left").select(
         *starts.columns, F.coalesce("_final", "url").alias("final_url"), F.coalesce("_hops", F.lit(0)).alias("hops"))
+
+
+def search_hits(links: DataFrame, n: int = 5) -> DataFrame:
+    """(page_id, rank, title, url): the first `n` results of each search page.
+
+    Result links carry their target in a `uddg` parameter; advertisements are left out.
+    """
+    wrapped = F.regexp_extract("href", r"(?:^|[?&])uddg=([^?&]*)", 1)
+    # `+` is an ordinary character here, while form decoding would read it as a space
+    target = F.coalesce(F.try_url_decode(F.replace(wrapped, F.lit("+"), F.lit("%2B"))), wrapped)
+    ad = F.col("href").contains("ad_domain") | F.col("href").contains("ad_provider")
+    order = Window.partitionBy("page_id").orderBy("i")
+    return (links.filter((F.col("text") != "") & F.col("href").rlike("(^|[?&])uddg=") & ~ad)
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+            .select("page_id", "rank", F.col("text").alias("title"), target.alias("url")))

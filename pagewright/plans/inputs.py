@@ -163,3 +163,11 @@ def command_lines(spark: SparkSession, sf: str) -> DataFrame:
                                         F.when(k % 10 != 0, F.col("value").cast("string")).alias("value")))
         .otherwise(command(F.lit("fetch"))))
     return events(spark, sf).select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+def search_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with seven wrapped result links at the end, the third an advertisement."""
+    hits = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda n: F.concat(
+        F.lit('<a href="/l/?'), F.when(n == 2, "ad_domain=x&amp;").otherwise(""), F.lit("uddg="),
+        F.url_encode(F.concat(F.col("url"), F.lit("+"), n.cast("string"))), F.lit('&amp;rut=1">Hit '), n.cast("string"), F.lit("</a>")))
+    return pages(spark, sf).select("page_id", "url", F.concat("html", F.array_join(hits, "")).alias("html"))

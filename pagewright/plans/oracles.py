@@ -190,6 +190,9 @@ SELECT page_id, arg_max(final_url, hops) AS final_url, max(hops)::INT AS hops FR
 O["links_of_current"] = f"""WITH {_links_cte()}, now AS (SELECT user_id AS session, max(event_id) // 40 AS page_id FROM events GROUP BY 1)
 SELECT session, pos, text, count(*) OVER (PARTITION BY session) AS count FROM now JOIN found USING (page_id)"""
 
+O["search_hits"] = """WITH h AS (SELECT page_id, url, unnest([0, 1, 3, 4, 5]) AS n FROM pages)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n))::INT AS rank, 'Hit ' || n AS title, url || '+' || n AS url FROM h"""
+
 # -- rules
 
 O["domain_rules"] = f"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages),
@@ -236,6 +239,16 @@ O["base64_round_trip"] = "SELECT conv_id, turn, md5(base64(encode(text))) AS dig
 O["sql_functions"] = f"""SELECT page_id, strlen(html) // 4 AS tokens, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin, 'text/html' AS mime,
   ends_with({HOST}, '.example.com') AS in_com, md5(trim(regexp_replace({_STRIPPED}, '{WS}+', ' ', 'g'), ' ')) AS digest FROM pages"""
 
+_CHUNKS = """parts AS (
+  SELECT doc_id, text, list_filter(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'), lambda x: x <> '') AS ls FROM documents),
+pieces AS (SELECT doc_id, text, flatten(list_transform(ls, lambda l: CASE WHEN strlen(l) <= 400 THEN [l]
+  ELSE list_transform(range(0, length(l), 100), lambda s: substr(l, s + 1, 100)) END)) AS ps FROM parts),
+folded AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'n': 1, 'open': strlen(p), 'top': strlen(p)}),
+  lambda a, b: CASE WHEN a.open + b.open <= 400 THEN {'n': a.n, 'open': a.open + b.open, 'top': greatest(a.top, a.open + b.open)}
+               ELSE {'n': a.n + 1, 'open': b.open, 'top': greatest(a.top, b.open)} END) AS f FROM pieces WHERE len(ps) > 0)"""
+O["chunk_tokens"] = f"""WITH {_CHUNKS} SELECT doc_id, coalesce(f.n, 0)::INT AS n_chunks, true AS lossless, f.top::INT AS max_bytes
+FROM documents LEFT JOIN folded USING (doc_id)"""
+
 # -- feeds built from documents
 
 _ITEMS = f"""WITH {_LINES}, items AS (

@@ -325,6 +325,11 @@ def redirect_chain(spark, sf):
     return navigation.follow_redirects(inputs.pages(spark, sf).select("page_id", "url"), moves).select("page_id", "final_url", "hops")
 
 
+@query
+def search_hits(spark, sf):
+    return navigation.search_hits(extract.page_links(inputs.search_pages(spark, sf)))
+
+
 # -- rules
 
 
