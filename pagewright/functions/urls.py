@@ -156,8 +156,9 @@ def resolve_url(base, href) -> Column:
     """Absolute address of `href` on the page `base`; null if either cannot be understood."""
     base, href = as_col(base), as_col(href)
     full = _resolved(base, href, lambda _, parts, opaque: F.coalesce(_text(parts), opaque))
-    return F.when(base.rlike(f"^{_CLEAN_SITE}"), F.when(href.rlike(_CLEAN_LOCAL), F.concat(_clean_site(base), href))
-                  .when(href.rlike(_CLEAN_URL), href).otherwise(full)).otherwise(full)
+    is_clean = base.rlike(f"^{_CLEAN_SITE}")
+    return F.when(is_clean & href.rlike(_CLEAN_LOCAL), F.concat(_clean_site(base), href)).when(
+        is_clean & href.rlike(_CLEAN_URL), href).otherwise(full)
 
 
 def display_href(base, href) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pagewright.session import spread
+
 SITE = "https://site.example"
 COOKIE_NAMES = ["session_id", "theme", "cart", "auth_token", "lang"]
 COOKIE_DOMAINS = ["a.example", "b.a.example", "c.example"]
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents; a file that is a single split is spread, since text work is all CPU."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages")
 
@@ -53,7 +60,7 @@ def document_feeds(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>'), F.col("source"),
                     F.lit("</title><description>"), F.col("lang"), F.lit("</description>"), F.array_join(items, ""),
                     F.lit("</channel></rss>"))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{SITE}/feed/"), F.col("source")).alias("url"), body.alias("html"))
 
 
@@ -62,7 +69,7 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.filter(F.split("text", r"\n"), lambda s: F.trim(s) != "")
     parts = F.transform(lines, lambda s, n: F.concat(
         F.lit('<h2 id="s'), n.cast("string"), F.lit('">Part '), n.cast("string"), F.lit("</h2><p>"), escape(s), F.lit("</p>")))
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{SITE}/doc/"), F.col("doc_id")).alias("url"),
         F.concat(F.lit("<body>"), F.array_join(parts, "")).alias("html"))
 

@@ -377,18 +377,18 @@ def error_codes(spark, sf):
 
 @query
 def token_estimates(spark, sf):
-    return inputs.table(spark, sf, "documents").groupBy("lang", "source").agg(
+    return inputs.documents(spark, sf).groupBy("lang", "source").agg(
         F.sum(text.estimate_tokens("text")).alias("tokens"), F.max(text.estimate_tokens("text")).alias("max_tokens"))
 
 
 @query
 def normalize_ws(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", F.md5(text.normalize_ws("text")).alias("digest"))
+    return inputs.documents(spark, sf).select("doc_id", F.md5(text.normalize_ws("text")).alias("digest"))
 
 
 @query
 def collapse_ws(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", F.md5(text.collapse_ws("text")).alias("digest"))
+    return inputs.documents(spark, sf).select("doc_id", F.md5(text.collapse_ws("text")).alias("digest"))
 
 
 @query
@@ -405,27 +405,27 @@ def clean_html_text(spark, sf):
 
 @query
 def chunk_tokens(spark, sf):
-    rows = inputs.table(spark, sf, "documents").select("doc_id", F.col("text"), text.chunk_tokens("text", 100).alias("chunks"))
+    rows = inputs.documents(spark, sf).select("doc_id", F.col("text"), text.chunk_tokens("text", 100).alias("chunks"))
     return rows.select("doc_id", F.size("chunks").alias("n_chunks"), (F.array_join("chunks", "") == F.col("text")).alias("lossless"),
                        F.array_max(F.transform("chunks", F.octet_length)).alias("max_bytes"))
 
 
 @query
 def chunk_rows(spark, sf):
-    rows = markdown.chunks(inputs.table(spark, sf, "documents").select("doc_id", "lang", "text"), "text", 250)
+    rows = markdown.chunks(inputs.documents(spark, sf).select("doc_id", "lang", "text"), "text", 250)
     return rows.groupBy("lang").agg(F.countDistinct("doc_id").alias("docs"), F.sum(F.octet_length("chunk")).alias("bytes"))
 
 
 @query
 def truncate_tokens(spark, sf):
     page = text.truncate_tokens("text", F.lit(20), F.lit(60))
-    return inputs.table(spark, sf, "documents").select("doc_id", page.alias("p")).select(
+    return inputs.documents(spark, sf).select("doc_id", page.alias("p")).select(
         "doc_id", "p.tokens_est", "p.truncated", "p.next_offset", F.md5("p.markdown").alias("digest"))
 
 
 @query
 def strip_controls(spark, sf):
-    return inputs.table(spark, sf, "documents").select("doc_id", F.md5(text.strip_dangerous("text")).alias("digest"))
+    return inputs.documents(spark, sf).select("doc_id", F.md5(text.strip_dangerous("text")).alias("digest"))
 
 
 @query
@@ -517,19 +517,19 @@ def table_text(spark, sf):
 @query
 def redact_docs(spark, sf):
     patterns = secrets.secret_patterns(TOKEN_PATTERN)
-    docs = secrets.redact_text(inputs.table(spark, sf, "documents").select("doc_id", "text"), "text", patterns)
+    docs = secrets.redact_text(inputs.documents(spark, sf).select("doc_id", "text"), "text", patterns)
     return docs.select("doc_id", F.md5("text").alias("digest"))
 
 
 @query
 def vault(spark, sf):
-    return secrets.build_vault(inputs.table(spark, sf, "documents"), "text", secrets.secret_patterns(TOKEN_PATTERN))
+    return secrets.build_vault(inputs.documents(spark, sf), "text", secrets.secret_patterns(TOKEN_PATTERN))
 
 
 @query
 def resolve_docs(spark, sf):
     patterns = secrets.secret_patterns(TOKEN_PATTERN)
-    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    docs = inputs.documents(spark, sf).select("doc_id", "text")
     back = secrets.resolve_handles(secrets.redact_text(docs, "text", patterns), "text", secrets.build_vault(docs, "text", patterns), "doc_id")
     return back.select("doc_id", F.md5("text").alias("digest"))
 

@@ -35,9 +35,10 @@ def build_session(master: str | None = None, app: str = "pagewright", **conf) ->
     return builder.getOrCreate()
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (the figure Spark itself uses to pick broadcasts)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Catalyst's size of everything a plan scans (joins above the scans are not guessed at)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,7 +46,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) >= cores * SPREAD_BYTES_PER_CORE:
+    if input_bytes(df) >= cores * SPREAD_BYTES_PER_CORE:
         return df
     return df.repartition(cores, *keys)
 
