@@ -71,7 +71,7 @@ def strip_tags(s) -> Column:
 
 
 def clean_description(s) -> Column:
-    return F.regexp_replace(collapse_ws(decode_entities(strip_tags(s))), r"(?U)\s+\z", "")
+    return F.regexp_replace(collapse_ws(let(strip_tags(s), decode_entities)), r"(?U)\s+\z", "")
 
 
 def b64_encode(s) -> Column:

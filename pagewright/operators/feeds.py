@@ -146,21 +146,23 @@ def feed_markdown(rows: DataFrame, include_links: bool = True, offset: int = 0,
     def line(text: Column) -> Column:
         return F.when(text.isNotNull(), F.concat(text, F.lit("\n"))).otherwise("")
 
-    summary = F.nullif(F.rtrim(collapse_ws("description")), F.lit(""))
+    # Values used more than once are columns of a first step, so each is computed once per row.
+    channel_row = F.col("idx").isNull()
+    values = rows.select(
+        "page_id", "idx", "title", "description", F.trim("date").alias("date"), _filled("date").alias("when"),
+        _filled("category").alias("category"), item_title().alias("name"), item_href().alias("href"),
+        F.nullif(F.when(channel_row, F.rtrim(collapse_ws("description"))).otherwise(clean_description("description")), F.lit("")).alias("body"))
     head = F.concat(
         line(F.concat(F.lit("# "), F.col("title"))),
-        line(F.when(~summary.eqNullSafe(F.col("title")), F.concat(F.lit("*"), summary, F.lit("*")))),
-        line(F.concat(F.lit("*Updated: "), F.trim(F.col("date")), F.lit("*"))))
-    head = F.when(head == "", head).otherwise(F.concat(head, F.lit("\n")))
-    linked = F.when((F.col("_href") != "") & F.lit(include_links), F.concat(
-        F.lit("## ["), item_title(), F.lit("]("), F.col("_href"), F.lit(")"))).otherwise(
-        F.concat(F.lit("## "), item_title()))
-    meta = F.nullif(F.concat_ws(" · ", _filled("date"), _filled("category")), F.lit(""))
-    body = F.nullif(clean_description("description"), F.lit(""))
-    item = F.concat(line(linked), line(meta), line(F.concat(F.lit("\n"), body)), F.lit("\n"))
-    pieces = rows.withColumn("_href", item_href()).select(
-        "page_id", F.coalesce("idx", F.lit(-1)).alias("ord"), "title", "description",
-        F.when(F.col("idx").isNull(), head).otherwise(item).alias("piece"))
+        line(F.when(~F.col("body").eqNullSafe(F.col("title")), F.concat(F.lit("*"), F.col("body"), F.lit("*")))),
+        line(F.concat(F.lit("*Updated: "), F.col("date"), F.lit("*"))))
+    head = F.concat(head, F.when(F.coalesce("title", "body", "date").isNotNull(), "\n").otherwise(""))
+    linked = F.when((F.col("href") != "") & F.lit(include_links), F.concat(
+        F.lit("## ["), F.col("name"), F.lit("]("), F.col("href"), F.lit(")"))).otherwise(F.concat(F.lit("## "), F.col("name")))
+    meta = F.nullif(F.concat_ws(" · ", "when", "category"), F.lit(""))
+    item = F.concat(line(linked), line(meta), line(F.concat(F.lit("\n"), F.col("body"))), F.lit("\n"))
+    pieces = values.select("page_id", F.coalesce("idx", F.lit(-1)).alias("ord"), "title", "description",
+                           F.when(channel_row, head).otherwise(item).alias("piece"))
     channel = F.col("ord") == -1
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda r: r["piece"]), "")
     page = truncate_tokens(F.regexp_replace("_text", r"(?U)\s+\z", ""), offset, max_tokens)

@@ -87,11 +87,11 @@ def links_of_current(current: DataFrame, links: DataFrame) -> DataFrame:
     return current.join(links.select("page_id", "pos", "text", "href"), "page_id").join(counts, "page_id")
 
 
-def redirect_moves(declared: DataFrame) -> DataFrame:
-    """(key, url, target) of `declared(page_id, url, target)`: one move per address, none to itself."""
-    moves = declared.filter(F.col("target") != F.col("url")).withColumn("key", url_key("url"))
-    return moves.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min_by(F.struct("url", "target"), "page_id").alias("m")).select("key", "m.url", "m.target")
+def redirect_moves(declared: DataFrame, pages: DataFrame) -> DataFrame:
+    """(key, url, target) of `declared(page_id, url, target)`: the move of the page that answers
+    for each address; none to itself."""
+    moves = declared.filter(F.col("target") != F.col("url"))
+    return moves.join(page_keys(pages), "page_id").select("key", "url", "target")
 
 
 def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_HOPS) -> DataFrame:

@@ -180,7 +180,7 @@ hits AS (SELECT event_id, min(pos) AS pos FROM asked JOIN found f USING (page_id
 SELECT a.event_id, CASE WHEN f.page_id IS NOT NULL THEN {_ABS} END AS target, CASE WHEN f.page_id IS NULL THEN 'LINK_NOT_FOUND' END AS code
 FROM asked a LEFT JOIN hits h USING (event_id) LEFT JOIN found f ON f.page_id = a.page_id AND f.pos = h.pos"""
 O["redirect_chain"] = f"""WITH RECURSIVE {_KEYS}, moves AS (
-  SELECT regexp_replace(p.url, '#.*$', '') AS key, q.url AS target FROM pages p JOIN pages q ON q.page_id = p.page_id + 1
+  SELECT key, q.url AS target FROM keys JOIN pages p ON p.page_id = hit JOIN pages q ON q.page_id = p.page_id + 1
   WHERE p.page_id % 4 <> 0 AND p.url <> q.url),
 walk AS (
   SELECT page_id, url AS final_url, 0 AS hops FROM pages

@@ -321,7 +321,7 @@ def follow_by_text(spark, sf):
 @query
 def redirect_chain(spark, sf):
     pages = inputs.redirecting_pages(spark, sf)
-    moves = navigation.redirect_moves(extract.client_redirect(extract.redirect_nodes(pages)))
+    moves = navigation.redirect_moves(extract.client_redirect(extract.redirect_nodes(pages)), inputs.pages(spark, sf))
     return navigation.follow_redirects(inputs.pages(spark, sf).select("page_id", "url"), moves).select("page_id", "final_url", "hops")
 
 

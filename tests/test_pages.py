@@ -185,7 +185,7 @@ def test_tables(spark, pages_of):
 def test_redirects(spark):
     bodies = [f'<meta http-equiv=Refresh content="0;url=/p{n + 1}">' for n in range(8)] + ["<p>end", '<script>window.location.href = "/p8"</script>', '<meta http-equiv=refresh content="0;url=/p10">']
     pages = spark.createDataFrame([(n, f"https://e.com/p{n}", b) for n, b in enumerate(bodies)], "page_id long, url string, html string")
-    moves = navigation.redirect_moves(extract.client_redirect(extract.redirect_nodes(pages)))
+    moves = navigation.redirect_moves(extract.client_redirect(extract.redirect_nodes(pages)), pages)
     ends = {r.page_id: (r.final_url[-2:], r.hops) for r in navigation.follow_redirects(pages.select("page_id", "url"), moves).collect()}
     assert ends == {0: ("p5", 5), 1: ("p6", 5), 2: ("p7", 5), 3: ("p8", 5), 4: ("p8", 4), 5: ("p8", 3), 6: ("p8", 2), 7: ("p8", 1), 8: ("p8", 0), 9: ("p8", 1), 10: ("10", 0)}
 
