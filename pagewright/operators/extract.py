@@ -277,10 +277,10 @@ def content_nodes(pages: DataFrame) -> DataFrame:
 def section_text(nodes: DataFrame, selector: str) -> DataFrame:
     """(page_id, content): text of every match, headings taken with their section, in document
     order and joined by blank lines. `nodes` must hold the whole page text."""
-    hits = css_flag(nodes, selector, "_hit").filter("_hit").select("page_id", "node_id", "text_from", "text_to")
-    sections = section_extent(nodes).select("page_id", F.col("heading_id").alias("node_id"), "section_to")
-    ranges = hits.join(sections, ["page_id", "node_id"], "left").withColumn(
-        "text_to", F.coalesce("section_to", "text_to"))
+    flagged = css_flag(nodes, selector, "_hit").filter(F.col("_hit") | F.col("heading").isNotNull())
+    ranges = with_sections(clustered(flagged)).filter("_hit").withColumn(
+        "text_to", F.when(F.col("_start").isNotNull(), F.col("section_to")).otherwise(F.col("text_to"))).select(
+        "page_id", "node_id", "text_from", "text_to")
     parts = with_text(nodes, ranges, "part")
     ordered = F.array_sort(F.collect_list(F.struct("node_id", "part")))
     return parts.groupBy("page_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pagewright.functions.mime import is_retryable
 from pagewright.functions.urls import absolute_href, normalize_url, resolve_url
+from pagewright.session import checkpointed
 
 REDIRECT_HOPS = 5
 
@@ -97,9 +98,10 @@ def redirect_moves(declared: DataFrame, pages: DataFrame) -> DataFrame:
 def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_HOPS) -> DataFrame:
     """`starts(page_id, url)` with `final_url` and `hops` after at most `hops` moves.
 
-    Chains are first closed over `moves` alone (pages that do move are few), then every start is
-    joined once. A chain ends where there is no move, or at a move to its own address.
+    Chains are first closed over `moves` alone (pages that do move are few; the table is kept, as
+    every hop reads it), then every start is joined once. A chain ends where there is no move, or at a move to its own address.
     """
+    moves = checkpointed(moves)
     step = moves.select(F.col("key").alias("_from"), F.col("target").alias("_to"))
     chains = moves.select("key", F.col("target").alias("final_url"), F.lit(1).alias("hops"), F.lit(True).alias("_on"))
     for _ in range(hops - 1):

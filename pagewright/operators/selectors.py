@@ -225,7 +225,7 @@ def css_select(nodes: DataFrame, selector: str) -> DataFrame:
 def css_values(nodes: DataFrame, selector: str, attr: str = "textContent") -> DataFrame:
     """(page_id, url, node_id, value) per match: its text, inner markup or an attribute (null if absent)."""
     if attr == "innerHTML":
-        hits = markup(nodes, css_select(nodes, selector)).withColumn("value", F.col("inner_html"))
+        hits = markup(nodes, selector).withColumn("value", F.col("inner_html"))
     elif attr == "textContent":
         hits = with_text(nodes, css_select(nodes, selector), "value")
     else:
@@ -447,13 +447,14 @@ def _escape(text: Column, quote: bool) -> Column:
     return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def markup(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Add `outer_html` and `inner_html` to target rows.
+def markup(nodes: DataFrame, selector: str) -> DataFrame:
+    """(page_id, url, node_id, outer_html, inner_html) of every match.
 
-    Every page is written once, as ordered open and close pieces; a running byte count gives each
-    element its range, and each target takes slices of its page's markup.
+    Every page with a match is written once, as ordered open and close pieces; a running byte count
+    gives each element its range, and matches are slices of the page's markup. One parse, one
+    shuffle.
     """
-    rows = nodes.filter(F.col("kind").isin("element", "text", "comment"))
+    rows = _flag_all(nodes, selector).filter(F.col("kind").isin("element", "text", "comment"))
     pairs = F.transform(F.map_entries("attrs"), lambda a: F.concat(
         F.lit(" "), a["key"], F.lit('="'), _escape(a["value"], True), F.lit('"')))
     opening = (
@@ -466,23 +467,23 @@ def markup(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     pieces = F.array(
         F.struct(F.col("node_id").alias("pos"), F.lit(0).alias("side"), F.lit(0).alias("up"), opening.alias("s")),
         F.struct(F.col("end_id").alias("pos"), F.lit(1).alias("side"), (-F.col("depth")).alias("up"), closing.alias("s")))
-    written = rows.select("page_id", "node_id", F.explode(pieces).alias("p")).withColumn(
-        "to", F.sum(F.octet_length("p.s")).over(up_to_here(by_page("p.pos", "p.side", "p.up"))))
-    ranges = written.groupBy("page_id", "node_id").agg(
-        F.min(F.when(F.col("p.side") == 0, F.col("to"))).alias("_inner_from"),
-        F.min(F.when(F.col("p.side") == 0, F.col("to") - F.octet_length("p.s"))).alias("_from"),
-        F.max(F.when(F.col("p.side") == 1, F.col("to"))).alias("_to"),
-        F.max(F.when(F.col("p.side") == 1, F.col("to") - F.octet_length("p.s"))).alias("_inner_to"))
-    whole = written.groupBy("page_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("p.pos", "p.side", "p.up", "p.s"))), lambda r: r["s"]), "").alias("_page"))
-
-    def cut(start: str, stop: str) -> Column:
-        return F.substring(F.col("_page").cast("binary"), (F.col(start) + 1).cast("int"),
-                           (F.col(stop) - F.col(start)).cast("int")).cast("string")
-
-    return (targets.join(ranges, ["page_id", "node_id"]).join(whole, "page_id")
-            .withColumn("outer_html", cut("_from", "_to")).withColumn("inner_html", cut("_inner_from", "_inner_to"))
-            .drop("_from", "_to", "_inner_from", "_inner_to", "_page"))
+    written = rows.select("page_id", "url", "node_id", "_hit", F.explode(pieces).alias("p")).withColumn(
+        "_to", F.sum(F.octet_length("p.s")).over(up_to_here(by_page("p.pos", "p.side", "p.up"))))
+    edge = F.struct((F.col("_to") - F.octet_length("p.s")).alias("a"), F.col("_to").alias("b"))
+    ordered = F.array_sort(F.collect_list(F.struct("p.pos", "p.side", "p.up", "p.s")))
+    ends = F.map_from_entries(F.collect_list(F.when(F.col("_hit") & (F.col("p.side") == 1), F.struct("node_id", edge.alias("e")))))
+    starts = F.collect_list(F.when(F.col("_hit") & (F.col("p.side") == 0), F.struct("node_id", edge.alias("e"))))
+    page = written.groupBy("page_id").agg(
+        F.first("url").alias("url"), starts.alias("_starts"), ends.alias("_ends"),
+        F.array_join(F.transform(ordered, lambda r: r["s"]), "").alias("_page"))
+    hits = page.filter(F.size("_starts") > 0).select("page_id", "url", "_page", "_ends", F.inline("_starts"))
+
+    def cut(start: Column, stop: Column) -> Column:
+        return F.substring(F.col("_page").cast("binary"), (start + 1).cast("int"), (stop - start).cast("int")).cast("string")
+
+    end = F.col("_ends")[F.col("node_id")]
+    return hits.select("page_id", "url", "node_id", cut(F.col("e.a"), end["b"]).alias("outer_html"),
+                       cut(F.col("e.b"), end["a"]).alias("inner_html"))
 
 
 # -- document shortcuts and click targets

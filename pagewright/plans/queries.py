@@ -11,6 +11,7 @@ from pagewright.functions import mime, sqlnames, text, urls
 from pagewright.operators import (
     commands, cookies, dom, extract, feeds, forms, history, markdown, navigation, results, rules, secrets, selectors, storage)
 from pagewright.plans import inputs
+from pagewright.session import checkpointed
 from pagewright.sources import pages as page_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -616,7 +617,7 @@ def storage_clears(spark, sf):
 
 @query
 def storage_origin(spark, sf):
-    visits = history.current_page(history.history_positions(inputs.history_events(spark, sf)))
+    visits = history.current_page(_positions(spark, sf))
     rows = storage.with_origin(visits.select("session", "seq", "current_url", F.lit(None).cast("string").alias("origin")))
     return rows.groupBy("origin", "storage_code").agg(F.count("*").alias("n"))
 
@@ -630,7 +631,7 @@ def snapshot_merge(spark, sf):
 @query
 def snapshot_round_trip(spark, sf):
     key = bytes(range(32))
-    entries = history.history(history.history_positions(inputs.history_events(spark, sf)))
+    entries = history.history(_positions(spark, sf))
     saved = entries.groupBy("session").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("index", "url", "title", "status"))),
                     lambda h: F.struct(h["url"].alias("url"), h["title"].alias("title"), h["status"].alias("status"))).alias("history"),
@@ -643,6 +644,10 @@ def snapshot_round_trip(spark, sf):
 # -- history
 
 
+def _positions(spark, sf):
+    return checkpointed(history.history_positions(inputs.history_events(spark, sf)))
+
+
 @query
 def history_fold(spark, sf):
     return history.history_positions(inputs.history_events(spark, sf)).select("session", "seq", "cursor", "length", "code")
@@ -650,25 +655,25 @@ def history_fold(spark, sf):
 
 @query
 def history_entries(spark, sf):
-    rows = history.history(history.history_positions(inputs.history_events(spark, sf)))
+    rows = history.history(_positions(spark, sf))
     return rows.select("session", "index", "url", "title", "current")
 
 
 @query
 def history_search(spark, sf):
-    rows = history.history(history.history_positions(inputs.history_events(spark, sf)))
+    rows = history.history(_positions(spark, sf))
     return history.history_search(rows, "PURCHASE/1", 3).select("session", "index", "url", "count", "total")
 
 
 @query
 def current_page(spark, sf):
-    rows = history.current_page(history.history_positions(inputs.history_events(spark, sf)))
+    rows = history.current_page(_positions(spark, sf))
     return rows.select("session", "seq", "current_url")
 
 
 @query
 def session_info(spark, sf):
-    positions = history.history_positions(inputs.history_events(spark, sf))
+    positions = _positions(spark, sf)
     counts = cookies.cookie_counts(cookies.cookie_jar(inputs.cookie_events(spark, sf)), F.lit("2024-01-15 00:00:00").cast("timestamp"))
     return history.session_info(positions, counts)
 
@@ -715,9 +720,9 @@ def result_envelopes(spark, sf):
     return rows.select("log", "line_no", "ok", "seq", "code", "retryable", "json")
 
 
-def _results(spark, sf):
+def _results(checked):
     """Results of a log in which storage writes were never answered and link lists twice."""
-    checked = _checked(spark, sf).filter("NOT bad AND action <> 'storage_set'")
+    checked = checked.filter("NOT bad AND action <> 'storage_set'")
     done = commands.envelope(checked)
     again = commands.envelope(checked.filter("action = 'links'")).withColumn("line_no", F.col("line_no") + 1_000_000_000)
     return done.unionByName(again)
@@ -725,19 +730,20 @@ def _results(spark, sf):
 
 @query
 def unanswered(spark, sf):
-    asked = _checked(spark, sf).filter("NOT bad").select("log", "id", "seq", "line_no")
-    return commands.unanswered(asked, _results(spark, sf))
+    checked = checkpointed(_checked(spark, sf))
+    return commands.unanswered(checked.filter("NOT bad").select("log", "id", "seq", "line_no"), _results(checked))
 
 
 @query
 def match_results(spark, sf):
-    asked = _checked(spark, sf).filter("NOT bad").select("log", "id", "seq", "action")
-    return commands.match_results(asked, _results(spark, sf)).groupBy("action", "ok", "result_code").agg(F.count("*").alias("n"))
+    checked = checkpointed(_checked(spark, sf))
+    asked = checked.filter("NOT bad").select("log", "id", "seq", "action")
+    return commands.match_results(asked, _results(checked)).groupBy("action", "ok", "result_code").agg(F.count("*").alias("n"))
 
 
 @query
 def dedup_retries(spark, sf):
-    return commands.dedup_retries(_results(spark, sf)).groupBy("log").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"))
+    return commands.dedup_retries(_results(checkpointed(_checked(spark, sf)))).groupBy("log").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"))
 
 
 @query

@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app: str = "pagewright", **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Plans here have many columns; recording a call site for each costs more than planning them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # HTML rows are wide: few rows per Arrow batch keep worker memory flat.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
         "spark.sql.streaming.stateStore.providerClass":
@@ -61,3 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fallback = tempfile.mkdtemp(prefix="pagewright-ckpt-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A table that several branches of a plan read, computed once and kept in the shared
+    checkpoint folder, so that it outlives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

@@ -117,7 +117,7 @@ def test_edits(spark, pages_of):
 def test_markup(spark, pages_of):
     page = '<div id=d title="a&quot;b"><br>x &lt; y<script>1 < 2</script><!--c--><b>z</b></div>'
     nodes = dom.html_nodes(pages_of(page))
-    row = selectors.markup(nodes, selectors.by_id(nodes, "d")).first()
+    row = selectors.markup(nodes, "#d").first()
     assert row.inner_html == "<br>x &lt; y<script>1 < 2</script><!--c--><b>z</b>"
     assert row.outer_html == '<div id="d" title="a&quot;b">' + row.inner_html + "</div>"
 
