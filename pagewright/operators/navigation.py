@@ -68,13 +68,17 @@ def follow_by_text(events: DataFrame, links: DataFrame) -> DataFrame:
     """`events(event_id, page_id, needle)`: the first link of the page whose text contains the
     needle, letter case ignored.
 
-    Needles repeat, so each different (page, needle) is searched once and events join the answer.
+    The links of a page travel as one array (bounded by the page), so an event meets one row and no
+    pairs of needles and links are produced, however many events ask about one page.
     """
-    wanted = events.select("page_id", "needle").distinct()
-    found = wanted.join(links, "page_id").filter(F.lower("text").contains(F.lower("needle"))).groupBy(
-        "page_id", "needle").agg(F.min_by(F.struct("url", "href"), "pos").alias("l")).select(
-        "page_id", "needle", resolve_url("l.url", "l.href").alias("target"), F.lit(True).alias("_hit"))
-    return _followed(events.join(found, ["page_id", "needle"], "left"), events.columns)
+    link = F.struct("pos", F.lower("text").alias("t"), "url", "href")
+    per_page = links.groupBy("page_id").agg(F.array_sort(F.collect_list(link)).alias("_links"))
+    needle = F.lower("needle")
+    first = F.element_at(F.filter("_links", lambda k: k["t"].contains(needle)), 1)
+    joined = events.join(per_page, "page_id", "left").withColumn(
+        "_l", F.when(F.exists("_links", lambda k: k["t"].contains(needle)), first))
+    return _followed(joined.withColumn("target", resolve_url("_l.url", "_l.href")).withColumn(
+        "_hit", F.when(F.col("_l").isNotNull(), True)), events.columns)
 
 
 def _followed(joined: DataFrame, columns: list[str]) -> DataFrame:

@@ -249,6 +249,20 @@ folded AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'n': 1, 'ope
 O["chunk_tokens"] = f"""WITH {_CHUNKS} SELECT doc_id, coalesce(f.n, 0)::INT AS n_chunks, true AS lossless, f.top::INT AS max_bytes
 FROM documents LEFT JOIN folded USING (doc_id)"""
 
+# bytes up to every character, then the line-border rule in plain comparisons
+O["truncate_tokens"] = """WITH tail AS (
+  SELECT doc_id, text, CASE WHEN strlen(text) <= 80 THEN '' ELSE text END AS t FROM documents),
+pos AS (SELECT doc_id, unnest(range(1, length(t) + 1)) AS p, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1))) AS ch FROM tail),
+b AS (SELECT doc_id, p, ch, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY p) AS stop FROM pos),
+line AS (SELECT doc_id, min(p) + 1 AS first, min(stop) AS skipped FROM b WHERE stop > 80 AND ch = chr(10) GROUP BY 1),
+fits AS (SELECT b.doc_id, max(b.p) FILTER (ch = chr(10)) AS last_line, max(b.p) AS last_char FROM b JOIN line USING (doc_id)
+  WHERE p >= first AND stop - skipped <= 240 GROUP BY 1),
+cut AS (SELECT t.doc_id, coalesce(substr(t.t, first), '') AS rest, CASE WHEN first IS NOT NULL AND strlen(substr(t.t, first)) > 240
+    THEN substr(t.t, first, coalesce(last_line, last_char) - first + 1) END AS head
+  FROM tail t LEFT JOIN line USING (doc_id) LEFT JOIN fits USING (doc_id))
+SELECT doc_id, strlen(coalesce(head, rest)) // 4 AS tokens_est, head IS NOT NULL AS truncated,
+  CASE WHEN head IS NOT NULL THEN 20 + strlen(head) // 4 END AS next_offset, md5(coalesce(head, rest)) AS digest FROM cut"""
+
 # -- feeds built from documents
 
 _ITEMS = f"""WITH {_LINES}, items AS (

@@ -1,8 +1,8 @@
 """Keyed state over command and session streams. The steps are those of the batch folds.
 
 Every processor sorts the rows of a micro-batch by their place in the log before applying them:
-files of one trigger may arrive in any order. State lives as long as its key unless a time to live
-is given.
+files of one trigger may arrive in any order. State lives as long as its key unless `ttl_ms` is
+given: then what was not written for that long is forgotten.
 """
 
 from __future__ import annotations
@@ -23,11 +23,24 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by, ignore_index=True)
 
 
-class SeqCheck(StatefulProcessor):
+class _Keyed(StatefulProcessor):
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def close(self) -> None:
+        pass
+
+
+def _run(rows: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> DataFrame:
+    mode = "none" if processor.ttl_ms is None else "processingTime"
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", mode)
+
+
+class SeqCheck(_Keyed):
     """State: highest accepted sequence number and whether the log has quit."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("log", "last_seq bigint, done boolean")
+        self.state = handle.getValueState("log", "last_seq bigint, done boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         last, done = self.state.get() if self.state.exists() else (None, False)
@@ -44,24 +57,19 @@ class SeqCheck(StatefulProcessor):
         self.state.update((last, done))
         yield pd.DataFrame(out, columns=["log", "file", "line_no", "id", "reply_seq", "action", "accepted"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_validate_seq(lines: DataFrame) -> DataFrame:
+def stream_validate_seq(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Streaming order check of `stream_commands` rows, cut at the first accepted quit."""
     parsed = parse_commands(lines).select("log", "file", "line_no", "id", F.coalesce("seq", F.lit(-1)).alias("seq"), "action", "bad")
-    return parsed.groupBy("log").transformWithStateInPandas(
-        SeqCheck(), "log string, file string, line_no int, id string, reply_seq bigint, action string, accepted boolean",
-        "append", "none")
+    return _run(parsed, ["log"], SeqCheck(ttl_ms), "log string, file string, line_no int, id string, reply_seq bigint, action string, accepted boolean")
 
 
-class HistoryFold(StatefulProcessor):
+class HistoryFold(_Keyed):
     """State: cursor and one entry per depth. A visit overwrites its depth; deeper ones are dead."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", "depth bigint, ahead bigint")
-        self.entries = handle.getMapState("entries", "depth bigint", "url string")
+        self.cursor = handle.getValueState("cursor", "depth bigint, ahead bigint", self.ttl_ms)
+        self.entries = handle.getMapState("entries", "depth bigint", "url string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         depth, ahead = self.cursor.get() if self.cursor.exists() else (0, 0)
@@ -78,23 +86,19 @@ class HistoryFold(StatefulProcessor):
         self.cursor.update((depth, ahead))
         yield pd.DataFrame(out, columns=["session", "seq", "cursor", "length", "current_url", "code"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_history(events: DataFrame) -> DataFrame:
+def stream_history(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(session, seq, cursor, length, current_url, code) per event of a stream of session events."""
     kind = events.schema["session"].dataType.simpleString()
-    return events.select("session", "seq", "op", "url").groupBy("session").transformWithStateInPandas(
-        HistoryFold(), f"session {kind}, seq bigint, cursor bigint, length bigint, current_url string, code string",
-        "append", "none")
+    return _run(events.select("session", "seq", "op", "url"), ["session"], HistoryFold(ttl_ms),
+                f"session {kind}, seq bigint, cursor bigint, length bigint, current_url string, code string")
 
 
-class StorageFold(StatefulProcessor):
+class StorageFold(_Keyed):
     """State: the live values of one (session, origin)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getMapState("items", "key string", "value string")
+        self.items = handle.getMapState("items", "key string", "value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
@@ -115,24 +119,19 @@ class StorageFold(StatefulProcessor):
             out.append((*key, row.seq, row.op, row.key, value, n))
         yield pd.DataFrame(out, columns=["session", "origin", "seq", "op", "key", "value", "n"])
 
-    def close(self) -> None:
-        pass
 
-
-def stream_storage(events: DataFrame) -> DataFrame:
+def stream_storage(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Answers per storage event: the value of a set or get, the count of a delete, clear or list."""
     kind = events.schema["session"].dataType.simpleString()
-    return events.select("session", "origin", "seq", "op", "key", "value").groupBy("session", "origin") \
-        .transformWithStateInPandas(
-            StorageFold(), f"session {kind}, origin string, seq bigint, op string, key string, value string, n bigint",
-            "append", "none")
+    return _run(events.select("session", "origin", "seq", "op", "key", "value"), ["session", "origin"], StorageFold(ttl_ms),
+                f"session {kind}, origin string, seq bigint, op string, key string, value string, n bigint")
 
 
-class CookieFold(StatefulProcessor):
+class CookieFold(_Keyed):
     """State: cookies of one session. Expiry is judged when a cookie is read, as in the batch jar."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jar = handle.getMapState("jar", "domain string, path string, name string", "value string, until double")
+        self.jar = handle.getMapState("jar", "domain string, path string, name string", "value string, until double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         out = []
@@ -153,13 +152,10 @@ class CookieFold(StatefulProcessor):
             out.append((key[0], row.seq, row.op, n))
         yield pd.DataFrame(out, columns=["session", "seq", "op", "n"])
 
-    def close(self) -> None:
-        pass
-
 
-def stream_cookies(events: DataFrame) -> DataFrame:
+def stream_cookies(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Answers per cookie event (`set`, `delete`, `list`): how many cookies it touched or listed."""
     kind = events.schema["session"].dataType.simpleString()
-    return events.select("session", "seq", F.col("ts").cast("double").alias("at"), "op", "name", "value", "domain", "path",
-                         F.col("max_age").cast("double").alias("max_age")).groupBy("session").transformWithStateInPandas(
-        CookieFold(), f"session {kind}, seq bigint, op string, n bigint", "append", "none")
+    rows = events.select("session", "seq", F.col("ts").cast("double").alias("at"), "op", "name", "value", "domain", "path",
+                         F.col("max_age").cast("double").alias("max_age"))
+    return _run(rows, ["session"], CookieFold(ttl_ms), f"session {kind}, seq bigint, op string, n bigint")

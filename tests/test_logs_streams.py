@@ -189,7 +189,7 @@ def test_stream_cookies_equals_batch(spark, tmp_path):
         .withColumn("ts", F.timestamp_seconds("seq")).withColumn("secure", F.lit(False)).withColumn("http_only", F.lit(False))
     (tmp_path / "c").mkdir()
     out, checkpoint = folders(spark, tmp_path)
-    run(flows.start_file_sink(state.stream_cookies(stream_of(spark, events, str(tmp_path / "c"))), out, checkpoint))
+    run(flows.start_file_sink(state.stream_cookies(stream_of(spark, events, str(tmp_path / "c")), ttl_ms=3_600_000), out, checkpoint))
     streamed = {r.seq: r.n > 0 for r in spark.read.parquet(out).filter("op = 'delete'").collect()}
     assert streamed == {r.seq: r.deleted for r in cookies.deleted_flags(events, SEGMENT).collect()}
 
