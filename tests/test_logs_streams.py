@@ -115,8 +115,9 @@ def test_corpus_and_search(spark):
 
 
 def run(query, timeout=120):
-    query.awaitTermination(timeout)
-    assert query.exception() is None
+    finished = query.awaitTermination(timeout)
+    query.stop()
+    assert finished and query.exception() is None
 
 
 def folders(spark, tmp_path):
@@ -189,11 +190,28 @@ def test_stream_cookies_equals_batch(spark, tmp_path):
         .withColumn("ts", F.timestamp_seconds("seq")).withColumn("secure", F.lit(False)).withColumn("http_only", F.lit(False))
     (tmp_path / "c").mkdir()
     out, checkpoint = folders(spark, tmp_path)
-    run(flows.start_file_sink(state.stream_cookies(stream_of(spark, events, str(tmp_path / "c")), ttl_ms=3_600_000), out, checkpoint))
+    run(flows.start_file_sink(state.stream_cookies(stream_of(spark, events, str(tmp_path / "c"))), out, checkpoint))
     streamed = {r.seq: r.n > 0 for r in spark.read.parquet(out).filter("op = 'delete'").collect()}
     assert streamed == {r.seq: r.deleted for r in cookies.deleted_flags(events, SEGMENT).collect()}
 
 
+def test_stream_state_with_time_to_live(spark, tmp_path):
+    visits = spark.createDataFrame([("s", n, "visit", f"u{n}") for n in range(6)], "session string, seq long, op string, url string")
+    (tmp_path / "t").mkdir()
+    out, checkpoint = folders(spark, tmp_path)
+    events = stream_of(spark, visits, str(tmp_path / "t"), parts=2)
+    query = flows.start_file_sink(state.stream_history(events, ttl_ms=3_600_000), out, checkpoint)
+    try:  # a query with a time to live goes on with empty batches, so it is stopped from here
+        for _ in range(120):
+            time.sleep(0.5)
+            if query.exception() or (os.path.isdir(f"{out}/_spark_metadata") and spark.read.schema("seq long, cursor long").parquet(out).count() == 6):
+                break
+    finally:
+        query.stop()
+    assert query.exception() is None
+    assert [r.cursor for r in spark.read.parquet(out).orderBy("seq").collect()] == list(range(6))
+
+
 def test_stream_pages_and_snapshots(spark, tmp_path, pages_of):
     secret = "sk-" + "q" * 24
     pages_of("<h1>A</h1>", f"<p>{secret}</p>").coalesce(1).write.parquet(str(tmp_path / "pages"))
