@@ -26,3 +26,13 @@ m AS (SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l)
 SELECT conv_id, len(l) AS n_turns,
        list_aggregate(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
 FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = m.l)"""
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, k, w[k:k + 12] AS g FROM d, unnest(range(1, len(w) - 11)) AS u(k)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, p FROM win JOIN least USING (g), unnest(range(k, k + 13)) AS u(p) WHERE m < doc_id OR (doc_id IS NULL AND m IS NOT NULL)),
+lost AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(list_aggregate(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, 'string_agg', ' '), '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, decontaminate, langid, maintext, packing, tokenbin
+from pagewright.llm import chat, decontaminate, langid, maintext, packing, substrings, tokenbin
 from pagewright.llm.common import read
 from pagewright.llm.oracles import ORACLES  # noqa: F401  (the twins are registered with the queries)
 
@@ -45,5 +45,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_texts(read(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op6_chat_formatting, op7_token_binary, op8_packing, op9_html_extraction)}
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op6_chat_formatting, op7_token_binary, op8_packing, op9_html_extraction,
+                                  op10_substring_dedup)}
