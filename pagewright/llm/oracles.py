@@ -36,3 +36,14 @@ lost AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(list_aggregate(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, 'string_agg', ' '), '')) AS kept_sha256
 FROM d LEFT JOIN lost USING (r)"""
+
+ORACLES["op5_lm_scoring"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+t AS (SELECT r, k, w[k] AS b, CASE WHEN k > 1 THEN w[k - 1] END AS a FROM d, unnest(range(1, len(w) + 1)) AS u(k)),
+one AS (SELECT b, count(*) AS n FROM t GROUP BY b),
+two AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+s AS (SELECT r, CASE WHEN two.n IS NOT NULL THEN ln(two.n / c.n) ELSE ln(one.n / (SELECT count(*) FROM t)) + CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END END AS v
+      FROM t JOIN one ON one.b = t.b LEFT JOIN two ON two.a = t.a AND two.b = t.b LEFT JOIN one AS c ON c.b = t.a),
+g AS (SELECT r, fsum(v) AS v FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(v, 0.0), 6) AS score, CASE WHEN len(w) > 0 THEN round(v / len(w), 6) END AS mean_score
+FROM d LEFT JOIN g USING (r)"""
