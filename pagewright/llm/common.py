@@ -15,12 +15,12 @@ from pagewright.session import checkpoint_dir
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The frame written as a table in the shared checkpoint folder and read again.
 
     Cuts the lineage: a lost executor costs a read. The folder's owner clears it after the job."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

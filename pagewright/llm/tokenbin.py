@@ -13,8 +13,8 @@ from pagewright.llm.common import batches_of, sized, stored
 from pagewright.llm.tokens import Encoder
 
 END = 1
-#: A file holds whole documents until it has this many ids or more; a part of the id range about so many.
-FILE_IDS, PART_IDS = 1 << 19, 1 << 22
+#: A file holds whole documents until it has this many ids or more; a part of the id range has about so many characters.
+FILE_IDS, PART_CHARS = 1 << 19, 12_000_000
 #: A level's bits are counted up to every BLOCK-th one.
 BLOCK = 512
 _MAGIC = b"DAC1"
@@ -91,42 +91,32 @@ class Codes:
         return int(self.slice(position, position + 1)[0])
 
 
-def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, n_tokens, ids): the whole text's ids, little-endian, and the end id. Null text: only the end id."""
-    last = np.array([end], "<u4").tobytes()
-
-    def kernel(batches):
-        encoder = Encoder(path)
-        for batch in batches:
-            ids = [np.frombuffer(encoder.ids(t) + last, "<u4") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
-                                              pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel, "doc_id long, n_tokens long, ids binary")
-
-
 _FILE = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                    ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
 
 
-def write_files(docs: DataFrame, path: str, end: int = END, file_ids: int = FILE_IDS, part_ids: int = PART_IDS) -> DataFrame:
+def write_files(docs: DataFrame, path: str, end: int = END, file_ids: int = FILE_IDS, part_chars: int = PART_CHARS) -> DataFrame:
     """Ids of all documents in ascending doc_id order as files, one row of a stored table each.
 
-    part is a range of doc_ids, file numbers its files, first counts the part's ids before the file. Null ids
-    come first; rows that share an id follow each other, ordered by their ids. Each text is tokenized once; only
-    ids are sorted. An empty table makes no file."""
-    ids = stored(tokenized(docs, path, end), "ids")
-    parts = sized(ids, F.col("n_tokens"), part_ids)
-    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    A document is the ids of its whole text (null: none) and the end id. part is a range of doc_ids, file numbers
+    its files, first counts the part's ids before the file. Null ids come first; rows that share an id follow each
+    other, ordered by their texts' hashes. Texts are sorted once and tokenized once, where they then lie. An empty
+    table makes no file."""
+    parts = sized(docs, F.coalesce(F.length("text"), F.lit(0)) + 16, part_chars)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text")).repartitionByRange(
+        parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    last = np.array([end], "<u4").tobytes()
 
     def kernel(batches):
         context = TaskContext.get()
         part = context.partitionId() if context else 0
 
         def rows():
+            encoder = Encoder(path)
             held, lengths, doc_ids, n, first, file = [], [], [], 0, 0, 0
             for batch in batches:
-                for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    raw = encoder.ids(text) + last
                     held.append(raw)
                     doc_ids.append(doc_id)
                     lengths.append(len(raw) // 4)
@@ -140,8 +130,8 @@ def write_files(docs: DataFrame, path: str, end: int = END, file_ids: int = FILE
 
         return batches_of(rows(), _FILE, 16)
 
-    return stored(ordered.select("doc_id", "ids").mapInArrow(
-        kernel, "part int, file int, first long, doc_ids array<long>, lengths array<long>, codes binary"), "files")
+    return stored(ordered.select("doc_id", "text").mapInArrow(
+        kernel, "part int, file int, first long, doc_ids array<long>, lengths array<long>, codes binary"), "files", "zstd")
 
 
 def _file(part, file, first, doc_ids, lengths, held) -> dict:
