@@ -59,3 +59,14 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+ORACLES["op3_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, w[k:k + 1] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS u(k) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT x.a, x.b FROM x JOIN n AS p ON p.r = x.a JOIN n AS q ON q.r = x.b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+c AS (SELECT r AS a, r AS b FROM d UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT c.a AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""

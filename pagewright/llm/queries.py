@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, decontaminate, embeddedup, langid, maintext, ngramlm, packing, substrings, tokenbin
+from pagewright.llm import chat, decontaminate, embeddedup, langid, maintext, minhash, ngramlm, packing, substrings, tokenbin
 from pagewright.llm.common import read
 from pagewright.llm.oracles import ORACLES  # noqa: F401  (the twins are registered with the queries)
 
@@ -27,6 +27,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(read(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -58,5 +62,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op4_embedding_dedup, op5_lm_scoring, op6_chat_formatting, op7_token_binary, op8_packing, op9_html_extraction,
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_minhash_dedup, op4_embedding_dedup, op5_lm_scoring, op6_chat_formatting, op7_token_binary, op8_packing, op9_html_extraction,
                                   op10_substring_dedup)}
