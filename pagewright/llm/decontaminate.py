@@ -26,9 +26,9 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
-_SHARD = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+_SHARD = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_hashes", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
                     ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
-_SHARD_SQL = "shard long, doc_ids array<long>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
+_SHARD_SQL = "shard long, doc_ids array<long>, text_hashes array<long>, lengths array<int>, terms array<binary>, counts array<int>, postings binary"
 
 
 def build_index(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -42,31 +42,32 @@ def build_index(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def rows():
-            number, seen, held, doc_ids, chars = 0, {}, [], [], 0
+            number, seen, held, doc_ids, marks, chars = 0, {}, [], [], [], 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc_id, text, mark in zip(*(column.to_pylist() for column in batch.columns)):
                     words = words_of(text)
                     doc_ids.append(doc_id)
+                    marks.append(mark)
                     held.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
                     chars += len(text or "") + 80
                     if chars >= shard_chars:
-                        yield _shard((part << 32) + number, doc_ids, held, seen)
-                        number, seen, held, doc_ids, chars = number + 1, {}, [], [], 0
+                        yield _shard((part << 32) + number, doc_ids, marks, held, seen)
+                        number, seen, held, doc_ids, marks, chars = number + 1, {}, [], [], [], 0
             if doc_ids:
-                yield _shard((part << 32) + number, doc_ids, held, seen)
+                yield _shard((part << 32) + number, doc_ids, marks, held, seen)
 
         return batches_of(rows(), _SHARD, 1)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
     return stored(source.mapInArrow(kernel, _SHARD_SQL), "index")
 
 
-def _shard(number: int, doc_ids: list, held: list, seen: dict) -> dict:
+def _shard(number: int, doc_ids: list, marks: list, held: list, seen: dict) -> dict:
     ids = np.concatenate(held) if held else np.empty(0, np.int32)
     order = np.argsort(ids, kind="stable")
     moved = np.arange(len(ids)) + GAP * np.repeat(np.arange(len(held)), [len(h) for h in held])
     places = moved[order].astype("<i4")
-    return {"shard": number, "doc_ids": doc_ids, "lengths": [len(h) for h in held], "terms": list(seen),
+    return {"shard": number, "doc_ids": doc_ids, "text_hashes": marks, "lengths": [len(h) for h in held], "terms": list(seen),
             "counts": np.bincount(ids, minlength=len(seen)).tolist(), "postings": places.tobytes()}
 
 
@@ -186,14 +187,14 @@ def _search(row: dict, wanted: list, slop: int):
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row given.
+    """Per document: doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated; one row per row given.
 
     n_hit counts words inside any occurrence of a window, n_items the items whose windows occur; without any the
     digest is that of the empty text."""
     index = build_index(docs)
     hits = matches(index, items, size)
-    listed = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("doc", "d")).select(
-        "shard", "doc", F.col("d.doc_ids").alias("doc_id"), F.col("d.lengths").cast("long").alias("n_words"))
+    listed = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "text_hashes", "lengths")).alias("doc", "d")).select(
+        "shard", "doc", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_hashes").alias("text_hash"), F.col("d.lengths").cast("long").alias("n_words"))
     # Spans of several blocks may overlap: they are sorted and swept.
     spans = F.array_sort(F.arrays_zip("starts", "stops"))
     swept = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), lambda a, s: F.struct(
@@ -201,7 +202,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     told = hits.select("shard", "doc", swept.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
     none = F.array().cast("array<string>")
     return listed.join(told, ["shard", "doc"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("item_ids", none), ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
