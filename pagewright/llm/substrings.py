@@ -79,8 +79,10 @@ class Symbols:
         after = np.append(np.arange(1, len(self.name)), 0)
         right = (mixed(self.name + np.uint64(number)) >> np.uint64(63)).astype(bool)
         pair = self.inner & ~right & right[after]
-        # A border behind a right symbol stays whatever follows; else a left symbol must follow.
-        need_low, need_high = np.where(right, self.low, self.low[after]), np.where(right, self.high, self.high[after])
+        # A border before a left symbol stays whatever stands before it; before a right one, a right one must stand.
+        both = right[after]
+        need_low = np.where(both, np.minimum(self.low, self.low[after]), self.low[after])
+        need_high = np.where(both, np.maximum(self.high, self.high[after]), self.high[after])
         names = mixed(self.name * MIX + self.name[after])
         old, (first, last) = self.name, self._fold(pair, need_low, need_high)
         self.name = np.where(last > first, names[first], old[first])
