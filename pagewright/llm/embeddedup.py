@@ -30,7 +30,7 @@ class Shard:
         self.ids = np.frombuffer(row[prefix + "ids"], "<i8")
         self.copies = np.frombuffer(row[prefix + "copies"], "<i8")
         self.vectors = np.frombuffer(row[prefix + "vectors"], "<f8").reshape(len(self.ids), -1)
-        if row.get("layers") is not None:
+        if not prefix:
             self.graph = Graph(self.vectors[:0])
             self.graph.vectors = self.vectors
             self.graph.layers = [np.frombuffer(raw, "<i8").reshape(len(self.ids), -1) for raw in row["layers"]]
