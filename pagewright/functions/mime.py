@@ -16,7 +16,6 @@ FEED_TYPES = ["application/rss+xml", "application/atom+xml", "application/rdf+xm
               "application/feed+xml", "application/xml", "text/xml"]
 # Markers of a feed root element.
 FEED_ROOTS = ["<rss", "<feed", "<rdf:RDF", "<RDF"]
-FEED_PROBE_CHARS = 512
 BINARY_TOKENS = 10
 # Error codes that a caller may retry.
 RETRYABLE = ["TIMEOUT", "HTTP_ERROR"]
@@ -72,14 +71,11 @@ def decode_bodies(df: DataFrame, body: str, charset: str, out: str) -> DataFrame
 
 
 def looks_like_feed(body) -> Column:
-    """A feed root element within the first characters after an optional XML prolog."""
-    head = F.regexp_replace(as_col(body), r"(?sU)\A\s+", "")
-    head = F.regexp_replace(F.regexp_replace(head, r"(?s)\A<\?xml(?:(?:(?!\?>).)*+\?>)?+", ""), r"(?U)\A\s+", "")
-    probe = F.left(head, F.lit(FEED_PROBE_CHARS))
-    found = F.lit(False)
-    for root in FEED_ROOTS:
-        found = found | probe.contains(root)
-    return found
+    """Whether the root element is one of a feed, whatever prolog, comments and document type stand before it."""
+    space, prolog = r"(?U:\s++)", r"<\?(?:(?!\?>)[\s\S])*+\?>"
+    comment, kind = r"<!--(?:(?!-->)[\s\S])*+-->", r"<![A-Za-z](?:[^>\[]|\[[^\]]*+\])*+>"
+    before = rf"\A\x{{FEFF}}?(?:{space}|{prolog}|{comment}|{kind})*+"
+    return as_col(body).rlike(rf"{before}(?:{'|'.join(FEED_ROOTS)})(?=[\s/>])")
 
 
 def route(content_type, body) -> Column:

@@ -32,6 +32,10 @@ COMMAND_FIELDS = (
 METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE"]
 
 
+END_MARK = "end of line"
+TEXT_FIELDS = [f.split()[0] for f in COMMAND_FIELDS.split(", ") if f.endswith(" string") and f != "step_delay string"]
+
+
 def _step_delay_ok() -> Column:
     """A number, or an ordered pair of numbers, none of them negative."""
     raw = F.col("step_delay")
@@ -41,6 +45,19 @@ def _step_delay_ok() -> Column:
         raw.startswith("[") & (F.size(pair) == 2) & (pair[0] >= 0) & (pair[0] <= pair[1]), F.lit(False))
 
 
+def _mistyped() -> Column:
+    """Whether the line holds more than one JSON value, or a text field holds something else than text or null.
+
+    The typed reader turns numbers into text. Readers stop behind the first value, so the line is read as the first
+    entry of a list whose second must then be the mark put behind it."""
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit(f',"{END_MARK}"]')))
+    wrong = ~F.coalesce(F.try_variant_get(whole, "$[1]", "string") == END_MARK, F.lit(False))
+    for name in TEXT_FIELDS:
+        held = F.try_variant_get(whole, f"$[0].{name}", "variant")
+        wrong = wrong | ~F.coalesce(F.schema_of_variant(held).isin("STRING", "VOID"), F.lit(True))
+    return wrong
+
+
 def parse_commands(lines: DataFrame) -> DataFrame:
     """`lines(log, line_no, line)` to command rows; blank lines go, bad ones keep `bad` = true.
 
@@ -50,19 +67,19 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("line", F.trim(F.regexp_replace("line", r"(?U)\A\s+|\s+\z", ""))).filter("line <> ''").withColumn(
         "_c", F.from_json("line", f"{COMMAND_FIELDS}, _corrupt string",
                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    rows = parsed.select(*lines.columns, "_c.*")
+    rows = parsed.select(*lines.columns, "_c.*", _mistyped().alias("_mistyped"))
     missing = F.lit(False)
     for action, fields in REQUIRED.items():
         for name in fields:
             missing = missing | ((F.col("action") == action) & F.col(name).isNull())
     bad_field = F.exists(F.coalesce("fields", F.array().cast(rows.schema["fields"].dataType)),
                          lambda f: f["selector"].isNull() | f["value"].isNull())
-    bad = (F.col("_corrupt").isNotNull() | F.col("id").isNull() | F.col("v").isNull() | F.col("seq").isNull()
+    bad = (F.col("_corrupt").isNotNull() | F.col("_mistyped") | (F.col("v") < 0) | F.col("id").isNull() | F.col("v").isNull() | F.col("seq").isNull()
            | (F.col("seq") < 0) | ~F.coalesce(F.col("action").isin(ACTIONS), F.lit(False)) | missing
            | ((F.col("action") == "fill") & bad_field)
            | ((F.col("action") == "fetch") & ~F.coalesce(F.col("method").isin(METHODS), F.lit(True)))
            | ((F.col("action") == "config") & ~_step_delay_ok()))
-    return rows.withColumn("bad", F.coalesce(bad, F.lit(True))).drop("_corrupt")
+    return rows.withColumn("bad", F.coalesce(bad, F.lit(True))).drop("_corrupt", "_mistyped")
 
 
 def validate_seq(commands: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pagewright.functions import as_col
 from pagewright.operators.htmltree import HEADINGS, parse_html
 from pagewright.operators.mdtree import render_tree
-from pagewright.session import spread
 
 NODE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -47,6 +46,7 @@ _ARROW = pa.schema([
     ("text_from", pa.int64()), ("text_to", pa.int64()),
     ("parent_tag", pa.string()), ("parent_end", pa.int32()), ("parent_to", pa.int64()), ("heading", pa.int32()),
 ])
+EMITTED = "emitted"  # the column metadata that names the tags a kernel was asked for
 FLUSH_ROWS = 16384
 FLUSH_BYTES = 8 << 20
 
@@ -143,8 +143,6 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
         return tag_set is None or kind == "document" or tag in tag_set
 
     def kernel(batches):
-        sys.setrecursionlimit(10000)  # page trees are at most a few hundred levels deep
-
         def rows():
             for batch in batches:
                 for page_id, url, source in zip(*(column.to_pylist() for column in batch.columns)):
@@ -160,7 +158,9 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
 
         return in_batches(rows(), 12, _batch)
 
-    return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(kernel, NODE_SCHEMA)
+    rows = pages.select("page_id", "url", "html").mapInArrow(kernel, NODE_SCHEMA)
+    # Selectors look here, so that none is evaluated on rows that were never made.
+    return rows if tag_set is None else rows.withMetadata("tag", {EMITTED: sorted(tag_set)})
 
 
 def clustered(rows: DataFrame) -> DataFrame:

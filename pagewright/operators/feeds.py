@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pagewright.functions.text import clean_description, collapse_ws, truncate_tokens
 from pagewright.functions.urls import display_href
 from pagewright.operators.dom import in_batches
-from pagewright.session import spread
 
 # Element names that fill each field.
 ITEM_FIELDS = {
@@ -107,7 +106,7 @@ def feed_rows(pages: DataFrame) -> DataFrame:
 
         return in_batches(rows(), 5, _batch)
 
-    return spread(pages.select("page_id", "url", "html"), "page_id").mapInArrow(kernel, FEED_SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(kernel, FEED_SCHEMA)
 
 
 def feeds(rows: DataFrame) -> DataFrame:

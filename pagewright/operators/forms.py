@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions.urls import form_encode, resolve_url
 from pagewright.operators.dom import elements, html_nodes
-from pagewright.operators.selectors import css_flag, field_key, form_key, nearest
+from pagewright.operators.selectors import css_flag, field_key, form_key, nearest, needed_tags
 
 FORM_TAGS = ("form", "input", "textarea", "select", "option", "button")
 # Accepted methods, and controls that carry no value.
@@ -14,8 +16,13 @@ METHODS = ["POST", "PUT", "PATCH", "DELETE"]
 NO_VALUE = ["submit", "button", "image", "reset", "file"]
 
 
-def form_nodes(pages: DataFrame) -> DataFrame:
-    return html_nodes(pages, FORM_TAGS, kinds=("element",), texts=("textarea", "option"))
+def form_nodes(pages: DataFrame, selectors: Iterable[str] = ()) -> DataFrame:
+    """Element rows of forms and controls, and of what the given selectors name besides."""
+    tags = set(FORM_TAGS)
+    for selector in selectors:
+        needed = needed_tags(selector)
+        tags = None if needed is None or tags is None else tags | needed
+    return html_nodes(pages, tags, kinds=("element",), texts=("textarea", "option"))
 
 
 def extract_forms(nodes: DataFrame) -> DataFrame:
@@ -60,7 +67,8 @@ def form_fields(nodes: DataFrame) -> DataFrame:
 def validate_fields(nodes: DataFrame, overlay: list[tuple[str, str]]) -> DataFrame:
     """(page_id, ord, selector, value, name, code) for each page and each (selector, value) pair.
 
-    The first match must be an input, text area or select with a name; `code` is null if it is.
+    The first match must be an input, text area or select with a name; `code` is null if it is. Selectors that
+    name other elements need them in the rows: see `form_nodes(pages, selectors)`.
     """
     rows = elements(nodes)
     for n, (selector, _) in enumerate(overlay):

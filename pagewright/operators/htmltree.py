@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as charrefs
 import re
+from collections import Counter
 
 # Element classes of the HTML parsing rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,7 +32,6 @@ SPECIAL = frozenset(
 TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 MARKED = frozenset("td th caption applet marquee object".split())
-MAX_DEPTH = 512  # as in browsers: deeper elements become siblings
 
 _ATTR = r"[^\s=/>]+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?"
 _TOKEN = re.compile(
@@ -83,19 +83,64 @@ def _attributes(source):
     return found
 
 
+class _Stack(list):
+    """Open elements, with a count per tag and the set of them, so that most questions need no walk down the stack."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.held = Counter(), set()
+
+    def _in(self, node):
+        self.open[node.tag] += 1
+        self.held.add(id(node))
+
+    def _out(self, nodes):
+        for node in nodes:
+            self.open[node.tag] -= 1
+            self.held.discard(id(node))
+
+    def __contains__(self, node):
+        return id(node) in self.held
+
+    def append(self, node):
+        super().append(node)
+        self._in(node)
+
+    def insert(self, at, node):
+        super().insert(at, node)
+        self._in(node)
+
+    def pop(self):
+        node = super().pop()
+        self._out((node,))
+        return node
+
+    def remove(self, node):
+        super().remove(node)
+        self._out((node,))
+
+    def __delitem__(self, at):
+        self._out(self[at] if isinstance(at, slice) else (self[at],))
+        super().__delitem__(at)
+
+    def __setitem__(self, at, node):
+        self._out((self[at],))
+        super().__setitem__(at, node)
+        self._in(node)
+
+
 class TreeBuilder:
     def __init__(self):
         self.root = Node("document")
         self.html = self.head = self.body = None
-        self.stack = []
+        self.stack = _Stack()
         self.formatting = []  # None entries are markers
         self.foreign = 0
 
     # -- stack helpers
 
     def _push(self, node):
-        if len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        self.stack.append(node)
         return node
 
     def _insert(self, tag, attrs, open_it=True):
@@ -103,6 +148,8 @@ class TreeBuilder:
         return self._push(node) if open_it else node
 
     def _in_scope(self, tags, barriers=SCOPE):
+        if not any(self.stack.open[tag] for tag in tags):
+            return False
         for node in reversed(self.stack):
             if node.tag in tags:
                 return True
@@ -153,8 +200,6 @@ class TreeBuilder:
         while at and entries[at - 1] is not None and entries[at - 1] not in self.stack:
             at -= 1
         for k in range(at, len(entries)):
-            if len(self.stack) >= MAX_DEPTH:
-                return
             entries[k] = self._insert(entries[k].tag, entries[k].attrs)
 
     def _remember(self, node):
@@ -314,7 +359,7 @@ class TreeBuilder:
                 self.stack.pop()
             if tag == "optgroup" and self.stack[-1].tag == "optgroup":
                 self.stack.pop()
-        elif tag == "form" and any(n.tag == "form" for n in self.stack):
+        elif tag == "form" and self.stack.open["form"]:
             return None
         elif tag in ("a", "nobr"):
             entry = self._find_formatting(tag)
@@ -339,7 +384,7 @@ class TreeBuilder:
         return node if raw else None
 
     def _close_item(self, tags):
-        for node in reversed(self.stack):
+        for node in reversed(self.stack) if any(self.stack.open[tag] for tag in tags) else ():
             if node.tag in tags:
                 self._close_implied(node.tag)
                 self._pop_until({node.tag})
@@ -349,7 +394,7 @@ class TreeBuilder:
         self._close_p()
 
     def _table_part(self, tag, attrs):
-        if not any(n.tag == "table" for n in self.stack):
+        if not self.stack.open["table"]:
             return
         wanted = {"tr": SECTIONS, "td": {"tr"}, "th": {"tr"}, "col": {"colgroup"}}.get(tag, frozenset())
         while self.stack[-1].tag != "table" and self.stack[-1].tag not in wanted:
@@ -377,11 +422,11 @@ class TreeBuilder:
                 self.stack.pop()
             return
         if self.foreign:
-            names = [n.tag for n in self.stack]
-            if tag in names:
-                for name in names[len(names) - names[::-1].index(tag) - 1:]:
-                    self.foreign -= name in ("svg", "math")
-                self._pop_until({tag})
+            while self.stack.open[tag]:
+                name = self.stack.pop().tag
+                self.foreign -= name in ("svg", "math")
+                if name == tag:
+                    break
             return
         if tag in ("body", "html"):
             return
@@ -417,6 +462,8 @@ class TreeBuilder:
             self._end_other(tag)
 
     def _end_other(self, tag):
+        if not self.stack.open[tag]:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             node = self.stack[at]
             if node.tag == tag:

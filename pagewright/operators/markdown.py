@@ -3,8 +3,6 @@ truncation and chunking stay column expressions outside it."""
 
 from __future__ import annotations
 
-import sys
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -13,7 +11,6 @@ from pagewright.operators.dom import html_nodes, in_batches
 from pagewright.operators.htmltree import parse_html
 from pagewright.operators.mdtree import render_tree
 from pagewright.operators.selectors import needed_tags, select_or_nothing
-from pagewright.session import spread
 
 MARKDOWN_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -44,8 +41,6 @@ def html_markdown(pages: DataFrame, selector: str | None = None, strip_nav: bool
                "compact_links": compact_links}
 
     def kernel(batches):
-        sys.setrecursionlimit(10000)  # page trees are at most a few hundred levels deep
-
         def rows():
             for batch in batches:
                 columns = [column.to_pylist() for column in batch.columns]
@@ -57,9 +52,7 @@ def html_markdown(pages: DataFrame, selector: str | None = None, strip_nav: bool
         return in_batches(rows(), 2, _batch)
 
     source = pages.select("page_id", "url", "html")
-    if selector is None:
-        source = spread(source, "page_id")
-    else:
+    if selector is not None:
         try:
             tags = needed_tags(selector)
         except ValueError:

@@ -100,7 +100,8 @@ def redirect_moves(declared: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_HOPS) -> DataFrame:
-    """`starts(page_id, url)` with `final_url` and `hops` after at most `hops` moves.
+    """`starts(page_id, url)` with `final_url`, `hops` and `cut` after at most `hops` moves; `cut` tells that the
+    page reached moves on.
 
     Chains are first closed over `moves` alone (pages that do move are few; the table is kept, as
     every hop reads it), then every start is joined once. A chain ends where there is no move, or at a move to its own address.
@@ -115,9 +116,13 @@ def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_H
         go = F.coalesce(F.col("_to") != F.col("final_url"), F.lit(False))
         chains = stepped.select("key", F.when(go, F.col("_to")).otherwise(F.col("final_url")).alias("final_url"),
                                 (F.col("hops") + go.cast("int")).alias("hops"), go.alias("_on"))
-    ends = chains.select("key", F.col("final_url").alias("_final"), F.col("hops").alias("_hops"))
+    at = F.when(F.col("_on"), url_key("final_url"))
+    chains = chains.withColumn("_from", F.coalesce(at, F.concat(F.lit("at rest "), "key"))).join(step, "_from", "left").withColumn(
+        "cut", F.coalesce(F.col("_to") != F.col("final_url"), F.lit(False)))
+    ends = chains.select("key", F.col("final_url").alias("_final"), F.col("hops").alias("_hops"), F.col("cut").alias("_cut"))
     return starts.withColumn("key", url_key("url")).join(ends, "key", "left").select(
-        *starts.columns, F.coalesce("_final", "url").alias("final_url"), F.coalesce("_hops", F.lit(0)).alias("hops"))
+        *starts.columns, F.coalesce("_final", "url").alias("final_url"), F.coalesce("_hops", F.lit(0)).alias("hops"),
+        F.coalesce("_cut", F.lit(False)).alias("cut"))
 
 
 def search_hits(links: DataFrame, n: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewright.functions import as_col
 
@@ -23,20 +23,33 @@ BUILTIN_PATTERNS = [
 SENSITIVE_NAMES = ["session", "sid", "token", "jwt", "auth", "csrf"]
 MASK = "\u2022" * 6
 HANDLE = r"\$\{secret_[0-9a-f]{32}\}"
-# Marks match borders while a text is split; a code point that never stands for a character.
-_EDGE = "\ufdd0"
+
+
+def jvm_pattern(pattern: str) -> str:
+    """Named groups as the engine's regular expressions write them; their names may hold letters and digits only."""
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", named)
+
+
+def _refused(pattern: str) -> str | None:
+    """Why the engine cannot run a pattern; asked once, on the driver, without a job."""
+    spark = SparkSession.active()
+    try:
+        empty = spark.sql("SELECT '' RLIKE :p AS empty", {"p": pattern}).first().empty
+    except Exception as error:  # the engine's own message says what is wrong
+        return str(error).splitlines()[0]
+    return "it matches the empty text" if empty else None
 
 
 def secret_patterns(extra: list[tuple[str, str]] = ()) -> list[tuple[str, str]]:
     """Built-in patterns followed by the user's; a user pattern replaces one of the same name.
 
-    A pattern that does not compile is reported and left out.
+    A pattern that the engine cannot run, or that matches the empty text, is reported and left out.
     """
     patterns = list(BUILTIN_PATTERNS)
-    for name, pattern in extra:
-        try:
-            re.compile(pattern)
-        except re.error as error:
+    for name, given in extra:
+        pattern = jvm_pattern(given)
+        if error := _refused(pattern):
             warnings.warn(f"invalid redaction pattern {name!r}: {error}", stacklevel=2)
             continue
         patterns = [p for p in patterns if p[0] != name] + [(name, pattern)]
@@ -48,18 +61,28 @@ def handle_of(secret: Column) -> Column:
     return F.concat(F.lit("${secret_"), F.left(F.sha2(secret, 256), F.lit(32)), F.lit("}"))
 
 
-def _segments(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """array<struct(secret, s)>: the text cut at its matches.
+def _cut(text: Column, pattern: str) -> Column:
+    """array<struct(secret, s)>: the matches of a pattern and what stands between them, in order.
 
-    Later patterns only see what is still plain, so they cannot hit inside an earlier match.
-    """
-    def cut(plain: Column, pattern: str) -> Column:
-        parts = F.split(F.regexp_replace(plain, f"({pattern})", f"{_EDGE}$1{_EDGE}"), _EDGE)
-        return F.transform(parts, lambda s, i: F.struct((i % 2 == 1).alias("secret"), s.alias("s")))
+    Both come from the text as it is, no mark is put into it. Where a pattern matched something of no length the
+    two would not fit together: the job ends then rather than let a secret through."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
 
+    def piece(s: Column, secret: bool) -> Column:
+        return F.struct(F.lit(secret).alias("secret"), s.alias("s"))
+
+    pieces = F.flatten(F.transform(between, lambda s, i: F.when(i < F.size(found), F.array(piece(s, False), piece(F.get(found, i), True)))
+                                   .otherwise(F.array(piece(s, False)))))
+    return F.when(F.size(between) == F.size(found) + 1, pieces).otherwise(
+        F.raise_error(F.lit("a redaction pattern matches something of no length")).cast("array<struct<secret:boolean,s:string>>"))
+
+
+def _segments(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The text cut at its matches. Later patterns only see what is still plain, so they cannot hit inside an earlier match."""
     def apply(segments: Column, pattern: str) -> Column:
         return F.flatten(F.transform(segments, lambda seg: F.when(
-            seg["secret"] | ~seg["s"].rlike(pattern), F.array(seg)).otherwise(cut(seg["s"], pattern))))
+            seg["secret"] | ~seg["s"].rlike(pattern), F.array(seg)).otherwise(_cut(seg["s"], pattern))))
 
     segments = F.array(F.struct(F.lit(False).alias("secret"), text.alias("s")))
     for _, pattern in patterns:
@@ -67,8 +90,12 @@ def _segments(text: Column, patterns: list[tuple[str, str]]) -> Column:
     return segments
 
 
-def _any_of(patterns: list[tuple[str, str]]) -> str:
-    return "|".join(f"(?:{pattern})" for _, pattern in patterns)
+def _has_any(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Each pattern by itself: joined ones would number each other's groups anew."""
+    found = F.lit(False)
+    for _, pattern in patterns:
+        found = found | text.rlike(pattern)
+    return found
 
 
 def redact(text, patterns=None) -> Column:
@@ -76,14 +103,14 @@ def redact(text, patterns=None) -> Column:
     text, patterns = as_col(text), secret_patterns() if patterns is None else patterns
     replaced = F.transform(_segments(text, patterns), lambda seg: F.when(
         seg["secret"], handle_of(seg["s"])).otherwise(seg["s"]))
-    return F.when(text.rlike(_any_of(patterns)), F.array_join(replaced, "")).otherwise(text)
+    return F.when(_has_any(text, patterns), F.array_join(replaced, "")).otherwise(text)
 
 
 def secrets_in(text, patterns=None) -> Column:
     """array<string> of the secrets found in a text."""
     text, patterns = as_col(text), secret_patterns() if patterns is None else patterns
     found = F.transform(F.filter(_segments(text, patterns), lambda seg: seg["secret"]), lambda seg: seg["s"])
-    return F.when(text.rlike(_any_of(patterns)), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+    return F.when(_has_any(text, patterns), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
 
 
 def redact_text(df: DataFrame, column: str, patterns=None) -> DataFrame:
@@ -113,8 +140,8 @@ def resolve_handles(df: DataFrame, column: str, vault: DataFrame, key: str) -> D
         key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"({HANDLE})"), F.lit(1)))).alias("handle"))
     known = used.join(vault.select("handle", "secret"), "handle").groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("handle", "secret"))).alias("_known"))
-    parts = F.split(F.regexp_replace(column, f"({HANDLE})", f"{_EDGE}$1{_EDGE}"), _EDGE)
-    filled = F.transform(parts, lambda s: F.coalesce(F.col("_known")[s], s))
+    filled = F.transform(_cut(F.col(column), HANDLE), lambda part: F.coalesce(
+        F.when(part["secret"], F.col("_known")[part["s"]]), part["s"]))
     return df.join(known, key, "left").withColumn(column, F.when(
         F.col("_known").isNotNull(), F.array_join(filled, "")).otherwise(F.col(column))).select(*df.columns)
 

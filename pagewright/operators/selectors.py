@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pagewright.operators.dom import clustered, elements, with_text
+from pagewright.operators.dom import EMITTED, clustered, elements, with_text
 from pagewright.operators.htmltree import RAW_TEXT, VOID
 
 _IDENT = r"(?:[A-Za-z_\-\u0080-\U0010ffff]|\\.)(?:[\w\-\u0080-\U0010ffff]|\\.)*"
@@ -146,6 +146,16 @@ def needed_tags(selector: str) -> set[str] | None:
     return tags
 
 
+def check_tags(nodes: DataFrame, selector: str) -> None:
+    """Raises ValueError when the node rows were made without a tag that the selector names."""
+    emitted = nodes.schema["tag"].metadata.get(EMITTED) if "tag" in nodes.columns else None
+    if emitted is None:
+        return
+    named = {c.tag for chain in parse_selector(selector) for c in chain if c.tag is not None}
+    if missing := named - set(emitted):
+        raise ValueError(f"{selector!r} needs rows of {', '.join(sorted(missing))}, which html_nodes was not asked for")
+
+
 def by_page(*order) -> Window:
     return Window.partitionBy("page_id").orderBy(*(order or ("node_id",)))
 
@@ -189,6 +199,7 @@ def from_parent(rows: DataFrame, value: Column, out: str) -> DataFrame:
 
 def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame:
     """Element rows with a boolean column: does the element match the selector?"""
+    check_tags(nodes, selector)
     rows = elements(nodes)
     columns = [c for c in rows.columns if c != out]
     flags = []
@@ -203,7 +214,9 @@ def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame
             if compound.combinator == " ":
                 linked = inside(held)
             elif compound.combinator == "+":
-                linked = F.coalesce(F.lag(held).over(siblings()), F.lit(False))
+                # The sibling just before, not the one before it among the rows that are there.
+                next_to = F.lag("elem").over(siblings()) == F.col("elem") - 1
+                linked = F.coalesce(next_to & F.lag(held).over(siblings()), F.lit(False))
             elif compound.combinator == "~":
                 linked = F.coalesce(F.max(held).over(before(siblings())), F.lit(False))
             else:

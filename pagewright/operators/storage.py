@@ -82,12 +82,15 @@ def with_origin(events: DataFrame) -> DataFrame:
     return events.withColumn("storage_code", code).withColumn("origin", F.coalesce("origin", own))
 
 
-def merge_snapshot(rules: list[tuple[str, str, str]], snapshot: DataFrame) -> DataFrame:
+def merge_snapshot(rules: list[tuple[str, str, str]], snapshot: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Configured entries (origin, key, value) against restored `snapshot(session, origin, key,
-    value)`: a configured entry wins and exists in every session."""
+    value)`: a configured entry wins and exists in every session, those of `sessions(session)` that restored
+    nothing included."""
     presets = F.array(*[F.struct(F.lit(o).alias("origin"), F.lit(k).alias("key"), F.lit(v).alias("value"))
                         for o, k, v in rules])
-    loaded = snapshot.select("session").distinct().select("session", F.inline(presets), F.lit(1).alias("_prio"))
+    every = snapshot.select("session")
+    every = (every if sessions is None else every.union(sessions.select("session"))).distinct()
+    loaded = every.select("session", F.inline(presets), F.lit(1).alias("_prio"))
     return snapshot.select(*ITEM, "value", F.lit(0).alias("_prio")).unionByName(loaded).groupBy(*ITEM).agg(
         F.max_by("value", "_prio").alias("value"))
 

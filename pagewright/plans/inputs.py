@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewright.session import spread
 
 SITE = "https://site.example"
 COOKIE_NAMES = ["session_id", "theme", "cart", "auth_token", "lang"]
@@ -16,8 +15,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents; a file that is a single split is spread, since text work is all CPU."""
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,15 +1,9 @@
-"""Session construction and the few size checks the library makes before planning."""
+"""Session construction and reliable intermediate storage."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-# Small inputs are spread over the cores before a Python kernel; larger ones already have
-# enough splits and are left where the scan put them, so no page body is ever shuffled at scale.
-SPREAD_BYTES_PER_CORE = 32 << 20
-
 
 def build_session(master: str | None = None, app: str = "pagewright", **conf) -> SparkSession:
     """A session with the settings the operators are tuned for.
@@ -25,6 +19,8 @@ def build_session(master: str | None = None, app: str = "pagewright", **conf) ->
         "spark.sql.session.timeZone": "UTC",
         # Plans here have many columns; recording a call site for each costs more than planning them.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # A single small file is cut into a split per core before the Python kernels; large ones keep their size.
+        "spark.sql.files.openCostInBytes": "65536",
         # HTML rows are wide: few rows per Arrow batch keep worker memory flat.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
         "spark.sql.streaming.stateStore.providerClass":
@@ -37,32 +33,19 @@ def build_session(master: str | None = None, app: str = "pagewright", **conf) ->
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of everything a plan scans (joins above the scans are not guessed at)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread an input that is too small to have one split per core."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) >= cores * SPREAD_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own setting, a local one only if unset."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Only a local session may do without: its executors share the machine, so a temporary folder is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
-    fallback = tempfile.mkdtemp(prefix="pagewright-ckpt-", dir=os.environ.get("TMPDIR"))
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagewright-ckpt-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

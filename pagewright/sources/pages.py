@@ -19,9 +19,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rules_df(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A configuration table. It is driver-side data by nature, so its size is known when Spark
-    plans a join with it and it is broadcast only if it is small."""
-    return spark.createDataFrame(rows, schema)
+    """A configuration table. It is driver-side data by nature; as an Arrow table it becomes a local relation, so
+    its size is known when Spark plans a join with it and it is broadcast only if it is small."""
+    table = spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(table.toArrow(), table.schema)
 
 
 def write_binaries(responses: DataFrame, path: str) -> DataFrame:

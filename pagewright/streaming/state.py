@@ -80,7 +80,9 @@ class HistoryFold(_Keyed):
             depth, ahead = move(depth, ahead, code)
             if code == 0:
                 self.entries.updateValue((depth,), (row.url,))
-            url = self.entries.getValue((depth,))[0] if depth else None
+            # An entry may have outlived its time under a cursor that is still in use: its address is unknown then.
+            entry = self.entries.getValue((depth,)) if depth and self.entries.containsKey((depth,)) else None
+            url = entry[0] if entry else None
             out.append((key[0], row.seq, depth - 1, depth + ahead, url,
                         "NO_HISTORY" if code in (1, 2) and depth == before else None))
         self.cursor.update((depth, ahead))

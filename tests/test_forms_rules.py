@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,7 +65,43 @@ def test_redaction_round_trip(spark):
     assert secrets.resolve_handles(unknown, "text", vault, "id").first().text == unknown.first().text
 
 
-def test_patterns():
+@pytest.mark.parametrize("text", ["hello \ufdd0 world token = \"" + "a" * 40 + "\" end", "\ufdd0\ufdd0", "no secret \ufdd0 at all", "CUSTOM-ABCD\ufdd0CUSTOM-EFGH"])
+def test_marks_in_texts_do_not_leak(spark, text):
+    patterns = secrets.secret_patterns([("token", 'token = "[0-9a-f]{40}"'), ("named", "(?P<my_name>CUSTOM-[A-Z]{4})"), ("twice", r"(x)\1{5}")])
+    frame = spark.createDataFrame([(1, text)], "k int, text string")
+    hidden = secrets.redact_text(frame, "text", patterns)
+    shown = hidden.first().text
+    assert "a" * 40 not in shown and "CUSTOM-" not in shown and shown.count("\ufdd0") == text.count("\ufdd0")
+    assert secrets.resolve_handles(hidden, "text", secrets.build_vault(frame, "text", patterns), "k").first().text == text
+
+
+def test_any_text_comes_back(spark):
+    draw = random.Random(5)
+    parts = ["sk-" + "k" * 24, "ghp_" + "B" * 36, "\ufdd0", "${secret_0}", "é", "\U0001f600", "\n", " ", "xxxxxx", "token", "\x00"]
+    rows = [(n, "|".join(draw.choice(parts) for _ in range(draw.randint(0, 30)))) for n in range(300)]
+    patterns = secrets.secret_patterns([("twice", r"(x)\1{5}")])
+    frame = spark.createDataFrame(rows, "k int, text string")
+    hidden = secrets.redact_text(frame, "text", patterns).cache()
+    assert not any("k" * 24 in r.text or "xxxxxx" in r.text for r in hidden.collect())
+    back = secrets.resolve_handles(hidden, "text", secrets.build_vault(frame, "text", patterns), "k")
+    assert {r.k: r.text for r in back.collect()} == dict(rows)
+
+
+def test_fields_named_through_other_elements(spark, pages_of):
+    page = pages_of("<div class=login><form><input name=user><button name=b>Go</button></form></div>")
+    wanted = [("div.login input", "me"), ("div.login button", "x"), ("div.other input", "y")]
+    with pytest.raises(ValueError):
+        forms.validate_fields(forms.form_nodes(page), wanted)
+    rows = forms.validate_fields(forms.form_nodes(page, [s for s, _ in wanted]), wanted).orderBy("ord").collect()
+    assert [(r.name, r.code) for r in rows] == [("user", None), (None, "FORM_NOT_FOUND"), (None, "SELECTOR_NOT_FOUND")]
+
+
+def test_patterns_that_match_nothing(spark):
+    with pytest.warns(UserWarning, match="empty text"):
+        assert len(secrets.secret_patterns([("none", "a*")])) == 7
+
+
+def test_patterns(spark):
     with pytest.warns(UserWarning, match="invalid redaction pattern"):
         patterns = secrets.secret_patterns([("bad", "[x"), ("jwt", "J+")])
     assert dict(patterns)["jwt"] == "J+" and patterns[-1][0] == "jwt" and len(patterns) == 7

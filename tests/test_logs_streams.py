@@ -20,6 +20,15 @@ def frame_of(spark, *lines):
     return spark.createDataFrame([("log", n, line) for n, line in enumerate(lines, 1)], "log string, line_no long, line string")
 
 
+def test_lines_of_wrong_types(spark):
+    good = '{"v":1,"id":"a","seq":1,"action":"info"}'
+    lines = [good, good + " trailing", good.replace('"a"', "5"), good.replace('"v":1', '"v":-1'), '{"v":1,"id":"b","seq":2,"action":"fetch","url":7}',
+             good[:-1] + ',"url":null,"more":{"id":5}}', good + good, good.replace('"seq":1', '"seq":"1"')]
+    rows = spark.createDataFrame([("l", n, line) for n, line in enumerate(lines)], "log string, line_no long, line string")
+    found = {r.line_no: r.bad for r in commands.parse_commands(rows).collect()}
+    assert [found[n] for n in range(7)] == [False, True, True, True, True, False, True]
+
+
 def test_order_and_quit(spark):
     lines = [cmd(5), "", cmd(3), "not json", cmd(6), cmd(6, "back"), "{}", cmd(7, "quit"), cmd(8)]
     rows = commands.check_commands(frame_of(spark, *lines), SEGMENT).orderBy("line_no").collect()

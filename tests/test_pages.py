@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from pagewright.operators import dom, extract, navigation, results, selectors
 from pagewright.operators.htmltree import parse_html
 
-QUERY_PAGE = """<html lang="en"><body><h1>Main Heading</h1><h2>Sub</h2><p class="intro lead">Hello <strong>World</strong></p>
-<p>Second</p><a href="/1">One</a><a href="/2">Two</a><a href="/3">Three</a><img src="x.png" alt="pic">
-<div id="content" data-page="42"><ul><li>a<li>b<li>c</ul></div></body></html>"""
+QUERY_PAGE = """<html lang="en"><body><h1>Harbour Times</h1><h2>Tides</h2><p class="intro lead">High water at <strong>noon</strong></p>
+<p>Low water at six</p><a href="/1">Pier</a><a href="/2">Quay</a><a href="/3">Dock</a><img src="buoy.png" alt="buoy">
+<div id="content" data-page="42"><ul><li>rope<li>oar<li>net</ul></div></body></html>"""
 
 
 def written(node):
@@ -32,9 +32,10 @@ def test_tree(source, body):
 
 
 def test_deep_and_wide_pages_stay_cheap(spark, pages_of):
-    page = "<div>" * 3000 + "x" + "<b><i>" * 500 + "<p>y" * 50
-    rows = dom.html_nodes(pages_of(page))
-    assert rows.agg(F.max("depth")).first()[0] <= 520
+    rows = dom.html_nodes(pages_of("<div>" * 700 + "x", "<div>" * 30000 + "x" + "<b><i>" * 500 + "<p>y" * 50))
+    deepest = {r.page_id: r.d for r in rows.groupBy("page_id").agg(F.max("depth").alias("d")).collect()}
+    assert deepest[0] == 703 and deepest[1] > 30000
+    assert selectors.css_select(dom.html_nodes(pages_of("<div>" * 700 + "<p>x"), ("div", "p")), "div > p").count() == 1
 
 
 def test_intervals(spark, pages_of):
@@ -64,6 +65,15 @@ def test_selectors(spark, pages_of):
             assert selectors.css_select(pruned, selector).count() == expected, selector
 
 
+def test_selectors_on_pruned_rows(spark, pages_of):
+    page = "<ul><li>a<p>x</p></li></ul><ol><li>b</li><p>between</p><li>c</li><li>d</li></ol>"
+    for rows in (dom.html_nodes(pages_of(page)), dom.html_nodes(pages_of(page), ("li",))):
+        assert selectors.css_select(rows, "li + li").count() == 1
+    pruned = dom.html_nodes(pages_of(page), ("li",)).filter("depth > 0")
+    with pytest.raises(ValueError, match="needs rows of ol"):
+        selectors.css_select(pruned, "ol > li")
+
+
 @pytest.mark.parametrize("selector", ["[[[invalid", "", "a >", "a,", "p:hover", "a::before", "> p", ":nth-child(x)"])
 def test_bad_selectors(spark, pages_of, selector):
     nodes = dom.html_nodes(pages_of(QUERY_PAGE))
@@ -74,8 +84,8 @@ def test_bad_selectors(spark, pages_of, selector):
 
 def test_values(spark, pages_of):
     nodes = dom.html_nodes(pages_of(QUERY_PAGE)).cache()
-    assert [r.value for r in selectors.css_values(nodes, "p").orderBy("node_id").collect()] == ["Hello World", "Second"]
-    assert selectors.css_values(nodes, "p.intro", "innerHTML").first().value == "Hello <strong>World</strong>"
+    assert [r.value for r in selectors.css_values(nodes, "p").orderBy("node_id").collect()] == ["High water at noon", "Low water at six"]
+    assert selectors.css_values(nodes, "p.intro", "innerHTML").first().value == "High water at <strong>noon</strong>"
     assert [r.value for r in selectors.css_values(nodes, "a", "href").orderBy("node_id").collect()] == ["/1", "/2", "/3"]
     assert [r.value for r in selectors.css_values(nodes, "h1", "id").collect()] == [None]
     assert [r.n for r in selectors.css_count(nodes, "li").collect()] == [3]

@@ -89,6 +89,10 @@ def test_storage_origin_and_merge(spark):
     saved = spark.createDataFrame([("s", "o", "k", "old"), ("s", "o", "z", "kept")], "session string, origin string, key string, value string")
     merged = storage.merge_snapshot([("o", "k", "preset"), ("p", "n", "new")], saved)
     assert {(r.origin, r.key): r.value for r in merged.collect()} == {("o", "k"): "preset", ("o", "z"): "kept", ("p", "n"): "new"}
+    every = spark.createDataFrame([("s",), ("fresh",)], "session string")
+    merged = storage.merge_snapshot([("o", "k", "preset")], saved, every)
+    assert {(r.session, r.origin, r.key): r.value for r in merged.collect()} == {
+        ("s", "o", "k"): "preset", ("s", "o", "z"): "kept", ("fresh", "o", "k"): "preset"}
 
 
 def test_cookies(spark):
