@@ -375,7 +375,8 @@ def client_redirect(nodes: DataFrame) -> DataFrame:
 
 
 def redirect_nodes(pages: DataFrame) -> DataFrame:
-    return html_nodes(pages, ("meta", "script"), texts=("script",))
+    """Rows of the elements that can move a reader on, of the pages that hold such a word at all."""
+    return html_nodes(pages.filter(F.col("html").rlike("(?i)http-equiv|location")), ("meta", "script"), texts=("script",))
 
 
 # -- user functions over one page

@@ -56,6 +56,11 @@ def link_degrees(graph: DataFrame) -> DataFrame:
     return ends.groupBy("page_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def asked_pages(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pages that `asked(page_id)` names, chosen before any of them is parsed."""
+    return pages.join(asked.select("page_id").distinct(), "page_id", "left_semi")
+
+
 def follow_by_index(events: DataFrame, links: DataFrame) -> DataFrame:
     """`events(event_id, page_id, index)` with the absolute `target` of the link at that dense
     position, or LINK_NOT_FOUND."""
@@ -88,8 +93,8 @@ def _followed(joined: DataFrame, columns: list[str]) -> DataFrame:
 
 def links_of_current(current: DataFrame, links: DataFrame) -> DataFrame:
     """`current(session, page_id)` with the links of the page and their count."""
-    counts = links.groupBy("page_id").agg(F.count("*").alias("count"))
-    return current.join(links.select("page_id", "pos", "text", "href"), "page_id").join(counts, "page_id")
+    counted = links.select("page_id", "pos", "text", "href", F.count("*").over(Window.partitionBy("page_id")).alias("count"))
+    return current.join(counted, "page_id")
 
 
 def redirect_moves(declared: DataFrame, pages: DataFrame) -> DataFrame:

@@ -336,9 +336,9 @@ def contains(a_id: Column, a_end: Column, b_id: Column) -> Column:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, parent_id, parent_tag, parent_attrs) of every node that has a parent row."""
+    """(page_id, node_id, tag, parent_id, parent_tag, parent_attrs) of every node that has a parent row."""
     rows = from_parent(nodes, F.struct("tag", "attrs"), "_up").filter(F.col("_up").isNotNull())
-    return rows.select("page_id", "node_id", "parent_id", F.col("_up.tag").alias("parent_tag"),
+    return rows.select("page_id", "node_id", "tag", "parent_id", F.col("_up.tag").alias("parent_tag"),
                        F.col("_up.attrs").alias("parent_attrs"))
 
 
@@ -365,7 +365,7 @@ def child_stats(nodes: DataFrame) -> DataFrame:
     is_elem = F.col("kind") == "element"
     elem_id = F.when(is_elem, F.col("node_id"))
     return nodes.filter(F.col("parent_id").isNotNull()).groupBy("page_id", "parent_id").agg(
-        F.count("*").alias("child_nodes"), F.count(elem_id).alias("child_count"),
+        F.max("parent_tag").alias("parent_tag"), F.count("*").alias("child_nodes"), F.count(elem_id).alias("child_count"),
         F.min("node_id").alias("first_child"), F.max("node_id").alias("last_child"),
         F.min(elem_id).alias("first_elem"), F.max(elem_id).alias("last_elem"))
 

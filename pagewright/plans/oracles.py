@@ -132,7 +132,9 @@ SELECT page_id, '{NOTICE}' || chr(10) || chr(10) || '---' || chr(10)
 for _name, _by in (("host", HOST), ("lang", "lang")):
     O[f"stats_by_{_name}"] = f"""WITH {_links_cte()}, {_COUNTS}
 SELECT {_by} AS {_name}, count(*) AS pages, sum(tokens_est)::BIGINT AS tokens, max(tokens_est) AS max_tokens,
-       sum(content_bytes)::BIGINT AS bytes, sum(links)::BIGINT AS links, 0::BIGINT AS truncated_pages FROM facts GROUP BY 1"""
+       sum(content_bytes)::BIGINT AS bytes, sum(links)::BIGINT AS links, 0::BIGINT AS truncated_pages, quantile_cont(tokens_est, 0.5)::DOUBLE AS median_tokens FROM facts GROUP BY 1"""
+O["section_savings"] = f"""WITH s AS (SELECT {TOKENS} / greatest({ARTICLE_TOKENS}, 1) AS x FROM pages)
+SELECT count(*) AS pages, round(quantile_cont(x, 0.5), 6) AS median_saving, round(quantile_cont(x, 0.9), 6) AS p90_saving FROM s"""
 _TYPE = """CASE page_id % 8 WHEN 0 THEN 'text/html; charset=UTF-8' WHEN 1 THEN 'image/png' WHEN 2 THEN 'application/rss+xml'
   WHEN 3 THEN 'application/ld+json;x=1' WHEN 4 THEN 'text/xml' WHEN 5 THEN 'application/pdf' WHEN 6 THEN NULL
   ELSE 'text/plain; charset="latin1"' END"""

@@ -89,8 +89,7 @@ def css_counts(spark, sf):
 @query
 def children_count(spark, sf):
     nodes = dom.html_nodes(inputs.pages(spark, sf), ("nav", "ul", "li", "a"))
-    lists = selectors.by_tag(nodes, "ul").select("page_id", F.col("node_id").alias("parent_id"))
-    stats = selectors.child_stats(nodes).join(lists, ["page_id", "parent_id"])
+    stats = selectors.child_stats(nodes).filter("parent_tag = 'ul'")
     return stats.groupBy("page_id").agg(F.sum("child_count").alias("items"), F.sum("child_nodes").alias("nodes"))
 
 
@@ -105,8 +104,7 @@ def sibling_steps(spark, sf):
 @query
 def parent_tags(spark, sf):
     nodes = dom.html_nodes(inputs.pages(spark, sf), ("ul", "li", "a"))
-    return selectors.parents(nodes).join(selectors.by_tag(nodes, "a").select("page_id", "node_id"), ["page_id", "node_id"]).groupBy(
-        "page_id", "parent_tag").agg(F.count("*").alias("n"))
+    return selectors.parents(nodes).filter("tag = 'a'").groupBy("page_id", "parent_tag").agg(F.count("*").alias("n"))
 
 
 @query
@@ -206,13 +204,18 @@ def page_report(spark, sf):
 @query
 def stats_by_host(spark, sf):
     rows = results.page_results(inputs.pages(spark, sf), min_tokens=0)
-    return results.corpus_stats(rows, _host_column(), "host").drop("median_tokens")
+    return results.corpus_stats(rows, _host_column(), "host")
 
 
 @query
 def stats_by_lang(spark, sf):
     rows = results.page_results(inputs.pages(spark, sf), min_tokens=0)
-    return results.corpus_stats(rows, F.col("lang"), "lang").drop("median_tokens")
+    return results.corpus_stats(rows, F.col("lang"), "lang")
+
+
+@query
+def section_savings(spark, sf):
+    return results.section_savings(results.page_results(inputs.pages(spark, sf), min_tokens=0))
 
 
 @query
@@ -307,7 +310,7 @@ def dangling_links(spark, sf):
 @query
 def follow_by_index(spark, sf):
     asked = inputs.events(spark, sf).select("event_id", F.floor(F.col("event_id") / 40).alias("page_id"), (F.col("k") % 9).alias("index"))
-    return navigation.follow_by_index(asked, extract.page_links(inputs.pages(spark, sf))).select(
+    return navigation.follow_by_index(asked, extract.page_links(navigation.asked_pages(inputs.pages(spark, sf), asked))).select(
         "event_id", "target", "code")
 
 
@@ -316,7 +319,7 @@ def follow_by_text(spark, sf):
     asked = inputs.events(spark, sf).select(
         "event_id", F.floor(F.col("event_id") / 40).alias("page_id"),
         inputs._pick(["TH", "e", "la", "zz"], F.col("k") % 4).alias("needle"))
-    return navigation.follow_by_text(asked, extract.page_links(inputs.pages(spark, sf))).select("event_id", "target", "code")
+    return navigation.follow_by_text(asked, extract.page_links(navigation.asked_pages(inputs.pages(spark, sf), asked))).select("event_id", "target", "code")
 
 
 @query
@@ -682,7 +685,7 @@ def session_info(spark, sf):
 def links_of_current(spark, sf):
     rows = inputs.events(spark, sf).groupBy("user_id").agg(F.max("event_id").alias("last"))
     now = rows.select(F.col("user_id").alias("session"), F.floor(F.col("last") / 40).alias("page_id"))
-    return navigation.links_of_current(now, extract.page_links(inputs.pages(spark, sf))).select("session", "pos", "text", "count")
+    return navigation.links_of_current(now, extract.page_links(navigation.asked_pages(inputs.pages(spark, sf), now))).select("session", "pos", "text", "count")
 
 
 # -- command logs
