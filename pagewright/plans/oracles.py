@@ -316,6 +316,14 @@ O["redact_docs"] = f"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text,
     unnest(list_append(regexp_extract_all(text, '{_SECRET}'), NULL)) AS s,
     unnest(range(len(string_split_regex(text, '{_SECRET}')))) AS n FROM documents)
 SELECT doc_id, md5(string_agg(part || coalesce({_HANDLE}, ''), '' ORDER BY n)) AS digest FROM p GROUP BY 1"""
+_MARKED = f"{_SECRET}|MARK-[A-Z]{{4}}"
+O["redact_marked"] = f"""WITH m AS (SELECT doc_id, chr(64976) || text || chr(64976) || ' MARK-ABCD ' || chr(64976) || ' end' AS text FROM documents),
+p AS (SELECT doc_id, unnest(string_split_regex(text, '{_MARKED}')) AS part,
+    unnest(list_append(regexp_extract_all(text, '{_MARKED}'), NULL)) AS s,
+    unnest(range(len(string_split_regex(text, '{_MARKED}')))) AS n FROM m)
+SELECT doc_id, md5(string_agg(part || coalesce({_HANDLE}, ''), '' ORDER BY n)) AS digest, true AS same FROM p GROUP BY 1"""
+O["field_checks"] = """SELECT c_custkey, n::INT AS ord, CASE n WHEN 0 THEN 'name' END AS name,
+  CASE n WHEN 1 THEN 'FORM_NOT_FOUND' WHEN 2 THEN 'SELECTOR_NOT_FOUND' END AS code FROM customer, range(3) AS r(n)"""
 O["vault"] = f"""SELECT DISTINCT {_HANDLE} AS handle, s AS secret FROM (
   SELECT unnest(regexp_extract_all(text, '{_SECRET}')) AS s FROM documents)"""
 O["resolve_docs"] = "SELECT doc_id, md5(text) AS digest FROM documents"

@@ -494,6 +494,15 @@ def submit_requests(spark, sf):
     return forms.submit_requests(found, fields).select(F.col("page_id").alias("c_custkey"), "url", "method", "body")
 
 
+@query
+def field_checks(spark, sf):
+    """Fields named through an element around the form: a control, an option, and nothing."""
+    around = F.concat(F.lit('<div class="login">'), "html", F.lit("</div>"))
+    wanted = [("div.login input", "x"), ("div.login option", "y"), ("div.other input", "z")]
+    nodes = forms.form_nodes(inputs.customer_forms(spark, sf).withColumn("html", around), [s for s, _ in wanted])
+    return forms.validate_fields(nodes, wanted).select(F.col("page_id").alias("c_custkey"), "ord", "name", "code")
+
+
 @query
 def field_values(spark, sf):
     nodes = forms.form_nodes(inputs.customer_forms(spark, sf))
@@ -538,6 +547,17 @@ def resolve_docs(spark, sf):
     return back.select("doc_id", F.md5("text").alias("digest"))
 
 
+@query
+def redact_marked(spark, sf):
+    """Texts with a noncharacter around them and a pattern with a named group: what is hidden comes back unchanged."""
+    patterns = secrets.secret_patterns([*TOKEN_PATTERN, ("named", "(?P<my_name>MARK-[A-Z]{4})")])
+    mark = F.lit("\ufdd0")
+    docs = inputs.documents(spark, sf).select("doc_id", F.concat(mark, "text", mark, F.lit(" MARK-ABCD "), mark, F.lit(" end")).alias("text"))
+    hidden = secrets.redact_text(docs.withColumn("whole", F.col("text")), "text", patterns).withColumn("hidden", F.col("text"))
+    back = secrets.resolve_handles(hidden, "text", secrets.build_vault(docs, "text", patterns), "doc_id")
+    return back.select("doc_id", F.md5("hidden").alias("digest"), (F.col("text") == F.col("whole")).alias("same"))
+
+
 @query
 def redact_cookies(spark, sf):
     jar = cookies.cookie_jar(inputs.cookie_events(spark, sf))
