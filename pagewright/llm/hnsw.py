@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Neighbours kept per node in upper layers (twice as many in the lowest), beam while building, nodes inserted at once.
-DEGREE, BUILD_BEAM, BATCH = 12, 48, 256
+DEGREE, BUILD_BEAM, BATCH = 8, 16, 1024
 #: Nodes that a query's beam expands in one step.
 STEP = 4
 
@@ -16,7 +16,6 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.
     Places that stay empty hold -1 and a cosine below any. A query ends when no node of its beam is unexpanded."""
     n, count = len(vectors), len(queries)
     seen = np.zeros((count, n), bool)
-    rows = np.arange(count)[:, None]
     ids = np.full((count, width), -1, np.int64)
     near = np.full((count, width), -9.0)
     done = np.ones((count, width), bool)
@@ -24,7 +23,8 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.
     ids[:, :entry.shape[1]] = entry
     near[:, :entry.shape[1]] = np.where(entry >= 0, np.einsum("qd,qed->qe", queries, vectors[entry]), -9.0)
     done[:, :entry.shape[1]] = entry < 0
-    seen[rows, np.maximum(entry, 0)] |= entry >= 0
+    q, k = np.nonzero(entry >= 0)
+    seen[q, entry[q, k]] = True
     live = np.arange(count)
     while len(live):
         open_ = np.where(done[live], -9.0, near[live])
@@ -38,7 +38,8 @@ def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.
         found = np.sort(found, axis=1)
         found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
         found[seen[at, np.maximum(found, 0)]] = -1
-        seen[at, np.maximum(found, 0)] |= found >= 0
+        q, k = np.nonzero(found >= 0)
+        seen[live[q], found[q, k]] = True
         cosine = np.where(found >= 0, np.einsum("qd,qed->qe", queries[live], vectors[np.maximum(found, 0)]), -9.0)
         all_near = np.concatenate([near[live], cosine], 1)
         top = np.argpartition(-all_near, width - 1, axis=1)[:, :width]
@@ -65,10 +66,10 @@ def diverse(vectors: np.ndarray, found: np.ndarray, near: np.ndarray, degree: in
         chosen[rows[keep], taken[keep]] = c[keep]
         taken += keep
         passed[:, k] = (c >= 0) & ~keep
-    for k in range(width):
-        fill = passed[:, k] & (taken < degree)
-        chosen[rows[fill], taken[fill]] = found[fill, k]
-        taken += fill
+    # The others, nearest first, go to the free places in their order.
+    place = taken[:, None] + np.cumsum(passed, axis=1) - 1
+    row, k = np.nonzero(passed & (place < degree))
+    chosen[row, place[row, k]] = found[row, k]
     return chosen
 
 
@@ -124,7 +125,7 @@ class Graph:
         every = np.sort(np.concatenate([links[heads], back], 1), axis=1)
         every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
         cosine = np.where(every >= 0, np.einsum("qd,qed->qe", self.vectors[heads], self.vectors[np.maximum(every, 0)]), -9.0)
-        order = np.argsort(-cosine, axis=1, kind="stable")
+        order = np.argsort(-cosine, axis=1, kind="stable")[:, :2 * degree]
         links[heads] = diverse(self.vectors, np.take_along_axis(every, order, 1), np.take_along_axis(cosine, order, 1), degree)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
