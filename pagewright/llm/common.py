@@ -68,14 +68,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows_hashed(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` consecutive word hashes (empty when there are fewer)."""
+    """A 64-bit hash of each run of `size` consecutive word hashes (empty when there are fewer).
+
+    The words' hashes are the digits of a number to an odd base, which is scrambled once."""
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, size, np.uint64)
     for k in range(size):
-        out = mixed(out * MIX + words[k:k + n])
-    return out
+        out *= MIX
+        out += words[k:k + n]
+    return mixed(out)
 
 
 def in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
