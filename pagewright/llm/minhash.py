@@ -15,8 +15,8 @@ COORDINATES, DEPTH = 32, 4
 MATCHES = 2
 #: Pairs across groups whose minima agree less are dropped before texts are fetched: 0.8 is 4.5 deviations away.
 LEAST_ESTIMATE = 0.62
-#: Texts that one verifying task holds at a time.
-TEXTS = 128
+#: Texts that one verifying task holds at a time, and signatures of a posting list in a block.
+TEXTS, LISTED = 128, 512
 SHINGLE, PERCENT = 5, 80
 
 _SIGNED = "doc_id long, text_hash long, n_shingles long, name binary, coordinates array<long>, minima binary"
@@ -152,27 +152,34 @@ def within_groups(members: DataFrame, texts: DataFrame, size: int, percent: int)
     return rows.groupBy("g", "ix", "iy").applyInArrow(kernel, "a long, b long")
 
 
-def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """(a, b): pairs of different groups and components with enough matches, also by the estimate of their minima."""
+def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of different groups and components that share a posting list and whose minima agree enough.
+
+    Only lists that hold several groups and components are looked at, a pair of their blocks in one task; of the
+    pairs in a list none leaves the task but those that may be similar."""
     known = lists.join(members, "rep")
-    mixed_ = known.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).filter(
-        "lo <> hi AND c <> d").select("token")
-    some = known.join(mixed_, "token")
-    left = some.select("token", F.col("rep").alias("a"), F.col("g").alias("ga"), F.col("component").alias("ca"))
-    right = some.select("token", F.col("rep").alias("b"), F.col("g").alias("gb"), F.col("component").alias("cb"))
-    met = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (F.col("ca") != F.col("cb")))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("n"))
-    signs = nodes.select("rep", "minima")
-    both = pairs.join(signs.select(F.col("rep").alias("a"), F.col("minima").alias("m")), "a").join(
-        signs.select(F.col("rep").alias("b"), F.col("minima").alias("o")), "b").select("a", "b", "m", "o")
+    several = known.groupBy("token").agg(
+        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"),
+        F.ceil(F.count("*") / LISTED).alias("blocks")).filter("lo <> hi AND c <> d").select("token", "blocks")
+    open_ = known.join(several, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = open_.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "g", "component").join(
+        nodes.select("rep", "minima"), "rep")
 
-    def kernel(batches):
-        for batch in batches:
-            m = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            o = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((m == o).mean(1) >= LEAST_ESTIMATE))
+    def kernel(table):
+        mine, i, j = np.array(table["mine"]), table["i"][0].as_py(), table["j"][0].as_py()
+        rep, g, of = (np.array(table[c]) for c in ("rep", "g", "component"))
+        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u2").reshape(len(rep), -1)
+        here, there = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in here:
+            apart = there[(g[there] != g[k]) & (of[there] != of[k]) & ((i != j) | (rep[there] > rep[k]))]
+            near = apart[(minima[apart] == minima[k]).mean(1) >= LEAST_ESTIMATE] if len(apart) else apart
+            a.append(np.minimum(rep[k], rep[near]))
+            b.append(np.maximum(rep[k], rep[near]))
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
-    return both.mapInArrow(kernel, "a long, b long")
+    return rows.groupBy("token", "i", "j").applyInArrow(kernel, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -211,7 +218,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     labelled = _labelled(dealt, components(second))
     # Of a node in two groups either one will do: pairs inside both were held against each other.
     one = labelled.groupBy("rep").agg(F.min("g").alias("g"), F.min("component").alias("component"))
-    third = second.unionByName(verified(across_groups(lists, one, classes, MATCHES), texts, size, percent))
+    third = second.unionByName(verified(across_groups(lists, one, classes), texts, size, percent))
     joined = components(stored(third, "links")).withColumnRenamed("node", "rep")
     found = classes.select("name", "rep").join(joined, "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     linked = named.select("doc_id", "text_hash", "n_shingles", "name").join(found, "name").select("doc_id", "text_hash", "n_shingles", "component_id")
