@@ -7,7 +7,6 @@ the text size of any element is a subtraction, and its text one slice of the doc
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
