@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagewright.operators.htmltree import Node, parse_html
 
-# Elements that are never article text, and words in class, id or role that name such blocks.
+# Elements that are never article text, and class, id or role names of such blocks.
 NO_TEXT = frozenset(
     "script style noscript template iframe object embed applet audio video canvas svg math map head title nav footer aside "
-    "form button input select textarea option menu dialog frameset noframes".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe\w*|"
-    r"nav\w*|menus?|breadcrumbs?|sidebar\w*|side|footer|masthead|header|toolbar|share|social|related|recommend\w*|comments?|"
-    r"discussion|disqus|respond|replies|login|signup|pagination|pager|widget\w*)(?=$|[\s_-])", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+    "button input select textarea option menu dialog frameset noframes".split())
+_NAME = (r"(?:ads?|advert(?:s|isements?|ising|orials?)?|sponsor(?:s|ed|ship)?|promos?|promoted|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
+         r"newsletter|subscribe|subscriptions?|nav|navbar|navigation|navlinks|menus?|breadcrumbs?|sidebars?|side|footer|masthead|header|toolbar|share|sharing|social|"
+         r"related|recommend(?:ed|ations?)|comments?|discussion|disqus|respond|replies|login|signup|pagination|pager|widgets?)")
+#: A whole class token or id: such names, with words that only say where or what kind of box it is.
+_PLAIN = r"(?:site|page|global|main|top|bottom|left|right|box|bar|list|links|icons|buttons|area|container|wrapper|block)"
+BOILERPLATE = re.compile(rf"(?:{_PLAIN}[_-])*{_NAME}(?:[_-](?:{_NAME}|{_PLAIN}))*", re.I)
+#: What each such block around it leaves of a node's density; fewer characters than this are short.
+LOWERED, SHORT = 0.25, 200
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li listing main nav ol option p plaintext pre search section summary table tbody "
     "td tfoot th thead tr ul xmp".split())
-_CANDIDATE = frozenset("article body center dd div figure li main section table tbody td th tr blockquote p ul ol dl pre".split())
+_CANDIDATE = frozenset("article body center dd details div fieldset figure form li main section table tbody td th tr blockquote p ul ol dl pre".split())
 
 
 def _unwanted(node: Node, in_article: bool) -> bool:
@@ -32,9 +36,16 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     attrs = node.attrs or {}
     if node.tag in ("body", "html", "article", "main"):
         return False
-    if "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
-        return True
-    return any(BOILERPLATE.search(attrs.get(name) or "") for name in ("class", "id"))
+    return "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true"
+
+
+def _named(node: Node, in_article: bool) -> bool:
+    """Whether it is a form or a name says boilerplate: a whole class token does, or an id, which in an article is an anchor."""
+    if node.tag in ("body", "html", "article", "main"):
+        return False
+    attrs = node.attrs or {}
+    names = (attrs.get("class") or "").split() + ([] if in_article else (attrs.get("id") or "").split())
+    return node.tag == "form" or (attrs.get("role") or "").lower() == "form" or any(BOILERPLATE.fullmatch(name) for name in names)
 
 
 def _in_order(root: Node) -> list[tuple[Node, int, bool]]:
@@ -47,70 +58,101 @@ def _in_order(root: Node) -> list[tuple[Node, int, bool]]:
         if node.kind not in ("element", "text", "document"):
             continue
         at = len(out)
-        inside = inside or node.tag in ("article", "main")
         out.append((node, up, inside))
+        inside = inside or node.tag in ("article", "main")
         todo.extend((kid, at, inside) for kid in reversed(node.kids))
     return out
 
 
-def densest(nodes: list[tuple[Node, int, bool]]) -> int:
-    """The place of the subtree with the largest density sum, found below the body under the path threshold.
+def _without(nodes: list[tuple[Node, int, bool]], gone: set[int]) -> list[tuple[Node, int, bool]]:
+    """The nodes without some of them and all that is below those."""
+    out, place = [], {-1: -1}
+    for k, (node, up, inside) in enumerate(nodes):
+        if k not in gone and up in place:
+            place[k] = len(out)
+            out.append((node, place[up], inside))
+    return out
+
+
+def wanted(nodes: list[tuple[Node, int, bool]]) -> list[tuple[Node, int, bool]]:
+    """The nodes without blocks that a name says are boilerplate and that look it.
+
+    Such a block is dropped when it holds no article or main, the densest subtree does not lie in it, and it is
+    short or half of its text stands in links."""
+    named = [k for k, (node, _, inside) in enumerate(nodes) if node.kind == "element" and _named(node, inside)]
+    if not named:
+        return nodes
+    stats = Densities(nodes)
+    k, around = stats.best, set()
+    while k >= 0:
+        around.add(k)
+        k = nodes[k][1]
+    gone = {k for k in named if not stats.holds[k] and k not in around
+            and (stats.chars[k] < SHORT or 2 * stats.link_chars[k] >= stats.chars[k])}
+    return _without(nodes, gone)
+
+
+class Densities:
+    """Composite text densities and density sums of nodes, and the place of the densest subtree.
 
     Of each element: C characters, T tags below it, LC and LT of those in links. Its composite density is
     C/T * log(C/LC * T/LT) to the base ln(C/nonLC * LC + LCb/Cb * C + e), b being the body; it falls where
-    links make up the text. The density sum adds the children's densities. The threshold is the least density on
-    the path from the body to the node of largest sum; among subtrees that reach it, the largest sum wins, the
-    first of equal ones."""
-    n = len(nodes)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for k in range(n - 1, -1, -1):
-        node, up, _ = nodes[k]
-        if node.kind == "text":
-            chars[k] = len("".join(node.text.split()))
-        elif node.tag == "a":
-            link_chars[k], link_tags[k] = chars[k], tags[k] + 1
-        if up >= 0:
-            chars[up] += chars[k]
-            link_chars[up] += link_chars[k]
-            link_tags[up] += link_tags[k]
-            tags[up] += tags[k] + (node.kind == "element")
-    body = next((k for k, (node, _, _) in enumerate(nodes) if node.tag == "body"), 0)
-    share = link_chars[body] / max(chars[body], 1)
-    density, total = [0.0] * n, [0.0] * n
-    for k in range(n - 1, -1, -1):
-        node, up, _ = nodes[k]
-        if node.kind != "element" or not chars[k]:
-            continue
-        c, t, lc, lt = chars[k], max(tags[k], 1), max(link_chars[k], 1), max(link_tags[k], 1)
-        base = math.log(c / max(c - link_chars[k], 1) * link_chars[k] + share * c + math.e)
-        density[k] = c / t * max(0.0, math.log(max(c / lc * (t / lt), 1e-9)) / max(base, 1e-9))
-        if up >= 0:
-            total[up] += density[k]
-    best, first = body, None
-    for k in range(body, n):
-        if nodes[k][0].tag in _CANDIDATE and (first is None or total[k] > total[first]):
-            first = k
-    if first is None:
-        return body
-    least, k = density[first], first
-    while k != body and k >= 0:
-        k = nodes[k][1]
-        if k >= 0:
-            least = min(least, density[k])
-    for k in range(body, n):
-        if nodes[k][0].tag in _CANDIDATE and density[k] >= least and (total[k] > total[best] or best == body and total[k] >= total[best]):
-            best = k
-    return best
+    links make up the text, and for each block around that a name says is boilerplate. The density sum adds the
+    children's densities; the largest sum wins, the first of equal ones."""
+
+    def __init__(self, nodes: list[tuple[Node, int, bool]]):
+        n = len(nodes)
+        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        weight, holds = [1.0] * n, [False] * n
+        for k in range(n - 1, -1, -1):
+            node, up, _ = nodes[k]
+            holds[k] |= node.tag in ("article", "main")
+            if node.kind == "text":
+                chars[k] = len("".join(node.text.split()))
+            elif node.tag == "a":
+                link_chars[k], link_tags[k] = chars[k], tags[k] + 1
+            if up >= 0:
+                chars[up] += chars[k]
+                link_chars[up] += link_chars[k]
+                link_tags[up] += link_tags[k]
+                tags[up] += tags[k] + (node.kind == "element")
+                holds[up] |= holds[k]
+        for k, (node, up, inside) in enumerate(nodes):
+            weight[k] = weight[up] if up >= 0 else 1.0
+            if node.kind == "element" and not holds[k] and _named(node, inside):
+                weight[k] *= LOWERED
+        body = next((k for k, (node, _, _) in enumerate(nodes) if node.tag == "body"), 0)
+        share = link_chars[body] / max(chars[body], 1)
+        density, total = [0.0] * n, [0.0] * n
+        for k in range(n - 1, -1, -1):
+            node, up, _ = nodes[k]
+            if node.kind != "element" or not chars[k]:
+                continue
+            c, t, lc, lt = chars[k], max(tags[k], 1), max(link_chars[k], 1), max(link_tags[k], 1)
+            base = math.log(c / max(c - link_chars[k], 1) * link_chars[k] + share * c + math.e)
+            density[k] = weight[k] * c / t * max(0.0, math.log(max(c / lc * (t / lt), 1e-9)) / max(base, 1e-9))
+            if up >= 0:
+                total[up] += density[k]
+        self.chars, self.link_chars, self.weight, self.holds, self.density, self.total, self.body = chars, link_chars, weight, holds, density, total, body
+        self.best = self._densest(nodes)
+
+    def _densest(self, nodes):
+        body, density, total, n = self.body, self.density, self.total, len(nodes)
+        first = None
+        for k in range(body, n):
+            if nodes[k][0].tag in _CANDIDATE and (first is None or total[k] > total[first]):
+                first = k
+        return body if first is None else first
 
 
 def main_text(source: str | None) -> str:
     """Blocks of the main subtree, joined by newlines; empty for null, empty and textless pages."""
     if not source:
         return ""
-    nodes = _in_order(parse_html(source))
+    nodes = wanted(_in_order(parse_html(source)))
     if not nodes:
         return ""
-    top = densest(nodes)
+    top = Densities(nodes).best
     # An article that the dense part lies in is taken whole: its title and short blocks belong to it.
     k = top
     while k >= 0:

@@ -302,6 +302,26 @@ def test_main_text(pages_of, spark):
     assert maintext.main_texts(pages_of(PAGE).limit(0)).count() == 0
 
 
+def paragraphs(n, name):
+    return "".join(f"<p>{name}{k} " + "words of a longer paragraph " * 18 + "</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("wrap", ['<div class="layout no-sidebar">', '<div class="page has-sidebar">', '<div class="sidebar">', '<form action="/aspx">', '<div role="form">', '<div id="social">'])
+def test_main_text_within_named_blocks(wrap):
+    close = f"</{wrap[1:wrap.index(' ')]}>"
+    for inner in (paragraphs(4, "n"), f"<article>{paragraphs(4, 'n')}</article>"):
+        text = maintext.main_text(f"<body>{wrap}{inner}{close}</body>")
+        assert [b.split()[0] for b in text.split("\n")] == ["n0", "n1", "n2", "n3"]
+
+
+def test_main_text_keeps_sections_of_an_article():
+    named = ['id="discussion"', 'id="related-work"', 'id="cookies"', 'class="social-impact"', 'class="navy-history"']
+    sections = "".join(f"<section {name}><p>s{k} text</p></section>" for k, name in enumerate(named))
+    junk = '<div class="share"><a href="/s">Share this</a></div><div class="newsletter box">Get our letter</div>'
+    text = maintext.main_text(f"<body><article>{paragraphs(2, 'n')}{sections}{junk}</article><div class='comments'>{'<p>no</p>' * 3}</div></body>")
+    assert [b.split()[0] for b in text.split("\n")] == ["n0", "n1", "s0", "s1", "s2", "s3", "s4"]
+
+
 def test_main_text_of_given_pages(spark):
     for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inside = re.search(r"<article>(.*?)</article>", row.html, re.S).group(1)
