@@ -27,6 +27,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html li listing main nav ol option p plaintext pre search section summary table tbody "
     "td tfoot th thead tr ul xmp".split())
+_HEADING = re.compile("h[1-6]")
 _CANDIDATE = frozenset("article body center dd details div fieldset figure form li main section table tbody td th tr blockquote p ul ol dl pre".split())
 
 
@@ -98,7 +99,8 @@ class Densities:
     Of each element: C characters, T tags below it, LC and LT of those in links. Its composite density is
     C/T * log(C/LC * T/LT) to the base ln(C/nonLC * LC + LCb/Cb * C + e), b being the body; it falls where
     links make up the text, and for each block around that a name says is boilerplate. The density sum adds the
-    children's densities; the largest sum wins, the first of equal ones."""
+    children's densities; the largest sum wins, the first of equal ones. The threshold is the least density on the
+    path from the body to that node."""
 
     def __init__(self, nodes: list[tuple[Node, int, bool]]):
         n = len(nodes)
@@ -134,32 +136,111 @@ class Densities:
             if up >= 0:
                 total[up] += density[k]
         self.chars, self.link_chars, self.weight, self.holds, self.density, self.total, self.body = chars, link_chars, weight, holds, density, total, body
-        self.best = self._densest(nodes)
+        # In each subtree the candidate of the largest sum, the first of equal ones.
+        within: list[int | None] = [None] * n
+        for k in range(n - 1, -1, -1):
+            node, up, _ = nodes[k]
+            if node.tag in _CANDIDATE and (within[k] is None or total[k] >= total[within[k]]):
+                within[k] = k
+            if up >= 0 and within[k] is not None and (within[up] is None or total[within[k]] >= total[within[up]]):
+                within[up] = within[k]
+        self.within, self.best = within, body if within[body] is None else within[body]
+        self.threshold, k = density[self.best], self.best
+        while k != body and k >= 0:
+            k = nodes[k][1]
+            if k >= 0:
+                self.threshold = min(self.threshold, density[k])
+
+
+def _article(nodes: list[tuple[Node, int, bool]], k: int, tags: tuple[str, ...] = ("article", "main")) -> int | None:
+    """The outermost article that a node lies in, else the main."""
+    found = {}
+    while k >= 0:
+        found[nodes[k][0].tag] = k
+        k = nodes[k][1]
+    return next((found[tag] for tag in tags if tag in found), None)
+
+
+def chosen(nodes: list[tuple[Node, int, bool]], stats: Densities) -> list[bool]:
+    """Of each node whether it belongs to the main text.
+
+    From the body down, as far as densities reach the threshold, each node's subtree of the largest sum is taken. If
+    the densest one lies in an article or main, these are taken whole, and others only with an article of their own.
+    Else the sections beside a taken section, the headings before the first taken subtree, and what lies between
+    taken subtrees come along, unless its name says boilerplate or half of it stands in links."""
+    n, near = len(nodes), stats.weight[stats.best]
+    passed, tops = [False] * n, set()
+    for k in range(stats.body, n):
+        node, up, _ = nodes[k]
+        if node.kind in ("element", "document") and (k == stats.body or up >= 0 and passed[up]) and stats.chars[k] and stats.density[k] >= stats.threshold:
+            if _HEADING.fullmatch(node.tag or ""):
+                continue  # kept with what it heads
+            passed[k] = True
+            tops.add(k if stats.within[k] is None else stats.within[k])
+    tops.add(stats.best)
+    # An article that a dense part lies in is taken whole: its title and short blocks belong to it.
+    home = _article(nodes, stats.best)
+    if home is not None:
+        kind = nodes[home][0].tag
+        tops = {top for top in (_article(nodes, k, (kind,)) for k in tops) if top is not None}
+        return _below(nodes, tops)
+
+    def apt(k):
+        return stats.chars[k] > 0 and 2 * stats.link_chars[k] < stats.chars[k] and stats.weight[k] >= near
 
-    def _densest(self, nodes):
-        body, density, total, n = self.body, self.density, self.total, len(nodes)
-        first = None
-        for k in range(body, n):
-            if nodes[k][0].tag in _CANDIDATE and (first is None or total[k] > total[first]):
-                first = k
-        return body if first is None else first
+    beside = {nodes[k][1] for k in tops if nodes[k][0].tag == "section"}
+    tops |= {k for k in range(stats.body, n) if nodes[k][1] in beside and nodes[k][0].tag == "section" and apt(k)}
+    kept = _below(nodes, tops)
+    first, last = min(tops), max(k for k in range(n) if kept[k])
+    between = False
+    for k in range(first - 1, stats.body, -1):
+        node, up, _ = nodes[k]
+        if _HEADING.fullmatch(node.tag or "") and apt(k) and (node.tag == "h1" or not between):
+            first, between = k, False
+            if node.tag == "h1":
+                break
+        # Text of a heading is seen before the heading itself.
+        elif node.kind == "text" and node.text.strip() and not _in_heading(nodes, up):
+            between = True
+    holds = list(kept)
+    for k in range(n - 1, 0, -1):
+        if holds[k] and nodes[k][1] >= 0:
+            holds[nodes[k][1]] = True
+    open_ = [False] * n
+    for k in range(n):
+        up = nodes[k][1]
+        # Around taken subtrees a node is open; of the open ones' children those that hold none are judged whole.
+        open_[k] = holds[k] and not kept[k] and (up < 0 or open_[up])
+        if not holds[k] and first <= k <= last and up >= 0 and open_[up] and apt(k):
+            tops.add(k)
+    tops.add(first)
+    return _below(nodes, tops)
+
+
+def _in_heading(nodes: list[tuple[Node, int, bool]], k: int) -> bool:
+    while k >= 0:
+        if _HEADING.fullmatch(nodes[k][0].tag or ""):
+            return True
+        k = nodes[k][1]
+    return False
+
+
+def _below(nodes: list[tuple[Node, int, bool]], tops: set[int]) -> list[bool]:
+    out = [False] * len(nodes)
+    for k, (_, up, _) in enumerate(nodes):
+        out[k] = k in tops or up >= 0 and out[up]
+    return out
 
 
 def main_text(source: str | None) -> str:
-    """Blocks of the main subtree, joined by newlines; empty for null, empty and textless pages."""
+    """Blocks of the main subtrees, joined by newlines; empty for null, empty and textless pages."""
     if not source:
         return ""
     nodes = wanted(_in_order(parse_html(source)))
     if not nodes:
         return ""
-    top = Densities(nodes).best
-    # An article that the dense part lies in is taken whole: its title and short blocks belong to it.
-    k = top
-    while k >= 0:
-        if nodes[k][0].tag == "article":
-            top = k
-        k = nodes[k][1]
-    blocks, held, inside, opened = [], [], {top}, []
+    kept = chosen(nodes, Densities(nodes))
+    blocks, held, opened, depth = [], [], [], [0] * len(nodes)
 
     def close():
         text = " ".join("".join(held).split())
@@ -167,18 +248,14 @@ def main_text(source: str | None) -> str:
             blocks.append(text)
         held.clear()
 
-    depth = {top: 0}
-    for k in range(top, len(nodes)):
-        node, up, _ = nodes[k]
-        if k != top and up not in inside:
-            break
-        inside.add(k)
-        depth[k] = 0 if k == top else depth[up] + 1
+    for k, (node, up, _) in enumerate(nodes):
+        depth[k] = depth[up] + 1 if up >= 0 else 0
         while opened and opened[-1] >= depth[k]:
             opened.pop()
             close()
         if node.kind == "text":
-            held.append(node.text)
+            if kept[k]:
+                held.append(node.text)
         elif node.tag == "br":
             held.append(" ")
         elif node.tag in BLOCKS:

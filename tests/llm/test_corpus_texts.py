@@ -322,6 +322,30 @@ def test_main_text_keeps_sections_of_an_article():
     assert [b.split()[0] for b in text.split("\n")] == ["n0", "n1", "s0", "s1", "s2", "s3", "s4"]
 
 
+def starts(html):
+    return [b.split()[0] for b in maintext.main_text(html).split("\n")]
+
+
+@pytest.mark.parametrize("sections, each", [(2, 3), (4, 8)])
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_main_text_of_several_sections(sections, each, tag):
+    parts = "".join(f"<{tag}>{paragraphs(each, f's{k}x')}</{tag}>" for k in range(sections))
+    links = "".join(f'<li><a href="/{k}">page number {k}</a></li>' for k in range(30))
+    names = [f"s{k}x{j}" for k in range(sections) for j in range(each)]
+    assert starts(f"<body><div>{parts}</div></body>") == names
+    assert starts(f"<body><ul>{links}</ul><div><h1>Title</h1>{parts}</div><div><ul>{links}</ul></div></body>") == ["Title", *names]
+    assert starts(f"<body><div><ul>{links}</ul></div><h1>Title</h1><p>By us</p>{parts}<div><ul>{links}</ul></div></body>") == ["Title", "By", *names]
+    assert starts(f"<body><main><h1>Title</h1>{parts}<p>End</p></main><div><p>x</p></div></body>") == ["Title", *names, "End"]
+
+
+def test_main_text_with_short_parts_and_headings():
+    long, links = paragraphs(5, "n"), "".join(f'<li><a href="/{k}">page number {k}</a></li>' for k in range(30))
+    page = f"<body><h2>Elsewhere</h2><ul>{links}</ul><h2>Story</h2><div>{long}</div><h3>Mid</h3><ul>{links}</ul><div>{paragraphs(4, 'm')}</div></body>"
+    assert starts(page) == ["Story", *[f"n{k}" for k in range(5)], "Mid", *[f"m{k}" for k in range(4)]]
+    assert starts(f"<body><section>{long}</section><section><h2>Notes</h2><ul><li>a</li><li>b</li></ul></section></body>") == [*[f"n{k}" for k in range(5)], "Notes", "a", "b"]
+    assert starts(f"<body><article>{long}</article><article>{paragraphs(5, 'm')}</article></body>") == [f"{c}{k}" for c in "nm" for k in range(5)]
+
+
 def test_main_text_of_given_pages(spark):
     for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inside = re.search(r"<article>(.*?)</article>", row.html, re.S).group(1)
