@@ -186,8 +186,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     """(doc_id, text_hash, n_shingles, component_id, kept), one row per row of (doc_id, text).
 
     Documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
-    doc_id reachable. Equal sets are one node, named by the smallest doc_id. Nodes that agree in signature
-    coordinates are candidates:
+    doc_id reachable. Equal sets are one node with a key of its own, which doc_ids are told from at the end only. Nodes that
+    agree in signature coordinates are candidates:
 
     1. each node is held against one hub, the smallest node that shares most of its posting lists;
     2. nodes not linked to their hub are held against the rest of the hub's group, block against block;
@@ -198,9 +198,11 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     and are kept; rows that share a doc_id are judged each by its own text."""
     signs = stored(signed(docs, size), "signatures")
     named = signs.filter("name IS NOT NULL AND doc_id IS NOT NULL")
+    # Keys are given as the table is written, so they stay what they are.
     classes = stored(named.groupBy("name").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("coordinates").alias("coordinates"),
                                                F.any_value("minima").alias("minima")).select(
-        "name", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "coordinates", "minima"), "classes")
+        "name", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"),
+        "coordinates", "minima"), "classes")
     lists = stored(posted(classes), "postings")
     hubs = lists.groupBy("token").agg(F.min("rep").alias("hub"))
     votes = lists.join(hubs, "token").groupBy("rep", "hub").agg(F.count("*").alias("n"))
@@ -208,9 +210,9 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         "rep", F.coalesce("g", "rep").alias("g")), "members")
     # A hub is of its own group, whatever other hub it was dealt to as well.
     dealt = stored(members.unionByName(members.select(F.col("g").alias("rep"), "g")).distinct(), "dealt")
-    wanted = classes.join(dealt.select("rep").distinct(), "rep", "left_semi").select("rep", "text_hash")
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    texts = stored(source.join(wanted, ["rep", "text_hash"], "left_semi").dropDuplicates(["rep", "text_hash"]).select("rep", "text"), "texts")
+    wanted = classes.join(dealt.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    texts = stored(source.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), "texts")
 
     first = stored(verified(dealt.filter("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")), texts, size, percent), "links")
     labelled = _labelled(dealt, components(first))
@@ -220,7 +222,9 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     one = labelled.groupBy("rep").agg(F.min("g").alias("g"), F.min("component").alias("component"))
     third = second.unionByName(verified(across_groups(lists, one, classes), texts, size, percent))
     joined = components(stored(third, "links")).withColumnRenamed("node", "rep")
-    found = classes.select("name", "rep").join(joined, "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
+    least = joined.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    told = joined.join(least, "component").select("rep", "component_id")
+    found = classes.select("name", "rep", "doc_id").join(told, "rep", "left").select("name", F.coalesce("component_id", "doc_id").alias("component_id"))
     linked = named.select("doc_id", "text_hash", "n_shingles", "name").join(found, "name").select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = signs.filter("name IS NULL OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

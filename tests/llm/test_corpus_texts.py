@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pagewright.llm import chat, decontaminate, langid, maintext, minhash, ngramlm, substrings
 from pagewright.llm.common import WordHashes, components
 from pagewright.llm.substrings import Block
@@ -155,13 +156,25 @@ def test_near_duplicates(spark, docs, size):
             words[at] = f"c{k}x{at}"
         rows.append((10**6 - 2 * k, " ".join(words)))
     rows += [(5 * 10**6 + k, "same text again and again over") for k in range(40)]
-    rows += [r for r in ODD if r[0] != 8]
+    rows += ODD
     found = minhash.groups(spark.createDataFrame(rows, SCHEMA), size).collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(dup_components(rows, size), key=key)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
 
 
+def test_near_duplicates_that_share_an_id(spark):
+    x, clean = [" ".join(f"{c}{k}" for k in range(200)) for c in "xc"]
+    rows = [(3, x), (8, x + " y"), (8, clean), (9, clean + " d"), (3, clean + " e f g"), (7, "alone with its words here")]
+    for given in (rows, rows[::-1]):
+        frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], SCHEMA + ", lang string, source string, n_chars int")
+        found = minhash.groups(frame).collect()
+        key = lambda r: tuple(map(str, r))
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=key) == sorted(dup_components(given, 5), key=key)
+    frame = frame.filter("doc_id NOT IN (9) AND text NOT LIKE '% g'")
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == {(3, x), (8, clean), (7, rows[-1][1])}
+
+
 def test_near_duplicates_of_nothing(empty, odd):
     assert minhash.groups(empty).count() == 0
     assert minhash.groups(odd).count() == len(ODD)
