@@ -10,8 +10,8 @@ from pagewright.llm.common import components, stored
 from pagewright.llm.hnsw import Graph
 
 COSINE = 0.98
-#: Different vectors in a shard; queries at once; queries that an audit compares with brute force; the recall it asks for.
-SHARD, QUERIES, AUDIT, RECALL = 8192, 256, 64, 0.999
+#: Different vectors in a shard; queries at once; queries with links that an audit needs, and links; the recall it asks for.
+SHARD, QUERIES, AUDIT, LINKS, RECALL = 8192, 256, 64, 1000, 0.999
 #: First width of the beams.
 WIDTH = 32
 
@@ -36,19 +36,33 @@ class Shard:
             self.graph.layers = [np.frombuffer(raw, "<i8").reshape(len(self.ids), -1) for raw in row["layers"]]
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, width: int, recall: float = RECALL, audit: int = AUDIT):
+def linked(graph: Graph, queries: np.ndarray, least: float, width: int, recall: float = RECALL, audit: int = AUDIT,
+           links: int = LINKS, ids: tuple[np.ndarray, np.ndarray] | None = None):
     """For each query the nodes with a cosine of at least `least` (computed in double precision), as (query, node).
 
-    A query whose whole beam is that near asks again with a beam twice as wide. An audit of evenly spread queries
-    is held against brute force; while it finds less than the recall asked for, all beams double. A beam as wide as
+    A query whose whole beam is that near asks again with a beam twice as wide. An audit holds queries in a drawn order
+    against brute force, until `audit` of them have links and there are `links` in all; `ids` of queries and nodes say
+    which pairs are of the same vector and prove nothing. Where all queries hold fewer, brute force has seen every pair
+    and is the answer. While the audit finds less than the recall asked for, all beams double. A beam as wide as
     the shard sees every node that the graph connects; a search that wide that still fails is replaced by brute force."""
-    n = len(graph.vectors)
-    probe = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(np.int64))
-    truth = {(int(q), int(v)) for q, v in zip(*np.nonzero(queries[probe] @ graph.vectors.T >= least))}
+    n, order = len(graph.vectors), np.random.default_rng(5).permutation(len(queries))
+    every, truth, asked, having, at = [], [], 0, 0, 0
+    while at < len(queries) and (asked < links or having < audit):
+        probe = order[at:at + QUERIES]
+        q, v = _near(queries[probe], graph.vectors, least)
+        every.append((probe[q], v))
+        if ids is not None:
+            other = ids[0][probe[q]] != ids[1][v]
+            q, v = q[other], v[other]
+        truth.append(probe[q] * n + v)
+        asked, having, at = asked + len(q), having + len(np.unique(q)), at + len(probe)
+    if at >= len(queries):
+        every = every or [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        return np.concatenate([q for q, _ in every]), np.concatenate([v for _, v in every])
+    pool, wanted = order[:at], np.concatenate(truth)
     while True:
-        found_q, found_v = _range(graph, queries[probe], least, width)
-        got = truth & set(zip(found_q.tolist(), found_v.tolist()))
-        if len(got) >= recall * len(truth):
+        found_q, found_v = _range(graph, queries[pool], least, width)
+        if np.isin(wanted, pool[found_q] * n + found_v).sum() >= recall * len(wanted):
             return _range(graph, queries, least, width)
         if width >= n:
             return _brute(graph, queries, least)
@@ -71,8 +85,18 @@ def _range(graph: Graph, queries: np.ndarray, least: float, width: int) -> tuple
     return q[sure], v[sure]
 
 
+def _near(queries: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs; those next to the limit are computed as searches compute them."""
+    cosine = queries @ vectors.T
+    q, v = np.nonzero(cosine >= least - 1e-9)
+    sure = cosine[q, v] >= least + 1e-9
+    edge = np.flatnonzero(~sure)
+    sure[edge] = np.einsum("ed,ed->e", queries[q[edge]], vectors[v[edge]]) >= least
+    return q[sure], v[sure]
+
+
 def _brute(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [np.nonzero(queries[at:at + QUERIES] @ graph.vectors.T >= least) for at in range(0, len(queries), QUERIES)]
+    pairs = [_near(queries[at:at + QUERIES], graph.vectors, least) for at in range(0, len(queries), QUERIES)]
     return np.concatenate([p[0] + k * QUERIES for k, p in enumerate(pairs)]), np.concatenate([p[1] for p in pairs])
 
 
@@ -134,7 +158,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
         for batch in batches:
             for row in batch.to_pylist():
                 there, here = Shard(row), Shard(row, "q_")
-                q, v = linked(there.graph, here.vectors, least, WIDTH)
+                q, v = linked(there.graph, here.vectors, least, WIDTH, ids=(here.ids, there.ids))
                 other = here.ids[q] != there.ids[v]
                 q, v = q[other], v[other]
                 count = np.bincount(q, weights=there.copies[v], minlength=len(here.ids)).astype(np.int64)

@@ -149,6 +149,25 @@ def test_graph_recall():
     assert len(q) >= 0.99 * exact and len(set(zip(q.tolist(), v.tolist()))) == len(q)
 
 
+def test_audit_of_rare_links():
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(1200, 16))
+    vectors[601] = vectors[600] + rng.normal(size=16) * 0.01
+    vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
+    graph = Graph(vectors)
+    for layer in graph.layers:  # nothing leads to these two
+        layer[np.isin(layer, [600, 601])] = -1
+    exact = {(int(q), int(v)) for q, v in zip(*np.nonzero(vectors @ vectors.T >= 0.98))}
+    ids = np.arange(1200)
+    q, v = embeddedup.linked(graph, vectors, 0.98, 32, ids=(ids, ids))
+    assert {(600, 601), (601, 600)} <= exact == set(zip(q.tolist(), v.tolist()))
+    asked = rng.normal(size=(1500, 16))
+    asked[777] = vectors[600]
+    asked /= np.sqrt((asked**2).sum(1, keepdims=True))
+    q, v = embeddedup.linked(graph, asked, 0.98, 32, ids=(ids[0] - 1 - np.arange(1500), ids))
+    assert {(777, 600), (777, 601)} <= set(zip(q.tolist(), v.tolist()))
+
+
 # -- pipeline
 
 
