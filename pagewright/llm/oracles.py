@@ -70,3 +70,53 @@ c AS (SELECT r AS a, r AS b FROM d UNION SELECT c.a, l.b FROM c JOIN l ON c.b =
 m AS (SELECT c.a AS r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
+
+#: CRC-32 in SQL: a table of 256 remainders, then a fold over the bytes of a text.
+_CRC = """
+bit AS (SELECT i AS b, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS t(i)),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bit)"""
+
+ORACLES["op12_importance_resampling"] = f"""
+WITH {_CRC},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+e AS (SELECT coalesce({_WORDS}, []) AS w FROM benchmark),
+f AS MATERIALIZED (SELECT r, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS f FROM d, range(1, 4) AS l(n), unnest(range(1, len(w) - n + 2)) AS u(k)),
+g AS MATERIALIZED (SELECT list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS f FROM e, range(1, 4) AS l(n), unnest(range(1, len(w) - n + 2)) AS u(k)),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM g)),
+h AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(len(x) // 2 AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 10000 AS b FROM x, crc),
+s AS (SELECT b, count(*) AS s FROM f JOIN h USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM g JOIN h USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM f)::DOUBLE + 10000)
+           / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT count(*) FROM g)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b)),
+w AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN h USING (f) JOIN gain USING (b) GROUP BY r),
+p AS (SELECT r, doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM d LEFT JOIN w USING (r)),
+q AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM p WHERE words >= 20 AND doc_id IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 5 * (SELECT count(*) FROM q) // 100 THEN k END AS rank FROM p LEFT JOIN q USING (r)"""
+
+def _assigned(books: str) -> str:
+    """Each part's nearest entry of the codebooks: least distance, then least entry."""
+    return f"""(SELECT r, p, min({{'d': d, 'e': e}}) AS a FROM (
+      SELECT r, v.p, e, list_sum(list_transform(list_zip(v.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v JOIN {books} AS b ON b.p = v.p) GROUP BY r, p)"""
+
+
+def _refined(books: str) -> str:
+    """Floored means of the parts assigned to each entry, unused entries as they were."""
+    return f"""(SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {books} AS b LEFT JOIN (
+      SELECT p, e, list(m ORDER BY k) AS v FROM (
+        SELECT v.p, a.e, k, CAST(floor(sum(v.v[k])::DOUBLE / count(*)) AS BIGINT) AS m
+        FROM v JOIN {_assigned(books)} AS s ON s.r = v.r AND s.p = v.p, unnest(range(1, len(v.v) + 1)) AS u(k) GROUP BY v.p, a.e, k) GROUP BY p, e) AS m ON m.p = b.p AND m.e = b.e)"""
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, p, w[p * len(w) // 16 + 1:(p + 1) * len(w) // 16] AS v FROM n, range(16) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM v WHERE r <= 64),
+b1 AS MATERIALIZED {_refined('b0')}, b2 AS MATERIALIZED {_refined('b1')},
+f AS MATERIALIZED {_assigned('b2')},
+c AS (SELECT r, string_agg(lower(printf('%02x', a.e)), '' ORDER BY p) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM f GROUP BY r),
+z AS (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM n JOIN c USING (r), z"""

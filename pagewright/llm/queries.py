@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewright.llm import chat, decontaminate, embeddedup, langid, maintext, minhash, ngramlm, packing, substrings, tokenbin
+from pagewright.llm import (
+    bytebpe, chat, decontaminate, embeddedup, langid, maintext, minhash, ngramlm, packing, resample, substrings, tokenbin, vectorcodes)
 from pagewright.llm.common import read
 from pagewright.llm.oracles import ORACLES  # noqa: F401  (the twins are registered with the queries)
 
@@ -61,6 +62,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    found = bytebpe.decode(bytebpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_decontamination, op3_minhash_dedup, op4_embedding_dedup, op5_lm_scoring, op6_chat_formatting, op7_token_binary, op8_packing, op9_html_extraction,
-                                  op10_substring_dedup)}
+                                  op10_substring_dedup, op11_byte_bpe, op12_importance_resampling, op13_vector_codes)}
