@@ -20,7 +20,7 @@ from pagewright.llm.common import batches_of
 from pagewright.llm.tokens import _cutter, _odd
 
 #: Ids of this many short pieces are remembered per worker, twice over; longer pieces are merged every time.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400000, 48
 _NO_PAIR = 1 << 62
 
 
@@ -31,72 +31,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
-class PairTree:
-    """Ranks of the pairs that start at each byte of a piece, with the leftmost least one at the root."""
-
-    def __init__(self, piece: bytes, ranks: dict[bytes, int]):
-        self.piece, self.ranks = piece, ranks
-        n = len(piece)
-        self.stop = list(range(1, n + 1))      # of the token that starts here
-        self.before = list(range(-1, n - 1))   # start of the token in front
-        self.size = size = 1 << max(n - 1, 1).bit_length()
-        self.tree = tree = [_NO_PAIR] * (2 * size)
-        for at in range(n - 1):
-            tree[size + at] = self._key(at)
-        for k in range(size - 1, 0, -1):
-            tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def _key(self, at: int) -> int:
-        middle = self.stop[at]
-        if middle >= len(self.piece):
-            return _NO_PAIR
-        rank = self.ranks.get(self.piece[at:self.stop[middle]])
-        return _NO_PAIR if rank is None else rank * self.size + at
-
-    def _set(self, at: int, key: int) -> None:
-        tree, k = self.tree, self.size + at
-        tree[k] = key
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-
-    def merge(self) -> bool:
-        """Join the leftmost pair of least rank; False if no pair has a rank."""
-        least = self.tree[1]
-        if least == _NO_PAIR:
-            return False
-        at = least & (self.size - 1)
-        gone = self.stop[at]
-        after = self.stop[at] = self.stop[gone]
-        if after < len(self.piece):
-            self.before[after] = at
-        self._set(gone, _NO_PAIR)
-        self._set(at, self._key(at))
-        if self.before[at] >= 0:
-            self._set(self.before[at], self._key(self.before[at]))
-        return True
-
-    def tokens(self) -> list[int]:
-        found, at = [], 0
-        while at < len(self.piece):
-            found.append(self.ranks[self.piece[at:self.stop[at]]])
-            at = self.stop[at]
-        return found
-
-
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece. A piece that is a token itself is that token, as the tiktoken library has it."""
-    whole = ranks.get(piece)
+    get, n = ranks.get, len(piece)
+    whole = get(piece)
     if whole is not None:
         return [whole]
-    pairs = PairTree(piece, ranks)
-    while pairs.merge():
-        pass
-    return pairs.tokens()
+    size = 1 << max(n - 2, 0).bit_length()     # leaves: a pair may start at any byte but the last
+    tree = [_NO_PAIR] * (2 * size)
+    stop = list(range(1, n + 1))               # of the token that starts here
+    before = list(range(-1, n))                # start of the token in front
+    for at in range(n - 1):
+        rank = get(piece[at:at + 2])
+        if rank is not None:
+            tree[size + at] = rank * size + at
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    while (least := tree[1]) != _NO_PAIR:
+        at = least & (size - 1)
+        gone = stop[at]
+        after = stop[at] = stop[gone]
+        before[after] = at
+        # Three leaves change: of the merged token, of its left neighbour, and of the position that is no start any more.
+        own = beside = _NO_PAIR
+        if after < n:
+            rank = get(piece[at:stop[after]])
+            if rank is not None:
+                own = rank * size + at
+        left = before[at]
+        if left >= 0:
+            rank = get(piece[left:after])
+            if rank is not None:
+                beside = rank * size + left
+        for leaf, key in ((at, own), (left, beside), (gone, _NO_PAIR)):
+            k = size + leaf
+            if leaf < 0 or leaf >= size or tree[k] == key:
+                continue
+            tree[k] = key
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < key:
+                    key = other
+                k >>= 1
+                if tree[k] == key:
+                    break
+                tree[k] = key
+    found, at = [], 0
+    while at < n:
+        found.append(ranks[piece[at:stop[at]]])
+        at = stop[at]
+    return found
 
 
 class ByteEncoder(dict):
