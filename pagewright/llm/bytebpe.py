@@ -20,7 +20,7 @@ from pagewright.llm.common import batches_of
 from pagewright.llm.tokens import _cutter, _odd
 
 #: Ids of this many short pieces are remembered per worker, twice over; longer pieces are merged every time.
-REMEMBERED, LONGEST_REMEMBERED = 400000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 _NO_PAIR = 1 << 62
 
 
