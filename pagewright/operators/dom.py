@@ -8,57 +8,91 @@ the text size of any element is a subtraction, and its text one slice of the doc
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewright.functions import as_col
 from pagewright.operators.htmltree import HEADINGS, parse_html
-from pagewright.operators.mdtree import render_tree
-
-NODE_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("parent_id", T.IntegerType()),
-    T.StructField("end_id", T.IntegerType()),
-    T.StructField("depth", T.IntegerType()),
-    T.StructField("sib", T.IntegerType()),
-    T.StructField("elem", T.IntegerType()),        # position among element siblings, from 1
-    T.StructField("last_elem", T.BooleanType()),   # no element sibling after it
-    T.StructField("kind", T.StringType()),
-    T.StructField("tag", T.StringType()),
-    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("text", T.StringType()),
-    T.StructField("text_from", T.LongType()),
-    T.StructField("text_to", T.LongType()),
-    T.StructField("parent_tag", T.StringType()),
-    T.StructField("parent_end", T.IntegerType()),
-    T.StructField("parent_to", T.LongType()),      # text_to of the parent
-    T.StructField("heading", T.IntegerType()),     # highest heading level of the element or its children
-])
-_ARROW = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
-    ("end_id", pa.int32()), ("depth", pa.int32()), ("sib", pa.int32()), ("elem", pa.int32()),
-    ("last_elem", pa.bool_()), ("kind", pa.string()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-    ("text_from", pa.int64()), ("text_to", pa.int64()),
-    ("parent_tag", pa.string()), ("parent_end", pa.int32()), ("parent_to", pa.int64()), ("heading", pa.int32()),
-])
+
+NODE_TYPES = {
+    "page_id": T.LongType(),
+    "url": T.StringType(),
+    "node_id": T.IntegerType(),
+    "parent_id": T.IntegerType(),
+    "end_id": T.IntegerType(),
+    "depth": T.IntegerType(),
+    "sib": T.IntegerType(),
+    "elem": T.IntegerType(),           # position among element siblings, from 1
+    "last_elem": T.BooleanType(),      # no element sibling after it
+    "kind": T.StringType(),
+    "tag": T.StringType(),
+    "attrs": T.MapType(T.StringType(), T.StringType()),
+    "text": T.StringType(),
+    "text_from": T.LongType(),
+    "text_to": T.LongType(),
+    "parent_tag": T.StringType(),
+    "parent_end": T.IntegerType(),
+    "parent_to": T.LongType(),         # text_to of the parent
+    "heading": T.IntegerType(),        # highest heading level of the element or its children
+}
+# Kinds of ancestors that a row can tell of, on demand: their tags, and the tags behind which they do not count.
+# near_<kind> and top_<kind> are the ids of the innermost and outermost one, deep_<kind> is their number.
+ANCESTORS = {
+    "link": (("a",), ()), "quote": (("blockquote",), ()), "pre": (("pre",), ()), "list": (("ul", "ol"), ("blockquote",)),
+    "ordered": (("ol",), ("ul", "blockquote")), "table": (("table",), ()), "row": (("tr",), ()),
+    "head": (("thead",), ("tbody", "tfoot")), "hidden": (("script", "style", "noscript"), ()),
+    "chrome": (("header", "footer", "nav"), ()),
+}
+NODE_TYPES |= {f"{what}_{kind}": T.IntegerType() for kind in ANCESTORS for what in ("near", "top", "deep")}
+COLUMNS = [name for name in NODE_TYPES if name.split("_")[-1] not in ANCESTORS]
+NODE_SCHEMA = T.StructType([T.StructField(name, NODE_TYPES[name]) for name in COLUMNS])
 EMITTED = "emitted"  # the column metadata that names the tags a kernel was asked for
 FLUSH_ROWS = 16384
 FLUSH_BYTES = 8 << 20
 
 
-def page_rows(page_id, url, root, size_of_source, wanted, texts, page_text):
-    """Rows of one parsed page. `wanted(kind, tag)` selects; numbering always covers all nodes."""
-    entries = []  # [node, parent entry, depth, sib, elem, last_elem, node_id, end_id, from, to]
+class _Lineage:
+    """What the kinds of ancestors are below an element, from what they are beside it."""
+
+    def __init__(self, kinds):
+        self.top = (None, None, 0) * len(kinds)
+        self.turns = {}  # tag -> [(place of the kind, does it count or bar)]
+        for at, kind in enumerate(kinds):
+            counting, barring = ANCESTORS[kind]
+            for tag in counting:
+                self.turns.setdefault(tag, []).append((3 * at, True))
+            for tag in barring:
+                self.turns.setdefault(tag, []).append((3 * at, False))
+
+    def below(self, tag, node_id, beside):
+        turns = self.turns.get(tag)
+        if turns is None:
+            return beside
+        found = list(beside)
+        for at, counts in turns:
+            top = found[at + 1] if found[at + 1] is not None else node_id
+            found[at:at + 3] = (node_id, top, found[at + 2] + 1) if counts else (None, None, 0)
+        return tuple(found)
+
+
+def page_rows(page_id, url, root, size_of_source, wanted, texts, page_text, columns):
+    """Rows of one parsed page. `wanted(kind, tag)` selects; numbering always covers all nodes. Of a row only `columns`
+    are handed on, and what they do not need is not worked out."""
+    kinds = [kind for kind in ANCESTORS if any(c.endswith(f"_{kind}") for c in columns)]
+    lineage = _Lineage(kinds)
+    made = [*COLUMNS, *(f"{what}_{kind}" for kind in kinds for what in ("near", "top", "deep"))]
+    pick = itemgetter(*[made.index(c) for c in columns])
+    with_attrs, with_text, with_heading = "attrs" in columns, "text" in columns, "heading" in columns
+    entries = []  # [node, parent entry, depth, sib, elem, last_elem, kinds of ancestors, node_id, end_id, from, to]
     pieces, size, count = [], 0, 0
-    todo = [(root, None, 0, 0, None, None)]
+    todo = [(root, None, 0, 0, None, None, lineage.top)]
     while todo:
         item = todo.pop()
         if len(item) == 1:  # all descendants done
-            item[0][7], item[0][9] = count - 1, size
+            item[0][8], item[0][10] = count - 1, size
             continue
         node = item[0]
         entry = [*item, count, count, size, size]
@@ -67,53 +101,57 @@ def page_rows(page_id, url, root, size_of_source, wanted, texts, page_text):
         if node.kind == "text":
             pieces.append(node.text)
             size += len(node.text.encode("utf-8", "replace"))
-            entry[9] = size
+            entry[10] = size
         elif node.kids:
             todo.append((entry,))
             elems = sum(kid.kind == "element" for kid in node.kids)
             seen = elems
-            here, depth = entry, entry[2] + 1
+            here, depth, below = entry, entry[2] + 1, lineage.below(node.tag, entry[7], entry[6])
             for sib in range(len(node.kids) - 1, -1, -1):
                 kid = node.kids[sib]
                 if kid.kind == "element":
-                    todo.append((kid, here, depth, sib, seen, seen == elems))
+                    todo.append((kid, here, depth, sib, seen, seen == elems, below))
                     seen -= 1
                 else:
-                    todo.append((kid, here, depth, sib, None, None))
-    whole = None
-    for node, up, depth, sib, elem, last, node_id, end_id, start, stop in entries:
+                    todo.append((kid, here, depth, sib, None, None, below))
+    for node, up, depth, sib, elem, last, beside, node_id, end_id, start, stop in entries:
         kind, tag = node.kind, node.tag
         if not wanted(kind, tag):
             continue
-        text = node.text
-        if kind == "element" and (tag in texts or "*" in texts):
-            text = node.text_content()
-        elif kind == "document" and page_text:
-            text = whole if whole is not None else "".join(pieces)
-        attrs = list(node.attrs.items()) if kind == "element" else None
-        if kind == "document":
-            attrs = [("content_bytes", str(size_of_source))]
-        parent, above = (None, (None, None, None)) if up is None else (up[6], (up[0].tag, up[7], up[9]))
-        levels = [int(n.tag[1]) for n in (node, *node.kids) if n.tag in HEADINGS]
-        yield (page_id, url, node_id, parent, end_id, depth, sib, elem, last, kind, tag, attrs, text, start, stop,
-               *above, min(levels, default=None))
-
-
-def _extra_row(page_id, url, number, kind, attrs, text):
-    return (page_id, url, number, None, None, None, None, None, None, kind, None, attrs, text, *[None] * 6)
-
-
-def _batch(rows):
-    columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), _ARROW)]
-    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
-
-
-def in_batches(rows: Iterator[tuple], text_at: int, build) -> Iterator[pa.RecordBatch]:
+        text, attrs, level = None, None, None
+        if with_text:
+            text = node.text
+            if kind == "element" and (tag in texts or "*" in texts):
+                text = node.text_content()
+            elif kind == "document" and page_text:
+                text = "".join(pieces)
+        if with_attrs:
+            attrs = list(node.attrs.items()) if kind == "element" else None
+            if kind == "document":
+                attrs = [("content_bytes", str(size_of_source))]
+        if with_heading:
+            level = min([int(n.tag[1]) for n in (node, *node.kids) if n.tag in HEADINGS], default=None)
+        parent, above = (None, (None, None, None)) if up is None else (up[7], (up[0].tag, up[8], up[10]))
+        yield pick((page_id, url, node_id, parent, end_id, depth, sib, elem, last, kind, tag, attrs, text, start, stop,
+                    *above, level, *beside))
+
+
+def _batcher(schema):
+    arrow = to_arrow_schema(schema)
+
+    def build(rows):
+        columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), arrow)]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return build
+
+
+def in_batches(rows: Iterator[tuple], text_at: int | None, build) -> Iterator[pa.RecordBatch]:
     """Group rows into Arrow batches bounded in rows and in text size."""
     pending, size = [], 0
     for row in rows:
         pending.append(row)
-        size += len(row[text_at] or "")
+        size += len(row[text_at] or "") if text_at is not None else 0
         if len(pending) >= FLUSH_ROWS or size >= FLUSH_BYTES:
             yield build(pending)
             pending, size = [], 0
@@ -122,44 +160,43 @@ def in_batches(rows: Iterator[tuple], text_at: int, build) -> Iterator[pa.Record
 
 
 def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Iterable[str] | None = None,
-               texts: Iterable[str] = (), page_text: bool | None = None, markdown: dict | None = None) -> DataFrame:
+               texts: Iterable[str] = (), page_text: bool | None = None, columns: Iterable[str] | None = None,
+               partitions: int | None = None) -> DataFrame:
     """Parse `pages(page_id, url, html)` into node rows.
 
-    The optimizer cannot see into the kernel, so what a query needs is said here: `tags` and
-    `kinds` keep only those rows (the document row always stays, one per page), `texts` names tags
-    whose rows carry their full text, and `page_text` puts the whole text on the document row
-    (default: only when nothing is filtered out). `markdown` (renderer options) adds one row of
-    kind `markdown` per page and a row of kind `ref` per compact link, from the same parse.
+    The optimizer cannot see into the kernel, so what a query needs is said here: `tags` keeps only
+    those elements and `kinds` only those rows (the document row always stays, one per page; text rows beside chosen
+    tags have to be named), `texts` names tags whose rows carry their full text, `page_text` puts the whole text on the
+    document row (default: only when nothing is filtered out), and `columns` are those that are built, by default
+    COLUMNS; those of ANCESTORS come on demand only. `partitions` deals the bodies anew before they are parsed: a
+    shuffle of all of them, of use where a file's row groups are fewer than the cores.
     """
     tag_set = None if tags is None else frozenset(tags)
     kind_set = None if kinds is None else frozenset(kinds) | {"document"}
     text_set = frozenset(texts)
     whole = (tag_set is None and kind_set is None) if page_text is None else page_text
+    names = list(COLUMNS if columns is None else dict.fromkeys(columns))
+    schema = T.StructType([T.StructField(name, NODE_TYPES[name]) for name in names])
 
     def wanted(kind, tag):
         if kind_set is not None and kind not in kind_set:
             return False
-        return tag_set is None or kind == "document" or tag in tag_set
+        return tag_set is None or kind == "document" or tag in tag_set or (kind == "text" and kind_set is not None)
 
     def kernel(batches):
         def rows():
             for batch in batches:
                 for page_id, url, source in zip(*(column.to_pylist() for column in batch.columns)):
                     source = source or ""
-                    root = parse_html(source)
                     size = len(source.encode("utf-8", "replace"))
-                    yield from page_rows(page_id, url, root, size, wanted, text_set, whole)
-                    if markdown is not None:
-                        raw, refs = render_tree(url or "", root, None, markdown)
-                        yield _extra_row(page_id, url, -1, "markdown", None, raw)
-                        for n, ref in enumerate(refs):
-                            yield _extra_row(page_id, url, n, "ref", [("href", ref["href"])], ref["text"])
+                    yield from page_rows(page_id, url, parse_html(source), size, wanted, text_set, whole, names)
 
-        return in_batches(rows(), 12, _batch)
+        return in_batches(rows(), names.index("text") if "text" in names else None, _batcher(schema))
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(kernel, NODE_SCHEMA)
+    source = pages.select("page_id", "url", "html")
+    rows = (source if partitions is None else source.repartition(partitions)).mapInArrow(kernel, schema)
     # Selectors look here, so that none is evaluated on rows that were never made.
-    return rows if tag_set is None else rows.withMetadata("tag", {EMITTED: sorted(tag_set)})
+    return rows if tag_set is None or "tag" not in names else rows.withMetadata("tag", {EMITTED: sorted(tag_set)})
 
 
 def clustered(rows: DataFrame) -> DataFrame:

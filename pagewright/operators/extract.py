@@ -21,6 +21,7 @@ MIN_SECTION_TOKENS = 500
 # Script texts that hint at a page moving elsewhere.
 REDIRECT_WORDS = ["location.href", "location.replace", "location.assign", "location =", "location=",
                   "window.location", "document.location"]
+# Fixed value: the text that is given in place of a page with content areas.
 SELECTORS_NOTICE = (
     "Page has content sections. Re-fetch with a `selector` for targeted content, or set "
     "`show_selectors_first=false` for the raw page.")

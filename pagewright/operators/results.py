@@ -11,7 +11,10 @@ from pagewright.operators.extract import (
     INFO_TAGS, MIN_SECTION_TOKENS, SELECTORS_NOTICE, candidate_entries, chosen_entries, entry_order,
     info_aggregates, info_columns, is_candidate, with_links, with_sections)
 from pagewright.operators.feeds import feed_links, feed_markdown, feed_rows
+from pagewright.operators.markdown import CELLS, CONTEXT, SHOWN_TAGS, assemble
 
+COLUMNS_READ = ["page_id", "url", "node_id", "parent_id", "end_id", "sib", "kind", "tag", "attrs", "text", "text_from", "text_to",
+                "parent_tag", "parent_end", "parent_to", "heading"]
 LINKS = "array<struct<i:int,text:string,href:string>>"
 SELECTORS = "array<struct<selector:string,tokens_est:bigint,label:string>>"
 COLUMNS = ["page_id", "url", "title", "status", "markdown", "links", "lang", "description", "content_type",
@@ -20,40 +23,46 @@ COLUMNS = ["page_id", "url", "title", "status", "markdown", "links", "lang", "de
 
 def page_results(pages: DataFrame, strip_nav: bool = False, include_links: bool = True, include_images: bool = False,
                  compact_links: bool = False, show_selectors_first: bool = True, offset: int = 0,
-                 max_tokens: int | None = None, min_tokens: int = MIN_SECTION_TOKENS) -> DataFrame:
+                 max_tokens: int | None = None, min_tokens: int = MIN_SECTION_TOKENS, partitions: int | None = None) -> DataFrame:
     """One row per HTML page (COLUMNS). Where content selectors exist and are asked for first, a
     notice takes the place of the Markdown and `tokens_est` is that of the whole page.
 
-    The kernel emits element rows and the Markdown of a page together. Rows that contribute
+    One parse gives the rows of facts, links, areas and Markdown alike. Rows that contribute
     nothing are dropped at once; the rest is shuffled once, by `page_id`, and never joined.
     """
-    options = {"strip_nav": strip_nav, "include_links": include_links, "include_images": include_images,
-               "compact_links": compact_links}
-    nodes = html_nodes(pages, kinds=("element",), texts=("title", "a", "h2", "h3"), page_text=False, markdown=options)
-    needed = (F.col("kind") != "element") | F.col("tag").isin(*INFO_TAGS, "a", "img")
+    nodes = html_nodes(pages, kinds=("element", "text"), texts=("title", "a", "h2", "h3", *CELLS), page_text=False,
+                       columns=[*COLUMNS_READ, *CONTEXT], partitions=partitions).filter("near_hidden IS NULL")
+    needed = (F.col("kind") == "document") | F.col("tag").isin(*INFO_TAGS, "a", "img")
+    shown = (F.col("kind") != "element") | F.col("tag").isin(SHOWN_TAGS)
     if show_selectors_first:
-        rows = with_links(with_sections(clustered(nodes.filter(needed | is_candidate()))))
+        nodes = nodes.filter(needed | shown | is_candidate())
+        rows = with_links(with_sections(clustered(nodes)))
     else:
-        rows = with_links(nodes.filter(needed))
-    # A row stands for itself once, and once more for each entry it contributes.
+        rows = with_links(clustered(nodes.filter(needed | shown)))
+    # A row stands for its facts once, once more for each entry it contributes, and once in the Markdown.
     itself = F.lit(None).cast("struct<part:int,ord:int,selector:string,tokens_est:bigint,label:string>")
     entries = F.array_prepend(candidate_entries(min_tokens), itself) if show_selectors_first else F.array(itself)
-    rows = rows.withColumn("_e", F.explode(entries))
+    roles = F.transform(entries, lambda e: F.struct(F.lit(None).cast("int").alias("match"), e.alias("e")))
+    in_text = F.struct(F.lit(0).alias("match"), itself.alias("e"))
+    rows = rows.withColumn("_role", F.explode(F.concat(roles, F.when(shown, F.array(in_text)).otherwise(F.slice(F.array(in_text), 1, 0)))))
+    rows = rows.withColumns({"match": F.col("_role.match"), "_e": F.col("_role.e")})
     rows = chosen_entries(rows, "_e", min_tokens)
-    own = F.col("_e").isNull()
-    blanked = rows.withColumns({name: F.when(own, F.col(name)) for name in ("tag", "kind", "_link")})
+    own = F.col("_e").isNull() & F.col("match").isNull()
+    facts = ["url", "text", "attrs", "node_id", "text_from", "text_to", "_e", "_chosen"]
+    rows = rows.withColumn("_info", F.when(F.col("match").isNull(), F.struct(
+        *facts, *[F.when(own, F.col(name)).alias(name) for name in ("tag", "kind")], F.when(own, F.col("_link")).alias("_link")))).drop("_link")
 
     link = F.when(F.col("_link").isNotNull(), F.struct("_link.i", "_link.text", "_link.href"))
-    if compact_links:
-        link = F.when(F.col("kind") == "ref", F.struct(F.col("node_id").alias("i"), F.col("text"), F.col("attrs")["href"].alias("href")))
     order = [c.alias(f"o{n}") for n, c in enumerate(entry_order("_e"))]
-    chosen = F.when(~own & F.col("_chosen"), F.struct(*order, F.struct("_e.selector", "_e.tokens_est", "_e.label").alias("s")))
-    grouped = blanked.groupBy("page_id").agg(
-        *info_aggregates(), F.array_sort(F.collect_list(link)).cast(LINKS).alias("_links"),
-        F.transform(F.array_sort(F.collect_list(chosen)), lambda c: c["s"]).cast(SELECTORS).alias("_selectors"),
-        F.max(F.when(F.col("kind") == "markdown", F.col("text"))).alias("_raw")).withColumns(info_columns())
+    chosen = F.when(F.col("_e").isNotNull() & F.col("_chosen"), F.struct(*order, F.struct("_e.selector", "_e.tokens_est", "_e.label").alias("s")))
+    facts = [*info_aggregates(), F.array_sort(F.collect_list(link)).cast(LINKS).alias("_links"),
+             F.transform(F.array_sort(F.collect_list(chosen)), lambda c: c["s"]).cast(SELECTORS).alias("_selectors")]
+    rows = rows.withColumns({"_start": F.coalesce((F.col("match") == 0) & (F.col("kind") == "document"), F.lit(False)), "_table": F.col("top_table")})
+    grouped = assemble(rows, strip_nav, include_links, include_images, compact_links, facts).withColumns(info_columns())
+    if compact_links:
+        grouped = grouped.withColumn("_links", F.col("refs"))
     hint = F.size("_selectors") > 0
-    page = F.when(~hint, truncate_tokens(normalize_ws(decode_entities("_raw")), offset, max_tokens))
+    page = F.when(~hint, truncate_tokens(normalize_ws(decode_entities("raw")), offset, max_tokens))
     result = grouped.withColumn("_page", page).withColumns({
         "status": F.lit(200), "markdown": F.when(hint, F.lit(SELECTORS_NOTICE)).otherwise(F.col("_page.markdown")),
         "links": F.col("_links") if include_links else F.lit(None).cast(LINKS),
@@ -132,7 +141,5 @@ def section_savings(results: DataFrame) -> DataFrame:
 
 
 def selectors_first(results: DataFrame) -> DataFrame:
-    """Pages answered with a notice instead of Markdown."""
-    return results.filter(F.col("content_selectors").isNotNull())
-
-
+    """Results with `notice`: was the page answered with its content selectors, or had it to be rendered?"""
+    return results.withColumn("notice", F.col("content_selectors").isNotNull())

@@ -197,10 +197,12 @@ def from_parent(rows: DataFrame, value: Column, out: str) -> DataFrame:
             .filter(~F.col("_role.up")).select(*[c for c in columns if c != out], out))
 
 
-def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame:
-    """Element rows with a boolean column: does the element match the selector?"""
+def css_flag(nodes: DataFrame, selector: str, out: str = "matched", keep_others: bool = False) -> DataFrame:
+    """Element rows with a boolean column: does the element match the selector? With `keep_others` the rows that are no
+    elements stay, unmatched."""
     check_tags(nodes, selector)
-    rows = elements(nodes)
+    rows = nodes if keep_others else elements(nodes)
+    beside = Window.partitionBy("page_id", "parent_id", "kind").orderBy("sib")
     columns = [c for c in rows.columns if c != out]
     flags = []
     alternatives = parse_selector(selector)
@@ -215,10 +217,10 @@ def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame
                 linked = inside(held)
             elif compound.combinator == "+":
                 # The sibling just before, not the one before it among the rows that are there.
-                next_to = F.lag("elem").over(siblings()) == F.col("elem") - 1
-                linked = F.coalesce(next_to & F.lag(held).over(siblings()), F.lit(False))
+                next_to = F.lag("elem").over(beside) == F.col("elem") - 1
+                linked = F.coalesce(next_to & F.lag(held).over(beside), F.lit(False))
             elif compound.combinator == "~":
-                linked = F.coalesce(F.max(held).over(before(siblings())), F.lit(False))
+                linked = F.coalesce(F.max(held).over(before(beside)), F.lit(False))
             else:
                 rows = from_parent(rows, held, "_parent")
                 linked = F.coalesce(F.col("_parent"), F.lit(False))
@@ -227,6 +229,8 @@ def css_flag(nodes: DataFrame, selector: str, out: str = "matched") -> DataFrame
     matched = flags[0]
     for flag in flags[1:]:
         matched = matched | flag
+    if keep_others:
+        matched = F.coalesce(matched & (F.col("kind") == "element"), F.lit(False))
     return rows.select(*columns, matched.alias(out))
 
 

@@ -14,12 +14,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Bodies dealt over as many partitions as the session's `pagewright.partitions` says; as they are if it says nothing.
+
+    It is a shuffle of bodies, for files whose row groups are fewer than the cores."""
+    partitions = rows.sparkSession.conf.get("pagewright.partitions", None)
+    return rows if partitions is None else rows.repartition(int(partitions))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+    return dealt(table(spark, sf, "pages"))
 
 
 def escape(text: Column) -> Column:
@@ -58,7 +66,7 @@ def document_feeds(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>'), F.col("source"),
                     F.lit("</title><description>"), F.col("lang"), F.lit("</description>"), F.array_join(items, ""),
                     F.lit("</channel></rss>"))
-    return documents(spark, sf).select(
+    return dealt(documents(spark, sf)).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{SITE}/feed/"), F.col("source")).alias("url"), body.alias("html"))
 
 
@@ -67,7 +75,7 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.filter(F.split("text", r"\n"), lambda s: F.trim(s) != "")
     parts = F.transform(lines, lambda s, n: F.concat(
         F.lit('<h2 id="s'), n.cast("string"), F.lit('">Part '), n.cast("string"), F.lit("</h2><p>"), escape(s), F.lit("</p>")))
-    return documents(spark, sf).select(
+    return dealt(documents(spark, sf)).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{SITE}/doc/"), F.col("doc_id")).alias("url"),
         F.concat(F.lit("<body>"), F.array_join(parts, "")).alias("html"))
 
@@ -83,7 +91,7 @@ def customer_forms(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('><input type="submit" name="go" value="Go"><select name="segment"><option>NONE<option value="'), segment,
         F.lit('" selected>'), segment, F.lit('</select><textarea name="note">nation '), F.col("c_nationkey").cast("string"),
         F.lit('</textarea><input name="empty"></form>'))
-    return table(spark, sf, "customer").select(
+    return dealt(table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit(f"{SITE}/c/"), key).alias("url"), html.alias("html"))
 
 
@@ -92,7 +100,7 @@ def nation_tables(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(
         F.lit("<table><thead><tr><th>field<th>value</thead><tr><td>name<td>"), escape(F.col("c_name")),
         F.lit("<tr><td>segment<td> <b>"), escape(F.col("c_mktsegment")), F.lit("</b> <tr><td>nation</table>"))
-    return table(spark, sf, "customer").select(
+    return dealt(table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit(f"{SITE}/t/"), F.col("c_custkey")).alias("url"), html.alias("html"))
 
 

@@ -37,6 +37,7 @@ LANG = "regexp_extract(html, '<html lang=\"([a-z]*)\"', 1)"
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 TOKENS = f"(strlen({_text(BODY)}) // 4)"
 ARTICLE_TOKENS = f"(strlen({_text(ARTICLE)}) // 4)"
+# Fixed value: the text that is given in place of a page with content areas.
 NOTICE = ("Page has content sections. Re-fetch with a `selector` for targeted content, or set "
           "`show_selectors_first=false` for the raw page.")
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -112,10 +113,8 @@ _LINES = """lines AS (
     FROM documents) WHERE trim(line, ' ') <> '')"""
 O["document_outline"] = f"""WITH {_LINES} SELECT doc_id AS page_id, '#s' || n AS selector, strlen(line) // 4 AS tokens_est,
   'Part ' || n AS label FROM lines WHERE strlen(line) // 4 >= 40"""
-O["section_content"] = f"""WITH {_LINES}, t AS (SELECT doc_id, regexp_replace('Part 0' || line, '{WS}+$', '') AS t FROM lines WHERE n = 0)
+O["section_content"] = f"""WITH {_LINES}, t AS (SELECT doc_id, string_agg(regexp_replace('Part ' || n || line, '{WS}+$', ''), chr(10) || chr(10) ORDER BY n) AS t FROM lines GROUP BY 1)
 SELECT doc_id AS page_id, md5(t) AS digest, strlen(t) AS bytes FROM t"""
-O["selectors_first"] = f"""SELECT page_id, '{NOTICE}' AS markdown, {TOKENS} AS tokens_est, 1 AS areas
-FROM pages WHERE {ARTICLE_TOKENS} >= 500"""
 _COUNTS = f"""counts AS (SELECT page_id, count(*) AS links FROM found GROUP BY 1),
 facts AS (
   SELECT page_id, url, html, nullif(trim({TITLE}), '') AS title, {LANG} AS lang, {TOKENS} AS tokens_est,
@@ -141,6 +140,30 @@ _TYPE = """CASE page_id % 8 WHEN 0 THEN 'text/html; charset=UTF-8' WHEN 1 THEN '
 O["routed_responses"] = f"""SELECT page_id, CASE WHEN page_id % 8 IN (1, 5) THEN NULL ELSE nullif(trim({TITLE}), '') END AS title,
   CASE WHEN page_id % 8 = 1 THEN 'image/png' WHEN page_id % 8 = 5 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
   CASE WHEN page_id % 8 IN (1, 5) THEN 10 ELSE {TOKENS} END AS tokens_est, page_id % 8 IN (1, 5) AS is_binary FROM pages"""
+def _flat(x: str) -> str:
+    """Decoded text with single spaces and none in front."""
+    return f"ltrim(regexp_replace({_dec(x)}, '{WS}+', ' ', 'g'), ' ')"
+
+
+# A <b> that a <p> cuts off is opened again in all that follows, at most three deep. What the parser decoded is decoded once more.
+_MARKDOWN = f"""nav AS (SELECT page_id, string_agg('- [' || trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ') || '](' || href || ')', chr(10) ORDER BY i) AS nav FROM found GROUP BY 1),
+paras AS (SELECT page_id, k, starts_with(p, '<b>') AS opens, {_flat("regexp_extract(p, '^(?:<b>)?([^<]*)', 1)")} AS t
+  FROM (SELECT page_id, unnest(string_split({ARTICLE}, '<p>')[2:]) AS p, unnest(range(1, len(string_split({ARTICLE}, '<p>')))) AS k FROM pages)),
+deep AS (SELECT *, repeat('**', least(3, sum(opens::INT) OVER (PARTITION BY page_id ORDER BY k))::INT) AS b FROM paras),
+body AS (SELECT page_id, string_agg(CASE WHEN trim(t, ' ') = '' THEN '' ELSE b || t || CASE WHEN opens THEN chr(10) ELSE '' END || b END, chr(10) || chr(10) ORDER BY k) AS body, max(b) AS b FROM deep GROUP BY 1),
+joined AS (SELECT page_id, {_flat("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} || chr(10) || coalesce(nav || chr(10) || chr(10), '') || {_flat("regexp_extract(html, '<div class=.ad.>(.*?)</div>', 1, 's')")}
+  || chr(10) || chr(10) || '# ' || {_flat("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} || chr(10) || coalesce(body, '') || chr(10) || chr(10)
+  || coalesce(b, '') || {_flat("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} || coalesce(b, '') AS md FROM pages LEFT JOIN nav USING (page_id) LEFT JOIN body USING (page_id)),
+markdown AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(md, '&quot;', '"'), '&amp;', '&'),
+  '{WS_IN_LINE}+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS md FROM joined)"""
+O["page_markdown"] = f"""WITH {_links_cte()}, {_MARKDOWN} SELECT page_id, strlen(md) // 4 AS tokens_est, false AS truncated, md5(md) AS digest FROM markdown"""
+O["selectors_first"] = f"""WITH {_links_cte()}, {_MARKDOWN}
+SELECT page_id, {ARTICLE_TOKENS} >= 500 AS notice, md5(CASE WHEN {ARTICLE_TOKENS} >= 500 THEN '{NOTICE}' ELSE md END) AS digest,
+  CASE WHEN {ARTICLE_TOKENS} >= 500 THEN {TOKENS} ELSE strlen(md) // 4 END AS tokens_est, CASE WHEN {ARTICLE_TOKENS} >= 500 THEN 1 END AS areas
+FROM pages JOIN markdown USING (page_id)"""
+O["markdown_headings"] = f"""WITH {_LINES}, t AS (SELECT doc_id, n, '## Part ' || n || chr(10) || regexp_replace(regexp_replace(line, '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS t FROM lines),
+md AS (SELECT doc_id, count(*) AS sections, string_agg(t, chr(10) || chr(10) ORDER BY n) AS md FROM t GROUP BY 1)
+SELECT documents.doc_id AS page_id, coalesce(sections, 0) AS sections, strlen(coalesce(md, '')) // 4 AS tokens_est, md5(coalesce(md, '')) AS digest FROM documents LEFT JOIN md USING (doc_id)"""
 O["markdown_nav"] = f"""WITH {_links_cte()}
 SELECT page_id, coalesce(nav, '') AS nav FROM pages LEFT JOIN (
   SELECT page_id, string_agg('- [' || text || '](' || href || ')', chr(10) ORDER BY i) AS nav FROM found GROUP BY 1) USING (page_id)"""

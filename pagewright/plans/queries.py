@@ -180,13 +180,13 @@ def document_outline(spark, sf):
 @query
 def section_content(spark, sf):
     nodes = dom.html_nodes(inputs.document_articles(spark, sf))
-    return extract.section_text(nodes, "#s0").select("page_id", F.md5("content").alias("digest"), F.octet_length("content").alias("bytes"))
+    return extract.section_text(nodes, "h2").select("page_id", F.md5("content").alias("digest"), F.octet_length("content").alias("bytes"))
 
 
 @query
 def selectors_first(spark, sf):
     rows = results.selectors_first(results.page_results(inputs.pages(spark, sf)))
-    return rows.select("page_id", "markdown", "tokens_est", F.size("content_selectors").alias("areas"))
+    return rows.select("page_id", "notice", F.md5("markdown").alias("digest"), "tokens_est", F.size("content_selectors").alias("areas"))
 
 
 @query
@@ -241,8 +241,9 @@ def markdown_nav(spark, sf):
 
 @query
 def markdown_headings(spark, sf):
-    rows = markdown.html_markdown(inputs.document_articles(spark, sf), selector="#s0")
-    return rows.select("page_id", "tokens_est", F.split_part("markdown", F.lit("\n"), F.lit(1)).alias("heading"))
+    """Every section of every document, rendered as a part of its own."""
+    rows = markdown.html_markdown(inputs.document_articles(spark, sf), selector="h2")
+    return rows.select("page_id", F.regexp_count("markdown", F.lit(r"(?m)^## Part \d+$")).cast("bigint").alias("sections"), "tokens_est", F.md5("markdown").alias("digest"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,8 +24,18 @@ def stream_nodes(pages: DataFrame, **options) -> DataFrame:
     return html_nodes(pages, **options)
 
 
-def stream_markdown(pages: DataFrame, patterns=None, **options) -> DataFrame:
-    """Redacted Markdown of arriving pages; the same kernel and columns as in batch."""
+def start_page_sink(pages: DataFrame, convert: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Arriving pages through a batch operator, such as `html_markdown`, micro-batch by micro-batch.
+
+    A batch owns the folder `path/batch=<id>`, so a retried one overwrites only what it wrote itself."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        convert(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return pages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def redacted_markdown(pages: DataFrame, patterns=None, **options) -> DataFrame:
+    """Redacted Markdown of pages, for batches and for `start_page_sink`."""
     return redact_pages(html_markdown(pages, **options), True, patterns)
 
 

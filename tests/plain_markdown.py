@@ -1,9 +1,7 @@
-"""Markdown of one page tree: the helper inside the Markdown kernel. Pure Python, no shared state.
+"""Markdown of one page by a plain walk over its tree, to hold the Spark operator against. Only tests use it.
 
 A tree becomes Markdown from the leaves up. Every finished element hands its parent a list of pieces: strings, and
-the wishes LINE (stand at the start of a line) and GAP (behind an empty line). What an element makes of its
-children's pieces is one entry of WRAP; settle() grants the wishes in one pass over the page's pieces. There is no
-recursion, so depth does not matter.
+the wishes LINE (stand at the start of a line) and GAP (behind an empty line). settle() grants the wishes in one pass.
 """
 
 from __future__ import annotations
@@ -44,7 +42,7 @@ def _clean_address(address):
 
 
 def shown_address(base: str, href: str) -> str:
-    """In-kernel twin of `display_href` (links are deduplicated while the page is rendered)."""
+    """Plain twin of `display_href`."""
     text = href.strip("".join(map(chr, range(33)))).translate({9: None, 10: None, 13: None})
     home = _clean_address(base)
     if home is None:
@@ -236,7 +234,7 @@ def pieces_of(node, base: str, options: dict, scope: _Scope) -> list:
         if here.tag == "pre":
             frame.pre = True
         elif here.tag == "blockquote":
-            frame.scope = _Scope(False)
+            frame.scope, frame.lists = _Scope(False), ()
         elif here.tag in LISTS:
             frame.lists = (*above.lists, frame)
         elif here.tag == "li" and above.lists:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import mime, sqlnames, text, urls
-from pagewright.operators.mdtree import shown_address
+from plain_markdown import shown_address
 
 BASE = "https://Example.com:443/a/b/c?x=1#f"
 HREFS = [
@@ -32,7 +32,7 @@ def test_resolve(spark, href, expected):
 
 
 @pytest.mark.parametrize("base", [BASE, "http://h.example/x/y.html", "not a url", "https://example.com"])
-def test_display_href_agrees_with_kernel(spark, base):
+def test_display_href_agrees_with_plain_python(spark, base):
     frame = spark.createDataFrame([(base, h) for h in HREFS], "b string, h string")
     for row in frame.select("h", urls.display_href("b", "h").alias("d")).collect():
         assert row.d == shown_address(base, row.h), row.h

@@ -225,7 +225,7 @@ def test_stream_pages_and_snapshots(spark, tmp_path, pages_of):
     secret = "sk-" + "q" * 24
     pages_of("<h1>A</h1>", f"<p>{secret}</p>").coalesce(1).write.parquet(str(tmp_path / "pages"))
     out, checkpoint = folders(spark, tmp_path)
-    run(flows.start_file_sink(flows.stream_markdown(flows.stream_pages(spark, str(tmp_path / "pages"))), out, checkpoint))
+    run(flows.start_page_sink(flows.stream_pages(spark, str(tmp_path / "pages")), flows.redacted_markdown, out, checkpoint))
     found = {r.page_id: r.markdown for r in spark.read.parquet(out).collect()}
     assert found[0] == "# A" and found[1].startswith("${secret_")
     nodes = flows.stream_nodes(flows.stream_pages(spark, str(tmp_path / "pages")), tags=("h1",))

@@ -1,38 +1,103 @@
+import random
+
 import pytest
 
-from pagewright.operators import feeds
+from pagewright.operators import dom, feeds
 from pagewright.operators.htmltree import parse_html
-from pagewright.operators.markdown import chunks, html_markdown
-from pagewright.operators.mdtree import render_tree
-
-OPTIONS = {"strip_nav": False, "include_links": True, "include_images": True, "compact_links": False}
-
-
-def raw(source, **options):
-    return render_tree("https://example.com/a/", parse_html(source), None, {**OPTIONS, **options})[0]
+from pagewright.operators.markdown import CELLS, CONTEXT, NODE_COLUMNS, SHOWN_TAGS, _chosen, assemble, chunks, html_markdown, whole_pages
+from pagewright.operators.selectors import css_select
+from plain_markdown import render_tree
 
-
-@pytest.mark.parametrize("source, expected", [
+URL = "https://example.com/a/"
+OPTIONS = {"strip_nav": False, "include_links": True, "include_images": False, "compact_links": False}
+RULES = [
     ("<h1>T</h1><h3>S</h3>", "# T\n### S\n"), ("<p>a</p><p>b</p>", "a\n\nb\n\n"), ("a<br>b<hr>c", "a\nb\n---\nc"),
     ("<b>x</b> y", "**x**y"), ("<b> </b><i></i><em>e</em>", "*e*"), ("<code>c</code>", "`c`"),
     ("<pre><code>a\n  b</code></pre>", "```\na\n  b\n```\n"), ("<blockquote><p>q</p></blockquote>", "> q\n> \n"),
+    ("<blockquote>a<blockquote>b</blockquote>c</blockquote>", "> a\n> > b\n> \n> c\n\n"), ("<blockquote> </blockquote>x", "x"),
     ("<ul><li>a<ol><li>x<li>y</ol><li> <li>b</ul>", "- a\n  1. x\n  2. y\n- b\n"), ("<li>alone", "- alone"),
+    ("<ul><li>a<blockquote><ol><li>x</ol></blockquote></ul>", "- a\n> 1. x\n"),
     ("<img src=/i.png alt=A><img alt=no>", "![A](/i.png)"), ("<script>x</script><style>y</style><noscript>z</noscript>t", "t"),
     ("<a href=/x><h2>Head</h2></a>", "[Head](/x)"), ("<a href=/x>1</a><a href=/x>2</a>", "[1](/x)"),
     ("<a href=/x><b></b></a><a href=/y><img></a><a href=/z title=' t '></a>", "[img](/y)[t](/z)"),
+    ("<a href=/x>a<p>b</p> c</a>", "[a b c](/x)"), ("<ul><li><a href=/x>a</a><li><a href=/x>b</a></ul>", "- [a](/x)\n"),
     ("<a href=/x>in</a><blockquote><a href=/x>q</a></blockquote>", "[in](/x)\n> [q](/x)\n\n"),
-    ("<table><tr><th>A<th>B<tr><td>1</table>", "| A | B |\n|---|---|\n| 1 |  |\n\n")])
-def test_rules(source, expected):
-    assert raw(source) == expected
-
-
-def test_options():
+    ("<table><tr><th>A<th>B<tr><td>1</table>", "| A | B |\n|---|---|\n| 1 |  |\n\n"),
+    ("<table><thead><tr><td>h<tbody><tr><td>1<table><tr><td>in</table></table>", "| h |\n|---|\n| 1in |\n\n"), ("<table></table>x", "\nx"), ("", "")]
+TAGS = "p div section h1 h2 h3 b em strong i ul ol li blockquote a a a code pre br hr img table span nav header script article".split()
+WORDS = ["x", "foo bar ", " ", " b", "*", "_", "\n", "a\n\nb", " tail ", "&amp;amp; q"]
+
+
+def random_page(rng, depth=4):
+    out = []
+    for _ in range(rng.randint(0, 5)):
+        tag = rng.choice(TAGS)
+        if rng.random() < 0.4 or not depth:
+            out.append(rng.choice(WORDS))
+        elif tag in ("br", "hr"):
+            out.append(f"<{tag}>")
+        elif tag == "img":
+            out.append(rng.choice(["<img src=/i alt=A>", "<img>", "<img alt=' '>", "<img src=x>"]))
+        elif tag == "a":
+            out.append(rng.choice(["<a href=/1>", "<a href=/2>", "<a href=/3 title=T>", "<a>", "<a href=/4 aria-label=' L  l '>"]) + random_page(rng, depth - 1) + "</a>")
+        elif tag == "table":
+            rows = ("".join(f"<{rng.choice(['td', 'td', 'th'])}>" + rng.choice(["c", "c  d", "", "<b>z</b>"]) for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 3)))
+            out.append("<table>" + "".join("<tr>" + row for row in rows) + "</table>")
+        else:
+            out.append(f"<{tag}>" + random_page(rng, depth - 1) + f"</{tag}>")
+    return "".join(out)
+
+
+def raw(pages, **options):
+    nodes = dom.html_nodes(pages, SHOWN_TAGS, kinds=("element", "text"), texts=CELLS, page_text=False, columns=NODE_COLUMNS)
+    rows = assemble(whole_pages(dom.clustered(nodes)), **{**OPTIONS, **options}).collect()
+    return {r.page_id: (r.raw, [(k.i, k.text, k.href) for k in r.refs]) for r in rows}
+
+
+def test_rules(pages_of):
+    found = raw(pages_of(*[source for source, _ in RULES], url=URL), include_images=True)
+    assert [found[n][0] for n in range(len(RULES))] == [text for _, text in RULES]
+
+
+@pytest.mark.parametrize("options", [{}, {"include_images": True, "compact_links": True}, {"strip_nav": True, "include_links": False}])
+def test_random_pages(pages_of, options):
+    rng = random.Random(len(options))
+    sources = [random_page(rng) for _ in range(400)]
+    found = raw(pages_of(*sources, url=URL), **options)
+    for n, source in enumerate(sources):
+        text, refs = render_tree(URL, parse_html(source), None, {**OPTIONS, **options})
+        assert found[n] == (text, [(i, r["text"], r["href"]) for i, r in enumerate(refs)]), source
+
+
+def test_options(pages_of):
     page = "<nav>N</nav><header>H</header><p><a href=/l>L</a></p><footer>F</footer>"
-    assert raw(page, strip_nav=True) == "[L](/l)\n\n"
-    assert raw("<a href=/l>L</a>", include_links=False) == "L"
-    assert raw("<img src=i>", include_images=False) == ""
-    text, refs = render_tree("https://example.com/", parse_html("<a href=/a>A</a><a href=/b>B</a>"), None, {**OPTIONS, "compact_links": True})
-    assert text == "[A][0][B][1]" and [r["href"] for r in refs] == ["/a", "/b"]
+    assert raw(pages_of(page), strip_nav=True)[0][0] == "[L](/l)\n\n"
+    assert raw(pages_of("<a href=/l>L</a>"), include_links=False)[0][0] == "L"
+    assert raw(pages_of("<img src=i>"))[0][0] == ""
+    assert raw(pages_of("<a href=/a>A</a><a href=/b>B</a>"), compact_links=True)[0] == ("[A][0][B][1]", [(0, "A", "/a"), (1, "B", "/b")])
+
+
+def test_chosen_parts(pages_of):
+    page = ("<div>a<div>b</div></div><ul><li>one<li>two<ol><li>in</ol></ul><h2>H</h2><p>x</p><h3>S</h3><p>y</p><h2>I</h2><p>z</p>"
+            "<table><tr><td>T</table>")
+    expected = {
+        "div": "a\nb\n\nb", "li": "- one\n\n- two\n1. in\n\n- in", "ol, td": "1. in\n\nT", "h3 ~ p": "y\n\nz",
+        "h2": "## H\nx\n\n### S\ny\n\n## I\nz\n\n| T |\n|---|", "[[[": ""}
+    for selector, text in expected.items():
+        assert [r.markdown for r in html_markdown(pages_of(page), selector=selector).collect()] == [text]
+
+
+@pytest.mark.parametrize("selector", ["h1, h2, section", "li, blockquote, a"])
+def test_chosen_parts_of_random_pages(pages_of, selector):
+    rng = random.Random(len(selector))
+    sources = [random_page(rng) for _ in range(150)]
+    nodes = dom.html_nodes(pages_of(*sources, url=URL), texts=CELLS, page_text=False, columns=[*dom.COLUMNS, *CONTEXT]).cache()
+    hits = {}
+    for row in css_select(nodes, selector).collect():
+        hits.setdefault(row.page_id, set()).add(row.node_id)
+    found = {r.page_id: r.raw for r in assemble(_chosen(dom.clustered(nodes), selector)).collect()}
+    for n, source in enumerate(sources):
+        assert found[n] == render_tree(URL, parse_html(source), hits.get(n, set()), OPTIONS)[0], source
 
 
 def test_pages_to_markdown(spark, pages_of):
