@@ -149,8 +149,9 @@ def _flat(x: str) -> str:
 _MARKDOWN = f"""nav AS (SELECT page_id, string_agg('- [' || trim(regexp_replace(text, '{WS}+', ' ', 'g'), ' ') || '](' || href || ')', chr(10) ORDER BY i) AS nav FROM found GROUP BY 1),
 paras AS (SELECT page_id, k, starts_with(p, '<b>') AS opens, {_flat("regexp_extract(p, '^(?:<b>)?([^<]*)', 1)")} AS t
   FROM (SELECT page_id, unnest(string_split({ARTICLE}, '<p>')[2:]) AS p, unnest(range(1, len(string_split({ARTICLE}, '<p>')))) AS k FROM pages)),
-deep AS (SELECT *, repeat('**', least(3, sum(opens::INT) OVER (PARTITION BY page_id ORDER BY k))::INT) AS b FROM paras),
-body AS (SELECT page_id, string_agg(CASE WHEN trim(t, ' ') = '' THEN '' ELSE b || t || CASE WHEN opens THEN chr(10) ELSE '' END || b END, chr(10) || chr(10) ORDER BY k) AS body, max(b) AS b FROM deep GROUP BY 1),
+deep AS (SELECT *, repeat('**', (CASE WHEN opens THEN least(3, n - 1) + 1 ELSE least(3, n) END)::INT) AS b
+  FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY page_id ORDER BY k) AS n FROM paras)),
+body AS (SELECT page_id, string_agg(CASE WHEN trim(t, ' ') = '' THEN '' ELSE b || t || CASE WHEN opens THEN chr(10) ELSE '' END || b END, chr(10) || chr(10) ORDER BY k) AS body, repeat('**', least(3, max(n))::INT) AS b FROM deep GROUP BY 1),
 joined AS (SELECT page_id, {_flat("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} || chr(10) || coalesce(nav || chr(10) || chr(10), '') || {_flat("regexp_extract(html, '<div class=.ad.>(.*?)</div>', 1, 's')")}
   || chr(10) || chr(10) || '# ' || {_flat("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} || chr(10) || coalesce(body, '') || chr(10) || chr(10)
   || coalesce(b, '') || {_flat("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} || coalesce(b, '') AS md FROM pages LEFT JOIN nav USING (page_id) LEFT JOIN body USING (page_id)),
