@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagewright.llm.common import batches_of, sized, stored
-from pagewright.llm.tokens import Encoder
+from pagewright.llm.tokens import shared_encoder
 
 END = 1
 #: A file holds whole documents until it has this many ids or more; a part of the id range has about so many characters.
@@ -112,7 +112,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, file_ids: int = FILE
         part = context.partitionId() if context else 0
 
         def rows():
-            encoder = Encoder(path)
+            encoder = shared_encoder(path)
             held, lengths, doc_ids, n, first, file = [], [], [], 0, 0, 0
             for batch in batches:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -149,11 +149,12 @@ def read_files(files: DataFrame) -> DataFrame:
     def kernel(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                codes, at = Codes(row["codes"]), 0
+                # All documents of a file are wanted, so its levels are read once and cut by position.
+                whole, at = Codes(row["codes"]).slice(0, sum(row["lengths"])).astype("<u4"), 0
                 starts, ids = [], []
                 for n in row["lengths"]:
                     starts.append(row["before"] + row["first"] + at)
-                    ids.append(codes.slice(at, at + n).astype("<u4").tobytes())
+                    ids.append(whole[at:at + n].tobytes())
                     at += n
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lengths"], pa.int64()),

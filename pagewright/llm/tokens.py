@@ -103,9 +103,13 @@ class Encoder:
         if any(s in text for s in self.special) or _odd()(text):
             return self.direct(text)
         if self.lowers:
-            low = text.lower()
-            if not text.isascii() and ("Σ" in text or not (
-                    unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
                 return self.direct(text)
-            text = low
+            text = text.lower()
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+
+
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One per worker process: it outlives a task, and so do the pieces it remembers."""
+    return Encoder(path)
