@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions.mime import fetch_mode, is_retryable
-from pagewright.operators.running import SEGMENT_ROWS, running
+from pagewright.operators.running import SEGMENT_ROWS, running, segmented
 
 # The actions of a command log and the fields each cannot do without.
 ACTIONS = [
@@ -82,23 +82,25 @@ def parse_commands(lines: DataFrame) -> DataFrame:
     return rows.withColumn("bad", F.coalesce(bad, F.lit(True))).drop("_corrupt", "_mistyped")
 
 
-def validate_seq(commands: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def validate_seq(commands: DataFrame, segment_rows: int = SEGMENT_ROWS, kept: bool = False) -> DataFrame:
     """Add `last_seq` (highest sequence number before the row) and `accepted`.
 
     A rejected row never raises the highest number, so it is a running maximum over the log. Bad
-    rows do not count; they are answered with `last_seq + 1`, or 0 at the start (`reply_seq`).
+    rows do not count; they are answered with `last_seq + 1`, or 0 at the start (`reply_seq`). With `kept` the rows
+    stay segmented for further running values.
     """
-    counted = F.when(~F.col("bad"), F.col("seq"))
-    seen = running(commands, ["log"], "line_no", {"last_seq": ("max", counted)}, segment_rows=segment_rows)
+    log = segmented(commands, "line_no", segment_rows, dense=True)
+    seen = running(log, ["log"], "line_no", {"last_seq": ("max", F.when(~F.col("bad"), F.col("seq")))})
     fresh = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
-    return seen.withColumn("accepted", ~F.col("bad") & fresh).withColumn(
+    rows = seen.withColumn("accepted", ~F.col("bad") & fresh).withColumn(
         "reply_seq", F.when(F.col("bad"), F.coalesce(F.col("last_seq") + 1, F.lit(0))).otherwise(F.col("seq")))
+    return rows if kept else rows.drop("_seg")
 
 
 def cut_at_quit(validated: DataFrame) -> DataFrame:
-    """Rows up to and including the first accepted quit of their log (one small row per log)."""
-    stop = validated.filter("accepted AND action = 'quit'").groupBy("log").agg(F.min("line_no").alias("_stop"))
-    return validated.join(stop, "log", "left").filter("_stop IS NULL OR line_no <= _stop").drop("_stop")
+    """Rows up to and including the first accepted quit of their log: those with none before them."""
+    quits = F.when(F.col("accepted") & (F.col("action") == "quit"), 1)
+    return running(validated, ["log"], "line_no", {"_quits": ("sum", quits)}, dense=True).filter("_quits = 0").drop("_quits", "_seg")
 
 
 def required_fields_code() -> Column:
@@ -112,7 +114,7 @@ def required_fields_code() -> Column:
 
 def check_commands(lines: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Parsed, ordered and cut log with `code` and `error` for rows that fail before dispatch."""
-    rows = cut_at_quit(validate_seq(parse_commands(lines), segment_rows)).withColumn("_field", required_fields_code())
+    rows = cut_at_quit(validate_seq(parse_commands(lines), segment_rows, kept=True)).withColumn("_field", required_fields_code())
     error = (
         F.when(F.col("bad"), F.concat(F.lit("line "), F.col("line_no"), F.lit(": invalid command")))
         .when(~F.col("accepted"), F.concat(F.lit("seq "), F.col("seq"), F.lit(" must be greater than previous seq "), F.col("last_seq")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewright.functions import as_col
 from pagewright.functions.urls import domain_matches, host, parse_path
 from pagewright.operators.running import SEGMENT_ROWS, running
+from pagewright.session import checkpointed
 
 NAMED = ["session", "domain", "name"]
 COOKIE = ["session", "domain", "path", "name"]
@@ -110,32 +111,34 @@ def cookie_header(requests: DataFrame, events: DataFrame, segment_rows: int = SE
     value gives the state of each at that moment, so no request is compared with old versions.
     Order in the header: longest path first, then name.
     """
-    known = events.filter("op = 'set'").select(*COOKIE).distinct()
-    asked = requests.withColumn("_host", host("url")).select(
-        "session", "seq", "ts", "url", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
-    probes = asked.join(known, ["session", "domain"]).select(
-        *COOKIE, "seq", "ts", "url", F.lit("probe").alias("op"), F.lit(None).cast("struct<value:string,secure:boolean,expires:timestamp,seq:bigint>").alias("c"))
+    shape = "struct<value:string,secure:boolean,expires:timestamp,seq:bigint>"
     kept = F.struct("value", "secure", expires_at().alias("expires"), "seq")
+    events = checkpointed(events.select(*COOKIE, "seq", "ts", "op", F.when(F.col("op") == "set", kept).cast(shape).alias("c")))
+    known = events.filter("op = 'set'").groupBy(*NAMED).agg(F.collect_set("path").alias("paths"))
+    paths = known.groupBy("session", "domain").agg(F.collect_list(F.struct("name", "paths")).alias("names"))
     none = F.lit(None).cast("string")
-    sets = events.filter("op = 'set'").select(*COOKIE, "seq", "ts", none.alias("url"), "op", kept.alias("c"))
+    asked = requests.withColumn("_host", host("url")).select(
+        "session", "seq", "ts", "url", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+    # A request without any cookie keeps one row, so that it is found again in the end.
+    names = F.flatten(F.transform("names", lambda n: F.transform(n["paths"], lambda p: F.struct(n["name"].alias("name"), p.alias("path")))))
+    probes = asked.join(paths, ["session", "domain"], "left").withColumn("k", F.explode_outer(names)).select(
+        "session", "domain", "k.path", "k.name", "seq", "ts", "url", F.lit("probe").alias("op"), F.lit(None).cast(shape).alias("c"))
+    sets = events.filter("op = 'set'").select(*COOKIE, "seq", "ts", none.alias("url"), "op", "c")
     # a delete names no path: it is repeated for the paths known under its name
-    deletes = events.filter("op = 'delete'").select(*NAMED, "seq", "ts").join(known, NAMED).select(
-        *COOKIE, "seq", "ts", none.alias("url"), F.lit("delete").alias("op"),
-        F.lit(None).cast(probes.schema["c"].dataType).alias("c"))
+    deletes = events.filter("op = 'delete'").select(*NAMED, "seq", "ts", "op", "c").join(known, NAMED).select(
+        "session", "domain", F.explode("paths").alias("path"), "name", "seq", "ts", none.alias("url"), "op", "c")
     log = probes.unionByName(sets).unionByName(deletes)
     state = F.when(F.col("op") != "probe", F.struct((F.col("op") == "set").alias("live"), F.col("c")))
     seen = running(log, COOKIE, "seq", {"_s": ("last", state)}, segment_rows=segment_rows).filter("op = 'probe'")
     target = parse_path("url")
     path_fits = (target == F.col("path")) | (target.startswith(F.col("path")) & (
         F.col("path").endswith("/") | (F.substring(target, F.length("path") + 1, F.lit(1)) == "/")))
-    sent = seen.filter(
-        F.col("_s.live") & path_fits & (~F.coalesce("_s.c.secure", F.lit(False)) | F.col("url").startswith("https:"))
-        & (F.col("_s.c.expires").isNull() | (F.col("_s.c.expires") > F.col("ts"))))
-    pairs = F.array_sort(F.collect_list(F.struct(
-        (-F.length("path")).alias("o"), "name", "domain", F.col("_s.c.value").alias("value"))))
-    headers = sent.groupBy("session", "seq").agg(F.array_join(F.transform(
-        pairs, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "; ").alias("cookie"))
-    return requests.join(headers, ["session", "seq"], "left").select("session", "seq", "url", "cookie")
+    sent = (F.col("_s.live") & path_fits & (~F.coalesce("_s.c.secure", F.lit(False)) | F.col("url").startswith("https:"))
+            & (F.col("_s.c.expires").isNull() | (F.col("_s.c.expires") > F.col("ts"))))
+    pair = F.when(sent, F.struct((-F.length("path")).alias("o"), "name", "domain", F.col("_s.c.value").alias("value")))
+    text = F.array_join(F.transform("_pairs", lambda p: F.concat(p["name"], F.lit("="), p["value"])), "; ")
+    return seen.groupBy("session", "seq", "url").agg(F.array_sort(F.collect_list(pair)).alias("_pairs")).select(
+        "session", "seq", "url", F.when(F.size("_pairs") > 0, text).alias("cookie"))
 
 
 def export_jar(jar: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagewright.operators.running import SEGMENT_ROWS, running, segment_of
+from pagewright.operators.running import SEGMENT_ROWS, running
 
 # Long runs between two bounds are replayed in segments of this many events.
 FOLD_ROWS = 16384
@@ -163,7 +163,7 @@ def history_positions(events: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFram
     NO_HISTORY where back or forward had nowhere to go."""
     kind = events.schema["session"].dataType.simpleString()
     segment = ["session", "_seg"]
-    narrow = events.select("session", "seq", _code().alias("code"), segment_of("seq", fold_rows).alias("_seg"))
+    narrow = events.select("session", "seq", _code().alias("code"), F.floor(F.col("seq") / fold_rows).cast("bigint").alias("_seg"))
     parts = _ordered_map(narrow, segment, [*segment, "seq"], _summarize,
                          f"session {kind}, _seg bigint, runs array<bigint>, depths array<bigint>, aheads array<bigint>",
                          [*segment, "code"])

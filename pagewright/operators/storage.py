@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions.urls import origin as origin_of
-from pagewright.operators.running import SEGMENT_ROWS, running
+from pagewright.operators.running import SEGMENT_ROWS, running, segmented
 from pagewright.operators.secrets import resolve_handles
 
 SCOPE = ["session", "origin"]
@@ -27,13 +27,13 @@ def storage_state(events: DataFrame) -> DataFrame:
 
 
 def _with_past(events: DataFrame, segment_rows: int) -> DataFrame:
-    """Key events with `_w`, the last earlier write of the key, and `_cleared`, the last earlier
-    clear of the origin."""
-    cleared = running(events, SCOPE, "seq", {"_cleared": ("last", F.when(F.col("op") == "clear", F.col("seq")))},
-                      segment_rows=segment_rows)
+    """Events with `_cleared`, the last earlier clear of the origin, and `_w`, the last earlier write of the key.
+
+    One exchange by origin serves both: a key's rows lie where its origin's do."""
+    log = segmented(events.select("session", "seq", "op", "origin", "key", "value"), "seq", segment_rows)
+    cleared = running(log, SCOPE, "seq", {"_cleared": ("last", F.when(F.col("op") == "clear", F.col("seq")))})
     write = F.when(F.col("op").isin("set", "delete"), F.struct("seq", "op", "value"))
-    return running(cleared.filter("op IN ('set', 'get', 'delete')"), ITEM, "seq", {"_w": ("last", write)},
-                   segment_rows=segment_rows)
+    return running(cleared, ITEM, "seq", {"_w": ("last", write)})
 
 
 def _was_live() -> Column:
@@ -65,12 +65,12 @@ def storage_clears(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataF
     per stretch instead of a scan of the keys at every clear.
     """
     change = F.when((F.col("op") == "set") & ~_was_live(), 1).when((F.col("op") == "delete") & _was_live(), -1)
-    alive = _with_past(events, segment_rows).withColumn("_change", change).groupBy(
-        *SCOPE, F.coalesce("_cleared", F.lit(-1)).alias("_since")).agg(F.sum("_change").alias("_n"))
-    clears = running(events.filter("op = 'clear'"), SCOPE, "seq", {"_since": ("last", F.col("seq"))},
-                     segment_rows=segment_rows).withColumn("_since", F.coalesce("_since", F.lit(-1)))
-    return clears.join(alive, [*SCOPE, "_since"], "left").select(
-        "session", "seq", "origin", F.coalesce("_n", F.lit(0)).alias("cleared"))
+    since = F.coalesce("_cleared", F.lit(-1))
+    clear = F.col("op") == "clear"
+    # A clear and the changes since the one before it share a stretch, so they meet in one aggregate.
+    return (_with_past(events, segment_rows).withColumn("_change", change).groupBy(*SCOPE, since.alias("_since")).agg(
+        F.coalesce(F.sum("_change"), F.lit(0)).alias("cleared"), F.max(F.when(clear, F.col("seq"))).alias("seq"))
+        .filter("seq IS NOT NULL").select("session", "seq", "origin", "cleared"))
 
 
 def with_origin(events: DataFrame) -> DataFrame:

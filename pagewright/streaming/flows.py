@@ -45,20 +45,59 @@ def start_file_sink(rows: DataFrame, path: str, checkpoint: str, fmt: str = "par
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def start_state_snapshots(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keep a table of the latest row per key, rewritten per micro-batch under a new version folder.
+def _folders(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Number -> folder of the finished `<path>/<prefix>=<number>` folders."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    disk = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s.getPath() for s in disk.listStatus(root)] if disk.exists(root) else []
+    return {int(p.getName().split("=")[1]): p.toString() for p in found
+            if p.getName().startswith(prefix + "=") and disk.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
 
-    A version is `path/v=<batch id>`; a retried batch rewrites its own version from the one before,
-    so readers of finished versions are never disturbed.
-    """
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def _state_folders(spark: SparkSession, path: str, upto: int | None = None) -> list[str]:
+    """The newest whole state and the changes behind it."""
+    bases = {n: f for n, f in _folders(spark, path, "state").items() if upto is None or n <= upto}
+    newest = max(bases, default=-1)
+    changes = _folders(spark, path, "changes")
+    return [bases[n] for n in bases if n == newest] + [f for n, f in sorted(changes.items()) if n > newest and (upto is None or n <= upto)]
+
+
+def read_state(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The latest row of every key that `start_state_snapshots` keeps under `path`."""
+    return _latest(spark.read.parquet(*_state_folders(spark, path)), keys, order)
+
+
+def start_state_snapshots(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, compact_every: int = 20) -> StreamingQuery:
+    """Keep the latest row per key: a change log, put together now and then.
+
+    A micro-batch writes the keys it touched to `path/changes=<batch>`, and nothing else. Every `compact_every` batches
+    the newest whole state and the changes since become `path/state=<batch>`; then changes up to there and states before
+    the previous one are removed, so a reader of the previous state is not disturbed. A retried batch rewrites its own
+    folders from what was there before it; a state that is finished is not written again."""
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}").unionByName(batch)
-        rest = [c for c in rows.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if max(_folders(spark, path, "state"), default=-1) >= batch_id:
+            return
+        _latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/changes={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            whole = spark.read.parquet(*_state_folders(spark, path, batch_id))
+            _latest(whole, keys, order).write.mode("overwrite").parquet(f"{path}/state={batch_id}")
+            states = sorted(_folders(spark, path, "state").items())
+            before = states[-2][0] if len(states) > 1 else -1
+            old = [f for n, f in _folders(spark, path, "changes").items() if n <= before] + [f for _, f in states[:-2]]
+            _remove(spark, old)
 
     return (changes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

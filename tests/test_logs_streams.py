@@ -232,9 +232,39 @@ def test_stream_pages_and_snapshots(spark, tmp_path, pages_of):
     run(flows.start_file_sink(nodes.filter("tag = 'h1'").select("page_id", "tag"), str(tmp_path / "nodes"), checkpoint + "-n"))
     assert spark.read.parquet(str(tmp_path / "nodes")).count() == 1
 
-    changes = spark.createDataFrame([("a", n, f"v{n}") for n in range(6)] + [("b", 9, "w")], "k string, seq long, v string")
-    (tmp_path / "x").mkdir()
-    table = str(tmp_path / "table")
-    run(flows.start_state_snapshots(stream_of(spark, changes, str(tmp_path / "x")), table, checkpoint + "-t", ["k"], "seq"))
-    last = max(int(d[2:]) for d in os.listdir(table) if d.startswith("v="))
-    assert {r.k: r.v for r in spark.read.parquet(f"{table}/v={last}").collect()} in ({"a": "v5"}, {"a": "v5", "b": "w"})
+
+def test_state_snapshots_write_what_changed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "check")
+    rows = [[(f"k{n}", 0, "x" * 50) for n in range(3000)], [("k1", 1, "y")], [("k2", 2, "z"), ("k2", 3, "zz")], [("new", 4, "n")], [("k1", 5, "last")], [("k3", 6, "w")]]
+    expected, sizes = {}, []
+    for number, batch in enumerate(rows):
+        spark.createDataFrame(batch, "k string, seq long, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{number}"))
+        for part in (tmp_path / "in" / f"b{number}").glob("*.parquet"):
+            part.rename(tmp_path / "in" / f"{number}.parquet")
+        stream = spark.readStream.schema("k string, seq long, v string").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+        run(flows.start_state_snapshots(stream, table, checkpoint, ["k"], "seq", compact_every=2))
+        expected.update({k: v for k, _, v in batch})
+        assert {r.k: r.v for r in flows.read_state(spark, table, ["k"], "seq").collect()} == expected
+        changed = f"{table}/changes={number}"
+        sizes.append(sum(os.path.getsize(f"{changed}/{f}") for f in os.listdir(changed) if f.endswith(".parquet")))
+    assert max(sizes[1:]) < sizes[0] / 5
+    kept = sorted(d for d in os.listdir(table) if "=" in d)
+    assert kept == ["changes=4", "changes=5", "state=3", "state=5"]
+
+
+def test_tail_serves_complete_lines_once(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def step(name, data):
+        with open(folder / name, "ab") as file:
+            file.write(data)
+        run(flows.start_file_sink(logs.tail_commands(spark, str(folder), part_bytes=7), out, checkpoint))
+        return [(os.path.basename(r.file), r.line_no, r.line) for r in spark.read.parquet(out).orderBy("file", "line_no").collect()]
+
+    assert step("a.log", b'{"id":"1"}\n{"id":') == [("a.log", 0, '{"id":"1"}')]
+    first = [("a.log", 0, '{"id":"1"}'), ("a.log", 11, '{"id":"2"}')]
+    assert step("a.log", b'"2"}\r\n\xc3') == first
+    assert step("b.log", b"\nlong line of words\n") == first + [("b.log", 0, ""), ("b.log", 1, "long line of words")]
+    assert step("a.log", b"\xa9\n")[2] == ("a.log", 23, "é") and len(step("b.log", b"")) == 5
