@@ -46,7 +46,7 @@ def sized(df: DataFrame, amount: Column, per_part: int, least: int = 1) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words met lately (at most `most`)."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

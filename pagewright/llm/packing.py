@@ -15,6 +15,8 @@ from pagewright.llm.tokens import Encoder
 LENGTH, OPEN, END = 2048, 16, 1
 #: One task merges the leftovers of so many partitions.
 MERGED = 64
+#: A worker remembers the ids of so many pieces, twice over.
+PIECES = 200_000
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, `offset` long, done boolean, ids binary"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()),
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, slots: int = OPEN, en
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def rows():
-            encoder, packer = Encoder(path), Packer(length, slots, part << 36)
+            encoder, packer = Encoder(path, PIECES), Packer(length, slots, part << 36)
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     raw = encoder.ids(text) + last
