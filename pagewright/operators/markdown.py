@@ -63,7 +63,7 @@ def _visible(rows: DataFrame, strip_nav: bool, include_images: bool) -> DataFram
         hidden = hidden | F.col("near_chrome").isNotNull() | _is(*CHROME)
     is_row = _is("tr") & in_table & (F.col("deep_row") == 0)
     is_cell = _is(*CELLS) & in_table & (F.col("parent_tag") == "tr") & (F.col("deep_row") == 1)
-    used = ~hidden & F.when(in_table, is_row | is_cell).otherwise(is_text | (_is(*SHOWN_TAGS) & ~_is("tr", *CELLS)))
+    used = F.col("match").isNotNull() & ~hidden & F.when(in_table, is_row | is_cell).otherwise(is_text | (_is(*SHOWN_TAGS) & ~_is("tr", *CELLS)))
     shown = F.when(is_text, F.when(F.col("near_pre").isNotNull(), F.col("text")).otherwise(collapse_ws("text")))
     src = F.when(_is("img"), F.nullif(F.col("attrs")["src"], F.lit(""))) if include_images else F.lit(None).cast("string")
     rows = rows.withColumns({"_row": is_row, "_cell": is_cell, "_used": used}).withColumns({

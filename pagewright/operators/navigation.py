@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagewright.functions.mime import is_retryable
+from pagewright.functions.mime import is_retryable, route
 from pagewright.functions.urls import absolute_href, normalize_url, resolve_url
+from pagewright.operators.extract import client_redirect, redirect_nodes
 from pagewright.session import checkpointed
 
 REDIRECT_HOPS = 5
@@ -130,6 +131,24 @@ def follow_redirects(starts: DataFrame, moves: DataFrame, hops: int = REDIRECT_H
         F.coalesce("_cut", F.lit(False)).alias("cut"))
 
 
+def replaced_pages(pages: DataFrame, hops: int = REDIRECT_HOPS) -> DataFrame:
+    """`pages(page_id, url, html, ...)` with address, body and all other columns of the page that its redirects lead to,
+    and `hops`.
+
+    Pages whose `content_type`, where there is that column, is binary do not move on, whatever their body looks like. Where an
+    address answers nothing, the last page that answered stays. Bodies are joined once, with the ends of the chains
+    and not with every hop."""
+    keys = page_keys(pages)
+    asked = pages
+    if "content_type" in pages.columns:
+        asked = pages.filter(route("content_type", "html") == "html")
+    answered = client_redirect(redirect_nodes(asked)).withColumn("_to", url_key("target")).join(keys.select(F.col("key").alias("_to")), "_to", "left_semi")
+    moves = redirect_moves(answered.select("page_id", "url", "target"), pages)
+    ends = follow_redirects(pages.select("page_id", "url"), moves, hops).select("page_id", "hops", url_key("final_url").alias("key"))
+    reached = ends.join(keys.withColumnRenamed("page_id", "_end"), "key", "left").select("page_id", "hops", F.when(F.col("hops") > 0, F.coalesce("_end", "page_id")).otherwise(F.col("page_id")).alias("_end"))
+    return reached.join(pages.withColumnRenamed("page_id", "_end"), "_end").select("page_id", *[c for c in pages.columns if c != "page_id"], "hops")
+
+
 def search_hits(links: DataFrame, n: int = 5) -> DataFrame:
     """(page_id, rank, title, url): the first `n` results of each search page.
 

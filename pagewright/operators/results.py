@@ -44,6 +44,7 @@ def page_results(pages: DataFrame, strip_nav: bool = False, include_links: bool
     entries = F.array_prepend(candidate_entries(min_tokens), itself) if show_selectors_first else F.array(itself)
     roles = F.transform(entries, lambda e: F.struct(F.lit(None).cast("int").alias("match"), e.alias("e")))
     in_text = F.struct(F.lit(0).alias("match"), itself.alias("e"))
+    roles = F.when(needed | is_candidate(), roles).otherwise(F.slice(roles, 1, 0))
     rows = rows.withColumn("_role", F.explode(F.concat(roles, F.when(shown, F.array(in_text)).otherwise(F.slice(F.array(in_text), 1, 0)))))
     rows = rows.withColumns({"match": F.col("_role.match"), "_e": F.col("_role.e")})
     rows = chosen_entries(rows, "_e", min_tokens)

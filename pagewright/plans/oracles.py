@@ -213,6 +213,12 @@ walk AS (
   UNION ALL
   SELECT page_id, target, hops + 1 FROM walk JOIN moves ON key = regexp_replace(final_url, '#.*$', '') WHERE hops < 5 AND target <> final_url)
 SELECT page_id, arg_max(final_url, hops) AS final_url, max(hops)::INT AS hops FROM walk GROUP BY 1"""
+_ESC_URL = "replace(replace(replace(replace(n.url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+O["redirect_pages"] = O["redirect_chain"].replace("SELECT page_id, arg_max", ", ends AS (SELECT page_id, arg_max", 1) + f"""),
+reached AS (SELECT page_id, hops, CASE WHEN hops = 0 THEN page_id ELSE coalesce(hit, page_id) END AS e FROM ends LEFT JOIN keys ON key = regexp_replace(final_url, '#.*$', ''))
+SELECT r.page_id, p.url, hops, md5(CASE WHEN p.page_id % 4 = 0 OR n.url IS NULL THEN p.html
+  ELSE replace(p.html, '<head>', '<head><meta http-equiv="refresh" content="0; url=' || {_ESC_URL} || '">') END) AS digest
+FROM reached r JOIN pages p ON p.page_id = e LEFT JOIN pages n ON n.page_id = e + 1"""
 O["links_of_current"] = f"""WITH {_links_cte()}, now AS (SELECT user_id AS session, max(event_id) // 40 AS page_id FROM events GROUP BY 1)
 SELECT session, pos, text, count(*) OVER (PARTITION BY session) AS count FROM now JOIN found USING (page_id)"""
 

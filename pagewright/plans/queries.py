@@ -330,6 +330,13 @@ def redirect_chain(spark, sf):
     return navigation.follow_redirects(inputs.pages(spark, sf).select("page_id", "url"), moves).select("page_id", "final_url", "hops")
 
 
+@query
+def redirect_pages(spark, sf):
+    """The pages that redirects lead to, in place of those that declare them."""
+    rows = navigation.replaced_pages(inputs.redirecting_pages(spark, sf))
+    return rows.select("page_id", "url", "hops", F.md5("html").alias("digest"))
+
+
 @query
 def search_hits(spark, sf):
     return navigation.search_hits(extract.page_links(inputs.search_pages(spark, sf)))

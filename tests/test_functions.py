@@ -149,3 +149,21 @@ def test_sql_names(spark):
     assert row[:] == ("a b ", "https://a.com", True, "text/html")
     tags = spark.sql("SELECT tag FROM pw_html_nodes('<p>x<b>y') WHERE kind = 'element' ORDER BY node_id").collect()
     assert [t.tag for t in tags] == ["html", "head", "body", "p", "b"]
+
+
+ADDRESSES = ["https://u:p@h.example/x", "http://Example.com:80/a?b#c", "HTTPS://EX.com:8443", "  https://a.b\\c", "ftp://f.example:21/", "mailto:a@b", "", None,
+             "http://[::1]:8080/x", "https://h.example:443?q=@x", "ws://w.example:81/", "/path", "http://u@h.example:080/"]
+TEXTS = ["a &amp;amp; b", "&lt;i&gt; &quot;x&quot; &apos; &nbsp;|", "&#65;&#x42;&#x+43; &#0; &#8238;x", "&#xD800; &#1114112; &#99999999999; &bogus; & x", "<p>  a\u3000b <b>&lt;c</b> ", "<open", None, ""]
+
+
+def test_sql_names_agree_with_the_columns(spark):
+    sqlnames.register(spark)
+    frame = spark.createDataFrame([(a,) for a in ADDRESSES], "v string")
+    for row in frame.select("v", urls.origin("v").alias("o"), F.expr("pw_origin(v)").alias("so"), urls.host("v").alias("h"), F.expr("pw_host(v)").alias("sh")).collect():
+        assert (row.o, row.h or None) == (row.so, row.sh), row.v
+    frame = spark.createDataFrame([(t,) for t in TEXTS], "v string")
+    pairs = {"pw_decode_entities": text.decode_entities, "pw_clean": text.clean_description, "pw_collapse_ws": text.collapse_ws, "pw_strip_tags": text.strip_tags,
+             "pw_normalize_ws": text.normalize_ws, "pw_tokens": text.estimate_tokens}
+    for name, column in pairs.items():
+        for row in frame.select("v", column("v").alias("c"), F.expr(f"{name}(v)").alias("s")).collect():
+            assert row.c == row.s, (name, row.v)

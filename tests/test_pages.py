@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from pagewright.operators import dom, extract, navigation, results, selectors
 from pagewright.operators.htmltree import parse_html
 
-QUERY_PAGE = """<html lang="en"><body><h1>Harbour Times</h1><h2>Tides</h2><p class="intro lead">High water at <strong>noon</strong></p>
-<p>Low water at six</p><a href="/1">Pier</a><a href="/2">Quay</a><a href="/3">Dock</a><img src="buoy.png" alt="buoy">
-<div id="content" data-page="42"><ul><li>rope<li>oar<li>net</ul></div></body></html>"""
+QUERY_PAGE = """<body class="shop"><header><img alt="logo" src="l.svg"></header><form id="order" data-step="2" data-cart="7">
+<label>Rope <input name="rope" value="12"></label><label class="big due">Oars <em>a pair</em></label><button>Send</button></form>
+<table id="stock"><tr><td>tar</td><td lang="nl-BE">teer</td></tr><tr><td>twine</td><td>garen</td></tr><tr><td colspan="2">none else</td></tr></table>
+<footer><a href="/tariff" rel="help">Tariff</a> <a href="/wharf">Wharf</a></footer>"""
 
 
 def written(node):
@@ -50,9 +51,10 @@ def test_intervals(spark, pages_of):
 
 
 SELECTORS = {
-    "h1": 1, "a": 3, "a[href='/2']": 1, "p.intro": 1, "p.intro.lead strong": 1, "#content li": 3, "ul > li:first-child": 1,
-    "li + li": 2, "h1 ~ p": 2, "li:nth-child(2n+1)": 2, "li:not(:last-child)": 2, "[data-page]": 1, "a, img": 4, "*": 17,
-    "body > div > ul": 1, "div[id^=con] [class]": 0, "table": 0, "p.intro + p": 1, "[class~=lead]": 1, "[lang|=en]": 1, "h1 + a": 0}
+    "form": 1, "td": 5, "a[href='/wharf']": 1, "label.big": 1, "label.due.big em": 1, "#stock td": 5, "tr > td:first-child": 3,
+    "tr + tr": 2, "header ~ table": 1, "tr:nth-child(2n+1)": 2, "td:not(:last-child)": 2, "[data-cart]": 1, "a, img": 3, "*": 24,
+    "body > form > label": 2, "form[id^=ord] [class]": 1, "ul": 0, "label + label": 1, "[class~=due]": 1, "[lang|=nl]": 1, "header + table": 0,
+    "td:only-child": 1, "tbody > tr:last-child td": 1}
 
 
 def test_selectors(spark, pages_of):
@@ -84,17 +86,20 @@ def test_bad_selectors(spark, pages_of, selector):
 
 def test_values(spark, pages_of):
     nodes = dom.html_nodes(pages_of(QUERY_PAGE)).cache()
-    assert [r.value for r in selectors.css_values(nodes, "p").orderBy("node_id").collect()] == ["High water at noon", "Low water at six"]
-    assert selectors.css_values(nodes, "p.intro", "innerHTML").first().value == "High water at <strong>noon</strong>"
-    assert [r.value for r in selectors.css_values(nodes, "a", "href").orderBy("node_id").collect()] == ["/1", "/2", "/3"]
-    assert [r.value for r in selectors.css_values(nodes, "h1", "id").collect()] == [None]
-    assert [r.n for r in selectors.css_count(nodes, "li").collect()] == [3]
+    assert [r.value for r in selectors.css_values(nodes, "label").orderBy("node_id").collect()] == ["Rope ", "Oars a pair"]
+    assert selectors.css_values(nodes, "label.big", "innerHTML").first().value == "Oars <em>a pair</em>"
+    assert [r.value for r in selectors.css_values(nodes, "footer a", "rel").orderBy("node_id").collect()] == ["help", None]
+    assert [r.value for r in selectors.css_values(nodes, "header", "id").collect()] == [None]
+    assert [r.n for r in selectors.css_count(nodes, "tr").collect()] == [3]
     assert selectors.title_of(dom.html_nodes(pages_of("<title> A b</title>"))).first().title == " A b"
-    assert selectors.by_id(nodes, "content").first().attrs["data-page"] == "42"
-    assert selectors.by_class(nodes, "lead intro").count() == 1 and selectors.by_name(nodes, "q").count() == 0
-    assert selectors.links_of(nodes).count() == 3 and selectors.forms_of(nodes).count() == 0
-    hit = selectors.by_id(nodes, "content").select(selectors.data_attributes().alias("d"), selectors.has_attribute("hidden").alias("h")).first()
-    assert hit.d == {"page": "42"} and hit.h is False
+    assert selectors.by_id(nodes, "order").first().attrs["data-step"] == "2"
+    assert selectors.by_class(nodes, "due big").count() == 1 and selectors.by_name(nodes, "rope").count() == 1
+    assert selectors.links_of(nodes).count() == 2 and selectors.forms_of(nodes).count() == 1
+    hit = selectors.by_id(nodes, "order").select(selectors.data_attributes().alias("d"), selectors.has_attribute("hidden").alias("h")).first()
+    assert hit.d == {"step": "2", "cart": "7"} and hit.h is False
+    spot = {r.tag: r for r in nodes.filter("tag IN ('form', 'em', 'table')").collect()}
+    inside = nodes.select(selectors.contains(F.lit(spot["form"].node_id), F.lit(spot["form"].end_id), F.col("node_id")).alias("c"), "tag")
+    assert {r.tag for r in inside.filter("c").collect() if r.tag} == {"form", "label", "input", "em", "button"}
 
 
 def test_walking(spark, pages_of):
@@ -200,12 +205,25 @@ def test_redirects(spark):
     assert ends == {0: ("p5", 5), 1: ("p6", 5), 2: ("p7", 5), 3: ("p8", 5), 4: ("p8", 4), 5: ("p8", 3), 6: ("p8", 2), 7: ("p8", 1), 8: ("p8", 0), 9: ("p8", 1), 10: ("10", 0)}
 
 
+def test_pages_behind_redirects(spark):
+    bodies = ['<meta http-equiv=refresh content="0;url=/p1">', '<meta http-equiv=refresh content="0;url=/p2">', "<p>end", '<meta http-equiv=refresh content="0;url=/gone">',
+              '<meta http-equiv=refresh content="0;url=/p5">', '<meta http-equiv=refresh content="0;url=/p2">']
+    pages = spark.createDataFrame([(n, f"https://e.com/p{n}", b, 200 + n, "image/png" if n == 5 else None) for n, b in enumerate(bodies)],
+                                  "page_id long, url string, html string, status int, content_type string")
+    found = {r.page_id: (r.url[14:], r.html, r.status, r.hops) for r in navigation.replaced_pages(pages).collect()}
+    end = ("p2", "<p>end", 202)
+    assert {n: found[n] for n in (0, 1, 2)} == {0: (*end, 2), 1: (*end, 1), 2: (*end, 0)}
+    assert found[3] == ("p3", bodies[3], 203, 0)  # the target answers nothing, so the page itself stays
+    assert found[4][0] == "p5" and found[4][2:] == (205, 1) and found[5][2:] == (205, 0)  # a binary answer moves nobody on
+
+
 def test_results_and_report(spark, pages_of):
     page = f"<title>T</title><main>{WORDS}</main><a href=/l>L</a>"
     row = results.page_results(pages_of(page)).first()
     assert row.markdown.startswith("Page has content sections") and row.content_selectors[0].selector == "main"
     plain = results.page_results(pages_of(page), show_selectors_first=False, max_tokens=5)
     row = plain.first()
+    assert results.page_results(pages_of("<h2>x</h2><p>a <a href=/l>L</a>")).first().markdown == "## x\na [L](/l)"
     assert row.truncated and row.content_selectors is None and [tuple(k) for k in row.links] == [(0, "L", "/l")]
     report = results.page_report(plain).first().report
     assert "**Title:** T\n" in report and "**Truncated:** true (use offset=" in report

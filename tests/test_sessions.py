@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from pagewright.operators import cookies, history, running, storage
 
 SEGMENT = 7
@@ -149,3 +150,26 @@ def test_preload_and_list(spark):
     now = F.timestamp_seconds(F.lit(0))
     assert cookies.list_cookies(jar, now, "*.a.com").count() == 2 and cookies.list_cookies(jar, now, "a.com").count() == 0
     assert {r.session: r.cookies_count for r in cookies.cookie_counts(jar, now).collect()} == {"s": 1, "t": 1}
+
+
+@pytest.mark.parametrize("spread", [1, 1_000_003, "uneven"])
+def test_segments_stay_bounded_however_sparse_the_positions(spark, spread):
+    at = F.pow(F.col("id") % 1000, 3).cast("long") * 1_000_000_000 + F.col("id") if spread == "uneven" else F.col("id") * spread
+    log = spark.range(4000).select(F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), at.alias("at"),
+                                   (F.col("id") % 13).alias("v"))
+    rows = running.segmented(log, "at", 200)
+    sizes = [r["count"] for r in rows.groupBy("k", "_seg").count().collect()]
+    assert max(sizes) <= 260 and rows.select("_seg").distinct().count() <= 20
+    totals = {(r.k, r.at): (r.s, r.m) for r in running.running(rows, ["k"], "at", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}).collect()}
+    seen = {}
+    for r in sorted(log.collect(), key=lambda r: r["at"]):
+        s, m = seen.get(r.k, (0, None))
+        assert totals[(r.k, r["at"])] == (s, m)
+        seen[r.k] = (s + r.v, r.v if m is None else max(m, r.v))
+
+
+def test_one_scan_serves_all_running_values(spark):
+    """The log is read and parsed once; what reads it again reads the kept table."""
+    for name, most in (("storage_asof", 1), ("storage_clears", 1), ("seq_validate", 1), ("result_envelopes", 1), ("cookie_header", 2)):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") + plan.count("from_json") <= most, name
