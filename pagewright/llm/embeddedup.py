@@ -10,8 +10,12 @@ from pagewright.llm.common import components, stored
 from pagewright.llm.hnsw import Graph
 
 COSINE = 0.98
-#: Different vectors in a shard; queries at once; queries with links that an audit needs, and links; the recall it asks for.
-SHARD, QUERIES, AUDIT, LINKS, RECALL = 8192, 256, 64, 1000, 0.999
+#: Different vectors in a shard; queries at once; queries that an audit draws; the recall of links it asks for.
+SHARD, QUERIES, PROBES, RECALL = 8192, 256, 64, 0.999
+#: So many nearest nodes of each drawn query are looked for, and this share has to be found.
+NEAREST, NEAREST_RECALL = 10, 0.98
+#: At most so many tasks search shard pairs.
+MOST_TASKS = 100_000
 #: First width of the beams.
 WIDTH = 32
 
@@ -36,53 +40,55 @@ class Shard:
             self.graph.layers = [np.frombuffer(raw, "<i8").reshape(len(self.ids), -1) for raw in row["layers"]]
 
 
-def linked(graph: Graph, queries: np.ndarray, least: float, width: int, recall: float = RECALL, audit: int = AUDIT,
-           links: int = LINKS, ids: tuple[np.ndarray, np.ndarray] | None = None):
+def linked(graph: Graph, queries: np.ndarray, least: float, width: int, recall: float = RECALL, probes: int = PROBES,
+           told: dict | None = None):
     """For each query the nodes with a cosine of at least `least` (computed in double precision), as (query, node).
 
-    A query whose whole beam is that near asks again with a beam twice as wide. An audit holds queries in a drawn order
-    against brute force, until `audit` of them have links and there are `links` in all; `ids` of queries and nodes say
-    which pairs are of the same vector and prove nothing. Where all queries hold fewer, brute force has seen every pair
-    and is the answer. While the audit finds less than the recall asked for, all beams double. A beam as wide as
-    the shard sees every node that the graph connects; a search that wide that still fails is replaced by brute force."""
-    n, order = len(graph.vectors), np.random.default_rng(5).permutation(len(queries))
-    every, truth, asked, having, at = [], [], 0, 0, 0
-    while at < len(queries) and (asked < links or having < audit):
-        probe = order[at:at + QUERIES]
-        q, v = _near(queries[probe], graph.vectors, least)
-        every.append((probe[q], v))
-        if ids is not None:
-            other = ids[0][probe[q]] != ids[1][v]
-            q, v = q[other], v[other]
-        truth.append(probe[q] * n + v)
-        asked, having, at = asked + len(q), having + len(np.unique(q)), at + len(probe)
-    if at >= len(queries):
-        every = every or [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        return np.concatenate([q for q, _ in every]), np.concatenate([v for _, v in every])
-    pool, wanted = order[:at], np.concatenate(truth)
+    An audit holds `probes` drawn queries against brute force: of their NEAREST nearest nodes the graph must find the
+    share NEAREST_RECALL, and of their links the share `recall`; else all beams double. So every shard pair is audited,
+    whether it has links or not. A search as wide as the shard that still fails is replaced by brute force. `told`
+    receives the width, the beams searched and the recalls."""
+    n, pool = len(graph.vectors), np.random.default_rng(5).permutation(len(queries))[:probes]
+    told = {} if told is None else told
+    if not n or not len(queries):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    cosine = queries[pool] @ graph.vectors.T
+    wanted = min(NEAREST, n)
+    # The least cosine of the nearest ones: whichever of equal ones a search finds is right.
+    limit = -np.partition(-cosine, wanted - 1, axis=1)[:, wanted - 1] - 1e-9
+    q, v = _near(queries[pool], graph.vectors, least)
     while True:
+        ids, near = graph.search(queries[pool], width)
+        close = float(np.minimum((near >= limit[:, None]).sum(1), wanted).sum() / (wanted * len(pool)))
         found_q, found_v = _range(graph, queries[pool], least, width)
-        if np.isin(wanted, pool[found_q] * n + found_v).sum() >= recall * len(wanted):
+        links = float(np.isin(q * n + v, found_q * n + found_v).mean()) if len(q) else 1.0
+        told.update(width=width, nearest=close, links=links, probed=len(pool))
+        if close >= NEAREST_RECALL and links >= recall:
+            told["beams"] = len(queries)
             return _range(graph, queries, least, width)
         if width >= n:
+            told["beams"] = 0
             return _brute(graph, queries, least)
         width *= 2
 
 
 def _range(graph: Graph, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n, out_q, out_v = len(graph.vectors), [], []
+    """Links that beams find. A query whose whole beam is near has more than the beam holds: it is held against the
+    whole shard, which is bounded."""
+    out_q, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for at in range(0, len(queries), QUERIES):
-        todo, wide = np.arange(at, min(at + QUERIES, len(queries))), width
-        while len(todo):
-            ids, near = graph.search(queries[todo], wide)
-            full = (near >= least - 1e-9).all(1) & (wide < n)
-            q, k = np.nonzero((near >= least - 1e-9) & ~full[:, None])
-            out_q.append(todo[q])
-            out_v.append(ids[q, k])
-            todo, wide = todo[full], wide * 2
-    q, v = np.concatenate(out_q or [np.empty(0, np.int64)]), np.concatenate(out_v or [np.empty(0, np.int64)])
-    sure = np.einsum("ed,ed->e", queries[q], graph.vectors[v]) >= least
-    return q[sure], v[sure]
+        todo = np.arange(at, min(at + QUERIES, len(queries)))
+        ids, near = graph.search(queries[todo], width)
+        full = (near >= least - 1e-9).all(1) & (near.shape[1] < len(graph.vectors))
+        q, k = np.nonzero((near >= least - 1e-9) & ~full[:, None])
+        sure = np.einsum("ed,ed->e", queries[todo[q]], graph.vectors[ids[q, k]]) >= least
+        out_q.append(todo[q[sure]])
+        out_v.append(ids[q, k][sure])
+        if full.any():
+            q, v = _near(queries[todo[full]], graph.vectors, least)
+            out_q.append(todo[full][q])
+            out_v.append(v)
+    return np.concatenate(out_q), np.concatenate(out_v)
 
 
 def _near(queries: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +139,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
            & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
            & F.coalesce(F.exists("v", lambda x: x != 0.0), F.lit(False)))
     fits = rows.filter(fit)
-    nodes = stored(fits.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = stored(fits.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))
                    .withColumn("dim", F.size("v")), "vectors")
     sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
     dealt = nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep", "v"), F.col("shards")).cast("int"))
@@ -158,7 +164,7 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
         for batch in batches:
             for row in batch.to_pylist():
                 there, here = Shard(row), Shard(row, "q_")
-                q, v = linked(there.graph, here.vectors, least, WIDTH, ids=(here.ids, there.ids))
+                q, v = linked(there.graph, here.vectors, least, WIDTH)
                 other = here.ids[q] != there.ids[v]
                 q, v = q[other], v[other]
                 count = np.bincount(q, weights=there.copies[v], minlength=len(here.ids)).astype(np.int64)
@@ -167,7 +173,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, shard: int = SHAR
                     pa.array(here.ids.tolist() + [a for a, _ in forest], pa.int64()), pa.array([None] * len(here.ids) + [b for _, b in forest], pa.int64()),
                     pa.array(count.tolist() + [0] * len(forest), pa.int64())], ["vec_id", "other", "n"])
 
-    pairs = shards.join(asked, ["label", "dim"]).repartition("label", "dim", F.xxhash64("ids"), F.xxhash64("q_ids"))
+    # The number of pairs is told, else small pairs are put into one task again.
+    tasks = shards.groupBy("label", "dim").agg((F.count("*") * F.count("*")).alias("n")).agg(F.sum("n")).first()[0] or 1
+    pairs = shards.join(asked, ["label", "dim"]).repartition(min(tasks, MOST_TASKS), "label", "dim", F.xxhash64("ids"), F.xxhash64("q_ids"))
     found = stored(pairs.mapInArrow(search, _FOUND_SQL), "found")
     joined = components(found.filter("other IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     linked_to = found.groupBy("vec_id").agg(F.sum("n").alias("n"))

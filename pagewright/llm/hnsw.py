@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Neighbours kept per node in upper layers (twice as many in the lowest), beam while building, nodes inserted at once.
-DEGREE, BUILD_BEAM, BATCH = 12, 48, 256
+#: Neighbours kept per node in upper layers (twice as many in the lowest), nearest and drawn candidates, nodes linked at once.
+DEGREE, CANDIDATES, FAR, BATCH = 12, 48, 4, 256
 #: Nodes that a query's beam expands in one step.
 STEP = 4
 
@@ -75,7 +75,8 @@ def diverse(vectors: np.ndarray, found: np.ndarray, near: np.ndarray, degree: in
 
 class Graph:
     def __init__(self, vectors: np.ndarray):
-        """Builds the layers; nodes come in batches, in the order given."""
+        """Builds the layers. A shard is small enough that a node's nearest candidates come from a product with the
+        layer's nodes, block by block; the diverse choice among them and the links back make the small world."""
         n = len(vectors)
         self.vectors = vectors
         draws = np.random.default_rng(7).random(n)
@@ -83,50 +84,43 @@ class Graph:
         if n:
             level[0] = level.max()
         self.layers = [np.full((n, DEGREE * (1 if k else 2)), -1, np.int64) for k in range(int(level.max()) + 1 if n else 1)]
-        size, at = 1, 1
-        while at < n:
-            batch = np.arange(at, min(n, at + min(BATCH, size)))
-            self._insert(batch, level)
-            at += len(batch)
-            size = at
+        for k in range(len(self.layers)):
+            here = np.flatnonzero(level >= k)
+            wide = min(CANDIDATES, len(here) - 1)
+            for at in range(0, len(here) if wide > 0 else 0, BATCH):
+                nodes = here[at:at + BATCH]
+                cosine = vectors[nodes] @ vectors[here].T
+                cosine[np.arange(len(nodes)), np.arange(at, at + len(nodes))] = -9.0
+                top = np.argpartition(-cosine, wide - 1, axis=1)[:, :wide]
+                # Some far nodes beside the near ones, so that clusters keep ways between them.
+                far = np.random.default_rng(at).integers(0, len(here), (len(nodes), FAR))
+                far = np.where(here[far] == nodes[:, None], top[:, :1], far)
+                both = np.sort(np.concatenate([top, far], axis=1), axis=1)
+                twice = np.concatenate([np.zeros((len(nodes), 1), bool), both[:, 1:] == both[:, :-1]], axis=1)
+                found, near = np.where(twice, -1, here[both]), np.where(twice, -9.0, np.take_along_axis(cosine, both, 1))
+                order = np.argsort(-near, axis=1, kind="stable")
+                self.layers[k][nodes] = diverse(vectors, np.take_along_axis(found, order, 1), np.take_along_axis(near, order, 1), self.layers[k].shape[1])
+            self._link_back(self.layers[k], here)
 
-    def _insert(self, batch: np.ndarray, level: np.ndarray) -> None:
-        entry = np.zeros((len(batch), 1), np.int64)
-        mutual = self.vectors[batch] @ self.vectors[batch].T
-        np.fill_diagonal(mutual, -9.0)
-        for k in range(len(self.layers) - 1, -1, -1):
-            ids, near = beam(self.vectors, self.layers[k], self.vectors[batch], entry, BUILD_BEAM)
-            entry = ids[:, :4]
-            here = np.flatnonzero(level[batch] >= k)
-            if not len(here):
-                continue
-            among = mutual[np.ix_(here, here)]
-            more = min(BUILD_BEAM // 2, len(here) - 1)
-            found, cosine = ids[here], near[here]
-            if more > 0:
-                top = np.argpartition(-among, more - 1, axis=1)[:, :more]
-                found = np.concatenate([found, batch[here][top]], 1)
-                cosine = np.concatenate([cosine, np.take_along_axis(among, top, 1)], 1)
-            self._link(k, batch[here], found, cosine)
-
-    def _link(self, k: int, nodes: np.ndarray, found: np.ndarray, cosine: np.ndarray) -> None:
-        links, degree = self.layers[k], self.layers[k].shape[1]
-        order = np.argsort(-cosine, axis=1, kind="stable")
-        links[nodes] = diverse(self.vectors, np.take_along_axis(found, order, 1), np.take_along_axis(cosine, order, 1), degree)
-        # Links back: appended to each target's list; lists that overflow are chosen anew.
-        source = np.repeat(nodes, degree)
-        target = links[nodes].ravel()
+    def _link_back(self, links: np.ndarray, nodes: np.ndarray) -> None:
+        """Add to each node's list those that link to it; lists that overflow are chosen anew."""
+        degree = links.shape[1]
+        source, target = np.repeat(nodes, degree), links[nodes].ravel()
         source, target = source[target >= 0], target[target >= 0]
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         heads, first, count = np.unique(target, return_index=True, return_counts=True)
-        back = np.full((len(heads), int(count.max()) if len(count) else 1), -1, np.int64)
-        back[np.repeat(np.arange(len(heads)), count), np.arange(len(target)) - np.repeat(first, count)] = source
-        every = np.sort(np.concatenate([links[heads], back], 1), axis=1)
-        every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
-        cosine = np.where(every >= 0, np.einsum("qd,qed->qe", self.vectors[heads], self.vectors[np.maximum(every, 0)]), -9.0)
-        order = np.argsort(-cosine, axis=1, kind="stable")[:, :2 * degree]
-        links[heads] = diverse(self.vectors, np.take_along_axis(every, order, 1), np.take_along_axis(cosine, order, 1), degree)
+        for at in range(0, len(heads), BATCH):
+            some = slice(at, at + BATCH)
+            head, n = heads[some], count[some]
+            back = np.full((len(head), int(n.max())), -1, np.int64)
+            pick = np.concatenate([np.arange(f, f + c) for f, c in zip(first[some], n)])
+            back[np.repeat(np.arange(len(head)), n), np.concatenate([np.arange(c) for c in n])] = source[pick]
+            every = np.sort(np.concatenate([links[head], back], 1), axis=1)
+            every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
+            cosine = np.where(every >= 0, np.einsum("qd,qed->qe", self.vectors[head], self.vectors[np.maximum(every, 0)]), -9.0)
+            order = np.argsort(-cosine, axis=1, kind="stable")[:, :2 * degree]
+            links[head] = diverse(self.vectors, np.take_along_axis(every, order, 1), np.take_along_axis(cosine, order, 1), degree)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros((len(queries), 1), np.int64)

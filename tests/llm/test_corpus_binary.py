@@ -158,14 +158,29 @@ def test_audit_of_rare_links():
     for layer in graph.layers:  # nothing leads to these two
         layer[np.isin(layer, [600, 601])] = -1
     exact = {(int(q), int(v)) for q, v in zip(*np.nonzero(vectors @ vectors.T >= 0.98))}
-    ids = np.arange(1200)
-    q, v = embeddedup.linked(graph, vectors, 0.98, 32, ids=(ids, ids))
+    told = {}
+    q, v = embeddedup.linked(graph, vectors, 0.98, 32, probes=1200, told=told)
+    assert told["beams"] == 0  # such a graph fails its audit, and brute force is the answer
     assert {(600, 601), (601, 600)} <= exact == set(zip(q.tolist(), v.tolist()))
-    asked = rng.normal(size=(1500, 16))
-    asked[777] = vectors[600]
-    asked /= np.sqrt((asked**2).sum(1, keepdims=True))
-    q, v = embeddedup.linked(graph, asked, 0.98, 32, ids=(ids[0] - 1 - np.arange(1500), ids))
-    assert {(777, 600), (777, 601)} <= set(zip(q.tolist(), v.tolist()))
+
+
+def test_graph_is_searched_where_links_are_few():
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(900, 24))
+    vectors[1::300] = vectors[::300] + rng.normal(size=(3, 24)) * 0.01
+    vectors /= np.sqrt((vectors**2).sum(1, keepdims=True))
+    told = {}
+    q, v = embeddedup.linked(Graph(vectors), vectors, 0.98, 32, told=told)
+    assert told["beams"] == 900 and told["nearest"] >= embeddedup.NEAREST_RECALL and told["probed"] == embeddedup.PROBES
+    assert set(zip(q.tolist(), v.tolist())) == {(int(a), int(b)) for a, b in zip(*np.nonzero(vectors @ vectors.T >= 0.98))}
+    empty = embeddedup.linked(Graph(vectors[:0]), vectors, 0.98, 32)
+    assert [len(x) for x in empty] == [0, 0]
+
+
+def test_repeated_rows_are_no_links(spark):
+    rows = [(1, [1.0] * 8, 1), (1, [1.0] * 8, 1), (2, [2.0] * 8, 1), (3, [1.0] + [-1.0] * 7, 1), (3, [1.0] + [-1.0] * 7, 1)]
+    found = embeddedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
 
 
 # -- pipeline
