@@ -21,7 +21,6 @@ MARGIN = 0.004
 LEVELS = (5, 19)
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _CASED = re.compile(r"[^\w\s]|\d|_")
 
 
@@ -90,7 +89,7 @@ def _packers(dictionaries: dict[str, bytes], level: int) -> dict:
 
 
 def _choose(text: str | None, levels: list[dict], margin: float) -> tuple[str, float, bool]:
-    if not levels[0] or text is None or not _LETTER.search(text):
+    if not levels[0] or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
     raw = _plain(text).encode()
     for packers in levels:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pagewright.llm.common import batches_of, stored
-from pagewright.llm.tokens import Encoder
+from pagewright.llm.tokens import shared_encoder
 
 LENGTH, OPEN, END = 2048, 16, 1
 #: One task merges the leftovers of so many partitions.
@@ -104,10 +104,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, slots: int = OPEN, en
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def rows():
-            encoder, packer = Encoder(path, PIECES), Packer(length, slots, part << 36)
+            encoder, packer = shared_encoder(path, PIECES), Packer(length, slots, part << 36)
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    raw = encoder.ids(text) + last
+                for doc_id, text in zip(batch.column(0), batch.column(1)):
+                    doc_id, raw = doc_id.as_py(), encoder.ids(text.as_py()) + last
                     yield from packer.add((doc_id, len(raw) // 4), 0, raw)
             yield from packer.leftovers()
 

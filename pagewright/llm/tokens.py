@@ -110,6 +110,6 @@ class Encoder:
 
 
 @cache
-def shared_encoder(path: str) -> Encoder:
+def shared_encoder(path: str, most: int = 450_000) -> Encoder:
     """One per worker process: it outlives a task, and so do the pieces it remembers."""
-    return Encoder(path)
+    return Encoder(path, most)

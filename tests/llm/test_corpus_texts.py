@@ -366,3 +366,7 @@ def test_main_text_of_given_pages(spark):
         assert maintext.main_text(row.html).replace("&", "&amp;") == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("text, letters", [("½ ²", False), ("Ⅷ ① ㊷", False), ("1 2 _ !", False), ("ª", True), ("7 ж", True)])
+def test_only_letters_make_a_language(text, letters):
+    levels = [langid._packers({"aa": b"one two three", "bb": b"drei vier"}, level) for level in langid.LEVELS]
+    assert (langid._choose(text, levels, 0.0)[0] != "und") == letters == any(map(str.isalpha, text))
