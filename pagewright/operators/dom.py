@@ -222,9 +222,15 @@ def attr(name: str, attrs="attrs") -> Column:
     return as_col(attrs)[name]
 
 
-def with_text(nodes: DataFrame, rows: DataFrame, out: str = "content") -> DataFrame:
-    """Add the full text of each row: one equi-join with the document rows, then a byte slice."""
-    docs = nodes.filter(F.col("kind") == "document").select("page_id", F.col("text").alias("_whole"))
-    part = F.substring(F.col("_whole").cast("binary"), (F.col("text_from") + 1).cast("int"),
-                       text_bytes().cast("int")).cast("string")
-    return rows.join(docs, "page_id").withColumn(out, part).drop("_whole")
+def with_text(rows: DataFrame, flag: Column, out: str = "content") -> DataFrame:
+    """The flagged rows with their full text: a byte slice of the text that their page's document row holds.
+
+    `rows` are those of whole pages, document rows included; rows and text of a page meet in one aggregate, so pages are
+    parsed once and nothing is joined."""
+    names = [c for c in rows.columns if c != "page_id"]
+    pages = rows.groupBy("page_id").agg(
+        F.max(F.when(F.col("kind") == "document", F.col("text"))).cast("binary").alias("_whole"),
+        F.collect_list(F.when(flag, F.struct(*names))).alias("_hits"))
+    found = pages.select("page_id", "_whole", F.explode("_hits").alias("_h")).select("page_id", "_whole", "_h.*")
+    part = F.substring(F.col("_whole"), (F.col("text_from") + 1).cast("int"), text_bytes().cast("int")).cast("string")
+    return found.withColumn(out, part).drop("_whole")

@@ -278,11 +278,11 @@ def content_nodes(pages: DataFrame) -> DataFrame:
 def section_text(nodes: DataFrame, selector: str) -> DataFrame:
     """(page_id, content): text of every match, headings taken with their section, in document
     order and joined by blank lines. `nodes` must hold the whole page text."""
-    flagged = css_flag(nodes, selector, "_hit").filter(F.col("_hit") | F.col("heading").isNotNull())
-    ranges = with_sections(clustered(flagged)).filter("_hit").withColumn(
-        "text_to", F.when(F.col("_start").isNotNull(), F.col("section_to")).otherwise(F.col("text_to"))).select(
-        "page_id", "node_id", "text_from", "text_to")
-    parts = with_text(nodes, ranges, "part")
+    flagged = css_flag(nodes, selector, "_hit", keep_others=True).filter(
+        F.col("_hit") | F.col("heading").isNotNull() | (F.col("kind") == "document"))
+    rows = with_sections(clustered(flagged)).withColumn(
+        "text_to", F.when(F.col("_hit") & F.col("_start").isNotNull(), F.col("section_to")).otherwise(F.col("text_to")))
+    parts = with_text(rows.select("page_id", "node_id", "kind", "text", "text_from", "text_to", "_hit"), F.col("_hit"), "part")
     ordered = F.array_sort(F.collect_list(F.struct("node_id", "part")))
     return parts.groupBy("page_id").agg(
         F.array_join(F.transform(ordered, lambda r: trim_ws(r["part"])), "\n\n").alias("content"))

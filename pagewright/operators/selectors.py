@@ -244,7 +244,7 @@ def css_values(nodes: DataFrame, selector: str, attr: str = "textContent") -> Da
     if attr == "innerHTML":
         hits = markup(nodes, selector).withColumn("value", F.col("inner_html"))
     elif attr == "textContent":
-        hits = with_text(nodes, css_select(nodes, selector), "value")
+        hits = with_text(css_flag(nodes, selector, "_hit", keep_others=True), F.col("_hit"), "value")
     else:
         hits = css_select(nodes, selector).withColumn("value", F.col("attrs")[attr.lower()])
     return hits.select("page_id", "url", "node_id", "value")
@@ -285,18 +285,20 @@ def by_name(nodes: DataFrame, name: str) -> DataFrame:
     return elements(nodes).filter(F.col("attrs")["name"] == name)
 
 
-def first_match(nodes: DataFrame, selector: str, scope: str | None = None) -> DataFrame:
+def first_match(nodes: DataFrame, selector: str, scope: str | None = None, value: str = "tag") -> DataFrame:
     """First match per page, or per element matching `scope` (descendants only, null if none).
 
-    With a scope the result is (page_id, node_id of the scope, match_id).
+    With a scope the result is (page_id, node_id of the scope, match_id, value): a column of the match comes along.
     """
     if scope is None:
         hits = css_select(nodes, selector)
         return hits.withColumn("_n", F.row_number().over(by_page())).filter("_n = 1").drop("_n")
     rows = css_flag(css_flag(nodes, selector, "_hit"), scope, "_scope")
-    following = F.min(F.when(F.col("_hit"), F.col("node_id"))).over(before(by_page(F.desc("node_id"))))
-    return (rows.withColumn("_next", following).filter("_scope")
-            .select("page_id", "node_id", F.when(F.col("_next") <= F.col("end_id"), F.col("_next")).alias("match_id")))
+    following = F.last(F.when(F.col("_hit"), F.struct("node_id", F.col(value).alias("value"))), ignorenulls=True).over(
+        before(by_page(F.desc("node_id"))))
+    inner = F.when(F.col("_next.node_id") <= F.col("end_id"), F.col("_next"))
+    return (rows.withColumn("_next", following).filter("_scope").withColumn("_next", inner)
+            .select("page_id", "node_id", F.col("_next.node_id").alias("match_id"), F.col("_next.value").alias("value")))
 
 
 def all_matches(nodes: DataFrame, selector: str, scope: str | None = None) -> DataFrame:
@@ -515,7 +517,9 @@ def forms_of(nodes: DataFrame) -> DataFrame:
 
 
 def title_of(nodes: DataFrame) -> DataFrame:
-    return with_text(nodes, first_match(nodes, "title"), "title").select("page_id", "title")
+    first = F.row_number().over(Window.partitionBy("page_id", "tag").orderBy("node_id")) == 1
+    rows = nodes.withColumn("_hit", F.coalesce((F.col("tag") == "title") & first, F.lit(False)))
+    return with_text(rows, F.col("_hit"), "title").select("page_id", "title")
 
 
 def field_key(attrs: Column, tag: Column) -> Column:

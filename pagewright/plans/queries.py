@@ -124,8 +124,8 @@ def matches_flag(spark, sf):
 @query
 def first_link_in_nav(spark, sf):
     nodes = dom.html_nodes(inputs.pages(spark, sf), ("nav", "a"), kinds=("element",), texts=("a",))
-    first = selectors.first_match(nodes, "a", scope="nav").select("page_id", F.col("match_id").alias("node_id"))
-    return first.join(nodes, ["page_id", "node_id"]).select("page_id", F.col("text").alias("first_text"))
+    first = selectors.first_match(nodes, "a", scope="nav", value="text")
+    return first.filter("match_id IS NOT NULL").select("page_id", F.col("value").alias("first_text"))
 
 
 @query
@@ -161,7 +161,7 @@ def edited_titles(spark, sf):
 @query
 def article_text(spark, sf):
     nodes = dom.html_nodes(inputs.pages(spark, sf))
-    hits = dom.with_text(nodes, selectors.css_select(nodes, "article"))
+    hits = dom.with_text(selectors.css_flag(nodes, "article", "hit", keep_others=True), F.col("hit"))
     return hits.select("page_id", F.md5("content").alias("digest"), F.octet_length("content").alias("bytes"))
 
 
@@ -495,7 +495,7 @@ def form_fields(spark, sf):
 
 @query
 def submit_requests(spark, sf):
-    nodes = forms.form_nodes(inputs.customer_forms(spark, sf))
+    nodes = checkpointed(forms.form_nodes(inputs.customer_forms(spark, sf)))  # four steps read them
     found = forms.extract_forms(nodes)
     checked = forms.validate_fields(nodes, [("textarea", "filled & sent"), ("[name=empty]", "é")])
     fields = forms.fill(forms.form_fields(nodes), found, checked.filter("code IS NULL").select("page_id", "ord", "name", "value"))
