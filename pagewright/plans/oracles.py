@@ -493,3 +493,11 @@ O["unanswered"] = f"WITH {_LOG} SELECT log, 'e' || line_no AS id, seq, line_no F
 O["match_results"] = f"WITH {_LOG} SELECT action, code IS NULL AS ok, code AS result_code, count(*) AS n FROM cut WHERE NOT bad AND action <> 'storage_set' GROUP BY 1, 2, 3"
 O["dedup_retries"] = f"WITH {_LOG} SELECT log, count(*) AS n, max(line_no) AS last_line FROM cut WHERE NOT bad AND action <> 'storage_set' GROUP BY 1"
 O["error_counts"] = f"WITH {_LOG} SELECT code, count(*) AS n FROM cut WHERE code IS NOT NULL GROUP BY 1"
+
+# -- streams: the answers of the batch queries
+
+O["stream_history"], O["stream_storage"] = O["history_fold"], O["storage_asof"]
+O["stream_snapshots"] = f"""WITH {_STORE}, last AS (SELECT session, origin, key, max(seq) AS seq, arg_max({{'op': op, 'value': value}}, seq) AS w FROM writes GROUP BY 1, 2, 3)
+SELECT session, origin, key, seq, w.op AS op, CASE WHEN w.op = 'set' THEN w.value END AS value FROM last"""
+O["tailed_commands"] = f"WITH {_LOG} SELECT bad, action, count(*) AS n, count(*) AS places FROM c GROUP BY 1, 2"
+O["command_files"] = f"WITH {_LOG} SELECT count(*) AS lines, count(*) FILTER (NOT (kind = 'error' AND k < 10)) AS filled, true AS dense FROM e"
