@@ -165,8 +165,8 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
     """Parse `pages(page_id, url, html)` into node rows.
 
     The optimizer cannot see into the kernel, so what a query needs is said here: `tags` keeps only
-    those elements and `kinds` only those rows (the document row always stays, one per page; text rows beside chosen
-    tags have to be named), `texts` names tags whose rows carry their full text, `page_text` puts the whole text on the
+    those elements (and `#text` beside them text rows) and `kinds` only those rows (the document row always stays, one per
+    page), `texts` names tags whose rows carry their full text, `page_text` puts the whole text on the
     document row (default: only when nothing is filtered out), and `columns` are those that are built, by default
     COLUMNS; those of ANCESTORS come on demand only. `partitions` deals the bodies anew before they are parsed: a
     shuffle of all of them, of use where a file's row groups are fewer than the cores.
@@ -181,7 +181,7 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
     def wanted(kind, tag):
         if kind_set is not None and kind not in kind_set:
             return False
-        return tag_set is None or kind == "document" or tag in tag_set or (kind == "text" and kind_set is not None)
+        return tag_set is None or kind == "document" or tag in tag_set or (kind == "text" and "#text" in tag_set)
 
     def kernel(batches):
         def rows():

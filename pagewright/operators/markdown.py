@@ -27,6 +27,7 @@ HIDDEN = list(ANCESTORS["hidden"][0])
 CHROME = list(ANCESTORS["chrome"][0])
 CELLS = ["td", "th"]
 SHOWN_TAGS = [*HEADINGS, *BLOCKS, *LISTS, *MARKS, "a", "img", "br", "hr", "code", "pre", "blockquote", "li", "table", "tr", *CELLS]
+NODE_TAGS = [*SHOWN_TAGS, "#text"]
 CONTEXT = ["near_link", "near_quote", "deep_quote", "near_pre", "near_list", "deep_list", "near_ordered", "near_table", "top_table",
            "deep_row", "near_head", "near_hidden", "near_chrome"]
 NODE_COLUMNS = ["page_id", "url", "node_id", "end_id", "kind", "tag", "attrs", "text", "parent_tag", *CONTEXT]
@@ -319,7 +320,7 @@ def html_markdown(pages: DataFrame, selector: str | None = None, strip_nav: bool
     a page without a match gives empty text.
     """
     if selector is None:
-        nodes = html_nodes(pages, SHOWN_TAGS, kinds=("element", "text"), texts=CELLS, page_text=False, columns=NODE_COLUMNS, partitions=partitions)
+        nodes = html_nodes(pages, NODE_TAGS, kinds=("element", "text"), texts=CELLS, page_text=False, columns=NODE_COLUMNS, partitions=partitions)
         rows = whole_pages(clustered(nodes.filter("near_hidden IS NULL")))
     else:
         rows = _chosen(clustered(html_nodes(pages, texts=CELLS, page_text=False, columns=[*COLUMNS, *CONTEXT], partitions=partitions)), selector)

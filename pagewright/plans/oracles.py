@@ -269,7 +269,7 @@ O["strip_controls"] = r"""SELECT doc_id, md5(regexp_replace(text, '[\x{1}-\x{8}\
 O["chunk_rows"] = "SELECT lang, count(DISTINCT doc_id) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE text <> '' GROUP BY 1"
 O["base64_round_trip"] = "SELECT conv_id, turn, md5(base64(encode(text))) AS digest, true AS same FROM conversations"
 O["sql_functions"] = f"""SELECT page_id, strlen(html) // 4 AS tokens, regexp_extract(url, '^https?://[^/?#]+', 0) AS origin, 'text/html' AS mime,
-  ends_with({HOST}, '.example.com') AS in_com, md5(trim(regexp_replace({_STRIPPED}, '{WS}+', ' ', 'g'), ' ')) AS digest FROM pages"""
+  ends_with({HOST}, '.example.com') AS in_com, md5(trim(regexp_replace(replace(replace({_STRIPPED}, '&quot;', '"'), '&amp;', '&'), '{WS}+', ' ', 'g'), ' ')) AS digest FROM pages"""
 
 _CHUNKS = """parts AS (
   SELECT doc_id, text, list_filter(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'), lambda x: x <> '') AS ls FROM documents),

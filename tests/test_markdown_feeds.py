@@ -4,7 +4,7 @@ import pytest
 
 from pagewright.operators import dom, feeds
 from pagewright.operators.htmltree import parse_html
-from pagewright.operators.markdown import CELLS, CONTEXT, NODE_COLUMNS, SHOWN_TAGS, _chosen, assemble, chunks, html_markdown, whole_pages
+from pagewright.operators.markdown import CELLS, CONTEXT, NODE_COLUMNS, NODE_TAGS, _chosen, assemble, chunks, html_markdown, whole_pages
 from pagewright.operators.selectors import css_select
 from plain_markdown import render_tree
 
@@ -49,7 +49,7 @@ def random_page(rng, depth=4):
 
 
 def raw(pages, **options):
-    nodes = dom.html_nodes(pages, SHOWN_TAGS, kinds=("element", "text"), texts=CELLS, page_text=False, columns=NODE_COLUMNS)
+    nodes = dom.html_nodes(pages, NODE_TAGS, kinds=("element", "text"), texts=CELLS, page_text=False, columns=NODE_COLUMNS)
     rows = assemble(whole_pages(dom.clustered(nodes)), **{**OPTIONS, **options}).collect()
     return {r.page_id: (r.raw, [(k.i, k.text, k.href) for k in r.refs]) for r in rows}
 
