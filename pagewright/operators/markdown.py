@@ -103,8 +103,10 @@ def _linked(rows: DataFrame, include_links: bool, compact_links: bool) -> DataFr
     whose = up_to_here(Window.partitionBy("page_id", "match", "_link").orderBy("node_id"))
     # Inside a link only the quotations within it mark lines.
     outside = F.when(F.col("_link").isNotNull() & ~F.col("_head"), F.first("deep_quote").over(whose)).otherwise(0)
-    return rows.withColumns({"_kept": F.first("_head").over(whose), "_outside": outside}).filter(
-        F.col("match").isNull() | F.col("_link").isNull() | F.col("_kept"))
+    rows = rows.withColumns({"_kept": F.first("_head").over(whose), "_outside": outside})
+    # A chosen part keeps its first row, even where that shows nothing itself.
+    kept = F.col("match").isNull() | F.col("_link").isNull() | F.col("_kept")
+    return rows.withColumn("_used", F.col("_used") & kept).filter(kept | F.col("_start"))
 
 
 def _solid() -> Column:
@@ -128,8 +130,9 @@ def _filled(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_item", F.when(item, number))
     empty = F.col("_used") & _is("li", *MARKS) & ~_holds("_next")
     reach = F.max(F.when(empty, F.col("end_id"))).over(up_to_here(_here()))
-    return rows.withColumn("_reach", reach).filter(
-        F.col("match").isNull() | F.col("_start") | (F.coalesce("_reach", F.lit(-1)) < F.col("node_id")))
+    rows = rows.withColumn("_reach", reach)
+    kept = F.coalesce("_reach", F.lit(-1)) < F.col("node_id")
+    return rows.withColumn("_used", F.col("_used") & kept).filter(F.col("match").isNull() | F.col("_start") | kept)
 
 
 def _events(rows: DataFrame) -> DataFrame:
