@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagewright.llm.common import WordHashes, components, mixed, stored, windows_hashed
+from pagewright.llm.common import WordHashes, components, in_sorted, mixed, stored, windows_hashed
 
 #: A signature has COORDINATES coordinates; each is made of DEPTH minima, so unlike texts hardly ever agree in one.
 COORDINATES, DEPTH = 32, 4
@@ -152,34 +152,98 @@ def within_groups(members: DataFrame, texts: DataFrame, size: int, percent: int)
     return rows.groupBy("g", "ix", "iy").applyInArrow(kernel, "a long, b long")
 
 
-def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of different groups and components that share a posting list and whose minima agree enough.
+class _Near:
+    """Rows of one posting list, and which of them may be similar across groups and components.
 
-    Only lists that hold several groups and components are looked at, a pair of their blocks in one task; of the
-    pairs in a list none leaves the task but those that may be similar."""
-    known = lists.join(members, "rep")
-    several = known.groupBy("token").agg(
-        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"),
-        F.ceil(F.count("*") / LISTED).alias("blocks")).filter("lo <> hi AND c <> d").select("token", "blocks")
-    open_ = known.join(several, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = open_.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "g", "component").join(
-        nodes.select("rep", "minima"), "rep")
+    A pair that shares several lists is judged in the one of the smallest token only."""
 
-    def kernel(table):
-        mine, i, j = np.array(table["mine"]), table["i"][0].as_py(), table["j"][0].as_py()
-        rep, g, of = (np.array(table[c]) for c in ("rep", "g", "component"))
-        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u2").reshape(len(rep), -1)
-        here, there = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def __init__(self, table: pa.Table):
+        self.token = table["token"][0].as_py()
+        self.rep, self.g, self.of, self.mine = (np.array(table[c]) for c in ("rep", "g", "component", "mine"))
+        self.minima = np.frombuffer(b"".join(table["minima"].to_pylist()), "<u2").reshape(len(self.rep), -1)
+        lists = table["tokens"].to_pylist()
+        self.tokens = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
+        for k, found in enumerate(lists):
+            self.tokens[k, :len(found)] = found
+
+    def of_blocks(self, i: int, j: int):
+        """(k, others, agreement) of each row k of block i with some of block j that may be similar."""
+        here, there = np.flatnonzero(self.mine == i), np.flatnonzero(self.mine == j)
         for k in here:
-            apart = there[(g[there] != g[k]) & (of[there] != of[k]) & ((i != j) | (rep[there] > rep[k]))]
-            near = apart[(minima[apart] == minima[k]).mean(1) >= LEAST_ESTIMATE] if len(apart) else apart
-            a.append(np.minimum(rep[k], rep[near]))
-            b.append(np.maximum(rep[k], rep[near]))
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+            apart = there[(self.g[there] != self.g[k]) & (self.of[there] != self.of[k]) & ((i != j) | (self.rep[there] > self.rep[k]))]
+            if not len(apart):
+                continue
+            agree = (self.minima[apart] == self.minima[k]).mean(1)
+            near, agree = apart[agree >= LEAST_ESTIMATE], agree[agree >= LEAST_ESTIMATE]
+            if len(near):
+                theirs = self.tokens[near]
+                own = np.where(np.isin(theirs, self.tokens[k]), theirs, np.iinfo(np.int64).max).min(1) == self.token
+                if own.any():
+                    yield k, near[own], agree[own]
+
+
+def _block_pairs(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of a list dealt to every pair (i, j) of its blocks that their own block `mine` is part of."""
+    dealt = rows.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+
+
+def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join components which share a posting list across groups.
 
-    return rows.groupBy("token", "i", "j").applyInArrow(kernel, "a long, b long").distinct()
+    Only lists that hold several groups and components are looked at, a pair of their blocks in one task. First the
+    nodes are named that have a partner whose minima agree enough; then these come with their texts, again block
+    against block, and full sets decide. Of the links of a block a forest over its components leaves the task, so rows
+    grow with the nodes, not with their pairs."""
+    known = lists.select("token", "rep").join(members, "rep")
+    several = known.groupBy("token").agg(
+        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"),
+        F.ceil(F.count("*") / LISTED).alias("blocks")).filter("lo <> hi AND c <> d").select("token", "blocks")
+    open_ = known.join(several.select("token"), "token")
+    about = open_.groupBy("rep").agg(F.collect_list("token").alias("tokens")).join(nodes.select("rep", "minima"), "rep")
+    rows = _block_pairs(open_, several).join(about, "rep")
+
+    def marking(table):
+        near, i, j = _Near(table), table["i"][0].as_py(), table["j"][0].as_py()
+        has = np.zeros(len(near.rep), bool)
+        for k, others, _ in near.of_blocks(i, j):
+            has[k] = True
+            has[others] = True
+        return pa.table({"token": pa.array(np.full(int(has.sum()), near.token), pa.int64()), "rep": pa.array(near.rep[has], pa.int64())})
+
+    marked = stored(rows.groupBy("token", "i", "j").applyInArrow(marking, "token long, rep long").distinct(), "marked")
+    blocks = marked.groupBy("token").agg(F.ceil(F.count("*") / TEXTS).alias("blocks"))
+    closer = _block_pairs(marked.join(members, "rep"), blocks).join(about, "rep").join(texts, "rep")
+
+    def joining(table):
+        near, i, j = _Near(table), table["i"][0].as_py(), table["j"][0].as_py()
+        found = [(-float(a), int(k), int(q)) for k, others, agree in near.of_blocks(i, j) for q, a in zip(others, agree)]
+        sets, root, a, b = {}, {}, [], []
+        hashes, bodies = WordHashes(), table["text"]
+
+        def set_of(k):
+            if k not in sets:
+                sets[k] = shingles(bodies[k].as_py(), size, hashes)
+            return sets[k]
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for _, k, q in sorted(found):
+            left, right = top(int(near.of[k])), top(int(near.of[q]))
+            if left == right:
+                continue
+            both = int(in_sorted(set_of(k), set_of(q)).sum())
+            if 100 * both >= percent * (len(sets[k]) + len(sets[q]) - both):
+                root[max(left, right)] = min(left, right)
+                a.append(int(near.rep[k]))
+                b.append(int(near.rep[q]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return closer.groupBy("token", "i", "j").applyInArrow(joining, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -191,7 +255,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
     1. each node is held against one hub, the smallest node that shares most of its posting lists;
     2. nodes not linked to their hub are held against the rest of the hub's group, block against block;
-    3. pairs that share lists across groups and are still apart are held against each other.
+    3. pairs that share lists across groups and are still apart are held against each other, until their components join.
 
     Full sets decide each time. A large group of copies costs one comparison per member, not one per pair, unless
     members are apart. Rows with no words (null, empty or white text) and rows with a null doc_id link with nothing
@@ -220,7 +284,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     labelled = _labelled(dealt, components(second))
     # Of a node in two groups either one will do: pairs inside both were held against each other.
     one = labelled.groupBy("rep").agg(F.min("g").alias("g"), F.min("component").alias("component"))
-    third = second.unionByName(verified(across_groups(lists, one, classes), texts, size, percent))
+    third = second.unionByName(across_groups(lists, one, classes, texts, size, percent))
     joined = components(stored(third, "links")).withColumnRenamed("node", "rep")
     least = joined.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     told = joined.join(least, "component").select("rep", "component_id")
