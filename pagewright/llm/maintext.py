@@ -12,14 +12,19 @@ from pagewright.operators.htmltree import Node, parse_html
 
 # Elements that are never article text, and class, id or role names of such blocks.
 NO_TEXT = frozenset(
-    "script style noscript template iframe object embed applet audio video canvas svg math map head title nav footer aside "
+    "script style noscript template iframe object embed applet audio video canvas svg map annotation annotation-xml head title nav footer aside "
     "button input select textarea option menu dialog frameset noframes".split())
 _NAME = (r"(?:ads?|advert(?:s|isements?|ising|orials?)?|sponsor(?:s|ed|ship)?|promos?|promoted|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
          r"newsletter|subscribe|subscriptions?|nav|navbar|navigation|navlinks|menus?|breadcrumbs?|sidebars?|side|footer|masthead|header|toolbar|share|sharing|social|"
          r"related|recommend(?:ed|ations?)|comments?|discussion|disqus|respond|replies|login|signup|pagination|pager|widgets?)")
 #: A whole class token or id: such names, with words that only say where or what kind of box it is.
-_PLAIN = r"(?:site|page|global|main|top|bottom|left|right|box|bar|list|links|icons|buttons|area|container|wrapper|block)"
+_PLAIN = r"(?:site|page|global|main|top|bottom|left|right|box|bar|list|links|icons|buttons|area|container|wrapper|block|section|form|unit|slot|item)"
 BOILERPLATE = re.compile(rf"(?:{_PLAIN}[_-])*{_NAME}(?:[_-](?:{_NAME}|{_PLAIN}))*", re.I)
+#: Names of blocks of reader comments, and words in the names of the items that such blocks repeat.
+COMMENTS = re.compile(r"(?:(?:user|readers?|post|article|entry)[_-])?(?:comments?|disqus|respond|replies)(?:[_-](?:list|area|container|wrapper|block|box|section|form|thread|item|body))*", re.I)
+_ITEM = re.compile(r"(?:^|[_-])(?:comments?|repl(?:y|ies)|posts?|message|review|item|card|teaser|entry|promo|ad)(?:$|[_-])", re.I)
+#: A name that parts of articles have as well; like an id it needs more than itself. Comments beyond so many times the rest are the page.
+_ALSO_ARTICLE, COMMENTS_ONLY = "discussion", 10
 #: What each such block around it leaves of a node's density; fewer characters than this are short.
 LOWERED, SHORT = 0.25, 200
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar toolbar".split())
@@ -31,7 +36,7 @@ _HEADING = re.compile("h[1-6]")
 _CANDIDATE = frozenset("article body center dd details div fieldset figure form li main section table tbody td th tr blockquote p ul ol dl pre".split())
 
 
-def _unwanted(node: Node, in_article: bool) -> bool:
+def _unwanted(node: Node, in_article: int) -> bool:
     if node.tag in NO_TEXT or (node.tag == "header" and not in_article):
         return True
     attrs = node.attrs or {}
@@ -40,18 +45,50 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     return "hidden" in attrs or (attrs.get("role") or "").lower() in ROLES or (attrs.get("aria-hidden") or "").lower() == "true"
 
 
-def _named(node: Node, in_article: bool) -> bool:
-    """Whether it is a form or a name says boilerplate: a whole class token does, or an id, which in an article is an anchor."""
-    if node.tag in ("body", "html", "article", "main"):
+def _comments(node: Node) -> bool:
+    """Whether it is a block or an item of reader comments: by class, id or item type."""
+    attrs = node.attrs or {}
+    if node.tag in ("body", "html", "main"):
         return False
+    names = (attrs.get("class") or "").split() + (attrs.get("id") or "").split()
+    return any(COMMENTS.fullmatch(name) for name in names) or (attrs.get("itemprop") or "").lower() == "comment"
+
+
+def _repeats(node: Node) -> bool:
+    """Whether it holds, itself or in lists below it, two items: nested articles or elements whose class names an item."""
+    items, todo = 0, list(node.kids)
+    while todo:
+        kid = todo.pop()
+        if kid.kind != "element":
+            continue
+        if kid.tag == "article" or any(_ITEM.search(name) for name in ((kid.attrs or {}).get("class") or "").split()):
+            items += 1
+        elif kid.tag in ("ul", "ol"):
+            todo.extend(kid.kids)
+    return items > 1
+
+
+def _named(node: Node, inside: int) -> int:
+    """How surely it is boilerplate: 3 reader comments, 2 a form or a whole class token says so, or an id with repeated
+    items below it, 1 only an id outside of articles, else 0. In an article an id alone is an anchor."""
+    if node.tag in ("body", "html", "main"):
+        return 0
+    if _comments(node):
+        return 3
+    if node.tag == "article":
+        return 0
     attrs = node.attrs or {}
-    names = (attrs.get("class") or "").split() + ([] if in_article else (attrs.get("id") or "").split())
-    return node.tag == "form" or (attrs.get("role") or "").lower() == "form" or any(BOILERPLATE.fullmatch(name) for name in names)
+    classes = [name for name in (attrs.get("class") or "").split() if BOILERPLATE.fullmatch(name)]
+    if node.tag == "form" or (attrs.get("role") or "").lower() == "form" or any(name.lower() != _ALSO_ARTICLE for name in classes):
+        return 2
+    if classes or any(BOILERPLATE.fullmatch(name) for name in (attrs.get("id") or "").split()):
+        return 2 if _repeats(node) else 0 if inside else 1
+    return 0
 
 
-def _in_order(root: Node) -> list[tuple[Node, int, bool]]:
-    """Wanted nodes in document order with the place of their parent and whether they stand in an article."""
-    out, todo = [], [(root, -1, False)]
+def _in_order(root: Node) -> list[tuple[Node, int, int]]:
+    """Wanted nodes in document order with the place of their parent and whether they stand in a main (1) or an article (2)."""
+    out, todo = [], [(root, -1, 0)]
     while todo:
         node, up, inside = todo.pop()
         if node.kind == "element" and _unwanted(node, inside):
@@ -60,12 +97,12 @@ def _in_order(root: Node) -> list[tuple[Node, int, bool]]:
             continue
         at = len(out)
         out.append((node, up, inside))
-        inside = inside or node.tag in ("article", "main")
+        inside = max(inside, {"main": 1, "article": 2}.get(node.tag, 0))
         todo.extend((kid, at, inside) for kid in reversed(node.kids))
     return out
 
 
-def _without(nodes: list[tuple[Node, int, bool]], gone: set[int]) -> list[tuple[Node, int, bool]]:
+def _without(nodes: list[tuple[Node, int, int]], gone: set[int]) -> list[tuple[Node, int, int]]:
     """The nodes without some of them and all that is below those."""
     out, place = [], {-1: -1}
     for k, (node, up, inside) in enumerate(nodes):
@@ -75,22 +112,43 @@ def _without(nodes: list[tuple[Node, int, bool]], gone: set[int]) -> list[tuple[
     return out
 
 
-def wanted(nodes: list[tuple[Node, int, bool]]) -> list[tuple[Node, int, bool]]:
-    """The nodes without blocks that a name says are boilerplate and that look it.
+def wanted(nodes: list[tuple[Node, int, int]]) -> list[tuple[Node, int, int]]:
+    """The nodes without blocks that are boilerplate by name.
 
-    Such a block is dropped when it holds no article or main, the densest subtree does not lie in it, and it is
-    short or half of its text stands in links."""
-    named = [k for k, (node, _, inside) in enumerate(nodes) if node.kind == "element" and _named(node, inside)]
-    if not named:
+    Blocks of reader comments go with all articles in them, unless hardly anything else is on the page. Forms and
+    blocks named by class, or by id over repeated items, go whatever their size, unless they hold an article or main
+    of their own, the densest subtree, or most of the article they stand in. Blocks named by an id alone have to be short
+    or half links as well."""
+    says = [_named(node, inside) if node.kind == "element" else 0 for node, _, inside in nodes]
+    if not any(says):
         return nodes
     stats = Densities(nodes)
+    if 3 in says:
+        top = [False] * len(nodes)
+        for k, (_, up, _) in enumerate(nodes):
+            top[k] = says[k] == 3 or up >= 0 and top[up]
+        outer = [k for k in range(len(nodes)) if says[k] == 3 and not (nodes[k][1] >= 0 and top[nodes[k][1]])]
+        rest = stats.chars[0] - stats.link_chars[0] - sum(stats.chars[k] - stats.link_chars[k] for k in outer)
+        if COMMENTS_ONLY * rest >= sum(stats.chars[k] for k in outer):
+            nodes = _without(nodes, set(outer))
+            says = [_named(node, inside) if node.kind == "element" else 0 for node, _, inside in nodes]
+            if not any(says):
+                return nodes
+            stats = Densities(nodes)
     k, around = stats.best, set()
     while k >= 0:
         around.add(k)
         k = nodes[k][1]
-    gone = {k for k in named if not stats.holds[k] and k not in around
-            and (stats.chars[k] < SHORT or 2 * stats.link_chars[k] >= stats.chars[k])}
-    return _without(nodes, gone)
+
+    def goes(k):
+        if not says[k] or k in around or stats.holds[k]:
+            return False
+        if says[k] == 1:
+            return stats.chars[k] < SHORT or 2 * stats.link_chars[k] >= stats.chars[k]
+        home = _article(nodes, k)
+        return home is None or 2 * stats.chars[k] <= stats.chars[home]
+
+    return _without(nodes, {k for k in range(len(nodes)) if goes(k)})
 
 
 class Densities:
@@ -102,13 +160,14 @@ class Densities:
     children's densities; the largest sum wins, the first of equal ones. The threshold is the least density on the
     path from the body to that node."""
 
-    def __init__(self, nodes: list[tuple[Node, int, bool]]):
+    def __init__(self, nodes: list[tuple[Node, int, int]]):
         n = len(nodes)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         weight, holds = [1.0] * n, [False] * n
         for k in range(n - 1, -1, -1):
-            node, up, _ = nodes[k]
-            holds[k] |= node.tag in ("article", "main")
+            node, up, inside = nodes[k]
+            # Articles in articles, and those that are comments, are no article of the page.
+            holds[k] |= node.tag == "main" or node.tag == "article" and inside < 2 and not _comments(node)
             if node.kind == "text":
                 chars[k] = len("".join(node.text.split()))
             elif node.tag == "a":
@@ -121,7 +180,8 @@ class Densities:
                 holds[up] |= holds[k]
         for k, (node, up, inside) in enumerate(nodes):
             weight[k] = weight[up] if up >= 0 else 1.0
-            if node.kind == "element" and not holds[k] and _named(node, inside):
+            says = _named(node, inside) if node.kind == "element" else 0
+            if says == 3 or says and not holds[k]:
                 weight[k] *= LOWERED
         body = next((k for k, (node, _, _) in enumerate(nodes) if node.tag == "body"), 0)
         share = link_chars[body] / max(chars[body], 1)
@@ -152,7 +212,7 @@ class Densities:
                 self.threshold = min(self.threshold, density[k])
 
 
-def _article(nodes: list[tuple[Node, int, bool]], k: int, tags: tuple[str, ...] = ("article", "main")) -> int | None:
+def _article(nodes: list[tuple[Node, int, int]], k: int, tags: tuple[str, ...] = ("article", "main")) -> int | None:
     """The outermost article that a node lies in, else the main."""
     found = {}
     while k >= 0:
@@ -161,7 +221,7 @@ def _article(nodes: list[tuple[Node, int, bool]], k: int, tags: tuple[str, ...]
     return next((found[tag] for tag in tags if tag in found), None)
 
 
-def chosen(nodes: list[tuple[Node, int, bool]], stats: Densities) -> list[bool]:
+def chosen(nodes: list[tuple[Node, int, int]], stats: Densities) -> list[bool]:
     """Of each node whether it belongs to the main text.
 
     From the body down, as far as densities reach the threshold, each node's subtree of the largest sum is taken. If
@@ -217,7 +277,7 @@ def chosen(nodes: list[tuple[Node, int, bool]], stats: Densities) -> list[bool]:
     return _below(nodes, tops)
 
 
-def _in_heading(nodes: list[tuple[Node, int, bool]], k: int) -> bool:
+def _in_heading(nodes: list[tuple[Node, int, int]], k: int) -> bool:
     while k >= 0:
         if _HEADING.fullmatch(nodes[k][0].tag or ""):
             return True
@@ -225,7 +285,7 @@ def _in_heading(nodes: list[tuple[Node, int, bool]], k: int) -> bool:
     return False
 
 
-def _below(nodes: list[tuple[Node, int, bool]], tops: set[int]) -> list[bool]:
+def _below(nodes: list[tuple[Node, int, int]], tops: set[int]) -> list[bool]:
     out = [False] * len(nodes)
     for k, (_, up, _) in enumerate(nodes):
         out[k] = k in tops or up >= 0 and out[up]

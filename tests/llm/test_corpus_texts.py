@@ -359,6 +359,34 @@ def test_main_text_with_short_parts_and_headings():
     assert starts(f"<body><article>{long}</article><article>{paragraphs(5, 'm')}</article></body>") == [f"{c}{k}" for c in "nm" for k in range(5)]
 
 
+LONG_BLOCKS = [
+    '<div class="comments">{}</div>', '<section id="comments">{}</section>', '<section id="comments"><article>{}</article><article>{}</article></section>',
+    '<article class="comment">{}</article>', '<div itemprop="comment">{}</div>', '<div id="disqus_thread">{}</div>', '<ol class="comment-list"><li>{}</li></ol>', '<form>{}</form>',
+    '<div role="form">{}</div>', '<div class="advert">{}</div>', '<div class="ad-slot">{}</div>', '<div class="cookie-notice">{}</div>', '<div class="sidebar">{}</div>',
+    '<section class="discussion"><div class="post">{}</div><div class="post">{}</div></section>', '<div id="related"><ul><li class="teaser">{}</li><li class="teaser">{}</li></ul></div>']
+
+
+@pytest.mark.parametrize("block", LONG_BLOCKS)
+@pytest.mark.parametrize("home", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div>{}</div>", "<div class='sidebar'><article>{}</article></div>"])
+def test_main_text_without_long_blocks(home, block):
+    junk = block.replace("{}", paragraphs(1, "x"))
+    names = ["n0", "n1", "n2"]
+    assert starts(f"<body>{home.replace('{}', paragraphs(3, 'n') + junk)}</body>") == names
+    assert starts(f"<body>{home.replace('{}', paragraphs(3, 'n'))}{junk}</body>") == names
+    if "comment" in block and "article" in home:
+        assert starts(f"<body>{home.replace('{}', paragraphs(3, 'n'))}{junk * 8}</body>") == names
+
+
+def test_main_text_keeps_what_only_looks_like_boilerplate():
+    long = paragraphs(1, "s")
+    for part in ('<section id="discussion">{}</section>', '<section class="discussion">{}</section>', '<section id="cookies">{}</section>', '<div id="related-work">{}</div>'):
+        assert starts(f"<body><article>{paragraphs(2, 'n')}{part.replace('{}', long)}</article></body>") == ["n0", "n1", "s0"]
+    assert starts(f'<body><article><form>{paragraphs(3, "n")}</form><p>s0</p></article></body>') == ["n0", "n1", "n2", "s0"]
+    assert starts(f'<body><div class="comments">{paragraphs(3, "n")}</div></body>') == ["n0", "n1", "n2"]
+    formula = "<math><semantics><mi>a</mi><mo>=</mo><mi>b</mi><annotation encoding='application/x-tex'>a = b</annotation></semantics></math>"
+    assert maintext.main_text(f"<body><article>{paragraphs(2, 'n')}<p>where {formula} holds</p></article></body>").split("\n")[2] == "where a=b holds"
+
+
 def test_main_text_of_given_pages(spark):
     for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inside = re.search(r"<article>(.*?)</article>", row.html, re.S).group(1)
