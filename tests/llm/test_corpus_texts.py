@@ -175,6 +175,19 @@ def test_near_duplicates_that_share_an_id(spark):
     assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == {(3, x), (8, clean), (7, rows[-1][1])}
 
 
+def test_links_across_groups_are_a_forest(spark):
+    texts = [" ".join([f"{c}{k}" for k in range(60)] + [f"own{c}{j}"] * (j % 3)) for c in "ab" for j in range(150)] + ["another text on its own"]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], SCHEMA)
+    nodes = minhash.signed(frame, 2).withColumnRenamed("doc_id", "rep").select("rep", "minima").cache()
+    lists = spark.createDataFrame([(token, k) for token in (5, 7) for k in range(len(texts))], "token long, rep long")
+    members = nodes.select("rep", F.col("rep").alias("g"), F.col("rep").alias("component"))
+    bodies = frame.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    found = minhash.across_groups(lists, members, nodes, bodies, 2, 80).cache()
+    assert {(r.node, r.component) for r in components(found).collect()} == {(k, k // 150 * 150) for k in range(300)}
+    # Of the 22,350 pairs of either text a forest leaves each of the at most six block pairs.
+    assert found.count() <= 6 * 299
+
+
 def test_near_duplicates_of_nothing(empty, odd):
     assert minhash.groups(empty).count() == 0
     assert minhash.groups(odd).count() == len(ODD)
