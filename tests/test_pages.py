@@ -260,3 +260,28 @@ def test_follow(spark, pages_of):
     asked = spark.createDataFrame([(1, 0, "LINK"), (2, 0, "none")], "event_id long, page_id long, needle string")
     found = {r.event_id: (r.target, r.code) for r in navigation.follow_by_text(asked, links).collect()}
     assert found == {1: ("https://example.com/one", None), 2: (None, "LINK_NOT_FOUND")}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 250_000])
+def test_savings_are_exact_without_all_values_in_one_task(spark, n, monkeypatch):
+    rows = spark.range(n).select((F.xxhash64("id") % 100_003 + 200_000).alias("tokens_est"), F.array(F.struct((F.col("id") % 97 + 1).alias("tokens_est"))).alias("content_selectors"))
+    x = rows.select((F.col("tokens_est") / F.col("content_selectors")[0]["tokens_est"]).alias("x"))
+    wanted = x.agg(F.count("*"), F.round(F.percentile("x", 0.5), 6), F.round(F.percentile("x", 0.9), 6)).first()
+    seen = []
+    ordered = results._bracketed
+    monkeypatch.setattr(results, "_bracketed", lambda values, *rest: seen.append(ordered(values, *rest)) or seen[-1])
+    found = results.section_savings(rows)
+    assert tuple(found.first()) == tuple(wanted)
+    # No aggregate that holds all values is left.
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    if n > 10 * results.ACCURACY:
+        assert all("x#" in f._jdf.queryExecution().optimizedPlan().toString() and ">=" in f._jdf.queryExecution().optimizedPlan().toString() for f in seen)
+
+
+def test_pages_made_of_narrow_rows_are_dealt_out(spark, tmp_path):
+    from pagewright.plans import inputs
+
+    spark.range(20_000).selectExpr("id AS c_custkey", "'n' AS c_name", "'s' AS c_mktsegment", "1 AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for made in (inputs.customer_forms, inputs.nation_tables):
+        held = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in held) == 20_000 and max(r["count"] for r in held) < 1.2 * inputs.PAGES_PER_TASK
