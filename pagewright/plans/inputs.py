@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SITE = "https://site.example"
 COOKIE_NAMES = ["session_id", "theme", "cart", "auth_token", "lang"]
 COOKIE_DOMAINS = ["a.example", "b.a.example", "c.example"]
+PAGES_PER_TASK = 4096
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +23,15 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows if partitions is None else rows.repartition(int(partitions))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows dealt out by a key before bodies are made of them, some thousand to a task.
+
+    A file of narrow rows has few row groups, and one of them would be parsed by one task however many pages it makes."""
+    partitions = rows.sparkSession.conf.get("pagewright.partitions", None)
+    return rows.repartition(int(partitions) if partitions else max(
+        rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PAGES_PER_TASK)), key)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
@@ -80,6 +90,10 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("<body>"), F.array_join(parts, "")).alias("html"))
 
 
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
+
+
 def customer_forms(spark: SparkSession, sf: str) -> DataFrame:
     """One page per customer with an account form."""
     name, segment = escape(F.col("c_name")), escape(F.col("c_mktsegment"))
@@ -91,7 +105,7 @@ def customer_forms(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('><input type="submit" name="go" value="Go"><select name="segment"><option>NONE<option value="'), segment,
         F.lit('" selected>'), segment, F.lit('</select><textarea name="note">nation '), F.col("c_nationkey").cast("string"),
         F.lit('</textarea><input name="empty"></form>'))
-    return dealt(table(spark, sf, "customer")).select(
+    return _customers(spark, sf).select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit(f"{SITE}/c/"), key).alias("url"), html.alias("html"))
 
 
@@ -100,7 +114,7 @@ def nation_tables(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(
         F.lit("<table><thead><tr><th>field<th>value</thead><tr><td>name<td>"), escape(F.col("c_name")),
         F.lit("<tr><td>segment<td> <b>"), escape(F.col("c_mktsegment")), F.lit("</b> <tr><td>nation</table>"))
-    return dealt(table(spark, sf, "customer")).select(
+    return _customers(spark, sf).select(
         F.col("c_custkey").alias("page_id"), F.concat(F.lit(f"{SITE}/t/"), F.col("c_custkey")).alias("url"), html.alias("html"))
 
 
