@@ -182,11 +182,25 @@ class _Near:
                     yield k, near[own], agree[own]
 
 
-def _block_pairs(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows of a list dealt to every pair (i, j) of its blocks that their own block `mine` is part of."""
-    dealt = rows.join(blocks, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+def _block_pairs(rows: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """Rows of a list dealt to the pairs (i, j) of its blocks that their own block `mine` is part of.
+
+    `sizes` are (token, g, n). A group of `width` rows or more has blocks of its own and meets the blocks of others only, so a
+    list of one large group and a few other rows is dealt in proportion to its length; smaller groups share blocks."""
+    large = F.col("n") >= width
+    every = sizes.groupBy("token").agg(F.coalesce(F.sum(F.when(large, F.ceil(F.col("n") / width))), F.lit(0)).alias("first"),
+                                       F.ceil(F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)) / width).alias("shared"))
+    ahead = Window.partitionBy("token").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.filter(large).select("token", "g", F.ceil(F.col("n") / width).alias("own")).withColumn(
+        "start", F.coalesce(F.sum("own").over(ahead), F.lit(0)))
+    place = F.xxhash64("rep")
+    mine = F.when(F.col("own").isNull(), F.col("first") + F.pmod(place, F.greatest("shared", F.lit(1)))).otherwise(
+        F.col("start") + F.pmod(place, F.col("own")))
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("first") + F.col("shared") - 1)
+    others = F.filter(blocks, lambda k: F.col("own").isNull() | (k < F.col("start")) | (k >= F.col("start") + F.col("own")))
+    dealt = rows.join(every, "token").join(own, ["token", "g"], "left").withColumn("mine", mine).withColumn("other", F.explode(others))
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop(
+        "other", "first", "shared", "own", "start")
 
 
 def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -198,11 +212,12 @@ def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame, texts:
     grow with the nodes, not with their pairs."""
     known = lists.select("token", "rep").join(members, "rep")
     several = known.groupBy("token").agg(
-        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"),
-        F.ceil(F.count("*") / LISTED).alias("blocks")).filter("lo <> hi AND c <> d").select("token", "blocks")
-    open_ = known.join(several.select("token"), "token")
+        F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d")).filter(
+        "lo <> hi AND c <> d").select("token")
+    open_ = known.join(several, "token")
     about = open_.groupBy("rep").agg(F.collect_list("token").alias("tokens")).join(nodes.select("rep", "minima"), "rep")
-    rows = _block_pairs(open_, several).join(about, "rep")
+    sizes = open_.groupBy("token", "g").agg(F.count("*").alias("n"))
+    rows = _block_pairs(open_, sizes, LISTED).join(about, "rep")
 
     def marking(table):
         near, i, j = _Near(table), table["i"][0].as_py(), table["j"][0].as_py()
@@ -213,8 +228,9 @@ def across_groups(lists: DataFrame, members: DataFrame, nodes: DataFrame, texts:
         return pa.table({"token": pa.array(np.full(int(has.sum()), near.token), pa.int64()), "rep": pa.array(near.rep[has], pa.int64())})
 
     marked = stored(rows.groupBy("token", "i", "j").applyInArrow(marking, "token long, rep long").distinct(), "marked")
-    blocks = marked.groupBy("token").agg(F.ceil(F.count("*") / TEXTS).alias("blocks"))
-    closer = _block_pairs(marked.join(members, "rep"), blocks).join(about, "rep").join(texts, "rep")
+    placed = marked.join(members, "rep")
+    sizes = placed.groupBy("token", "g").agg(F.count("*").alias("n"))
+    closer = _block_pairs(placed, sizes, TEXTS).join(about, "rep").join(texts, "rep")
 
     def joining(table):
         near, i, j = _Near(table), table["i"][0].as_py(), table["j"][0].as_py()

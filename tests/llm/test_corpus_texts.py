@@ -188,6 +188,25 @@ def test_links_across_groups_are_a_forest(spark):
     assert found.count() <= 6 * 299
 
 
+def test_one_large_group_of_a_list_meets_only_the_others(spark):
+    # Groups 0 (1,500 rows), 1 (300) and eleven of one row each.
+    rows = spark.range(1811).select(F.lit(7).cast("long").alias("token"), F.col("id").alias("rep"), F.when(F.col("id") < 1500, 0).when(
+        F.col("id") < 1800, 1).otherwise(F.col("id")).cast("long").alias("g"), F.col("id").alias("component"))
+    dealt = minhash._block_pairs(rows, rows.groupBy("token", "g").agg(F.count("*").alias("n")), 128).collect()
+    where, of = {}, {}
+    for r in dealt:
+        where.setdefault(r.rep, set()).add((r.i, r.j))
+        of[r.rep] = r.g
+    met = {}
+    for rep, places in where.items():
+        for place in places:
+            met.setdefault(place, []).append(rep)
+    pairs = {(a, b) for held in met.values() for a in held for b in held if a < b and of[a] != of[b]}
+    assert len(pairs) == 1500 * 300 + 1800 * 11 + 55 and len(where) == 1811
+    # 1,500 rows meet four other blocks, 300 thirteen and eleven all sixteen; before, each of 1,811 met fifteen.
+    assert len(dealt) == 1500 * 4 + 300 * 13 + 11 * 16
+
+
 def test_near_duplicates_of_nothing(empty, odd):
     assert minhash.groups(empty).count() == 0
     assert minhash.groups(odd).count() == len(ODD)
