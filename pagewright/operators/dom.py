@@ -50,6 +50,8 @@ NODE_TYPES |= {f"{what}_{kind}": T.IntegerType() for kind in ANCESTORS for what
 COLUMNS = [name for name in NODE_TYPES if name.split("_")[-1] not in ANCESTORS]
 NODE_SCHEMA = T.StructType([T.StructField(name, NODE_TYPES[name]) for name in COLUMNS])
 EMITTED = "emitted"  # the column metadata that names the tags a kernel was asked for
+SHARES = "shares"    # the column metadata that says into how many shares the rows of pages are hashed
+PAGES_PER_SHARE = 1024
 FLUSH_ROWS = 16384
 FLUSH_BYTES = 8 << 20
 
@@ -195,14 +197,35 @@ def html_nodes(pages: DataFrame, tags: Iterable[str] | None = None, kinds: Itera
 
     source = pages.select("page_id", "url", "html")
     rows = (source if partitions is None else source.repartition(partitions)).mapInArrow(kernel, schema)
+    shares = pages.schema["page_id"].metadata.get(SHARES)
+    if shares is not None and "page_id" in names:
+        rows = rows.withMetadata("page_id", {SHARES: shares})
     # Selectors look here, so that none is evaluated on rows that were never made.
     return rows if tag_set is None or "tag" not in names else rows.withMetadata("tag", {EMITTED: sorted(tag_set)})
 
 
+def shared_out(pages: DataFrame, count: int) -> DataFrame:
+    """Pages that know how many they are, so that `clustered` hashes their nodes into shares of about PAGES_PER_SHARE pages.
+
+    A fixed number of shares would grow with the table, and with them what the sorts of one task hold."""
+    shares = max(pages.sparkSession.sparkContext.defaultParallelism, -(-count // PAGES_PER_SHARE))
+    return pages.withMetadata("page_id", {SHARES: shares})
+
+
 def clustered(rows: DataFrame) -> DataFrame:
     """Rows hashed on `page_id` alone. Windows on (page, parent) and the like accept that too, while
     without it each of them would ask for a shuffle of its own."""
-    return rows.repartition("page_id")
+    shares = rows.schema["page_id"].metadata.get(SHARES)
+    return rows.repartition("page_id") if shares is None else rows.repartition(shares, "page_id")
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Clustered rows, shuffled once more, so that what follows is a stage of its own.
+
+    An executor keeps the generated classes of 100 expressions and operators. A stage of more windows than some dozen has
+    more, and each of its tasks would compile all of them again. One share more makes the hash another one."""
+    shares = rows.schema["page_id"].metadata.get(SHARES)
+    return rows if shares is None else rows.repartition(shares + 1, "page_id")
 
 
 def elements(nodes: DataFrame) -> DataFrame:

@@ -167,7 +167,9 @@ def with_sections(rows: DataFrame) -> DataFrame:
     stops = F.array(*[F.min(F.when(F.col("heading") <= n, boundary)).over(before(siblings(F.desc("sib"))))
                       for n in range(1, 7)])
     start = F.struct("node_id", "text_to", "parent_end", "parent_to", F.col("_stops").alias("stops"))
-    rows = rows.withColumn("_stops", stops).withColumn("_own", start)
+    # A heading or what wraps it has a level; other rows do not carry the boundaries along.
+    has_level = F.col("heading").isNotNull()
+    rows = rows.withColumn("_stops", F.when(has_level, stops)).withColumn("_own", F.when(has_level, start))
     rows = from_parent(rows, F.when(wraps, F.col("_own")), "_wrapper")
     rows = rows.withColumn("_start", F.when(heading_level().isNotNull(), F.coalesce("_wrapper", "_own")))
     rows = rows.withColumn("_stop", F.col("_start.stops")[heading_level() - 1])

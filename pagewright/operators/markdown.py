@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewright.functions.text import chunk_tokens, collapse_ws, decode_entities, normalize_ws, truncate_tokens
 from pagewright.functions.urls import display_href
-from pagewright.operators.dom import ANCESTORS, COLUMNS, clustered, html_nodes
+from pagewright.operators.dom import ANCESTORS, COLUMNS, clustered, html_nodes, staged
 from pagewright.operators.extract import trim_ws, with_sections
 from pagewright.operators.selectors import before, css_flag, up_to_here
 
@@ -23,6 +23,7 @@ HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCKS = ["p", "div", "section", "article", "main", "header", "footer", "nav"]
 LISTS = ["ul", "ol"]
 MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+SHOWN_ATTRS = ["href", "title", "aria-label", "src", "alt"]
 HIDDEN = list(ANCESTORS["hidden"][0])
 CHROME = list(ANCESTORS["chrome"][0])
 CELLS = ["td", "th"]
@@ -69,7 +70,8 @@ def _visible(rows: DataFrame, strip_nav: bool, include_images: bool) -> DataFram
     src = F.when(_is("img"), F.nullif(F.col("attrs")["src"], F.lit(""))) if include_images else F.lit(None).cast("string")
     rows = rows.withColumns({"_row": is_row, "_cell": is_cell, "_used": used}).withColumns({
         "shown": F.when(F.col("_used"), shown), "src": F.when(F.col("_used"), src)})
-    filled = F.coalesce(F.col("shown") != "", F.lit(True))
+    # Is `shown` empty? Asked of the text itself, so that a filter does not repeat all of the above.
+    filled = ~is_text | F.coalesce(F.when(F.col("near_pre").isNotNull(), F.col("text") != "").otherwise(F.col("text").rlike(r"(?U)\S")), F.lit(True))
     return rows.filter(F.col("match").isNull() | (F.col("_used") & filled) | F.col("_start"))
 
 
@@ -141,50 +143,57 @@ def _events(rows: DataFrame) -> DataFrame:
     scope = F.when(F.col("_row") | F.col("_cell"), F.col("_table")).when(
         in_link & ~F.coalesce(F.col("near_quote") > F.col("_link"), F.lit(False)), F.col("_link")).otherwise(F.coalesce("near_quote", F.lit(-1)))
 
-    def event(sub: int, what: int, text: Column | str = "", closes: bool = False, scope=scope, deeper: int = 0) -> Column:
-        text = F.lit(text) if isinstance(text, str) else text
-        return F.struct(
-            F.col("end_id" if closes else "node_id").alias("at"), F.lit(int(closes)).alias("shut"),
-            (-F.col("node_id") if closes else F.lit(0)).alias("rev"), F.lit(sub).alias("sub"), F.lit(what).alias("what"),
-            text.alias("piece"), scope.alias("scope"), (F.col("deep_quote") - F.col("_outside") + deeper).alias("depth"))
+    # What a row gives are constants but for one text of its own (null in them), its places and its scope, which follow after
+    # the rows are multiplied: as expressions of every event they would make a method too large to be compiled.
+    def event(sub: int, what: int, text: str | None = "", shut: int = 0) -> Column:
+        return F.struct(F.lit(shut).alias("shut"), F.lit(sub).alias("sub"), F.lit(what).alias("what"), F.lit(text).cast("string").alias("piece"))
 
-    def both(text: str | Column) -> Column:
-        return F.array(event(0, TEXT, text), event(0, TEXT, text, True))
+    def gives(*events: Column) -> Column:
+        return F.array(*events)
 
+    both = gives(event(0, TEXT, None), event(0, TEXT, None, 1))
+    nothing = F.slice(gives(event(0, TEXT)), 1, 0)
+    quoted = gives(event(0, LINE), event(0, QUOTE_END, "", 1), event(1, QUOTED, "", 1))
     level = F.substring(tag, 2, 1).cast("int")
     mark = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])[tag]
     sign = F.concat(F.repeat(F.lit("  "), F.greatest(F.col("deep_list") - 1, F.lit(0))), F.when(
         F.col("near_ordered").isNotNull(), F.concat(F.col("_item").cast("string"), F.lit(". "))).otherwise("- "))
     picture = F.concat(F.lit("!["), F.coalesce(F.col("attrs")["alt"], F.lit("")), F.lit("]("), display_href("url", F.col("src")), F.lit(")"))
     cell = F.concat(F.lit(" "), trim_ws(F.regexp_replace("text", r"(?U)\s+", " ")), F.lit(" |"))
-    nothing = F.array(event(0, TEXT)).cast("array<struct<at:int,shut:int,rev:int,sub:int,what:int,piece:string,scope:int,depth:int>>")
-    quoted = F.array(event(0, LINE), event(0, QUOTE_END, "", True, F.col("node_id"), 1), event(1, QUOTED, "", True))
+    is_heading = tag.isin(HEADINGS) & F.col("_link").isNull()
+    own = (
+        F.when(F.col("shown").isNotNull(), F.col("shown")).when(F.col("_cell"), cell)
+        .when(is_heading, F.concat(F.repeat(F.lit("#"), level), F.lit(" "))).when(tag.isin(list(MARKS)), mark)
+        .when(tag == "code", "`").when(tag == "li", sign).when(F.col("src").isNotNull(), picture))
     found = (
-        F.when(F.col("match").isNull() | ~F.col("_used"), F.slice(nothing, 1, 0))
-        .when(F.col("shown").isNotNull(), F.array(event(0, TEXT, F.col("shown"))))
-        .when(F.col("_row"), F.array(event(0, ROW), event(0, ROW_END, "", True)))
-        .when(F.col("_cell"), F.array(event(0, CELL, cell)))
-        .when(F.col("_head"), F.array(event(0, LINK)))
-        .when(tag.isin(HEADINGS) & F.col("_link").isNull(), F.array(
-            event(0, LINE), event(1, TEXT, F.concat(F.repeat(F.lit("#"), level), F.lit(" "))), event(0, TEXT, "\n", True)))
-        .when(tag.isin(BLOCKS), F.array(event(0, LINE), event(0, GAP, "", True)))
-        .when(tag == "br", F.array(event(0, TEXT, "\n")))
-        .when(tag == "hr", F.array(event(0, LINE), event(1, TEXT, "---\n")))
-        .when(mark.isNotNull(), both(mark))
-        .when((tag == "code") & F.col("near_pre").isNull(), both("`"))
-        .when(tag == "pre", F.array(event(0, LINE), event(1, TEXT, "```\n"), event(0, LINE, "", True), event(1, TEXT, "```\n", True)))
-        .when(tag == "blockquote", F.when(_holds("_room"), quoted).otherwise(F.array(event(0, LINE))))
-        .when(tag.isin(LISTS), F.array(event(0, LINE), event(0, LINE, "", True)))
-        .when(tag == "li", F.array(event(0, LINE), event(1, TEXT, sign)))
-        .when(F.col("src").isNotNull(), F.array(event(0, TEXT, picture)))
-        .when(tag == "table", F.array(event(0, LINE), event(0, QUOTED, "", True), event(1, TEXT, "\n", True)))
-        .otherwise(F.slice(nothing, 1, 0)))
+        F.when(F.col("match").isNull() | ~F.col("_used"), nothing)
+        .when(F.col("shown").isNotNull(), gives(event(0, TEXT, None)))
+        .when(F.col("_row"), gives(event(0, ROW), event(0, ROW_END, "", 1)))
+        .when(F.col("_cell"), gives(event(0, CELL, None)))
+        .when(F.col("_head"), gives(event(0, LINK)))
+        .when(is_heading, gives(event(0, LINE), event(1, TEXT, None), event(0, TEXT, "\n", 1)))
+        .when(tag.isin(BLOCKS), gives(event(0, LINE), event(0, GAP, "", 1)))
+        .when(tag == "br", gives(event(0, TEXT, "\n")))
+        .when(tag == "hr", gives(event(0, LINE), event(1, TEXT, "---\n")))
+        .when(tag.isin(list(MARKS)) | ((tag == "code") & F.col("near_pre").isNull()), both)
+        .when(tag == "pre", gives(event(0, LINE), event(1, TEXT, "```\n"), event(0, LINE, "", 1), event(1, TEXT, "```\n", 1)))
+        .when(tag == "blockquote", F.when(_holds("_room"), quoted).otherwise(gives(event(0, LINE))))
+        .when(tag.isin(LISTS), gives(event(0, LINE), event(0, LINE, "", 1)))
+        .when(tag == "li", gives(event(0, LINE), event(1, TEXT, None)))
+        .when(F.col("src").isNotNull(), gives(event(0, TEXT, None)))
+        .when(tag == "table", gives(event(0, LINE), event(0, QUOTED, "", 1), event(1, TEXT, "\n", 1)))
+        .otherwise(nothing))
     # The first row of a chosen part always stands for it; between two of them lies a gap.
-    opening = F.array(F.struct(
-        F.col("node_id").alias("at"), F.lit(-1).alias("shut"), F.lit(0).alias("rev"), F.lit(0).alias("sub"),
-        F.when(F.col("match") > 0, GAP).otherwise(TEXT).alias("what"), F.lit("").alias("piece"), F.lit(-1).alias("scope"), F.lit(0).alias("depth")))
+    opening = F.when(F.col("match") > 0, gives(event(0, GAP, "", -1))).otherwise(gives(event(0, TEXT, "", -1)))
     events = F.when(F.col("match").isNull() | F.col("_start"), F.concat(opening, found)).otherwise(found)
-    rows = rows.withColumn("_e", F.explode(events)).select("*", "_e.*").drop("_e", "_reach", "_item", "_next", "_room", "_kept", "_nth")
+    closes, opens_part, ends_quote = F.col("_e.shut") == 1, F.col("_e.shut") == -1, F.col("_e.what") == QUOTE_END
+    depth = F.col("deep_quote") - F.col("_outside") + F.when(ends_quote, 1).otherwise(0)
+    rows = rows.withColumns({"_own_text": F.when(F.col("_used"), own), "_own_scope": scope}).withColumn("_e", F.explode(events))
+    rows = rows.withColumns({
+        "at": F.when(closes, F.col("end_id")).otherwise(F.col("node_id")), "shut": F.col("_e.shut"),
+        "rev": F.when(closes, -F.col("node_id")).otherwise(0), "sub": F.col("_e.sub"), "what": F.col("_e.what"),
+        "piece": F.coalesce("_e.piece", "_own_text"), "scope": F.when(opens_part, -1).when(ends_quote, F.col("node_id")).otherwise(F.col("_own_scope")),
+        "depth": F.when(opens_part, 0).otherwise(depth)}).drop("_e", "_own_text", "_own_scope", "_reach", "_item", "_next", "_room", "_kept", "_nth")
     return rows.withColumn("scope_match", F.when(F.col("scope") >= 0, F.col("match")))
 
 
@@ -252,7 +261,8 @@ def assemble(rows: DataFrame, strip_nav: bool = False, include_links: bool = Tru
     Beside NODE_COLUMNS the rows tell their `match` (number of the chosen part of the page they belong to), whether
     they open it (`_start`), and `_table`, the table whose row or cell they are. Rows without a match give no text; their
     `_info` is what the `page_facts`, aggregates by page, are taken from."""
-    rows = _settled(_events(_filled(_linked(_visible(rows, strip_nav, include_images), include_links, compact_links))))
+    rows = staged(_filled(_linked(_visible(rows, strip_nav, include_images), include_links, compact_links)))
+    rows = _settled(_events(rows))
     own, what = F.col("match").isNotNull(), F.col("what")
     below_link = F.col("_link").isNotNull() & (F.col("shut") >= 0)
     flat = rows.select(
@@ -294,23 +304,26 @@ def _chosen(nodes: DataFrame, selector: str) -> DataFrame:
     rows = with_sections(rows)
     hit = F.struct("node_id", F.coalesce("_start.node_id", "node_id").alias("from"), F.coalesce("_stop_id", "end_id").alias("to"))
     fields = [c for c in (*NODE_COLUMNS, *CONTEXT) if c not in ("page_id", "url", "node_id", "attrs")]
-    node = F.struct("node_id", *dict.fromkeys(fields), F.map_entries("attrs").alias("attrs"))
+    node = F.struct("node_id", *dict.fromkeys(fields), F.struct(*[F.col("attrs")[name].alias(name) for name in SHOWN_ATTRS]).alias("attrs"))
     pages = rows.groupBy("page_id").agg(
         F.first("url").alias("url"), F.array_sort(F.collect_list(node)).alias("nodes"), F.array_sort(F.collect_list(F.when(F.col("_hit"), hit))).alias("hits"))
-    parts = pages.select("page_id", "url", "nodes", F.posexplode_outer("hits").alias("match", "hit"))
-    first = F.col("hit.from")
-    rows = parts.select("page_id", "url", F.coalesce("match", F.lit(0)).alias("match"), first.alias("_from"), F.element_at("nodes", first + 1).alias("_top"),
-                        F.explode_outer(F.slice("nodes", first + 1, F.col("hit.to") - first + 1)).alias("n"))
-    rows = rows.select("page_id", "url", "match", "_from", "_top", "n.*")
+    # Every part takes its own rows along and no others: the rows of the page beside each part would grow with their product.
+    whole, deep = F.col("nodes"), ("deep_quote", "deep_row", "deep_list")
+    cut = F.transform("hits", lambda h: F.struct(
+        h["from"].alias("_from"), *[F.element_at(whole, h["from"] + 1)[name].alias(f"_top_{name}") for name in deep],
+        F.slice(whole, h["from"] + 1, h["to"] - h["from"] + 1).alias("_own")))
+    parts = pages.select("page_id", "url", F.posexplode_outer(cut).alias("match", "part")).select("page_id", "url", F.coalesce("match", F.lit(0)).alias("match"), "part.*")
+    rows = parts.select(*[c for c in parts.columns if c != "_own"], F.inline_outer("_own"))
+
     def inner(name):
         return F.when(F.col(name) >= F.col("_from"), F.col(name))
     quoted = F.coalesce(F.col("near_quote") >= F.col("_from"), F.lit(False))
-    depths = {"deep_quote": F.col("deep_quote") - F.col("_top.deep_quote"), "deep_row": F.col("deep_row") - F.col("_top.deep_row"),
-              "deep_list": F.col("deep_list") - F.when(quoted, 0).otherwise(F.col("_top.deep_list"))}
+    depths = {"deep_quote": F.col("deep_quote") - F.col("_top_deep_quote"), "deep_row": F.col("deep_row") - F.col("_top_deep_row"),
+              "deep_list": F.col("deep_list") - F.when(quoted, 0).otherwise(F.col("_top_deep_list"))}
     near = {name: inner(name) for name in CONTEXT if not name.startswith("deep_")}
     near["top_table"] = F.coalesce(inner("top_table"), inner("near_table"))
     return rows.withColumns({
-        **near, **depths, "attrs": F.map_from_entries("attrs"), "node_id": F.coalesce("node_id", F.lit(0)), "end_id": F.coalesce("end_id", F.lit(0)),
+        **near, **depths, "node_id": F.coalesce("node_id", F.lit(0)), "end_id": F.coalesce("end_id", F.lit(0)),
         "_start": F.col("node_id").isNull() | (F.col("node_id") == F.col("_from"))}).withColumn("_table", F.col("top_table"))
 
 

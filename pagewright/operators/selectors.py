@@ -184,12 +184,13 @@ def inside_or_self(flag: Column) -> Column:
 
 
 def from_parent(rows: DataFrame, value: Column, out: str) -> DataFrame:
-    """Add a value of the parent row. Each row also stands for itself as a parent of others, and
-    both meet in the same (page, key) group; the group is one family, and the window's clustering
-    is already met by a shuffle on `page_id`."""
+    """Add a value of the parent row. Each row that has one also stands for itself as a parent of others,
+    and both meet in the same (page, key) group; the group is one family, and the window's clustering
+    is already met by a shuffle on `page_id`. Rows without a value have nothing to give and stay single."""
     columns = rows.columns
-    roles = F.array(F.struct(F.lit(True).alias("up"), F.col("node_id").alias("key")),
-                    F.struct(F.lit(False).alias("up"), F.coalesce(F.col("parent_id"), F.lit(-1)).alias("key")))
+    child = F.struct(F.lit(False).alias("up"), F.coalesce(F.col("parent_id"), F.lit(-1)).alias("key"))
+    parent = F.struct(F.lit(True).alias("up"), F.col("node_id").alias("key"))
+    roles = F.when(F.col("_given").isNull(), F.array(child)).otherwise(F.array(parent, child))
     family = Window.partitionBy("page_id", "_role.key").orderBy(F.desc("_role.up")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (rows.withColumn("_given", value).withColumn("_role", F.explode(roles))
@@ -222,7 +223,7 @@ def css_flag(nodes: DataFrame, selector: str, out: str = "matched", keep_others:
             elif compound.combinator == "~":
                 linked = F.coalesce(F.max(held).over(before(beside)), F.lit(False))
             else:
-                rows = from_parent(rows, held, "_parent")
+                rows = from_parent(rows, F.when(held, True), "_parent")
                 linked = F.coalesce(F.col("_parent"), F.lit(False))
             rows = rows.withColumn("_linked", linked).withColumn(name, F.col("_linked") & compound.test)
         flags.append(F.col(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pagewright.operators.dom import shared_out
 
 SITE = "https://site.example"
 COOKIE_NAMES = ["session_id", "theme", "cart", "auth_token", "lang"]
@@ -37,7 +38,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return dealt(table(spark, sf, "pages"))
+    rows = table(spark, sf, "pages")
+    return shared_out(dealt(rows), rows.count())
 
 
 def escape(text: Column) -> Column:
@@ -85,9 +87,11 @@ def document_articles(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.filter(F.split("text", r"\n"), lambda s: F.trim(s) != "")
     parts = F.transform(lines, lambda s, n: F.concat(
         F.lit('<h2 id="s'), n.cast("string"), F.lit('">Part '), n.cast("string"), F.lit("</h2><p>"), escape(s), F.lit("</p>")))
-    return dealt(documents(spark, sf)).select(
+    rows = documents(spark, sf)
+    articles = dealt(rows).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{SITE}/doc/"), F.col("doc_id")).alias("url"),
         F.concat(F.lit("<body>"), F.array_join(parts, "")).alias("html"))
+    return shared_out(articles, rows.count())
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:

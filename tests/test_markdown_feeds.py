@@ -1,11 +1,14 @@
 import random
+import re
 
 import pytest
 
+from __spark_entry__ import queries
 from pagewright.operators import dom, feeds
 from pagewright.operators.htmltree import parse_html
 from pagewright.operators.markdown import CELLS, CONTEXT, NODE_COLUMNS, NODE_TAGS, _chosen, assemble, chunks, html_markdown, whole_pages
-from pagewright.operators.selectors import css_select
+from pagewright.operators.selectors import css_flag, css_select
+from pagewright.plans import inputs
 from plain_markdown import render_tree
 
 URL = "https://example.com/a/"
@@ -148,3 +151,25 @@ def test_feeds(spark, pages_of):
     assert feeds.feed_markdown(rows, include_links=False).filter("page_id = 3").first().markdown == "# C\n\n## one"
     assert [(r.page_id, r.i, r.href) for r in feeds.feed_links(rows).orderBy("page_id", "i").collect()] == [
         (0, 0, "/1"), (1, 0, "https://o.com/i"), (2, 0, "/alt"), (2, 1, "/only")]
+
+
+def test_chosen_parts_run_in_methods_that_are_compiled(spark, capsys):
+    """The engine never compiles a method of more than 8,000 bytes, it interprets it row by row."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        queries()["markdown_headings"](spark, "/root/testdata/sf0.001").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_shares_of_pages_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(dom, "PAGES_PER_SHARE", 10)
+    for made, selector in ((inputs.pages, "nav"), (inputs.document_articles, "h2")):
+        pages = made(spark, "/root/testdata/sf0.001")
+        shares = -(-pages.count() // 10)
+        rows = dom.clustered(dom.html_nodes(pages, kinds=("element",)))
+        assert rows.rdd.getNumPartitions() == shares > 4
+        assert css_flag(rows, "body > p").rdd.getNumPartitions() == shares
+        assert html_markdown(pages, selector=selector).count() == pages.count()
