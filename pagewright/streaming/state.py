@@ -64,6 +64,38 @@ def stream_validate_seq(lines: DataFrame, ttl_ms: int | None = None) -> DataFram
     return _run(parsed, ["log"], SeqCheck(ttl_ms), "log string, file string, line_no int, id string, reply_seq bigint, action string, accepted boolean")
 
 
+class _Held:
+    """A map state as it is within one batch of a key: every entry is asked of the store once, and what was changed is
+    written at the end. Each question to the store is a message to another process, so there is none per row."""
+
+    def __init__(self, state):
+        self.state, self.now, self.changed, self.whole = state, {}, {}, False
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.now:
+            self.now[key] = tuple(self.state.getValue(key)) if not self.whole and self.state.containsKey(key) else None
+        return self.now[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        """None takes the entry away."""
+        self.now[key] = self.changed[key] = value
+
+    def load(self) -> dict:
+        """The live entries, all of them."""
+        if not self.whole:
+            for key, value in self.state.iterator():
+                self.now.setdefault(tuple(key), tuple(value))
+            self.whole = True
+        return {key: value for key, value in self.now.items() if value is not None}
+
+    def save(self) -> None:
+        for key, value in self.changed.items():
+            if value is not None:
+                self.state.updateValue(key, value)
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
 class HistoryFold(_Keyed):
     """State: cursor and one entry per depth. A visit overwrites its depth; deeper ones are dead."""
 
@@ -73,18 +105,19 @@ class HistoryFold(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues):
         depth, ahead = self.cursor.get() if self.cursor.exists() else (0, 0)
-        out = []
+        out, entries = [], _Held(self.entries)
         for row in _in_order(rows, ["seq"]).itertuples(index=False):
             code = _CODES.get(row.op, 3)
             before = depth
             depth, ahead = move(depth, ahead, code)
             if code == 0:
-                self.entries.updateValue((depth,), (row.url,))
+                entries.put((depth,), (row.url,))
             # An entry may have outlived its time under a cursor that is still in use: its address is unknown then.
-            entry = self.entries.getValue((depth,)) if depth and self.entries.containsKey((depth,)) else None
+            entry = entries.get((depth,)) if depth else None
             url = entry[0] if entry else None
             out.append((key[0], row.seq, depth - 1, depth + ahead, url,
                         "NO_HISTORY" if code in (1, 2) and depth == before else None))
+        entries.save()
         self.cursor.update((depth, ahead))
         yield pd.DataFrame(out, columns=["session", "seq", "cursor", "length", "current_url", "code"])
 
@@ -103,22 +136,26 @@ class StorageFold(_Keyed):
         self.items = handle.getMapState("items", "key string", "value string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        out = []
+        out, items = [], _Held(self.items)
         for row in _in_order(rows, ["seq"]).itertuples(index=False):
             value, n = None, None
             if row.op == "set":
-                self.items.updateValue((row.key,), (row.value,))
+                items.put((row.key,), (row.value,))
                 value = row.value
-            elif row.op == "get" and self.items.containsKey((row.key,)):
-                value = self.items.getValue((row.key,))[0]
+            elif row.op == "get":
+                found = items.get((row.key,))
+                value = found[0] if found else None
             elif row.op == "delete":
-                n = int(self.items.containsKey((row.key,)))
-                self.items.removeKey((row.key,))
+                n = int(items.get((row.key,)) is not None)
+                items.put((row.key,), None)
             elif row.op in ("clear", "list"):
-                n = sum(1 for _ in self.items.keys())
+                live = items.load()
+                n = len(live)
                 if row.op == "clear":
-                    self.items.clear()
+                    for held in live:
+                        items.put(held, None)
             out.append((*key, row.seq, row.op, row.key, value, n))
+        items.save()
         yield pd.DataFrame(out, columns=["session", "origin", "seq", "op", "key", "value", "n"])
 
 

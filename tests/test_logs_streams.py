@@ -2,6 +2,7 @@ import json
 import os
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagewright.operators import commands, cookies, history, navigation, storage
@@ -268,3 +269,63 @@ def test_tail_serves_complete_lines_once(spark, tmp_path):
     assert step("a.log", b'"2"}\r\n\xc3') == first
     assert step("b.log", b"\nlong line of words\n") == first + [("b.log", 0, ""), ("b.log", 1, "long line of words")]
     assert step("a.log", b"\xa9\n")[2] == ("a.log", 23, "é") and len(step("b.log", b"")) == 5
+
+
+class _CountedMap:
+    """A map state that counts the messages it is sent."""
+
+    def __init__(self, held):
+        self.held, self.asked = dict(held), 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        self.held.pop(key, None)
+
+    def iterator(self):
+        self.asked += 1
+        return iter(list(self.held.items()))
+
+
+class _Value:
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+def test_folds_ask_the_store_once_per_entry_not_per_row():
+    fold = state.StorageFold()
+    fold.items = _CountedMap({("old",): ("1",), ("gone",): ("2",)})
+    ops = [("get", "old", None), ("delete", "gone", None), ("get", "gone", None)] + [("set", "k", str(n)) for n in range(300)] + [
+        ("get", "k", None), ("list", None, None), ("clear", None, None), ("get", "old", None), ("list", None, None), ("set", "k", "last")]
+    log = pd.DataFrame([(n, *op) for n, op in enumerate(ops)], columns=["seq", "op", "key", "value"])
+    (answers,) = fold.handleInputRows(("s", "o"), iter([log.iloc[::-1]]), None)
+    at = answers.set_index("seq")
+    assert list(at.value[[0, 303]]) == ["1", "299"] and at.value[[2, 306]].isna().all() and list(at.n[[1, 304, 305, 307]]) == [1, 2, 2, 0]
+    assert fold.items.held == {("k",): ("last",)} and fold.items.asked < 12
+
+    fold = state.HistoryFold()
+    fold.entries, fold.cursor = _CountedMap({}), _Value()
+    moves = [("visit", "/a"), ("visit", "/b")] + [("back", None), ("forward", None)] * 200
+    log = pd.DataFrame([(n, *move) for n, move in enumerate(moves)], columns=["seq", "op", "url"])
+    (answers,) = fold.handleInputRows(("s",), iter([log]), None)
+    assert list(answers.current_url) == ["/a", "/b"] + ["/a", "/b"] * 200 and fold.entries.asked < 8
