@@ -251,7 +251,7 @@ def depth_profile(spark, sf):
     def profile(page: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"page_id": [page["page_id"].iloc[0]], "nodes": [len(page)], "max_depth": [page["depth"].max()]})
 
-    return extract.map_dom(dom.html_nodes(inputs.pages(spark, sf)), profile, "page_id bigint, nodes bigint, max_depth bigint")
+    return extract.map_dom(dom.html_nodes(inputs.pages(spark, sf), columns=("page_id", "node_id", "depth")), profile, "page_id bigint, nodes bigint, max_depth bigint")
 
 
 @query

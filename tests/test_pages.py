@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from pagewright.operators import dom, extract, navigation, results, selectors
 from pagewright.operators.htmltree import parse_html
 
@@ -285,3 +286,9 @@ def test_pages_made_of_narrow_rows_are_dealt_out(spark, tmp_path):
     for made in (inputs.customer_forms, inputs.nation_tables):
         held = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in held) == 20_000 and max(r["count"] for r in held) < 1.2 * inputs.PAGES_PER_TASK
+
+
+def test_depth_profile_ships_what_it_asks_for(spark):
+    plan = queries()["depth_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "depth" in made and "attrs" not in made and "text" not in made
