@@ -5,7 +5,7 @@ from columns: ancestors known from the parse, the nearest following row that sho
 empty?), and the first link of an address. Line breaks are a fold over the pieces of a page, of a quotation or of a table:
 "at least so many line breaks here" and "so many more" are maps t -> max(t + a, b), which compose, so running sums and a
 running maximum grant all wishes at once. A link's pieces are joined first, then the page's, in document order. Everything
-runs in windows and aggregates that cluster on `page_id`: one parse, one shuffle, no join.
+runs in windows and aggregates that cluster on `page_id`: one parse, a shuffle before it and one half way (`staged`), no join.
 """
 
 from __future__ import annotations
