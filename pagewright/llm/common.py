@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,18 @@ def sized(df: DataFrame, amount: Column, per_part: int, least: int = 1) -> int:
     return max(least, -(-int(total) // per_part))
 
 
+_KEPT: dict = {}
+
+
+def kept(name: Hashable, make: Callable):
+    """What a worker process remembers from task to task. One thing at a time: who asks for another gets the room of the former,
+    so a job of several operators holds no more in a worker than the largest of them."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words met lately (at most `most`)."""
 

@@ -296,12 +296,10 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
     first = stored(verified(dealt.filter("rep <> g").select(F.col("g").alias("a"), F.col("rep").alias("b")), texts, size, percent), "links")
     labelled = _labelled(dealt, components(first))
-    second = stored(first.unionByName(within_groups(labelled, texts, size, percent)), "links")
-    labelled = _labelled(dealt, components(second))
+    labelled = _joined(labelled, within_groups(labelled, texts, size, percent))
     # Of a node in two groups either one will do: pairs inside both were held against each other.
     one = labelled.groupBy("rep").agg(F.min("g").alias("g"), F.min("component").alias("component"))
-    third = second.unionByName(across_groups(lists, one, classes, texts, size, percent))
-    joined = components(stored(third, "links")).withColumnRenamed("node", "rep")
+    joined = _joined(one, across_groups(lists, one, classes, texts, size, percent))
     least = joined.join(classes.select("rep", "doc_id"), "rep").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     told = joined.join(least, "component").select("rep", "component_id")
     found = classes.select("name", "rep", "doc_id").join(told, "rep", "left").select("name", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -312,3 +310,11 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
 def _labelled(dealt: DataFrame, joined: DataFrame) -> DataFrame:
     return stored(dealt.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "g", F.coalesce("component", "rep").alias("component")), "labelled")
+
+
+def _joined(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of (rep, component) after further links (a, b). Only links between components are followed, not those that made them."""
+    of = labelled.groupBy("rep").agg(F.min("component").alias("component"))
+    ends = links.join(of.withColumnsRenamed({"rep": "a", "component": "u"}), "a").join(of.withColumnsRenamed({"rep": "b", "component": "v"}), "b")
+    tops = components(stored(ends.select("u", "v").filter("u <> v").distinct(), "links"), "u", "v").withColumnsRenamed({"component": "top", "node": "component"})
+    return stored(labelled.join(tops, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top"), "labelled")

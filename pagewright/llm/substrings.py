@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from pagewright.llm.common import MIX, WordHashes, in_sorted, mixed, sized, windows_hashed
+from pagewright.llm.common import MIX, WordHashes, in_sorted, kept, mixed, sized, windows_hashed
 
 WINDOW = 13
 #: Words on either side of a border that make up its phrase.
@@ -41,7 +41,7 @@ class Symbols:
     def __init__(self, words: np.ndarray, doc: np.ndarray):
         n = len(words)
         self.name, self.doc = words, doc
-        self.start, self.end = np.arange(n), np.arange(1, n + 1)
+        self.start, self.end = np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
         self.low, self.high = self.start, self.end
         inner = np.empty(n, bool)
         if n:
@@ -89,17 +89,19 @@ class Symbols:
 
 
 class Block:
-    """Documents of one block: words, windows, and the phrase that represents each window."""
+    """Documents of one block: hashes of words, windows, and the phrase that represents each window.
+
+    Words are cut of one text at a time and not kept: as objects they would take more room than all the rest."""
 
     def __init__(self, texts: list, doc_ids: list, size: int, hashes: WordHashes):
-        self.words = [words_of(t) for t in texts]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        hashed = [hashes.of(words_of(t)) for t in texts]
+        self.lengths = np.array([len(h) for h in hashed], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.hashed = np.concatenate([hashes.of(w) for w in self.words]) if len(texts) else np.empty(0, np.uint64)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
+        self.hashed = np.concatenate(hashed) if len(texts) else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.lengths)
         self.size, self.ids = size, doc_ids
         n = max(0, len(self.hashed) - size + 1)
-        self.at = np.flatnonzero(self.doc[:n] == self.doc[size - 1:size - 1 + n])
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[size - 1:size - 1 + n]).astype(np.int32)
         self.windows = windows_hashed(self.hashed, size)[self.at]
 
     def keys(self) -> np.ndarray:
@@ -115,7 +117,7 @@ class Block:
             place, low, high = place[ok], symbols.b_low[symbols.inner][ok], symbols.b_high[symbols.inner][ok]
             phrase = np.full(len(self.hashed) + 1, _NONE)
             phrase[place] = windows_hashed(self.hashed, 2 * REACH)[place - REACH]
-            least, most = np.zeros(len(phrase), np.int64), np.full(len(phrase), -1, np.int64)
+            least, most = np.zeros(len(phrase), np.int32), np.full(len(phrase), -1, np.int32)
             least[place], most[place] = np.maximum(high, place + REACH) - self.size, np.minimum(low, place - REACH)
             for offset in range(REACH, self.size - REACH + 1):
                 p = self.at + offset
@@ -212,7 +214,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, block_chars: int = BLOC
     parts = sized(docs, F.coalesce(F.length("text"), F.lit(0)), part_chars, parts)
 
     def made(table):
-        return Block(table["text"].to_pylist(), table["doc_id"].to_pylist(), size, WordHashes())
+        return Block(table["text"].to_pylist(), table["doc_id"].to_pylist(), size, kept("words", WordHashes))
 
     def post(table):
         return _sent(table["__block"][0].as_py(), made(table).keys(), parts)
@@ -247,14 +249,14 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, block_chars: int = BLOC
                 "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
         block = made(table)
         gone = block.covered(block.repeated_within() | in_sorted(block.windows, _names_of(told)))
-        removed, kept = [], []
-        for words, at, n in zip(block.words, block.offsets, block.lengths):
-            out = gone[at:at + n]
+        removed, left = [], []
+        for text, at, n in zip(table["text"].to_pylist(), block.offsets, block.lengths):
+            words, out = words_of(text), gone[at:at + n]
             removed.append(int(out.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, out) if not g] if removed[-1] else words).decode("utf-8", "surrogatepass"))
+            left.append(b" ".join([w for w, g in zip(words, out) if not g] if removed[-1] else words).decode("utf-8", "surrogatepass"))
         columns = {c: table[c] for c in shape}
         return pa.table(columns | {"n_words": pa.array(block.lengths, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-                                   "kept_text": pa.array(kept, pa.string())})
+                                   "kept_text": pa.array(left, pa.string())})
 
     grouped = placed.groupBy("__block")
     shared = grouped.applyInArrow(post, _SENT).groupBy("part").applyInArrow(reveal, _BACK)

@@ -10,6 +10,8 @@ from functools import cache
 
 import numpy as np
 
+from pagewright.llm.common import kept
+
 #: Fixed value: how the byte-level tokenizer files cut a text before they merge.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -109,7 +111,6 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
 
-@cache
 def shared_encoder(path: str, most: int = 450_000) -> Encoder:
-    """One per worker process: it outlives a task, and so do the pieces it remembers."""
-    return Encoder(path, most)
+    """One per worker process: it outlives a task, and so do the pieces it remembers, until another operator's memory is kept."""
+    return kept(("encoder", path, most), lambda: Encoder(path, most))

@@ -2,6 +2,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagewright.llm import chat, decontaminate, langid, maintext, minhash, ngramlm, substrings
-from pagewright.llm.common import WordHashes, components
+from pagewright.llm.common import WordHashes, components, kept
 from pagewright.llm.substrings import Block
 
 SF = "/root/testdata/sf0.001"
@@ -175,6 +176,19 @@ def test_near_duplicates_that_share_an_id(spark):
     assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == {(3, x), (8, clean), (7, rows[-1][1])}
 
 
+def test_links_once_followed_are_not_followed_again(spark, monkeypatch):
+    counts = []
+
+    def counted(edges, *ends):
+        counts.append(edges.count())
+        return components(edges, *ends)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    rows = [(k, " ".join(f"w{j}" for j in range(200)) + f" own{k}") for k in range(120)]
+    assert {r.component_id for r in minhash.groups(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+    assert counts[0] >= 119 and counts[1:] == [0, 0]
+
+
 def test_links_across_groups_are_a_forest(spark):
     texts = [" ".join([f"{c}{k}" for k in range(60)] + [f"own{c}{j}"] * (j % 3)) for c in "ab" for j in range(150)] + ["another text on its own"]
     frame = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], SCHEMA)
@@ -264,6 +278,24 @@ def test_repeated_sequences(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()), key=key) == sorted(without(rows, 13), key=key)
 
 
+def test_a_block_keeps_no_words():
+    texts, hashes = [" ".join(f"w{k % 977}" for k in range(at, at + 500)) for at in range(0, 100_000, 500)], WordHashes()
+    hashes.of([f"w{k}".encode() for k in range(977)])
+    tracemalloc.start()
+    block = Block(texts, list(range(len(texts))), 13, hashes)
+    block.keys()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 220 * len(block.hashed)
+
+
+def test_a_worker_keeps_one_memory_at_a_time():
+    first = kept("first", WordHashes)
+    assert kept("first", WordHashes) is first
+    kept("second", WordHashes)
+    assert kept("first", WordHashes) is not first
+
+
 def test_repeats_of_nothing(empty):
     assert substrings.digests(empty).count() == 0
 
