@@ -66,23 +66,40 @@ def _cut(text: Column, pattern: str) -> Column:
 
     Both come from the text as it is, no mark is put into it. Where a pattern matched something of no length the
     two would not fit together: the job ends then rather than let a secret through."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
     def piece(s: Column, secret: bool) -> Column:
         return F.struct(F.lit(secret).alias("secret"), s.alias("s"))
 
-    pieces = F.flatten(F.transform(between, lambda s, i: F.when(i < F.size(found), F.array(piece(s, False), piece(F.get(found, i), True)))
-                                   .otherwise(F.array(piece(s, False)))))
-    return F.when(F.size(between) == F.size(found) + 1, pieces).otherwise(
-        F.raise_error(F.lit("a redaction pattern matches something of no length")).cast("array<struct<secret:boolean,s:string>>"))
+    def put_together(cut: Column) -> Column:
+        found, between = cut["found"], cut["between"]
+        pieces = F.flatten(F.transform(between, lambda s, i: F.when(i < F.size(found), F.array(piece(s, False), piece(F.get(found, i), True)))
+                                       .otherwise(F.array(piece(s, False)))))
+        return F.when(F.size(between) == F.size(found) + 1, pieces).otherwise(
+            F.raise_error(F.lit("a redaction pattern matches something of no length")).cast("array<struct<secret:boolean,s:string>>"))
+
+    # A list of one: what a lambda is given is worked out once, a column that it names once for each piece.
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between")))
+    return F.flatten(F.transform(once, put_together))
+
+
+def _beginning(pattern: str) -> str:
+    """Plain characters that every match begins with, as far as that is plain to see."""
+    plain = re.match(r'[A-Za-z0-9_ ="-]*', pattern)[0]
+    if "|" in pattern:
+        return ""
+    return plain[:-1] if pattern[len(plain):len(plain) + 1] in ("*", "+", "?", "{") else plain
+
+
+def _has(text: Column, pattern: str) -> Column:
+    """Does the pattern match somewhere? A search for its beginning is much cheaper and mostly enough."""
+    beginning = _beginning(pattern)
+    return text.contains(beginning) & text.rlike(pattern) if beginning else text.rlike(pattern)
 
 
 def _segments(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """The text cut at its matches. Later patterns only see what is still plain, so they cannot hit inside an earlier match."""
     def apply(segments: Column, pattern: str) -> Column:
         return F.flatten(F.transform(segments, lambda seg: F.when(
-            seg["secret"] | ~seg["s"].rlike(pattern), F.array(seg)).otherwise(_cut(seg["s"], pattern))))
+            seg["secret"] | ~_has(seg["s"], pattern), F.array(seg)).otherwise(_cut(seg["s"], pattern))))
 
     segments = F.array(F.struct(F.lit(False).alias("secret"), text.alias("s")))
     for _, pattern in patterns:
@@ -94,7 +111,7 @@ def _has_any(text: Column, patterns: list[tuple[str, str]]) -> Column:
     """Each pattern by itself: joined ones would number each other's groups anew."""
     found = F.lit(False)
     for _, pattern in patterns:
-        found = found | text.rlike(pattern)
+        found = found | _has(text, pattern)
     return found
 
 
@@ -136,7 +153,7 @@ def resolve_handles(df: DataFrame, column: str, vault: DataFrame, key: str) -> D
     handle used by many texts makes its key hot on the many side only, which adaptive skew
     handling splits; each text then gets its few secrets back as a map.
     """
-    used = df.filter(F.col(column).rlike(HANDLE)).select(
+    used = df.select(
         key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(f"({HANDLE})"), F.lit(1)))).alias("handle"))
     known = used.join(vault.select("handle", "secret"), "handle").groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("handle", "secret"))).alias("_known"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,22 @@ def test_patterns(spark):
     assert dict(patterns)["jwt"] == "J+" and patterns[-1][0] == "jwt" and len(patterns) == 7
 
 
+def test_many_secrets_in_one_text(spark):
+    marks = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.concat(F.lit("MARK-"), F.lpad(k.cast("string"), 6, "0")))
+    text = spark.range(1).select(F.concat_ws(" ", marks).alias("text"))
+    began = time.monotonic()
+    found = secrets.redact_text(text, "text", [("mark", "(MARK-[0-9]{6})")]).select(
+        F.regexp_count("text", F.lit(secrets.HANDLE)).alias("n"), F.length("text").alias("long")).first()
+    assert found.n == 20_000 and found.long == 20_000 * 43 - 1
+    assert time.monotonic() - began < 25  # a search of the whole text for each match takes minutes
+
+
+def test_beginnings_of_patterns():
+    given = {"sk-[A-Za-z0-9]{20,}": "sk-", "gh[ps]_x": "gh", 'token = "[0-9]"': 'token = "', "ab?c": "a", "ab{2}": "a", "a*": "", "ab|cd": "",
+             "(MARK)": "", r"a\.b": "a", "abc": "abc", "ab+": "a", "(?i)ab": "", "^ab": ""}
+    assert {p: secrets._beginning(p) for p in given} == given
+
+
 def test_cookie_and_storage_redaction(spark):
     openai = secret_texts()[3]
     rows = spark.createDataFrame([("My_SESSION_id", "v1"), ("theme", "dark"), ("note", f"k={openai}")], "name string, value string")
