@@ -117,10 +117,15 @@ def cookie_header(requests: DataFrame, events: DataFrame, segment_rows: int = SE
     known = events.filter("op = 'set'").groupBy(*NAMED).agg(F.collect_set("path").alias("paths"))
     paths = known.groupBy("session", "domain").agg(F.collect_list(F.struct("name", "paths")).alias("names"))
     none = F.lit(None).cast("string")
-    asked = requests.withColumn("_host", host("url")).select(
-        "session", "seq", "ts", "url", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
-    # A request without any cookie keeps one row, so that it is found again in the end.
-    names = F.flatten(F.transform("names", lambda n: F.transform(n["paths"], lambda p: F.struct(n["name"].alias("name"), p.alias("path")))))
+    asked = requests.withColumns({"_host": host("url"), "_target": parse_path("url")}).select(
+        "session", "seq", "ts", "url", "_target", F.explode(host_suffixes(F.col("_host"))).alias("domain"))
+
+    def fits(path: Column) -> Column:
+        target = F.col("_target")
+        return (target == path) | (target.startswith(path) & (path.endswith("/") | (F.substring(target, F.length(path) + 1, F.lit(1)) == "/")))
+
+    # Paths that do not fit are no probes. A request without any cookie keeps one row, so that it is found again in the end.
+    names = F.flatten(F.transform("names", lambda n: F.transform(F.filter(n["paths"], fits), lambda p: F.struct(n["name"].alias("name"), p.alias("path")))))
     probes = asked.join(paths, ["session", "domain"], "left").withColumn("k", F.explode_outer(names)).select(
         "session", "domain", "k.path", "k.name", "seq", "ts", "url", F.lit("probe").alias("op"), F.lit(None).cast(shape).alias("c"))
     sets = events.filter("op = 'set'").select(*COOKIE, "seq", "ts", none.alias("url"), "op", "c")
@@ -130,10 +135,7 @@ def cookie_header(requests: DataFrame, events: DataFrame, segment_rows: int = SE
     log = probes.unionByName(sets).unionByName(deletes)
     state = F.when(F.col("op") != "probe", F.struct((F.col("op") == "set").alias("live"), F.col("c")))
     seen = running(log, COOKIE, "seq", {"_s": ("last", state)}, segment_rows=segment_rows).filter("op = 'probe'")
-    target = parse_path("url")
-    path_fits = (target == F.col("path")) | (target.startswith(F.col("path")) & (
-        F.col("path").endswith("/") | (F.substring(target, F.length("path") + 1, F.lit(1)) == "/")))
-    sent = (F.col("_s.live") & path_fits & (~F.coalesce("_s.c.secure", F.lit(False)) | F.col("url").startswith("https:"))
+    sent = (F.col("_s.live") & (~F.coalesce("_s.c.secure", F.lit(False)) | F.col("url").startswith("https:"))
             & (F.col("_s.c.expires").isNull() | (F.col("_s.c.expires") > F.col("ts"))))
     pair = F.when(sent, F.struct((-F.length("path")).alias("o"), "name", "domain", F.col("_s.c.value").alias("value")))
     text = F.array_join(F.transform("_pairs", lambda p: F.concat(p["name"], F.lit("="), p["value"])), "; ")

@@ -173,3 +173,21 @@ def test_one_scan_serves_all_running_values(spark):
     for name, most in (("storage_asof", 1), ("storage_clears", 1), ("seq_validate", 1), ("result_envelopes", 1), ("cookie_header", 2)):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan parquet") + plan.count("from_json") <= most, name
+
+
+def test_only_paths_that_fit_are_probed(spark, monkeypatch):
+    probes = []
+
+    def watched(log, *given, **named):
+        probes.extend((r.seq, r.path) for r in log.filter("op = 'probe'").collect())
+        return running.running(log, *given, **named)
+
+    monkeypatch.setattr(cookies, "running", watched)
+    sets = spark.createDataFrame([(1, k, "set", f"n{k}", "v", "a.example", path, False, False, None) for k, path in enumerate(("/shop", "/", "/shopping/x"))],
+                                 "session long, seq long, op string, name string, value string, domain string, path string, secure boolean, http_only boolean, max_age long")
+    sets = sets.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    asked = spark.createDataFrame([(1, 10, "http://a.example/shopping"), (1, 11, "http://a.example/shop/cart"), (2, 12, "http://a.example/shop")],
+                                  "session long, seq long, url string").withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    found = {r.seq: r.cookie for r in cookies.cookie_header(asked, sets).collect()}
+    assert found == {10: "n1=v", 11: "n0=v; n1=v", 12: None}
+    assert sorted(p for p in probes if p[1]) == [(10, "/"), (11, "/"), (11, "/shop")]
