@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm import decontaminate, langid, minhash, packing, substrings
-from pagewright.llm.common import read, stored
+from pagewright.llm.common import in_small_batches, read, stored
 from pagewright.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,8 +57,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
-          ("decontamination", decontamination), ("packing", pack)]
+def _bounded(stage):
+    """A stage whose kernels get the texts in small batches, also when its result is written later."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _bounded(stage)) for name, stage in (
+    ("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination), ("packing", pack))]
 #: Compression and tokenization are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

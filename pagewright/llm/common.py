@@ -43,6 +43,18 @@ def sized(df: DataFrame, amount: Column, per_part: int, least: int = 1) -> int:
     return max(least, -(-int(total) // per_part))
 
 
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 512
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches. Spark's 10,000 rows are a task's whole share of the texts, which would lie in the JVM's
+    buffers, the worker's and its lists, and again on the way back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 _KEPT: dict = {}
 
 

@@ -296,6 +296,17 @@ def test_a_worker_keeps_one_memory_at_a_time():
     assert kept("first", WordHashes) is not first
 
 
+def test_stages_take_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF)
+        assert int(spark.conf.get(name)) == 512
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_repeats_of_nothing(empty):
     assert substrings.digests(empty).count() == 0
 
