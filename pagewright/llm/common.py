@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 
@@ -63,6 +64,7 @@ def kept(name: Hashable, make: Callable):
     so a job of several operators holds no more in a worker than the largest of them."""
     if name not in _KEPT:
         _KEPT.clear()
+        gc.collect()  # an encoder and its pieces name each other
         _KEPT[name] = make()
     return _KEPT[name]
 

@@ -3,6 +3,7 @@ import hashlib
 import math
 import re
 import tracemalloc
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -294,6 +295,10 @@ def test_a_worker_keeps_one_memory_at_a_time():
     assert kept("first", WordHashes) is first
     kept("second", WordHashes)
     assert kept("first", WordHashes) is not first
+    kept("first", WordHashes).itself = [kept("first", WordHashes)]  # as an encoder and its pieces
+    gone = weakref.ref(kept("first", WordHashes))
+    kept("second", WordHashes)
+    assert gone() is None
 
 
 def test_stages_take_small_batches(spark, docs):
