@@ -142,7 +142,8 @@ def _file(part, file, first, doc_ids, lengths, held) -> dict:
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document read back by its position; start counts all ids before it.
 
-    The ids before a part are a running sum over parts, of which there are few; all else stays where it is."""
+    The ids before a part are a running sum over parts. That is a row of two numbers for each PART_CHARS characters and sent to
+    every task, since Spark guesses its size from the files' and would shuffle their codes; all else stays where it is."""
     totals = files.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
@@ -160,5 +161,5 @@ def read_files(files: DataFrame) -> DataFrame:
                     pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lengths"], pa.int64()),
                     pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.join(before, "part").select("before", "first", "doc_ids", "lengths", "codes").mapInArrow(
+    return files.join(F.broadcast(before), "part").select("before", "first", "doc_ids", "lengths", "codes").mapInArrow(
         kernel, "doc_id long, start long, n_tokens long, ids binary")

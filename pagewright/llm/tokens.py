@@ -34,8 +34,21 @@ class _Kept(dict):
         return found
 
 
-#: Letters, numbers and the rest but white space in the standard library's patterns, for texts without _odd() characters.
-CLASSES = {r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)", r"[\p{L}]": r"[^\W\d_]", r"[\p{N}]": r"\d", r"\p{L}": r"[^\W\d_]", r"\p{N}": r"\d"}
+def _ranges(member) -> str:
+    """The inside of a character class: the basic plane's characters of a kind."""
+    found = [c for c in range(0x10000) if member(chr(c))]
+    firsts, lasts = sorted(set(found) - {c + 1 for c in found}), sorted(set(found) - {c - 1 for c in found})
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(firsts, lasts))
+
+
+@cache
+def _classes() -> dict[str, str]:
+    """Letters, numbers and the rest but white space in the standard library's patterns, for texts without _odd() characters.
+
+    Written out, a class is one look into a table for each character; `[^\\W\\d_]` asks for three properties of it."""
+    letter = f"[{_ranges(lambda c: c.isalnum() and not c.isdecimal())}]"
+    rest = f"[{_ranges(lambda c: not c.isalnum() and not c.isspace())}]"
+    return {r"[^\s\p{L}\p{N}]": rest, r"[\p{L}]": letter, r"[\p{N}]": r"\d", r"\p{L}": letter, r"\p{N}": r"\d"}
 
 
 @cache
@@ -48,7 +61,7 @@ def _odd():
 
 
 def _cutter(pattern: str):
-    for name, found in CLASSES.items():
+    for name, found in _classes().items():
         pattern = pattern.replace(name, found)
     return re.compile(pattern).findall
 
@@ -95,7 +108,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        spelt = "".join([self.letters[b] for b in piece.encode()])
+        spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
 
     def ids(self, text: str | None) -> bytes:

@@ -1,4 +1,5 @@
 """Token files, packing, vectors and the pipeline against brute force, and on odd rows."""
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagewright.llm import embeddedup, packing, tokenbin
+from pagewright.llm import embeddedup, packing, tokenbin, tokens
 from pagewright.llm.hnsw import Graph
 from pagewright.llm.queries import vocabulary
 from pagewright.llm.tokens import Encoder
@@ -30,6 +31,13 @@ def test_encoder_agrees_with_the_library(docs, name):
     assert encoder.ids(None) == b""
 
 
+@pytest.mark.parametrize("kind, plain", [(r"\p{L}", r"[^\W\d_]"), (r"[^\s\p{L}\p{N}]", r"[^\s\w]|_"), (r"\p{N}", r"\d")])
+def test_written_out_classes_hold_the_same_characters(kind, plain):
+    every = "".join(map(chr, range(0x10000)))
+    assert tokens._cutter(kind)(every) == re.findall(plain, every)
+    assert not re.search(r"\\W|\\w|\|", tokens._classes()[kind])
+
+
 @pytest.mark.parametrize("most", [200, 60000, 2**32 - 1])
 def test_codes_give_any_token(most):
     ids = np.random.default_rng(most).integers(0, most, 5000, np.uint64, endpoint=True).astype(np.uint32)
@@ -71,6 +79,19 @@ def test_token_files(spark, docs):
     assert [(r.doc_id, r.start) for r in nameless.orderBy("start").collect()] == [(None, 0), (1, 2)]
 
 
+def test_codes_are_read_where_they_lie(spark, docs):
+    files = tokenbin.write_files(docs, vocabulary("word_bpe_49k.json"), file_ids=900, part_chars=60000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # files of any size that matters are above the threshold
+        read = tokenbin.read_files(files)
+        assert read.count() == docs.count()
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("length, slots", [(2048, 16), (64, 3)])
 def test_packing(spark, docs, length, slots):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(9001, None), (9002, ""), (9003, "word " * 5000), (None, "x y")]
