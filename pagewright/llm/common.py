@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,14 @@ from pagewright.session import checkpoint_dir
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy", group_rows: int | None = None) -> DataFrame:
     """The frame written as a table in the shared checkpoint folder and read again.
 
-    Cuts the lineage: a lost executor costs a read. The folder's owner clears it after the job."""
+    Cuts the lineage: a lost executor costs a read. The folder's owner clears it after the job. group_rows bounds the rows of a
+    row group, which is written and read as a whole: for rows of several MB, of which Spark would gather a hundred unasked."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    written = df.write.option("compression", compression)
+    (written.option("parquet.block.row.count.limit", group_rows) if group_rows else written).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -46,14 +49,25 @@ def sized(df: DataFrame, amount: Column, per_part: int, least: int = 1) -> int:
 
 #: Rows of an Arrow batch of texts at most.
 BATCH_ROWS = 512
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def in_small_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches. Spark's 10,000 rows are a task's whole share of the texts, which would lie in the JVM's
     buffers, the worker's and its lists, and again on the way back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+
+
+@contextmanager
+def batches_at_most(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bounds the Arrow batches of the jobs that run inside the block; afterwards the session has its own bound again."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 _KEPT: dict = {}

@@ -7,6 +7,7 @@ import weakref
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,34 @@ def test_proximity(spark, empty):
     assert decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_shards_one_by_one(spark, monkeypatch):
+    """However many shards a split has, a task writes, reads and searches them one at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, "red green blue" if k % 3 == 0 else "red") for k in range(30)], SCHEMA).coalesce(1)
+    index = decontaminate.build_index(docs, 200)
+    groups = [g for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert len(groups) == index.count() > 5 and {g.num_rows for g in groups} == {1}
+    searcher = decontaminate._searcher
+
+    def alone(*args):
+        search = searcher(*args)
+
+        def kernel(batches):
+            def watched():
+                for batch in batches:
+                    assert batch.num_rows == 1
+                    yield batch
+
+            yield from search(watched())
+
+        return kernel
+
+    monkeypatch.setattr(decontaminate, "_searcher", alone)
+    found = decontaminate.matches(index, spark.createDataFrame([("i", "red green blue")], "item_id string, text string"), 3)
+    assert found.count() == 10 and spark.conf.get(name) == before
+
+
 # -- near-duplicates
 
 
